@@ -10,10 +10,19 @@ from tidyloom.functions.text import strip_currency
 
 # Fixed value: texts that count as a number once separators and currency signs are gone.
 NUMBER_GRAMMAR = r"^([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i:[+-]?(inf|infinity|nan)))$"
+_NUMBER_OPENINGS = tuple("+-.0123456789iInN,₹$€£ ")
 
 
-def is_number_text(stripped: Column) -> Column:
-    return F.trim(stripped).rlike(NUMBER_GRAMMAR)
+def number_candidate(c: Column) -> Column:
+    """The text without separators and currency signs if it opens like a number, else null.
+
+    Looking at one character spares plain words both regexes.
+    """
+    return F.when(F.substring(c, 1, 1).isin(*_NUMBER_OPENINGS), strip_currency(c))
+
+
+def is_number_text(candidate: Column) -> Column:
+    return F.coalesce(F.trim(candidate).rlike(NUMBER_GRAMMAR), F.lit(False))
 
 
 def is_integral(x: Column) -> Column:

@@ -1,8 +1,8 @@
 """Multi-format date parsing, ANSI-safe and free of Python UDFs.
 
-A failed parse throws inside the JVM, so trying every pattern on every value is what makes a naive chain slow.  Each
-pattern therefore stands behind a regex for its shape, built from the pattern itself, and values that open like no
-date at all skip the whole chain.
+A failed parse throws inside the JVM, and 18 of them per value and column also blow up the generated code.  So the
+pattern list is turned into a regex that rewrites any accepted layout to ISO order, and a plain cast, which never
+throws, does the rest.
 """
 
 from __future__ import annotations
@@ -35,78 +35,75 @@ DATE_PATTERNS = (
     "MMMM d, yyyy",
 )
 
-# Lenient layouts: a date-shaped prefix and the layouts to read it with; anything may follow the prefix.
-LENIENT_PREFIXES = (
-    (r"^[1-9]\d{3}-\d{1,2}-\d{1,2}", ("yyyy-M-d",)),
-    (r"^[1-9]\d{3}/\d{1,2}/\d{1,2}", ("yyyy/M/d",)),
-    (r"^\d{1,2}/\d{1,2}/[1-9]\d{3}(?= \d{1,2}:\d)", ("M/d/yyyy", "d/M/yyyy")),
-    (r"^\d{1,2}/\d{1,2}/[1-9]\d{3}", ("d/M/yyyy", "M/d/yyyy")),
-    (r"^\d{1,2}-\d{1,2}-[1-9]\d{3}", ("d-M-yyyy", "M-d-yyyy")),
-    (r"^\d{1,2}-\d{1,2}, [1-9]\d{3}", ("d-M, yyyy",)),
-    (r"^\d{1,2}/\d{1,2}, [1-9]\d{3}", ("d/M, yyyy",)),
-    (r"^\d{1,2} [A-Za-z]{3} [1-9]\d{3}", ("d MMM yyyy",)),
-    (r"^[A-Za-z]{3} \d{1,2} [1-9]\d{3}", ("MMM d yyyy",)),
-    (r"^[A-Za-z]{3} \d{1,2}, [1-9]\d{3}", ("MMM d, yyyy",)),
-    (r"^[A-Za-z]{4,} \d{1,2}, [1-9]\d{3}", ("MMMM d, yyyy",)),
+MONTHS = (
+    "january", "february", "march", "april", "may", "june",
+    "july", "august", "september", "october", "november", "december",
 )
 
-_FIELD_SHAPES = {
-    "yyyy": r"[+-]?\d{4,}",
-    "MMMM": r"[A-Za-z]+",
-    "MMM": r"[A-Za-z]+",
-    "MM": r"\d{2}",
-    "dd": r"\d+",
-    "d": r"\d+",
-    "HH": r"\d{2}",
-    "hh": r"\d{2}",
-    "mm": r"\d{2}",
-    "ss": r"\d{2}",
-    "a": r"[A-Za-z]{2}",
+_DAY = r"(0[1-9]|[12]\d|3[01])"
+_SHORT_DAY = r"(0?[1-9]|[12]\d|3[01])"
+_MONTH = r"(0[1-9]|1[0-2])"
+_SHORT_MONTH = r"(0?[1-9]|1[0-2])"
+# Both month-name forms capture the first three letters.
+_ABBREVIATION = "(?i:(" + "|".join(m[:3] for m in MONTHS) + "))"
+_FULL_NAME = "(?i:([a-z]{3})(?:" + "|".join(f"(?<={m[:3]}){m[3:]}" for m in MONTHS) + "))"
+
+_STRICT_FIELDS = {
+    "yyyy": r"(\d{4})", "MMMM": _FULL_NAME, "MMM": _ABBREVIATION, "MM": _MONTH, "dd": _DAY, "d": _SHORT_DAY,
+    "HH": r"(?:[01]\d|2[0-3])", "hh": r"(?:0[1-9]|1[0-2])", "mm": r"[0-5]\d", "ss": r"[0-5]\d", "a": "(?i:[ap]m)",
 }
-_OPENS_LIKE_A_DATE = r"^([+-]?\d{4,}[-/]\d|\d\d[-/ ]|[A-Za-z]{3,} \d)"
-# The strict reading needs two digits per field; the lenient one does not.
-_OPENS_LENIENTLY = r"^([+-]?\d{4,}[-/]\d|\d{1,2}[-/ ]|[A-Za-z]{3,} \d)"
-
-
-def shape_regex(pattern: str) -> str:
-    """Regex that every string of this date pattern matches."""
-    parts = re.findall(r"'[^']*'|[A-Za-z]+|[^A-Za-z']+", pattern)
-    return "^" + "".join(
-        f"(?i:{part.strip(chr(39))})" if part.startswith("'") else _FIELD_SHAPES.get(part) or re.escape(part)
-        for part in parts
-    ) + "$"
-
+_LENIENT_FIELDS = _STRICT_FIELDS | {
+    "yyyy": r"([1-9]\d{3})", "MM": _SHORT_MONTH, "dd": _SHORT_DAY,
+    "HH": r"\d{1,2}", "hh": r"\d{1,2}", "mm": r"\d{1,2}", "ss": r"\d{1,2}",
+}
+_OPENING = r"(?=\d{1,2}[-/]\d|\d{4}[-/]\d|\d{1,2} [A-Za-z]{3} |[A-Za-z]{3,9} \d)"
+# Shortest and longest text of any layout; a length test is much cheaper than a regex.
+_STRICT_LENGTHS = (10, 21)
+_LENIENT_SHORTEST = 8
+_ROLES = {"yyyy": 0, "MMMM": 1, "MMM": 1, "MM": 1, "dd": 2, "d": 2}
 
-def _shapes() -> dict[str, list[str]]:
-    grouped: dict[str, list[str]] = {}
-    for pattern in DATE_PATTERNS:
-        grouped.setdefault(shape_regex(pattern), []).append(pattern)
-    return grouped
 
+def _rewrite_rule(patterns: tuple[str, ...], lenient: bool) -> tuple[str, str]:
+    """One regex for all patterns, earlier ones preferred, and the replacement that turns a match into y-m-d.
 
-def _first_layout(c: Column, layouts) -> Column:
-    return F.coalesce(*[F.try_to_date(c, layout) for layout in layouts])
+    Groups of alternatives that did not match are empty, so the replacement just strings all of a kind together.
+    """
+    fields = _LENIENT_FIELDS if lenient else _STRICT_FIELDS
+    alternatives, groups, seen = [], ([], [], []), 0
+    for pattern in patterns:
+        regex = ""
+        for token in re.findall(r"'[^']*'|[A-Za-z]+|[^A-Za-z']", pattern):
+            regex += f"(?i:{token[1]})" if token.startswith("'") else fields.get(token) or re.escape(token)
+            if token in _ROLES:
+                seen += 1
+                groups[_ROLES[token]].append(f"${seen}")
+        alternatives.append(regex)
+    ending = r"(?!\d).*\z" if lenient else r"\z"
+    replacement = "-".join("".join(g) for g in groups)
+    # The look-ahead turns away what opens like no date before any layout is tried.
+    return f"(?s)^{_OPENING}(?:{'|'.join(alternatives)}){ending}", replacement
+
+
+_NAMED = tuple(p for p in DATE_PATTERNS if "MMM" in p)
+_NUMERIC = tuple(p for p in DATE_PATTERNS if "MMM" not in p)
 
 
 def parse_date(c: Column, lenient: bool = False) -> Column:
     """Date of a text in the first layout that fits it, else null.
 
-    Slash dates are read day first without a time and month first with one.
+    Slash dates are read day first without a time and month first with one.  ``lenient`` also accepts one-digit fields
+    and any text after the date, but no years before 1000.
     """
-    # No two shapes fit the same text, so trying them group by group keeps the order of the list.
-    parsed = None
-    for shape, layouts in _shapes().items():
-        parsed = (F if parsed is None else parsed).when(c.rlike(shape), _first_layout(c, layouts))
-    opening = _OPENS_LIKE_A_DATE
-    if lenient:
-        opening = _OPENS_LENIENTLY
-        loose = None
-        for prefix, layouts in LENIENT_PREFIXES:
-            loose = (F if loose is None else loose).when(
-                c.rlike(prefix), _first_layout(F.regexp_extract(c, prefix, 0), layouts)
-            )
-        parsed = F.coalesce(parsed, loose)
-    return F.when(c.rlike(opening), parsed)
+    # A field out of range rules its layout out within the regex, so 01/25/2024 moves on to month first; a date that
+    # no calendar has, such as 30/02/2024, cannot be right in the other order either.
+    numeric, numeric_iso = _rewrite_rule(_NUMERIC, lenient)
+    named, named_iso = _rewrite_rule(_NAMED, lenient)
+    parsed = (
+        F.when(c.rlike(numeric), F.regexp_replace(c, numeric, numeric_iso).try_cast("date"))
+        .when(c.rlike(named), F.try_to_date(F.regexp_replace(c, named, named_iso), "yyyy-MMM-d"))
+    )
+    length = F.length(c)
+    return F.when(length >= _LENIENT_SHORTEST if lenient else length.between(*_STRICT_LENGTHS), parsed)
 
 
 def to_date_column(c: Column, data_type: T.DataType, lenient: bool = False) -> Column:

@@ -4,23 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidyloom.config import AUTO_ID, ROW_SEQ, CleanConfig
 from tidyloom.functions.names import is_id_name
 from tidyloom.operators.columns import NUMERIC_TYPES, TEMPORAL_TYPES, data_columns, quoted
 from tidyloom.storage import materialize
 
-SKETCH_ERROR = 0.01
-# A sketch estimate further off than this is a ten-sigma event; closer calls are settled by an exact count.
-SKETCH_MARGIN = 10 * SKETCH_ERROR
+SKETCH_LG_K = 14
+# The sketch's standard error is below 1 %, so an estimate off by more than this is a ten-sigma event; closer calls are
+# settled by an exact count.
+SKETCH_MARGIN = 0.1
+SKETCH_GROUPS = 64
+
+
+def _sketchable(c: Column, data_type: T.DataType) -> Column:
+    return c if isinstance(data_type, (T.IntegerType, T.LongType, T.StringType)) else c.cast("string")
 
 
 class ColumnStats:
     """Row, value and distinct counts of a table, computed once and shared by all key and split rules.
 
-    One pass counts values and sketches distinct values for every column asked for.  An exact distinct count is a
+    One pass counts values and sketches distinct values for every column asked for; sketches are merged per group of
+    partitions first, so no single task merges those of all partitions.  An exact distinct count is a
     shuffle of that one column, reduced map-side, and runs only where a decision hangs on it.
     """
 
@@ -28,13 +36,21 @@ class ColumnStats:
         self._df = df
         self._exact: dict[str, int] = {}
         names = list(columns)
-        aggregates = [F.count(F.lit(1))]
-        for c in names:
-            aggregates += [F.count(F.col(quoted(c))), F.approx_count_distinct(F.col(quoted(c)), SKETCH_ERROR)]
-        row = df.agg(*aggregates).head()
-        self.rows: int = row[0]
-        self.non_null: dict[str, int] = dict(zip(names, row[1::2]))
-        self.estimate: dict[str, int] = dict(zip(names, row[2::2]))
+        parts, totals = [F.count(F.lit(1)).alias("n")], [F.sum("n")]
+        for i, c in enumerate(names):
+            value = F.col(f"v{i}")
+            parts += [F.count(value).alias(f"n{i}"), F.hll_sketch_agg(value, SKETCH_LG_K).alias(f"s{i}")]
+            totals += [F.sum(f"n{i}"), F.hll_sketch_estimate(F.hll_union_agg(F.col(f"s{i}")))]
+        row = (
+            df.select(
+                (F.spark_partition_id() % SKETCH_GROUPS).alias("__group"),
+                *[_sketchable(F.col(quoted(c)), df.schema[c].dataType).alias(f"v{i}") for i, c in enumerate(names)],
+            )
+            .groupBy("__group").agg(*parts).agg(*totals).head()
+        )
+        self.rows: int = row[0] or 0
+        self.non_null: dict[str, int] = dict(zip(names, (n or 0 for n in row[1::2])))
+        self.estimate: dict[str, int] = dict(zip(names, (e or 0 for e in row[2::2])))
 
     def distinct(self, column: str) -> int:
         if column not in self._exact:

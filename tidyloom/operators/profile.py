@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidyloom.config import CleanConfig
-from tidyloom.functions.casts import is_integral, is_number_text, to_double, to_long, to_text
+from tidyloom.functions.casts import is_integral, is_number_text, number_candidate, to_double, to_long, to_text
 from tidyloom.functions.dates import to_date_column
 from tidyloom.functions.names import name_has_token
-from tidyloom.functions.text import clean_text, strip_currency, title_case
+from tidyloom.functions.text import clean_text, title_case
 from tidyloom.operators.columns import TEMPORAL_TYPES, data_columns, quoted
 
 INT, FLOAT, DATE, STRING = "int", "float", "date", "string"
@@ -45,41 +45,40 @@ def cleaned_value(c: Column, data_type: T.DataType, config: CleanConfig) -> Colu
     return c
 
 
-def _evidence(c: Column, data_type: T.DataType, config: CleanConfig) -> tuple[Column, Column, Column]:
-    """Three expressions: is the value a number, is that number whole, does it hold a date."""
+def _evidence(v: Column, stripped: Column, number: Column, data_type: T.DataType, config: CleanConfig):
+    """Three flags per value: is it a number, is that number whole, does it hold a date."""
     no = F.lit(False)
     if isinstance(data_type, T.IntegralType):
-        return c.isNotNull(), F.lit(True), no
+        return v.isNotNull(), F.lit(True), no
     if isinstance(data_type, T.NumericType):
-        return c.isNotNull(), is_integral(c), no
+        return v.isNotNull(), is_integral(v), no
     if isinstance(data_type, TEMPORAL_TYPES):
-        return no, no, c.isNotNull()
+        return no, no, v.isNotNull()
     if isinstance(data_type, T.StringType):
-        stripped = strip_currency(c)
-        return (
-            is_number_text(stripped),
-            is_integral(stripped.try_cast("double")),
-            to_date_column(c, data_type, config.lenient_dates).isNotNull(),
-        )
+        whole = is_integral(stripped.try_cast("double"))
+        # No number is also a date, so numbers skip the date rules.
+        date = F.when(number, no).otherwise(to_date_column(v, data_type, config.lenient_dates).isNotNull())
+        return is_number_text(stripped), F.when(number, whole), date
     return no, no, no
 
 
 def _profile_chunk(df: DataFrame, columns: list[str], config: CleanConfig) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema}
-    prepared, metrics, rows = [], [F.count(F.lit(1)).alias("n")], []
+    # Each level names what the next one uses more than once, so that nothing is computed twice per value.
+    levels: list[list[Column]] = [[], [], [], []]
+    metrics, rows = [F.count(F.lit(1)).alias("n")], []
     for i, name in enumerate(columns):
-        raw = F.col(quoted(name))
-        number, whole, date = _evidence(F.col(f"v{i}"), types[name], config)
-        prepared += [raw.isNotNull().alias(f"p{i}"), cleaned_value(raw, types[name], config).alias(f"v{i}")]
-        metrics += [
-            F.count_if(F.col(f"p{i}")).alias(f"p{i}"),
-            F.count(F.col(f"v{i}")).alias(f"c{i}"),
-            F.count_if(number).alias(f"n{i}"),
-            F.coalesce(F.bool_and(F.when(number, whole)), F.lit(False)).alias(f"w{i}"),
-            F.count_if(date).alias(f"d{i}"),
-        ]
+        raw, p, v, s, n, w, d = F.col(quoted(name)), *(F.col(f"{x}{i}") for x in "pvsnwd")
+        is_text = isinstance(types[name], T.StringType)
+        number, whole, date = _evidence(v, s, n, types[name], config)
+        levels[0] += [raw.isNotNull().alias(f"p{i}"), cleaned_value(raw, types[name], config).alias(f"v{i}")]
+        levels[1] += [p, v, (number_candidate(v) if is_text else F.lit(None)).alias(f"s{i}")]
+        levels[2] += [p, v, s, number.alias(f"n{i}")]
+        levels[3] += [p, v.isNotNull().alias(f"c{i}"), n, whole.alias(f"w{i}"), date.alias(f"d{i}")]
+        metrics += [F.count_if(F.col(f"{x}{i}")).alias(f"{x}{i}") for x in "pcnd"]
+        metrics.append(F.coalesce(F.bool_and(F.when(n, w)), F.lit(False)).alias(f"w{i}"))
         c, n, d = F.col(f"c{i}"), F.col(f"n{i}"), F.col(f"d{i}")
-        forced = config.force_date_names and "date" in name and isinstance(types[name], T.StringType)
+        forced = config.force_date_names and "date" in name and is_text
         as_date = (d > 0) if forced else (F.try_divide(d, c) >= config.date_threshold)
         as_number = F.lit(False) if forced else (F.try_divide(n, c) >= config.numeric_threshold)
         inferred = (
@@ -93,7 +92,9 @@ def _profile_chunk(df: DataFrame, columns: list[str], config: CleanConfig) -> Da
             c.alias("non_null"), n.alias("numbers"), F.col(f"w{i}").alias("all_int"), d.alias("dates"),
             inferred.alias("inferred"),
         ))
-    return df.select(*prepared).agg(*metrics).select(F.inline(F.array(*rows)))
+    for level in levels:
+        df = df.select(*level)
+    return df.agg(*metrics).select(F.inline(F.array(*rows)))
 
 
 def profile_frame(df: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
@@ -119,9 +120,8 @@ def profile(df: DataFrame, config: CleanConfig = CleanConfig()) -> list[ColumnPr
     return [ColumnProfile(**{**p.__dict__, "inferred": sampled[p.column]}) for p in found]
 
 
-def typed_value(c: Column, data_type: T.DataType, name: str, inferred: str, config: CleanConfig) -> Column:
+def typed_value(value: Column, data_type: T.DataType, name: str, inferred: str, config: CleanConfig) -> Column:
     """Cleaned value in its inferred type."""
-    value = cleaned_value(c, data_type, config)
     if inferred == INT:
         return to_long(value, data_type)
     if inferred == FLOAT:
@@ -136,13 +136,19 @@ def typed_value(c: Column, data_type: T.DataType, name: str, inferred: str, conf
 
 
 def apply_types(df: DataFrame, profiles: list[ColumnProfile], config: CleanConfig = CleanConfig()) -> DataFrame:
-    """One projection that cleans and converts every profiled column; technical columns pass through."""
+    """Clean, then convert, every profiled column; technical columns pass through."""
     types = {f.name: f.dataType for f in df.schema}
     inferred = {p.column: p.inferred for p in profiles}
-    return df.select(*[
+    kept = [c for c in df.columns if c in inferred or c not in data_columns(df)]
+    # Two projections, so that a conversion that looks at its value several times does not clean it several times.
+    cleaned = df.select(*[
+        cleaned_value(F.col(quoted(c)), types[c], config).alias(c) if c in inferred else F.col(quoted(c))
+        for c in kept
+    ])
+    return cleaned.select(*[
         typed_value(F.col(quoted(c)), types[c], c, inferred[c], config).alias(c) if c in inferred
         else F.col(quoted(c))
-        for c in df.columns if c in inferred or c not in data_columns(df)
+        for c in kept
     ])
 
 

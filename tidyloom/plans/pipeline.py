@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.config import AUTO_ID, CleanConfig
-from tidyloom.operators.columns import dates_to_text, drop_technical, project_raw_columns
+from tidyloom.operators.columns import dates_to_text, drop_technical, project_raw_columns, quoted
 from tidyloom.operators.keys import column_stats, detect_key, sort_by_key
 from tidyloom.operators.split import split_tables
 from tidyloom.plans.clean import CleanReport, clean
@@ -62,21 +62,16 @@ def run_pipeline(
     key = detect_key(frame, config, stats)
     if raw_columns is not None:
         frame = project_raw_columns(frame, raw_columns, cleaned.names)
-        stats = column_stats(frame, config) if not stats.non_null.keys() >= set(frame.columns) else stats
     split = split_tables(frame, config, stats)
 
     full = split.full.drop(AUTO_ID) if split.id_column == AUTO_ID else split.full
     named = {"fulltable": full, "entity": split.entity, "metrics": split.metrics, "dimension": split.dimension}
-    order = key if sort_output else None
+    # Surrogate ids follow the row sequence, which is the key of a table without any id column.
+    order = AUTO_ID if key and split.id_column == AUTO_ID else key
 
     def finish(kind: str, table: DataFrame) -> DataFrame:
-        if order is not None and split.id_column == AUTO_ID:
-            # Surrogate ids follow the row sequence, and so the key order of a table without an id column.
-            source = split.full if kind == "fulltable" else table
-            table = source.orderBy(F.col(AUTO_ID)).select(*table.columns)
-        elif order is not None and order in frame.columns:
-            table = sort_by_key(split.full, order).select(*table.columns) if order not in table.columns \
-                else sort_by_key(table, order)
+        if sort_output:
+            table = sort_by_key(split.full, order).select(*[F.col(quoted(c)) for c in table.columns])
         table = drop_technical(table)
         return table if kind == "fulltable" else dates_to_text(table)
 

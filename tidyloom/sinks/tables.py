@@ -63,9 +63,9 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str] |
     df.write.format("jdbc").mode("overwrite").options(url=url, dbtable=table, **options).save()
 
 
-def write_catalog(df: DataFrame, table: str) -> None:
-    """Replace a catalog table."""
-    df.write.mode("overwrite").saveAsTable(table)
+def write_catalog(df: DataFrame, table: str, path: str | None = None) -> None:
+    """Replace a catalog table, kept at ``path`` if one is given."""
+    df.write.mode("overwrite").options(**({"path": path} if path else {})).saveAsTable(table)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
