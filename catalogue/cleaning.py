@@ -70,7 +70,7 @@ def impute_median(spark, sf_dir):
            CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE 'Unknown' END AS segment,
            CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'NaN' END AS label,
            CASE WHEN c_custkey % 4 > 0 THEN c_name END AS ref_name,
-           CASE WHEN c_custkey % 2 > 0 THEN 'true' ELSE 'Unknown' END AS flag
+           CASE WHEN c_custkey % 5 > 0 THEN 'true' ELSE 'Unknown' END AS flag
     FROM customer""")
 def impute_sentinel(spark, sf_dir):
     key = F.col("c_custkey")
@@ -79,7 +79,7 @@ def impute_sentinel(spark, sf_dir):
         F.when(key % 3 > 0, F.col("c_mktsegment")).alias("segment"),
         F.when(key % 3 == 0, F.col("c_name")).alias("label"),
         F.when(key % 4 > 0, F.col("c_name")).alias("ref_name"),
-        F.when(key % 2 > 0, F.lit(True)).alias("flag"),
+        F.when(key % 5 > 0, F.lit(True)).alias("flag"),
     ).withColumnRenamed("c_custkey", "custid"), CleanConfig()).withColumnRenamed("custid", "c_custkey")
 
 

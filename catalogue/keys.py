@@ -63,7 +63,7 @@ def surrogate(spark, sf_dir):
     SELECT o_orderkey, o_totalprice, count(*) OVER () AS rows FROM orders""")
 def sort_orders(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return sort_by_key(orders, detect_key(orders)).withColumn("rows", F.lit(orders.count()))
+    return sort_by_key(orders, detect_key(orders)).withColumn("rows", F.lit(orders.count()).cast("bigint"))
 
 
 _COLUMNS = ("p_name", "p_brand", "p_type", "label", "constant")
