@@ -8,6 +8,7 @@ throws, does the rest.
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,6 +64,7 @@ _LENIENT_SHORTEST = 8
 _ROLES = {"yyyy": 0, "MMMM": 1, "MMM": 1, "MM": 1, "dd": 2, "d": 2}
 
 
+@cache
 def _rewrite_rule(patterns: tuple[str, ...], lenient: bool) -> tuple[str, str]:
     """One regex for all patterns, earlier ones preferred, and the replacement that turns a match into y-m-d.
 

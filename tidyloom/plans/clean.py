@@ -58,7 +58,7 @@ def type_and_fill(df: DataFrame, config: CleanConfig) -> tuple[DataFrame, list[C
     kept = [p for p in profiles if p.column not in empty]
     typed = apply_types(df.drop(*empty), kept, config)
     known = {p.column: p.typed_non_null for p in kept} if config.scope == "full" else None
-    return impute(typed, config, rows if known else None, known), kept, empty
+    return impute(typed, config, rows if known else None, known), profiles, empty
 
 
 def clean(
@@ -76,18 +76,20 @@ def clean(
     frame = drop_noise_named(normalize_columns(df))
     filled, profiles, empty = type_and_fill(frame, config)
 
-    deduped = dedup_full(filled)
-    counts_in, counts_out = Observation(), Observation()
-    result = deduped.observe(counts_in, F.count(F.lit(1)).alias("n"))
-    if dedupe_subset:
-        result = dedup_subset(result, dedupe_subset)
-    cleaned = materialize(result, "cleaned", counts_out, n=F.count(F.lit(1)))
+    rows_in = max((p.rows for p in profiles), default=0)
+    if filled.columns:
+        counts_in, counts_out = Observation(), Observation()
+        result = dedup_full(filled).observe(counts_in, F.count(F.lit(1)).alias("n"))
+        if dedupe_subset:
+            result = dedup_subset(result, dedupe_subset)
+        cleaned = materialize(result, "cleaned", counts_out, n=F.count(F.lit(1)))
+        distinct_rows, rows_out = counts_in.get["n"], counts_out.get["n"]
+    else:
+        cleaned, distinct_rows, rows_out = filled, rows_in, rows_in
     if remove_outliers:
         cleaned = clamp_outliers(cleaned, config=config)
 
-    rows_in = profiles[0].rows if profiles else 0
-    distinct_rows, rows_out = counts_in.get["n"], counts_out.get["n"]
-    inferred = {p.column: p.inferred if rows_in else STRING for p in profiles}
+    inferred = {p.column: p.inferred if rows_in else STRING for p in profiles if p.column in cleaned.columns}
     report = CleanReport(
         rows_in=rows_in,
         rows_out=rows_out,
