@@ -260,3 +260,20 @@ def test_split_tables_share_surrogate_ids(spark):
     joined = split.entity.join(split.metrics, "auto_id")
     assert joined.filter("label = concat('v', cast(cast(amount / 2 as int) as string))").count() == 200
     assert joined.filter("auto_id = amount / 2 + 1").count() == 200
+
+
+def test_values_lost_in_the_cast_do_not_shift_the_median(spark):
+    df = spark.createDataFrame([(v,) for v in ["1", "2", "3", "9" * 40, "8" * 40, "NaN"]], "amount string")
+    typed, inferred = infer_types(df)
+    assert inferred == {"amount": "float"}
+    df = df.filter("amount != 'NaN'")
+    typed, inferred = infer_types(df)
+    assert inferred == {"amount": "int"}
+    assert sorted(r[0] for r in impute(typed, rows=5, non_null={}).collect()) == [1.0, 2.0, 2.0, 2.0, 3.0]
+
+
+def test_nan_is_no_value(spark):
+    df = spark.createDataFrame([(v,) for v in [1.0, 2.0, 3.0, math.nan, math.nan]], "v double")
+    for exact_rows in (1, 100):
+        assert exact_quantiles(df, {"v": [0.5, 1.0]}, exact_rows) == {"v": [2.0, 3.0]}
+    assert approx_quantiles(df, {"v": [0.5]}, 0.01) == {"v": [2.0]}

@@ -23,7 +23,7 @@ def fillable_columns(df: DataFrame, config: CleanConfig) -> tuple[list[str], lis
 
 
 def numeric_fills(
-    df: DataFrame, columns: list[str], config: CleanConfig, counts: dict[str, int] | None = None
+    df: DataFrame, columns: list[str], config: CleanConfig, at_most: int | None = None
 ) -> dict[str, float]:
     """Fill value per numeric column; a column without values gets none."""
     if not columns or config.numeric_impute == "none":
@@ -31,7 +31,7 @@ def numeric_fills(
     if config.numeric_impute == "mean":
         found = df.agg(*[F.avg(F.col(quoted(c))) for c in columns]).head()
     else:
-        medians = quantiles(df, {c: [0.5] for c in columns}, config.quantile_error, config.exact_rows, counts)
+        medians = quantiles(df, {c: [0.5] for c in columns}, config.quantile_error, config.exact_rows, at_most)
         found = [medians[c][0] for c in columns]
     return {c: float(v) for c, v in zip(columns, found) if v is not None}
 
@@ -69,7 +69,6 @@ def impute(
     if config.date_missing == "null":
         other = [c for c in other if not isinstance(df.schema[c].dataType, TEMPORAL_TYPES)]
     if rows is None or non_null is None:
-        counted = df.agg(F.count(F.lit(1)), *[F.count(F.col(quoted(c))) for c in numeric + other]).head()
-        rows, non_null = counted[0], dict(zip(numeric + other, counted[1:]))
-    counts = {c: non_null[c] for c in numeric}
-    return apply_fills(df, numeric_fills(df, numeric, config, counts), sentinel_fills(other, rows, non_null))
+        counted = df.agg(F.count(F.lit(1)), *[F.count(F.col(quoted(c))) for c in other]).head()
+        rows, non_null = counted[0], dict(zip(other, counted[1:]))
+    return apply_fills(df, numeric_fills(df, numeric, config, rows), sentinel_fills(other, rows, non_null))

@@ -31,9 +31,9 @@ class ColumnProfile:
     inferred: str
 
     @property
-    def typed_non_null(self) -> int:
-        """Values left once the column has its inferred type."""
-        return {INT: self.numbers, FLOAT: self.numbers, DATE: self.dates}.get(self.inferred, self.non_null)
+    def shown(self) -> int:
+        """Values left once a date or text column has its type."""
+        return self.dates if self.inferred == DATE else self.non_null
 
 
 def cleaned_value(c: Column, data_type: T.DataType, config: CleanConfig) -> Column:
@@ -125,7 +125,7 @@ def typed_value(value: Column, data_type: T.DataType, name: str, inferred: str,
     if inferred == INT:
         return to_long(value, data_type)
     if inferred == FLOAT:
-        return to_double(value, data_type)
+        return F.nullif(to_double(value, data_type), F.lit(float("nan")))
     if inferred == DATE:
         return to_date_column(value, data_type, config.lenient_dates)
     if config.force_date_names and "date" in name and isinstance(data_type, T.StringType):

@@ -15,6 +15,7 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidyloom.operators.columns import quoted
 
@@ -27,12 +28,15 @@ Quantiles = dict[str, list[float | None]]
 
 @dataclass
 class _Search:
-    """One wanted quantile: ``rank`` (from 1) among the ``inside`` values strictly between ``low`` and ``high``."""
+    """One wanted quantile among the values strictly between ``low`` and ``high``.
+
+    ``rank`` counts from 1 within the ``inside`` values left; both are unknown before the first count.
+    """
 
     column: str
     probability: float
-    rank: int = 0
-    inside: int = 0
+    rank: int | None = None
+    inside: int | None = None
     low: float | None = None
     high: float | None = None
     answer: float | None = None
@@ -46,9 +50,13 @@ class _Search:
             within = within & (c < F.lit(self.high))
         return F.when(within, c)
 
+    @property
+    def share(self) -> float:
+        return self.probability if self.rank is None else (self.rank - 0.5) / self.inside
+
     @property
     def open(self) -> bool:
-        return self.answer is None and self.inside > 0
+        return self.answer is None and self.inside != 0
 
 
 def _batches(searches: list[_Search]):
@@ -56,22 +64,20 @@ def _batches(searches: list[_Search]):
         yield searches[start:start + COLUMNS_PER_JOB]
 
 
-def _bracket(df: DataFrame, searches: list[_Search]) -> list[tuple[float, float]]:
-    """Two data values per search that should enclose its rank.
+def _bracket(df: DataFrame, searches: list[_Search]) -> list[tuple[float | None, float | None]]:
+    """Two data values per search that should enclose its rank; None if it has no values.
 
     Sketches are built per group of partitions, so no single task merges them all.  A quantile of the whole lies
     between the smallest and the largest quantile of the groups.
     """
     margin = 2.0 / SKETCH_ACCURACY
-    aggregates = []
-    for s in searches:
-        centre = (s.rank - 0.5) / s.inside
-        around = [max(0.0, centre - margin), min(1.0, centre + margin)]
-        aggregates.append(F.percentile_approx(s.value(), around, SKETCH_ACCURACY))
-    columns = sorted({s.column for s in searches})
+    sketches = [
+        F.percentile_approx(s.value(), [max(0.0, s.share - margin), min(1.0, s.share + margin)], SKETCH_ACCURACY)
+        for s in searches
+    ]
     grouped = (
-        df.select(*[F.col(quoted(c)) for c in columns], (F.spark_partition_id() % SKETCH_GROUPS).alias("__group"))
-        .groupBy("__group").agg(*[a.alias(f"q{i}") for i, a in enumerate(aggregates)])
+        df.withColumn("__group", F.spark_partition_id() % SKETCH_GROUPS)
+        .groupBy("__group").agg(*[q.alias(f"q{i}") for i, q in enumerate(sketches)])
     )
     bounds = grouped.agg(*[
         F.struct(F.min(F.col(f"q{i}")[0]), F.max(F.col(f"q{i}")[1])) for i in range(len(searches))
@@ -79,68 +85,71 @@ def _bracket(df: DataFrame, searches: list[_Search]) -> list[tuple[float, float]
     return [(b[0], b[1]) for b in bounds]
 
 
-def _narrow(df: DataFrame, searches: list[_Search], brackets: list[tuple[float, float]]) -> None:
+def _narrow(df: DataFrame, searches: list[_Search], brackets: list[tuple[float | None, float | None]]) -> None:
     """Count around each bracket and keep the part that holds the rank."""
     counts = []
     for s, (low, high) in zip(searches, brackets):
-        v = s.value()
-        counts += [F.count_if(v < F.lit(low)), F.count_if(v == F.lit(low)),
-                   F.count_if((v > F.lit(low)) & (v < F.lit(high))), F.count_if(v == F.lit(high))]
+        v, low, high = s.value(), F.lit(low), F.lit(high)
+        counts += [F.count(v), F.count_if(v < low), F.count_if(v == low), F.count_if((v > low) & (v < high)),
+                   F.count_if(v == high)]
     row = df.agg(*counts).head()
     for i, (s, (low, high)) in enumerate(zip(searches, brackets)):
-        below, at_low, between, at_high = row[4 * i:4 * i + 4]
+        total, below, at_low, between, at_high = row[5 * i:5 * i + 5]
+        s.inside = total
+        if total == 0:
+            continue
+        if s.rank is None:
+            s.rank = max(1, math.ceil(Fraction(str(s.probability)) * total))
         if low == high:
             at_high = 0
+        passed = below + at_low + between + at_high
         if s.rank <= below:
             s.high, s.inside = low, below
         elif s.rank <= below + at_low:
             s.answer = low
         elif s.rank <= below + at_low + between:
             s.low, s.high, s.rank, s.inside = low, high, s.rank - below - at_low, between
-        elif s.rank <= below + at_low + between + at_high:
+        elif s.rank <= passed:
             s.answer = high
         else:
-            passed = below + at_low + between + at_high
-            s.low, s.rank, s.inside = high, s.rank - passed, s.inside - passed
+            s.low, s.rank, s.inside = high, s.rank - passed, total - passed
 
 
 def _pick(df: DataFrame, searches: list[_Search]) -> None:
     """Exact value of each search whose remaining values fit one task."""
     aggregates = [
-        F.expr(f"percentile_disc({(s.rank - 0.5) / s.inside!r}) WITHIN GROUP (ORDER BY v{i})")
-        for i, s in enumerate(searches)
+        F.expr(f"percentile_disc({s.share!r}) WITHIN GROUP (ORDER BY v{i})") for i, s in enumerate(searches)
     ]
     row = df.select(*[s.value().alias(f"v{i}") for i, s in enumerate(searches)]).agg(*aggregates).head()
     for s, answer in zip(searches, row):
-        s.answer = answer
+        s.answer, s.inside = answer, 0
+
+
+def _values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns alone; NaN counts as no value."""
+    floating = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    return df.select(*[
+        (F.nullif(F.col(quoted(c)), F.lit(math.nan)) if c in floating else F.col(quoted(c))).alias(c) for c in columns
+    ])
 
 
 def exact_quantiles(
-    df: DataFrame,
-    probabilities: dict[str, list[float]],
-    exact_rows: int = 200_000,
-    counts: dict[str, int] | None = None,
+    df: DataFrame, probabilities: dict[str, list[float]], exact_rows: int = 200_000, at_most: int | None = None
 ) -> Quantiles:
     """Lower quantiles, always values of the data; None for a column without values.
 
-    ``counts`` may give known non-null counts and saves one aggregate.
+    If the caller knows that the frame has at most ``exact_rows`` rows, one aggregate does.
     """
-    if not probabilities:
-        return {}
-    names = list(probabilities)
-    if counts is None:
-        row = df.agg(*[F.count(F.col(quoted(c))) for c in names]).head()
-        counts = dict(zip(names, row))
-    searches = [
-        _Search(c, p, rank=max(1, math.ceil(Fraction(str(p)) * counts[c])), inside=counts[c])
-        for c in names for p in probabilities[c]
-    ]
+    df = _values(df, list(probabilities))
+    searches = [_Search(c, p) for c, ps in probabilities.items() for p in ps]
+    small = at_most is not None and at_most <= exact_rows
     while any(s.open for s in searches):
-        for batch in _batches([s for s in searches if s.open and s.inside <= exact_rows]):
+        ready = [s for s in searches if s.open and (small or s.inside is not None and s.inside <= exact_rows)]
+        for batch in _batches(ready):
             _pick(df, batch)
         for batch in _batches([s for s in searches if s.open]):
             _narrow(df, batch, _bracket(df, batch))
-    result: Quantiles = {c: [] for c in names}
+    result: Quantiles = {c: [] for c in probabilities}
     for s in searches:
         result[s.column].append(None if s.answer is None else float(s.answer))
     return result
@@ -151,7 +160,7 @@ def approx_quantiles(df: DataFrame, probabilities: dict[str, list[float]], error
     if not probabilities:
         return {}
     accuracy = math.ceil(1 / error)
-    row = df.agg(*[
+    row = _values(df, list(probabilities)).agg(*[
         F.percentile_approx(F.col(quoted(c)), p, accuracy) for c, p in probabilities.items()
     ]).head()
     return {
@@ -165,8 +174,8 @@ def quantiles(
     probabilities: dict[str, list[float]],
     error: float = 0.0,
     exact_rows: int = 200_000,
-    counts: dict[str, int] | None = None,
+    at_most: int | None = None,
 ) -> Quantiles:
     if error > 0:
         return approx_quantiles(df, probabilities, error)
-    return exact_quantiles(df, probabilities, exact_rows, counts)
+    return exact_quantiles(df, probabilities, exact_rows, at_most)
