@@ -57,8 +57,12 @@ def test_csv_payloads_match_a_csv_reader(spark):
 
 
 def test_csv_payloads_need_one_header(spark):
-    with pytest.raises(ValueError, match="one header"):
-        scan_csv_payload(payload_frame(spark, "a,b\n1,2\n", "a,c\n1,2\n"))
+    with pytest.raises(Exception, match="one header"):
+        scan_csv_payload(payload_frame(spark, "a,b\n1,2\n", "a,c\n1,2\n")).collect()
+    with pytest.raises(Exception, match="one header"):
+        scan_csv_payload(payload_frame(spark, "a,b\n1,2\n", 'a,c\n1" ,2\n')).collect()
+    with pytest.raises(ValueError, match="no payload"):
+        scan_csv_payload(payload_frame(spark, " ", ""))
 
 
 def test_broken_utf8_is_replaced(spark):

@@ -28,6 +28,8 @@ class CleanConfig:
     ``lenient_dates``    also accept one-digit day/month fields and text after the date.
     ``force_date_names`` parse every text column whose name holds "date", whatever its content.
     ``date_missing``     ``"sentinel"`` renders dates as text and fills gaps, ``"null"`` keeps the date type.
+    ``stage_input``      True writes the input to a table first, False never does; None does so where the input comes
+                         in too few pieces to use the cluster.
     ``columns_per_job``  how many columns share one aggregate; wider tables take several.
     """
 
@@ -49,6 +51,7 @@ class CleanConfig:
     relaxed_non_null: float = 0.95
     relaxed_distinct: float = 0.9
     entity_columns: int = 3
+    stage_input: bool | None = None
     columns_per_job: int = 100
 
     def __post_init__(self) -> None:

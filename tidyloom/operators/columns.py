@@ -90,6 +90,12 @@ def all_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(quoted(c)).cast("string").alias(c) for c in df.columns])
 
 
+def typed_voids(df: DataFrame) -> DataFrame:
+    """Columns of nulls without a type become text, so that they can be stored."""
+    voids = {f.name: F.col(quoted(f.name)).cast("string") for f in df.schema if isinstance(f.dataType, T.NullType)}
+    return df.withColumns(voids) if voids else df
+
+
 def tag_rows(df: DataFrame) -> DataFrame:
     """Add the row sequence that later decides which duplicate survives."""
     return df if ROW_SEQ in df.columns else df.withColumn(ROW_SEQ, F.monotonically_increasing_id())

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidyloom.functions.names import unique_names
 from tidyloom.operators.columns import normalize_columns, quoted
+from tidyloom.storage import stage
 
 # Where an object may keep its records, in order of preference.
 RECORD_KEYS = ("data", "results", "items", "rows", "records", "response")
@@ -245,5 +246,7 @@ def flatten_json(
     ``document_order`` puts columns in the order keys appear in the text, at the price of one more pass; otherwise
     they come by name.
     """
+    keep = list(keep)
+    df = stage(df.select(*[F.col(quoted(c)) for c in [*keep, column]]))
     order = document_key_order(df, column) if document_order else ()
     return normalize_columns(flatten_records(records(df, column, keep), keep=keep, key_order=order))

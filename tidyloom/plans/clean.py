@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidyloom.config import CleanConfig
-from tidyloom.operators.columns import data_columns, drop_noise_named, name_mapping, normalize_columns
+from tidyloom.operators.columns import (
+    data_columns,
+    drop_noise_named,
+    name_mapping,
+    normalize_columns,
+    typed_voids,
+)
 from tidyloom.operators.dedup import dedup_full, dedup_subset
 from tidyloom.operators.impute import impute
 from tidyloom.operators.outliers import clamp_outliers
 from tidyloom.operators.profile import STRING, ColumnProfile, apply_types, profile
-from tidyloom.storage import materialize
+from tidyloom.storage import materialize, stage
 
 
 @dataclass(frozen=True)
@@ -73,7 +79,9 @@ def clean(
     Row counts are observed during that write.
     """
     names = dict(name_mapping(df.columns))
-    frame = drop_noise_named(normalize_columns(df))
+    frame = typed_voids(drop_noise_named(normalize_columns(df)))
+    if config.stage_input is not False:
+        frame = stage(frame, always=bool(config.stage_input))
     filled, profiles, empty = type_and_fill(frame, config)
 
     rows_in = max((p.rows for p in profiles), default=0)

@@ -20,6 +20,7 @@ from tidyloom.config import ROW_SEQ
 from tidyloom.functions.names import file_format, unique_names
 from tidyloom.operators.columns import quoted, tag_rows
 from tidyloom.operators.nested import flatten_json
+from tidyloom.storage import stage
 
 _BREAK = "\u001e"
 _CSV_OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
@@ -63,59 +64,56 @@ def _python_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield out.assign(__pos=range(len(found)), __fields=found)
 
 
-def _header(record: str) -> list[str]:
-    names = next(csv.reader(io.StringIO(record, newline="")))
-    return unique_names([name if name.strip() else f"Unnamed: {i}" for i, name in enumerate(names)])
+def _column_names(header: list[str]) -> list[str]:
+    return unique_names([name if name.strip() else f"Unnamed: {i}" for i, name in enumerate(header)])
+
+
+def _without_header(rows: DataFrame, is_header: Column) -> DataFrame:
+    """Drop the first record of each payload, which must be the header."""
+    foreign = F.raise_error(F.lit("payloads must share one header")).cast("boolean")
+    return rows.filter(F.when(F.col("__pos") > 0, True).when(is_header, False).otherwise(foreign))
 
 
 def scan_csv_payload(df: DataFrame, content: str = "file_content", keep: Iterable[str] = ()) -> DataFrame:
     """Rows of CSV payloads that share one header, all columns text, plus the ``keep`` columns of their payload.
 
-    Each payload is parsed where it lies; the driver sees nothing but the header.
+    Each payload is parsed where it lies.  The driver sees one header; that all others equal it is checked while the
+    rows are read, and a foreign one is an error.
     """
     keep = list(keep)
     kept = [F.col(quoted(c)) for c in keep]
+    df = stage(df.select(*kept, F.col(quoted(content))))
     text = payload_text(F.col(quoted(content)), df.schema[content].dataType)
     texts = df.select(*kept, text.alias("__text")).filter(F.trim("__text") != "")
     parts = texts.select(*kept, "__text", F.split("__text", '"').alias("__parts"))
-    regular = (
-        parts.filter(_regular(F.col("__parts")))
-        .select(*kept, F.posexplode(F.filter(split_records(F.col("__parts")), lambda r: F.trim(r) != ""))
-                .alias("__pos", "__line"))
+    regular = parts.filter(_regular(F.col("__parts"))).select(
+        *kept,
+        F.posexplode(F.filter(split_records(F.col("__parts")), lambda r: F.trim(r) != "")).alias("__pos", "__line"),
     )
-    odd_types = T.StructType(
+    record = T.StructType(
         [df.schema[c] for c in keep]
         + [T.StructField("__pos", T.IntegerType()), T.StructField("__fields", T.ArrayType(T.StringType()))]
     )
-    irregular = parts.filter(~_regular(F.col("__parts"))).select(*kept, "__text").mapInPandas(
-        _python_records, odd_types
-    )
-
-    firsts = (
-        regular.filter("__pos = 0").select(F.col("__line").alias("line"), F.lit(None).cast("array<string>").alias("f"))
-        .unionByName(irregular.filter("__pos = 0").select(F.lit(None).cast("string").alias("line"),
-                                                          F.col("__fields").alias("f")))
-    )
-    headers = set()
-    for row in firsts.distinct().limit(100).collect():
-        fields = row["f"] if row["f"] is not None else None
-        headers.add(tuple(_header(row["line"])) if fields is None
-                    else tuple(unique_names([n if n.strip() else f"Unnamed: {i}" for i, n in enumerate(fields)])))
-    if len(headers) != 1:
-        raise ValueError(f"payloads must share one header, found {len(headers)}")
-    names = list(headers.pop())
-
-    columns = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    native = regular.filter("__pos > 0").select(
-        *kept, F.from_csv("__line", columns.simpleString()[len("struct<"):-1].replace(":", " "), _CSV_OPTIONS)
-        .alias("__row")
-    ).select(*kept, *[F.col(f"__row.c{i}").alias(f"c{i}") for i in range(len(names))])
-    python = irregular.filter("__pos > 0").select(
-        *kept, *[F.get("__fields", F.lit(i)).alias(f"c{i}") for i in range(len(names))]
+    irregular = parts.filter(~_regular(F.col("__parts"))).select(*kept, "__text").mapInPandas(_python_records, record)
+
+    found = regular.filter("__pos = 0").select("__line").head()
+    line = found["__line"] if found else None
+    header = next(csv.reader(io.StringIO(line, newline=""))) if found else None
+    if header is None:
+        found = irregular.filter("__pos = 0").select("__fields").head()
+        if found is None:
+            raise ValueError("no payload has any content")
+        header = list(found["__fields"])
+    names = [f"c{i}" for i in range(len(header))]
+
+    native = _without_header(regular, F.col("__line") == F.lit(line)).select(
+        *kept, F.from_csv("__line", ", ".join(f"{n} string" for n in names), _CSV_OPTIONS).alias("__row")
+    ).select(*kept, *[F.col(f"__row.{n}").alias(n) for n in names])
+    python = _without_header(irregular, F.col("__fields") == F.array(*[F.lit(h) for h in header])).select(
+        *kept, *[F.get("__fields", F.lit(i)).alias(n) for i, n in enumerate(names)]
     )
-    rows = native.unionByName(python)
-    values = rows.select(*kept, *[F.nullif(F.col(f"c{i}"), F.lit("")).alias(f"c{i}") for i in range(len(names))])
-    return tag_rows(values.toDF(*keep, *names))
+    values = native.unionByName(python).select(*kept, *[F.nullif(F.col(n), F.lit("")).alias(n) for n in names])
+    return tag_rows(values.toDF(*keep, *_column_names(header)))
 
 
 def scan_payload(df: DataFrame, file_name: str, content: str = "file_content") -> DataFrame:

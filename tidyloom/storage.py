@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
+BYTES_PER_PIECE = 512 * 1024
+
 _local_roots: dict[str, str] = {}
 
 
@@ -40,3 +42,25 @@ def materialize(df: DataFrame, label: str, observation: Observation | None = Non
     out = df.observe(observation, *[c.alias(n) for n, c in metrics.items()]) if observation else df
     out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _pieces(df: DataFrame) -> tuple[int, int]:
+    """How many partitions a frame has, and into how many its estimated size could usefully be cut."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.rdd.getNumPartitions(), min(cores, size // BYTES_PER_PIECE)
+
+
+def stage(df: DataFrame, always: bool = False) -> DataFrame:
+    """Write an input that leaves cores idle once, spread over all of them, and return that table.
+
+    A file that cannot be split is one task however large the cluster is, in each pass over it again.  An input with
+    enough partitions is left as it is, unless ``always`` asks for a table because the input is slow to read; even then
+    it is not shuffled.
+    """
+    if not df.columns or any(kind in f.dataType.simpleString() for f in df.schema for kind in ("void", "interval")):
+        return df
+    partitions, useful = _pieces(df)
+    if useful >= 2 * partitions:
+        return materialize(df.repartition(useful), "staged")
+    return materialize(df, "staged") if always else df
