@@ -10,7 +10,7 @@ from tidyloom.functions.text import strip_currency
 
 # Fixed value: texts that count as a number once separators and currency signs are gone.
 NUMBER_GRAMMAR = r"^([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i:[+-]?(inf|infinity|nan)))$"
-_NUMBER_OPENINGS = tuple("+-.0123456789iInN,₹$€£ ")
+_NUMBER_OPENINGS = "+-.0123456789iInN,₹$€£ "
 
 
 def number_candidate(c: Column) -> Column:
@@ -18,7 +18,7 @@ def number_candidate(c: Column) -> Column:
 
     Looking at one character spares plain words both regexes.
     """
-    return F.when(F.substring(c, 1, 1).isin(*_NUMBER_OPENINGS), strip_currency(c))
+    return F.when(F.contains(F.lit(_NUMBER_OPENINGS), F.substring(c, 1, 1)), strip_currency(c))
 
 
 def is_number_text(candidate: Column) -> Column:

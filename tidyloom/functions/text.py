@@ -35,14 +35,24 @@ def collapse_whitespace(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", " ")
 
 
-def clean_text(c: Column, tokens: Iterable[str] = NA_TOKENS) -> Column:
-    """Control characters, trim, quotes, null tokens and whitespace runs, in this order.
+def bare_text(c: Column) -> Column:
+    """First step of text cleaning: no control characters, no outer spaces."""
+    return F.trim(strip_control_chars(c))
+
+
+def settle_text(c: Column, tokens: Iterable[str] = NA_TOKENS) -> Column:
+    """Last step: null tokens, then whitespace runs.
 
-    Once control characters are gone the only whitespace left is the space, so the last step is needed only where two
-    spaces meet.
+    Once control characters are gone the only whitespace left is the space, so only texts in which two spaces meet pay
+    for the regex.
     """
-    bare = null_tokens(unquote(F.trim(strip_control_chars(c))), tokens)
-    return F.when(F.contains(bare, F.lit("  ")), F.regexp_replace(bare, " {2,}", " ")).otherwise(bare)
+    single = F.when(F.contains(c, F.lit("  ")), F.regexp_replace(c, " {2,}", " ")).otherwise(c)
+    return F.when(~c.isin(*tokens), single)
+
+
+def clean_text(c: Column, tokens: Iterable[str] = NA_TOKENS) -> Column:
+    """Control characters, trim, quotes, null tokens and whitespace runs, in this order."""
+    return settle_text(unquote(bare_text(c)), tokens)
 
 
 def title_case(c: Column) -> Column:

@@ -13,7 +13,7 @@ from tidyloom.config import CleanConfig
 from tidyloom.functions.casts import is_integral, is_number_text, number_candidate, to_double, to_long, to_text
 from tidyloom.functions.dates import to_date_column
 from tidyloom.functions.names import name_has_token
-from tidyloom.functions.text import clean_text, title_case
+from tidyloom.functions.text import bare_text, clean_text, settle_text, title_case, unquote
 from tidyloom.operators.columns import TEMPORAL_TYPES, data_columns, quoted
 
 INT, FLOAT, DATE, STRING = "int", "float", "date", "string"
@@ -36,13 +36,23 @@ class ColumnProfile:
         return self.dates if self.inferred == DATE else self.non_null
 
 
-def cleaned_value(c: Column, data_type: T.DataType, config: CleanConfig) -> Column:
-    """A value before typing: text is cleaned, NaN is no value, everything else stays."""
-    if isinstance(data_type, T.StringType):
-        return clean_text(c, config.na_tokens)
-    if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(c), c)
-    return c
+def clean_values(df: DataFrame, columns: list[str], config: CleanConfig) -> DataFrame:
+    """Values before typing: text is cleaned, NaN is no value, everything else stays.
+
+    Each step is a projection of its own: the next one looks at a value several times, and must not compute it anew.
+    """
+    steps = {
+        T.StringType: (bare_text, unquote, lambda c: settle_text(c, config.na_tokens)),
+        T.FloatType: (lambda c: F.when(~F.isnan(c), c),),
+        T.DoubleType: (lambda c: F.when(~F.isnan(c), c),),
+    }
+    wanted = {f.name: steps.get(type(f.dataType), ()) for f in df.schema if f.name in columns}
+    for i in range(max(map(len, wanted.values()), default=0)):
+        df = df.select(*[
+            wanted[c][i](F.col(quoted(c))).alias(c) if i < len(wanted.get(c, ())) else F.col(quoted(c))
+            for c in df.columns
+        ])
+    return df
 
 
 def _evidence(v: Column, stripped: Column, number: Column, data_type: T.DataType, config: CleanConfig):
@@ -62,39 +72,43 @@ def _evidence(v: Column, stripped: Column, number: Column, data_type: T.DataType
     return no, no, no
 
 
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _profile_chunk(df: DataFrame, columns: list[str], config: CleanConfig) -> DataFrame:
-    types = {f.name: f.dataType for f in df.schema}
-    # Each level names what the next one uses more than once, so that nothing is computed twice per value.
-    levels: list[list[Column]] = [[], [], [], []]
-    metrics, rows = [F.count(F.lit(1)).alias("n")], []
+    """Profile of some columns.  Column ``i`` has, per value and then as counts: p present as delivered, c present
+    after cleaning, n number, w whole number, d date; v is the value and s its text stripped for number tests."""
+    types = [df.schema[c].dataType for c in columns]
+    at = range(len(columns))
+    df = df.selectExpr(*[f"{quoted(c)} IS NOT NULL AS p{i}" for i, c in enumerate(columns)],
+                       *[f"{quoted(c)} AS v{i}" for i, c in enumerate(columns)])
+    df = clean_values(df, [f"v{i}" for i in at], config)
+    # Each projection names what the next one uses more than once, so that nothing is computed twice per value.
+    evidence = [_evidence(F.col(f"v{i}"), F.col(f"s{i}"), F.col(f"n{i}"), types[i], config) for i in at]
+    texts = [i for i in at if isinstance(types[i], T.StringType)]
+    df = df.select("*", *[number_candidate(F.col(f"v{i}")).alias(f"s{i}") for i in texts])
+    df = df.select("*", *[number.alias(f"n{i}") for i, (number, _, _) in enumerate(evidence)])
+    df = df.select(
+        *[f"p{i}" for i in at], *[f"n{i}" for i in at], *[F.col(f"v{i}").isNotNull().alias(f"c{i}") for i in at],
+        *[whole.alias(f"w{i}") for i, (_, whole, _) in enumerate(evidence)],
+        *[date.alias(f"d{i}") for i, (_, _, date) in enumerate(evidence)],
+    )
+    metrics = [F.expr(f"count_if({x}{i}) AS {x}{i}") for i in at for x in "pcnd"]
+    metrics += [F.expr(f"coalesce(bool_and(CASE WHEN n{i} THEN w{i} END), false) AS w{i}") for i in at]
+    described = []
     for i, name in enumerate(columns):
-        raw, p, v, s, n, w, d = F.col(quoted(name)), *(F.col(f"{x}{i}") for x in "pvsnwd")
-        is_text = isinstance(types[name], T.StringType)
-        number, whole, date = _evidence(v, s, n, types[name], config)
-        levels[0] += [raw.isNotNull().alias(f"p{i}"), cleaned_value(raw, types[name], config).alias(f"v{i}")]
-        levels[1] += [p, v, (number_candidate(v) if is_text else F.lit(None)).alias(f"s{i}")]
-        levels[2] += [p, v, s, number.alias(f"n{i}")]
-        levels[3] += [p, v.isNotNull().alias(f"c{i}"), n, whole.alias(f"w{i}"), date.alias(f"d{i}")]
-        metrics += [F.count_if(F.col(f"{x}{i}")).alias(f"{x}{i}") for x in "pcnd"]
-        metrics.append(F.coalesce(F.bool_and(F.when(n, w)), F.lit(False)).alias(f"w{i}"))
-        c, n, d = F.col(f"c{i}"), F.col(f"n{i}"), F.col(f"d{i}")
-        forced = config.force_date_names and "date" in name and is_text
-        as_date = (d > 0) if forced else (F.try_divide(d, c) >= config.date_threshold)
-        as_number = F.lit(False) if forced else (F.try_divide(n, c) >= config.numeric_threshold)
-        inferred = (
-            F.when(c == 0, STRING)
-            .when(as_number, F.when(F.col(f"w{i}"), INT).otherwise(FLOAT))
-            .when(as_date, DATE)
-            .otherwise(STRING)
+        forced = config.force_date_names and "date" in name and i in texts
+        as_number = "false" if forced else f"try_divide(n{i}, c{i}) >= {config.numeric_threshold}D"
+        as_date = f"d{i} > 0" if forced else f"try_divide(d{i}, c{i}) >= {config.date_threshold}D"
+        described.append(
+            f"struct({_sql_text(name)} AS column, n AS rows, p{i} AS present, c{i} AS non_null, n{i} AS numbers, "
+            f"w{i} AS all_int, d{i} AS dates, CASE WHEN c{i} = 0 THEN '{STRING}' "
+            f"WHEN {as_number} THEN IF(w{i}, '{INT}', '{FLOAT}') WHEN {as_date} THEN '{DATE}' ELSE '{STRING}' END "
+            "AS inferred)"
         )
-        rows.append(F.struct(
-            F.lit(name).alias("column"), F.col("n").alias("rows"), F.col(f"p{i}").alias("present"),
-            c.alias("non_null"), n.alias("numbers"), F.col(f"w{i}").alias("all_int"), d.alias("dates"),
-            inferred.alias("inferred"),
-        ))
-    for level in levels:
-        df = df.select(*level)
-    return df.agg(*metrics).select(F.inline(F.array(*rows)))
+    counted = df.agg(F.count(F.lit(1)).alias("n"), *metrics)
+    return counted.selectExpr(f"inline(array({', '.join(described)}))")
 
 
 def profile_frame(df: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
@@ -140,12 +154,7 @@ def apply_types(df: DataFrame, profiles: list[ColumnProfile], config: CleanConfi
     types = {f.name: f.dataType for f in df.schema}
     inferred = {p.column: p.inferred for p in profiles}
     kept = [c for c in df.columns if c in inferred or c not in data_columns(df)]
-    # Two projections, so that a conversion that looks at its value several times does not clean it several times.
-    cleaned = df.select(*[
-        cleaned_value(F.col(quoted(c)), types[c], config).alias(c) if c in inferred else F.col(quoted(c))
-        for c in kept
-    ])
-    return cleaned.select(*[
+    return clean_values(df, list(inferred), config).select(*[
         typed_value(F.col(quoted(c)), types[c], c, inferred[c], config).alias(c) if c in inferred
         else F.col(quoted(c))
         for c in kept
