@@ -50,6 +50,12 @@ def infer(spark, sf_dir):
     return infer_types(_tidy_upload(spark, sf_dir))[0].drop(ROW_SEQ)
 
 
+@register("infer_types_sample", select_upload(UPLOAD_TYPED, UPLOAD_ROWS))
+def infer_sample(spark, sf_dir):
+    """Types decided from the first thousand rows, applied to all."""
+    return infer_types(_tidy_upload(spark, sf_dir), CleanConfig(scope="sample"))[0].drop(ROW_SEQ)
+
+
 @register("impute_median", """
     SELECT l_orderkey, l_linenumber * 1.0::DOUBLE AS l_linenumber,
            CASE WHEN l_linenumber = 2 THEN (SELECT quantile_disc(l_extendedprice, 0.5) FROM lineitem

@@ -3,8 +3,9 @@
 Exact quantiles use no sort and no shuffle of the data.  Each pass brackets the wanted rank with quantile sketches and
 counts exactly how many values lie below and inside the bracket, so a poor sketch can only cost another pass, never a
 wrong answer.  A bracket's two ends are settled by their own counts; values strictly between them go on.  When few
-enough remain, one aggregate picks the value.  With a rank error of 0.001 each pass keeps well under 1 % of the
-values, so 10^12 rows take about four scans of the numeric columns.
+enough remain, one aggregate picks the value.  A round keeps well under 1 % of the values; if that is still too many
+for one task, they are written to a table of their own and the next rounds read that.  However large the input, it is
+scanned three times at most per batch of columns, and nothing but these columns is read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidyloom.operators.columns import quoted
+from tidyloom.storage import materialize
 
 SKETCH_ACCURACY = 1000
 SKETCH_GROUPS = 64
@@ -125,6 +127,15 @@ def _pick(df: DataFrame, searches: list[_Search]) -> None:
         s.answer, s.inside = answer, 0
 
 
+def _survivors(df: DataFrame, searches: list[_Search]) -> DataFrame:
+    """Table of the values that are still in the running, one column per search."""
+    values = df.select(*[s.value().alias(f"v{i}") for i, s in enumerate(searches)])
+    left = materialize(values.filter(" OR ".join(f"v{i} IS NOT NULL" for i in range(len(searches)))), "quantiles")
+    for i, s in enumerate(searches):
+        s.column = f"v{i}"
+    return left
+
+
 def _values(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns alone; NaN counts as no value."""
     floating = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
@@ -141,18 +152,21 @@ def exact_quantiles(
     If the caller knows that the frame has at most ``exact_rows`` rows, one aggregate does.
     """
     df = _values(df, list(probabilities))
-    searches = [_Search(c, p) for c, ps in probabilities.items() for p in ps]
-    small = at_most is not None and at_most <= exact_rows
-    while any(s.open for s in searches):
-        ready = [s for s in searches if s.open and (small or s.inside is not None and s.inside <= exact_rows)]
-        for batch in _batches(ready):
+    searches = {c: [_Search(c, p) for p in ps] for c, ps in probabilities.items()}
+    active, first_round = [s for found in searches.values() for s in found], True
+    if at_most is not None and at_most <= exact_rows:
+        for batch in _batches(active):
             _pick(df, batch)
-        for batch in _batches([s for s in searches if s.open]):
+    while active := [s for s in active if s.open]:
+        for batch in _batches(active):
             _narrow(df, batch, _bracket(df, batch))
-    result: Quantiles = {c: [] for c in probabilities}
-    for s in searches:
-        result[s.column].append(None if s.answer is None else float(s.answer))
-    return result
+        active = [s for s in active if s.open]
+        if first_round and any(s.inside > exact_rows for s in active):
+            df = _survivors(df, active)
+        first_round = False
+        for batch in _batches([s for s in active if s.inside <= exact_rows]):
+            _pick(df, batch)
+    return {c: [None if s.answer is None else float(s.answer) for s in found] for c, found in searches.items()}
 
 
 def approx_quantiles(df: DataFrame, probabilities: dict[str, list[float]], error: float) -> Quantiles:

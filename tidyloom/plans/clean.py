@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tidyloom.config import CleanConfig
 from tidyloom.operators.columns import (
@@ -76,7 +75,6 @@ def clean(
     """Clean a dataset of unknown schema.
 
     The result is a written table: whoever reads it later sees the same rows, without paying for the cleaning again.
-    Row counts are observed during that write.
     """
     names = dict(name_mapping(df.columns))
     frame = typed_voids(drop_noise_named(normalize_columns(df)))
@@ -85,15 +83,14 @@ def clean(
     filled, profiles, empty = type_and_fill(frame, config)
 
     rows_in = max((p.rows for p in profiles), default=0)
+    cleaned, distinct_rows = filled, rows_in
     if filled.columns:
-        counts_in, counts_out = Observation(), Observation()
-        result = dedup_full(filled).observe(counts_in, F.count(F.lit(1)).alias("n"))
-        if dedupe_subset:
-            result = dedup_subset(result, dedupe_subset)
-        cleaned = materialize(result, "cleaned", counts_out, n=F.count(F.lit(1)))
-        distinct_rows, rows_out = counts_in.get["n"], counts_out.get["n"]
-    else:
-        cleaned, distinct_rows, rows_out = filled, rows_in, rows_in
+        cleaned = materialize(dedup_full(filled), "deduped")
+        distinct_rows = cleaned.count()
+    rows_out = distinct_rows
+    if dedupe_subset:
+        cleaned = materialize(dedup_subset(cleaned, dedupe_subset), "deduped_subset")
+        rows_out = cleaned.count()
     if remove_outliers:
         cleaned = clamp_outliers(cleaned, config=config)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 BYTES_PER_PIECE = 512 * 1024
 
@@ -35,12 +35,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{uuid.uuid4().hex}/{label}"
 
 
-def materialize(df: DataFrame, label: str, observation: Observation | None = None, **metrics) -> DataFrame:
-    """Write ``df`` as parquet and return the table read back; ``metrics`` are observed during the write."""
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as parquet and return the table read back.
+
+    Counting the result afterwards is cheap, it reads file footers only, and unlike metrics observed on the way it
+    cannot count a task twice that ran again after an executor was lost.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    out = df.observe(observation, *[c.alias(n) for n, c in metrics.items()]) if observation else df
-    out.write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,6 +64,6 @@ def stage(df: DataFrame, always: bool = False) -> DataFrame:
     if not df.columns or any(kind in f.dataType.simpleString() for f in df.schema for kind in ("void", "interval")):
         return df
     partitions, useful = _pieces(df)
-    if useful >= 2 * partitions:
+    if useful >= 2 * max(partitions, 1):
         return materialize(df.repartition(useful), "staged")
     return materialize(df, "staged") if always else df
