@@ -78,12 +78,12 @@ def find_records(doc: Column) -> Column:
     """Records of a parsed document, as an array.
 
     A list is its items.  An object gives the first of ``RECORD_KEYS`` that holds a list, or else is one record
-    itself, like any scalar.
+    itself, like any scalar.  Null without a document.
     """
     return F.coalesce(
         F.try_variant_get(doc, "$", _LIST),
         *[F.try_variant_get(doc, f"$.{key}", _LIST) for key in RECORD_KEYS],
-        F.array(doc),
+        F.when(doc.isNotNull(), F.array(doc)),
     )
 
 
@@ -101,7 +101,8 @@ def invalid_payloads(df: DataFrame, column: str) -> DataFrame:
 def records(df: DataFrame, column: str, keep: Iterable[str] = ()) -> DataFrame:
     """One row per record of every valid payload in ``column``: the ``keep`` columns and a variant ``__record``."""
     kept = [F.col(quoted(c)) for c in keep]
-    docs = df.select(*kept, F.try_parse_json(F.col(quoted(column))).alias("__doc")).filter("__doc IS NOT NULL")
+    # No filter on the parsed document: it would be pushed below the projection and parse every payload twice.
+    docs = df.select(*kept, F.try_parse_json(F.col(quoted(column))).alias("__doc"))
     items = docs.select(*kept, F.explode(find_records(F.col("__doc"))).alias("__record"))
     return items.select(*kept, wrap_scalar(F.col("__record")).alias("__record"))
 
@@ -221,15 +222,14 @@ def document_key_order(df: DataFrame, column: str) -> list[str]:
 
     One aggregate with a group per key; its result is as small as the schema.
     """
-    text = F.col(quoted(column))
-    doc = F.try_parse_json(text)
+    source, text, doc = F.col(quoted(column)), F.col("__text"), F.col("__doc")
     parts = [F.when(is_list(doc), text)] + [
         F.when(is_list(F.try_variant_get(doc, f"$.{key}", "variant")), F.get_json_object(text, f"$.{key}"))
         for key in RECORD_KEYS
     ]
-    items = F.coalesce(F.from_json(F.coalesce(*parts), "array<string>"), F.array(text))
+    items = F.coalesce(F.from_json(F.coalesce(*parts), "array<string>"), F.when(doc.isNotNull(), F.array(text)))
     keys = (
-        df.select(text.alias(column)).filter(doc.isNotNull())
+        df.select(source.alias("__text"), F.try_parse_json(source).alias("__doc"))
         .select(F.explode(items).alias("__item"))
         .select(F.monotonically_increasing_id().alias("__seq"), F.json_object_keys("__item").alias("__keys"))
         .select("__seq", F.posexplode("__keys").alias("__pos", "__key"))

@@ -22,7 +22,8 @@ from tidyloom.operators.columns import quoted, tag_rows
 from tidyloom.operators.nested import flatten_json
 from tidyloom.storage import stage
 
-_BREAK = "\u001e"
+# Two code points that Unicode guarantees never to be characters.
+_BREAK = "\uffff\ufffe"
 _CSV_OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
 
 
@@ -84,17 +85,19 @@ def scan_csv_payload(df: DataFrame, content: str = "file_content", keep: Iterabl
     kept = [F.col(quoted(c)) for c in keep]
     df = stage(df.select(*kept, F.col(quoted(content))))
     text = payload_text(F.col(quoted(content)), df.schema[content].dataType)
-    texts = df.select(*kept, text.alias("__text")).filter(F.trim("__text") != "")
-    parts = texts.select(*kept, "__text", F.split("__text", '"').alias("__parts"))
-    regular = parts.filter(_regular(F.col("__parts"))).select(
-        *kept,
-        F.posexplode(F.filter(split_records(F.col("__parts")), lambda r: F.trim(r) != "")).alias("__pos", "__line"),
-    )
+    parts = df.select(*kept, text.alias("__text")).select(*kept, "__text", F.split("__text", '"').alias("__parts"))
+    is_regular = _regular(F.col("__parts"))
+    # Which way a payload goes is decided by exploding nothing, not by a filter: a filter would be pushed below the
+    # projections and take every text apart again.
+    lines = F.filter(split_records(F.col("__parts")), lambda r: F.trim(r) != "")
+    regular = parts.select(*kept, F.posexplode(F.when(is_regular, lines)).alias("__pos", "__line"))
     record = T.StructType(
         [df.schema[c] for c in keep]
         + [T.StructField("__pos", T.IntegerType()), T.StructField("__fields", T.ArrayType(T.StringType()))]
     )
-    irregular = parts.filter(~_regular(F.col("__parts"))).select(*kept, "__text").mapInPandas(_python_records, record)
+    irregular = parts.select(
+        *kept, F.explode(F.when(~is_regular, F.array("__text"))).alias("__text")
+    ).mapInPandas(_python_records, record)
 
     found = regular.filter("__pos = 0").select("__line").head()
     line = found["__line"] if found else None
