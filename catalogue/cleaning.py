@@ -13,10 +13,11 @@ from tidyloom.operators.impute import impute
 from tidyloom.operators.outliers import clamp_outliers
 from tidyloom.operators.profile import infer_types, profile_frame
 from tidyloom.plans.clean import clean
+from tidyloom.storage import stage
 
 
 def _tidy_upload(spark, sf_dir):
-    return drop_empty_columns(drop_noise_named(normalize_columns(messy_orders(spark, sf_dir))))
+    return drop_empty_columns(stage(drop_noise_named(normalize_columns(messy_orders(spark, sf_dir)))))
 
 
 _PROFILE = """

@@ -10,6 +10,7 @@ from tidyloom.functions.text import strip_currency
 
 # Fixed value: texts that count as a number once separators and currency signs are gone.
 NUMBER_GRAMMAR = r"^([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i:[+-]?(inf|infinity|nan)))$"
+DIGITS_ONLY = r"^\s*[+-]?[0-9]+\s*$"
 _NUMBER_OPENINGS = "+-.0123456789iInN,₹$€£ "
 
 
@@ -35,7 +36,10 @@ def to_long(c: Column, data_type: T.DataType = T.StringType()) -> Column:
     if isinstance(data_type, T.NumericType):
         return c.try_cast("bigint")
     text = strip_currency(c.cast("string"))
-    return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
+    # A failing cast to bigint throws inside and costs far more than this test.
+    return F.when(text.rlike(DIGITS_ONLY), text.try_cast("bigint")).otherwise(
+        text.try_cast("double").try_cast("bigint")
+    )
 
 
 def to_double(c: Column, data_type: T.DataType = T.StringType()) -> Column:

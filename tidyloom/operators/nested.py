@@ -98,13 +98,12 @@ def invalid_payloads(df: DataFrame, column: str) -> DataFrame:
     return df.filter(c.isNotNull() & F.try_parse_json(c).isNull())
 
 
-def records(df: DataFrame, column: str, keep: Iterable[str] = ()) -> DataFrame:
+def record_items(df: DataFrame, column: str, keep: Iterable[str] = ()) -> DataFrame:
     """One row per record of every valid payload in ``column``: the ``keep`` columns and a variant ``__record``."""
     kept = [F.col(quoted(c)) for c in keep]
     # No filter on the parsed document: it would be pushed below the projection and parse every payload twice.
     docs = df.select(*kept, F.try_parse_json(F.col(quoted(column))).alias("__doc"))
-    items = docs.select(*kept, F.explode(find_records(F.col("__doc"))).alias("__record"))
-    return items.select(*kept, wrap_scalar(F.col("__record")).alias("__record"))
+    return docs.select(*kept, F.explode(find_records(F.col("__doc"))).alias("__record"))
 
 
 def _spark_type(described: str) -> T.DataType:
@@ -186,11 +185,16 @@ def _settle_mixed(df: DataFrame, field: _Field, place: str) -> tuple[DataFrame,
 def flatten_records(
     df: DataFrame, column: str = "__record", keep: Iterable[str] = (), key_order: Iterable[str] = ()
 ) -> DataFrame:
-    """Flat rows of a column of variant objects: objects to columns, lists to rows, sibling lists combined.
+    """Flat rows of a column of variant records: objects to columns, lists to rows, sibling lists combined.
 
     ``key_order`` lists top-level keys in the order their columns should come; the rest follow by name.
     """
-    keep = list(keep)
+    keep, record = list(keep), F.col(quoted(column))
+    shape = variant_type(df, record)
+    if not isinstance(shape, T.StructType):
+        # Some records are no objects; looking into each of them is needed only then.
+        df = df.select(*[F.col(quoted(c)) for c in keep], wrap_scalar(record).alias(column))
+        shape = variant_type(df, record)
 
     def project(frame: DataFrame, found: list[_Field]) -> tuple[DataFrame, list[_Field]]:
         # Columns go by number until the end: JSON keys may differ in case alone.
@@ -199,8 +203,6 @@ def flatten_records(
         )
         return frame, [_Field(f.name, F.col(f"__f{i}"), f.type) for i, f in enumerate(found)]
 
-    record = F.col(quoted(column))
-    shape = variant_type(df, record)
     rank = {key: i for i, key in enumerate(key_order)}
     top = sorted(shape if isinstance(shape, T.StructType) else [], key=lambda f: rank.get(f.name, len(rank)))
     df, fields = project(df, [x for f in top for x in _fields(_member(record, f.name), f.name, f.dataType)])
@@ -220,7 +222,8 @@ def flatten_records(
 def document_key_order(df: DataFrame, column: str) -> list[str]:
     """Top-level record keys in the order they first appear in the payloads.
 
-    One aggregate with a group per key; its result is as small as the schema.
+    Records are first reduced to their distinct lists of keys, then to keys, so little is exploded and the result is
+    as small as the schema.
     """
     source, text, doc = F.col(quoted(column)), F.col("__text"), F.col("__doc")
     parts = [F.when(is_list(doc), text)] + [
@@ -228,12 +231,13 @@ def document_key_order(df: DataFrame, column: str) -> list[str]:
         for key in RECORD_KEYS
     ]
     items = F.coalesce(F.from_json(F.coalesce(*parts), "array<string>"), F.when(doc.isNotNull(), F.array(text)))
-    keys = (
+    lists = (
         df.select(source.alias("__text"), F.try_parse_json(source).alias("__doc"))
         .select(F.explode(items).alias("__item"))
         .select(F.monotonically_increasing_id().alias("__seq"), F.json_object_keys("__item").alias("__keys"))
-        .select("__seq", F.posexplode("__keys").alias("__pos", "__key"))
+        .groupBy("__keys").agg(F.min("__seq").alias("__seq"))
     )
+    keys = lists.select("__seq", F.posexplode("__keys").alias("__pos", "__key"))
     first = keys.groupBy("__key").agg(F.min(F.struct("__seq", "__pos")).alias("__first"))
     return [row["__key"] for row in first.orderBy("__first").collect()]
 
@@ -249,4 +253,4 @@ def flatten_json(
     keep = list(keep)
     df = stage(df.select(*[F.col(quoted(c)) for c in [*keep, column]]))
     order = document_key_order(df, column) if document_order else ()
-    return normalize_columns(flatten_records(records(df, column, keep), keep=keep, key_order=order))
+    return normalize_columns(flatten_records(record_items(df, column, keep), keep=keep, key_order=order))
