@@ -11,7 +11,8 @@ from tidyloom.sinks.runlog import run_stats
 from tidyloom.sinks.tables import csv_path, output_check, read_csv, sql_columns, write_all, write_catalog, write_csv
 from tidyloom.sources import files
 from tidyloom.sources.payloads import scan_api_responses, scan_csv_payload, scan_payload
-from tidyloom.storage import fresh_path, materialize, shared_root
+import tidyloom.storage as storage
+from tidyloom.storage import fresh_path, materialize, shared_root, sized_shuffles, stage
 
 
 def payload_frame(spark, *texts):
@@ -163,3 +164,27 @@ def test_intermediate_tables_live_in_the_shared_folder(spark, rows):
     assert materialize(spark.range(3).filter("false"), "none").count() == 0
     assert fresh_path(spark, "a") != fresh_path(spark, "a")
     assert os.path.isdir(shared_root(spark))
+
+
+def test_shuffles_grow_with_the_input(spark, monkeypatch):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    df = spark.range(1000)
+    with sized_shuffles(df):
+        assert spark.conf.get(key) == before
+    monkeypatch.setattr(storage, "SHUFFLE_BYTES", 100)
+    with pytest.raises(ZeroDivisionError), sized_shuffles(df):
+        assert spark.conf.get(key) == "80"
+        1 / 0
+    assert spark.conf.get(key) == before
+
+
+def test_staging_spreads_inputs_in_few_pieces_only(spark, monkeypatch, rows):
+    few, many = spark.range(0, 1000, 1, 1), spark.range(0, 1000, 1, 16)
+    assert stage(few) is few
+    monkeypatch.setattr(storage, "BYTES_PER_PIECE", 1000)
+    assert stage(few).rdd.getNumPartitions() > 1 and rows(stage(few)) == rows(few)
+    assert stage(many) is many
+    assert stage(many, always=True) is not many
+    void = few.withColumn("v", F.lit(None))
+    assert stage(void, always=True) is void

@@ -43,10 +43,11 @@ def dedup_subset(df: DataFrame, subset: Iterable[str]) -> DataFrame:
     ])
 
 
-def dedup_report(df: DataFrame, deduped: DataFrame) -> DataFrame:
-    """One row: rows in, duplicates removed, rows out."""
-    before = df.agg(F.count(F.lit(1)).alias("rows_in"))
-    after = deduped.agg(F.count(F.lit(1)).alias("rows_out"))
-    return before.join(after).select(
+def dedup_report(df: DataFrame, subset: Iterable[str] | None = None) -> DataFrame:
+    """One row: rows in, duplicates removed, rows out.  Both counts come from one grouping."""
+    keys = [c for c in (subset or data_columns(df)) if c in data_columns(df)]
+    groups = df.groupBy(*[F.col(quoted(c)) for c in keys]).agg(F.count(F.lit(1)).alias("n"))
+    counted = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_in"), F.count(F.lit(1)).alias("rows_out"))
+    return counted.select(
         "rows_in", (F.col("rows_in") - F.col("rows_out")).alias("duplicates_removed"), "rows_out"
     )

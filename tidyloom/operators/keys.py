@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tidyloom.config import AUTO_ID, ROW_SEQ, CleanConfig
 from tidyloom.functions.names import is_id_name
 from tidyloom.operators.columns import NUMERIC_TYPES, TEMPORAL_TYPES, data_columns, quoted
-from tidyloom.storage import materialize
+from tidyloom.storage import materialize, sized_shuffles
 
 SKETCH_LG_K = 14
 # The sketch's standard error is below 1 %, so an estimate off by more than this is a ten-sigma event; closer calls are
@@ -119,12 +119,13 @@ def add_surrogate_id(df: DataFrame, order_by: Iterable[str] | None = None, name:
     """
     names = list(order_by or ([ROW_SEQ] if ROW_SEQ in df.columns else df.columns))
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = materialize(
-        df.orderBy(*[F.col(quoted(c)) for c in names]).select(
-            "*", F.spark_partition_id().alias("__part"), local.alias("__pos")
-        ),
-        "numbered",
-    )
+    with sized_shuffles(df):
+        numbered = materialize(
+            df.orderBy(*[F.col(quoted(c)) for c in names]).select(
+                "*", F.spark_partition_id().alias("__part"), local.alias("__pos")
+            ),
+            "numbered",
+        )
     sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
     before = F.coalesce(
         F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)

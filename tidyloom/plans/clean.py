@@ -19,7 +19,7 @@ from tidyloom.operators.dedup import dedup_full, dedup_subset
 from tidyloom.operators.impute import impute
 from tidyloom.operators.outliers import clamp_outliers
 from tidyloom.operators.profile import STRING, ColumnProfile, apply_types, profile
-from tidyloom.storage import materialize, stage
+from tidyloom.storage import materialize, sized_shuffles, stage
 
 
 @dataclass(frozen=True)
@@ -85,11 +85,13 @@ def clean(
     rows_in = max((p.rows for p in profiles), default=0)
     cleaned, distinct_rows = filled, rows_in
     if filled.columns:
-        cleaned = materialize(dedup_full(filled), "deduped")
+        with sized_shuffles(frame):
+            cleaned = materialize(dedup_full(filled), "deduped")
         distinct_rows = cleaned.count()
     rows_out = distinct_rows
     if dedupe_subset:
-        cleaned = materialize(dedup_subset(cleaned, dedupe_subset), "deduped_subset")
+        with sized_shuffles(frame):
+            cleaned = materialize(dedup_subset(cleaned, dedupe_subset), "deduped_subset")
         rows_out = cleaned.count()
     if remove_outliers:
         cleaned = clamp_outliers(cleaned, config=config)

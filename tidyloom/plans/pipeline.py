@@ -14,6 +14,7 @@ from tidyloom.operators.keys import column_stats, detect_key, sort_by_key
 from tidyloom.operators.split import split_tables
 from tidyloom.plans.clean import CleanReport, clean
 from tidyloom.sinks.tables import csv_path, read_csv, write_all, write_csv
+from tidyloom.storage import sized_shuffles
 
 Writer = Callable[[DataFrame, str], None]
 
@@ -77,6 +78,7 @@ def run_pipeline(
 
     tables = {kind: finish(kind, table) for kind, table in named.items()}
     written: list[str] = []
-    for write in writers:
-        written = write_all(tables, stats.rows, write)
+    with sized_shuffles(frame):
+        for write in writers:
+            written = write_all(tables, stats.rows, write)
     return PipelineResult(tables, split.id_column, key, cleaned.report, written)

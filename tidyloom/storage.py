@@ -8,11 +8,21 @@ later step the very same rows.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 BYTES_PER_PIECE = 512 * 1024
+# Estimates count compressed bytes, so a partition of this size is a few hundred megabytes in memory.
+SHUFFLE_BYTES = 64 * 1024 * 1024
+MOST_SHUFFLE_PARTITIONS = 200_000
+
+_sizing_lock = threading.Lock()
+# Shuffle partitions of the session, then those that running blocks ask for.
+_sizes: list[int] = []
 
 _local_roots: dict[str, str] = {}
 
@@ -47,9 +57,39 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; for a scan it rests on the sizes of the files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+@contextmanager
+def sized_shuffles(df: DataFrame) -> Iterator[None]:
+    """Raise the number of shuffle partitions to what a shuffle of ``df`` needs, while in the block.
+
+    The session default suits no particular table: at 100 TB, 200 partitions hold 500 GB each.  Adaptive execution
+    merges partitions that turn out small, but does not split large ones of a grouping.
+    """
+    spark, key = df.sparkSession, "spark.sql.shuffle.partitions"
+    wanted = min(estimated_bytes(df) // SHUFFLE_BYTES, MOST_SHUFFLE_PARTITIONS)
+    # Datasets may run side by side in one session: the largest wish of those at work counts.
+    with _sizing_lock:
+        if not _sizes:
+            _sizes.append(int(spark.conf.get(key)))
+        _sizes.append(wanted)
+        spark.conf.set(key, str(max(_sizes)))
+    try:
+        yield
+    finally:
+        with _sizing_lock:
+            _sizes.remove(wanted)
+            spark.conf.set(key, str(max(_sizes)))
+            if len(_sizes) == 1:
+                _sizes.clear()
+
+
 def _pieces(df: DataFrame) -> tuple[int, int]:
     """How many partitions a frame has, and into how many its estimated size could usefully be cut."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = estimated_bytes(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.rdd.getNumPartitions(), min(cores, size // BYTES_PER_PIECE)
 
