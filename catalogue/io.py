@@ -11,6 +11,7 @@ from catalogue.dirty import UPLOAD_FILLED, by_key, messy_orders, select_upload
 from tidyloom.operators.columns import drop_technical
 from tidyloom.plans.clean import clean
 from tidyloom.plans.pipeline import csv_opener, csv_writer, run_pipeline
+from tidyloom.plans.records import run_records
 from tidyloom.sinks.runlog import append_run_stats
 from tidyloom.sinks.tables import output_check, read_csv, write_catalog, write_csv
 from tidyloom.sources.files import pending_records, scan_all_text, scan_csv, scan_file, scan_json, scan_table
@@ -130,7 +131,7 @@ def pending_next(spark, sf_dir):
 def run_log(spark, sf_dir):
     registry = _registry(spark, sf_dir)
     runs = registry.groupBy("file_name").agg(F.count(F.lit(1)).alias("rows_count")).select(
-        "file_name", F.lit("2024-05-01 15:30:00").cast("timestamp").alias("processed_at"), "rows_count",
+        "file_name", F.lit("2024-05-01 15:30:00").cast("timestamp_ntz").alias("processed_at"), "rows_count",
         F.lit("DONE").alias("status"),
     )
     unknown = runs.withColumn("file_name", F.concat(F.lit("unknown "), "file_name"))
@@ -140,6 +141,30 @@ def run_log(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@register("registry_runs", """
+    SELECT 'orders' AS dataset, 'DONE' AS status, count(*) AS rows_count, count(*) AS written FROM orders
+    UNION ALL SELECT 'parts', 'DONE', count(*), count(*) FROM part
+    UNION ALL SELECT 'lost', 'ERROR', NULL, NULL""")
+def registry_runs(spark, sf_dir):
+    """A file, a table and a lost file from the registry, each run as its own dataset; then what was written."""
+    csv, table, out = fresh_path(spark, "orders.csv"), f"parts_{uuid.uuid4().hex}", fresh_path(spark, "runs")
+    write_csv(load(spark, sf_dir, "orders"), csv)
+    write_catalog(load(spark, sf_dir, "part"), table, fresh_path(spark, "parts"))
+    registry = spark.createDataFrame(
+        [(1, "orders.csv", csv, None), (2, "x", "MULTI_UPLOAD", table), (3, "lost.csv", f"{csv}.lost", None)],
+        "id int, file_name string, file_path string, table_name string",
+    )
+    status = run_records(registry, out).withColumn(
+        "dataset", F.when(F.col("dataset") == table, "parts").otherwise(F.col("dataset"))
+    )
+    full = {"orders": f"{out}/orders/orders_fulltable.csv", "parts": f"{out}/{table}/{table}_fulltable.csv"}
+    written = None
+    for name, path in full.items():
+        one = read_csv(spark, path).agg(F.count(F.lit(1)).alias("written")).withColumn("dataset", F.lit(name))
+        written = one if written is None else written.union(one)
+    return status.join(written, "dataset", "left").select("dataset", "status", "rows_count", "written")
+
+
 @register("full_run", select_upload(UPLOAD_FILLED))
 def full_run(spark, sf_dir):
     """The whole plan on the messy upload, read back from the CSV it wrote."""

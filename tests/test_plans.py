@@ -4,7 +4,9 @@ from tidyloom import CleanConfig, clean, run_pipeline
 from tidyloom.config import ROW_SEQ
 from tidyloom.operators.columns import tag_rows
 from tidyloom.plans.pipeline import csv_opener, csv_writer
-from tidyloom.sinks.tables import csv_path, output_check, read_csv
+from tidyloom.plans.records import finished_runs, run_records
+from tidyloom.sinks.runlog import append_run_stats
+from tidyloom.sinks.tables import csv_path, output_check, read_csv, write_catalog
 from tidyloom.storage import fresh_path
 from tidyloom.streaming.ingest import (
     api_stream,
@@ -130,6 +132,36 @@ def test_split_tables_read_only_their_columns(spark):
     assert "ReadSchema: struct<order_id:bigint,due_date:string,amount:double>" in plan
 
 
+def test_registry_records(spark, tmp_path, rows):
+    (tmp_path / "on disk.csv").write_text("Order ID,Name\n5,eve\n")
+    write_catalog(spark.createDataFrame([(1, "ann"), (2, "bob")], "`Order ID` int, `Full Name` string"), "uploaded",
+                  fresh_path(spark, "uploaded"))
+    write_catalog(spark.range(0), "no_rows", fresh_path(spark, "no_rows"))
+    registry = spark.createDataFrame([
+        (1, "people.csv", None, None, b"Order ID,Name\n1,ann\n1,ann\n2,bob\n", "acme", "me"),
+        (2, "disk.csv", str(tmp_path / "on disk.csv"), None, None, "acme", "me"),
+        (3, "shown.csv", "MULTI_UPLOAD", "uploaded", None, "acme", "me"),
+        (4, "x.csv", "MULTI_UPLOAD", None, None, "acme", "me"),
+        (5, "y.csv", "MULTI_UPLOAD", "no_rows", None, "acme", "me"),
+        (6, "gone.csv", str(tmp_path / "gone.csv"), None, None, "acme", "me"),
+        (7, None, str(tmp_path / "on disk.csv"), None, None, "acme", "me"),
+        (8, "nothing.csv", None, None, None, "acme", "me"),
+        (9, "book.xlsx", "book.xlsx", None, None, "acme", "me"),
+    ], "id int, file_name string, file_path string, table_name string, file_content binary, company_name string, "
+       "uploaded_by string")
+    out = fresh_path(spark, "datasets")
+    status = run_records(registry, out)
+    found = {int(r["record"]): (r["dataset"], r["status"], r["rows_count"]) for r in status.collect()}
+    assert found[1] == ("people", "DONE", 3) and found[2] == ("disk", "DONE", 1) and found[3] == ("uploaded", "DONE", 2)
+    assert {found[i][1] for i in range(4, 10)} == {"ERROR"}
+    assert rows(read_csv(spark, csv_path(out, "people", "fulltable"))) == [("1", "Ann"), ("2", "Bob")]
+    assert read_csv(spark, csv_path(out, "uploaded", "fulltable")).columns == ["order_id", "full_name"]
+    log = fresh_path(spark, "log")
+    append_run_stats(registry, finished_runs(status, registry), log)
+    assert rows(spark.read.parquet(log).select("file_name", "company_name", "rows_count", "status")) == [
+        ("disk.csv", "acme", 1, "DONE"), ("people.csv", "acme", 3, "DONE")]
+
+
 def api_landing(spark, records):
     path = fresh_path(spark, "landing")
     df = spark.createDataFrame(records, "id bigint, file_name string, response string, status string")

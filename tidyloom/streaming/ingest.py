@@ -9,18 +9,15 @@ attempt at the same batch left behind.
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidyloom.config import ROW_SEQ, CleanConfig
-from tidyloom.functions.names import dataset_name_col
 from tidyloom.operators.columns import all_text
-from tidyloom.operators.nested import invalid_payloads
-from tidyloom.plans.pipeline import csv_writer, run_pipeline
-from tidyloom.sources.payloads import scan_api_responses, scan_csv_payload, scan_payload
+from tidyloom.plans.records import run_records
+from tidyloom.sources.payloads import scan_api_responses, scan_csv_payload
 from tidyloom.storage import materialize
 
 API_SCHEMA = "id bigint, api_url string, response string, file_name string, file_path string, status string"
@@ -35,10 +32,7 @@ def api_stream(spark: SparkSession, landing: str, max_files: int | None = None)
     reader = spark.readStream.schema(API_SCHEMA)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return (
-        reader.json(landing).filter(F.col("status") == "NEW")
-        .withColumn("dataset", dataset_name_col(F.col("file_name"), F.col("id")))
-    )
+    return reader.json(landing).filter(F.col("status") == "NEW")
 
 
 def file_stream(spark: SparkSession, landing: str, pattern: str = "*", max_files: int | None = None) -> DataFrame:
@@ -46,10 +40,9 @@ def file_stream(spark: SparkSession, landing: str, pattern: str = "*", max_files
     reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", pattern)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    name = F.element_at(F.split("path", "/"), -1)
     return reader.load(landing).select(
-        name.alias("file_name"), F.col("path").alias("file_path"), F.col("content").alias("file_content"),
-        dataset_name_col(name).alias("dataset"),
+        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("path").alias("file_path"),
+        F.col("content").alias("file_content"),
     )
 
 
@@ -91,50 +84,12 @@ def landed_rows(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(out).drop("batch_id")
 
 
-def _load_api_dataset(record: DataFrame, file_name: str | None) -> DataFrame:
-    if not invalid_payloads(record, "response").isEmpty():
-        raise ValueError("response is no valid JSON")
-    if record.filter("response IS NOT NULL").isEmpty():
-        raise ValueError("record has no response")
-    return scan_api_responses(record)
-
-
 def run_datasets(out: str, config: CleanConfig = CleanConfig(), parallel: int = 4) -> BatchHandler:
-    """Run the whole plan for every dataset of a batch, each spread over the cluster.
-
-    Datasets of one name follow each other in id order, so the latest one stays; different names run side by side.
-    A failure concerns its own dataset alone and is recorded in ``out/_status`` with its message.
-    """
+    """Run the whole plan for every record of a batch; how each went is kept in ``out/_status``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        from_api = "response" in batch.columns
-        key = "id" if from_api else "file_path"
-        payloads = materialize(batch, f"batch_{batch_id}")
-        # Names and keys only; payloads stay where they are.
-        listed = payloads.select("dataset", key, "file_name").orderBy(key).collect()
-        by_name: dict[str, list] = {}
-        for row in listed:
-            by_name.setdefault(row["dataset"], []).append(row)
-
-        def run_name(name: str) -> list[tuple]:
-            outcome = []
-            for row in by_name[name]:
-                record = payloads.filter(F.col(key) == F.lit(row[key]))
-                try:
-                    df = _load_api_dataset(record, row["file_name"]) if from_api \
-                        else scan_payload(record, row["file_name"])
-                    result = run_pipeline(df, [csv_writer(out, name)], config)
-                    outcome.append((str(row[key]), name, "DONE", result.report.rows_in, None))
-                except Exception as error:  # one bad dataset must not stop the others
-                    outcome.append((str(row[key]), name, "ERROR", None, str(error).split("\n")[0]))
-            return outcome
-
-        with ThreadPoolExecutor(max_workers=parallel) as pool:
-            outcomes = [o for found in pool.map(run_name, by_name) for o in found]
-        status = spark.createDataFrame(
-            outcomes, "record string, dataset string, status string, rows_count bigint, message string"
-        )
+        records = materialize(batch, f"batch_{batch_id}")
+        status = run_records(records, out, config, parallel)
         status.write.mode("overwrite").parquet(f"{out}/_status/batch_id={batch_id}")
 
     return handle
