@@ -83,7 +83,7 @@ def _rewrite_rule(patterns: tuple[str, ...], lenient: bool) -> tuple[str, str]:
     ending = r"(?!\d).*\z" if lenient else r"\z"
     replacement = "-".join("".join(g) for g in groups)
     # The look-ahead turns away what opens like no date before any layout is tried.
-    return f"(?s)^{_OPENING}(?:{'|'.join(alternatives)}){ending}", replacement
+    return f"{_OPENING}(?:{'|'.join(alternatives)}){ending}", replacement
 
 
 _NAMED = tuple(p for p in DATE_PATTERNS if "MMM" in p)
@@ -100,10 +100,13 @@ def parse_date(c: Column, lenient: bool = False) -> Column:
     # no calendar has, such as 30/02/2024, cannot be right in the other order either.
     numeric, numeric_iso = _rewrite_rule(_NUMERIC, lenient)
     named, named_iso = _rewrite_rule(_NAMED, lenient)
-    parsed = (
-        F.when(c.rlike(numeric), F.regexp_replace(c, numeric, numeric_iso).try_cast("date"))
-        .when(c.rlike(named), F.try_to_date(F.regexp_replace(c, named, named_iso), "yyyy-MMM-d"))
-    )
+    # The mark in front goes with a match; what keeps it is no date for the cast, so one regex run does.
+    iso = F.regexp_replace(F.concat(F.lit("="), c), f"(?s)^={numeric}", numeric_iso)
+    named = f"(?s)^{named}"
+    numbered = F.lower(F.regexp_replace(c, named, named_iso))
+    for number, month in enumerate(MONTHS, 1):
+        numbered = F.replace(numbered, F.lit(month[:3]), F.lit(str(number)))
+    parsed = F.coalesce(iso.try_cast("date"), F.when(c.rlike(named), numbered.try_cast("date")))
     length = F.length(c)
     return F.when(length >= _LENIENT_SHORTEST if lenient else length.between(*_STRICT_LENGTHS), parsed)
 
