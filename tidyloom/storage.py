@@ -15,7 +15,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-BYTES_PER_PIECE = 512 * 1024
+BYTES_PER_PIECE = 128 * 1024
 # Estimates count compressed bytes, so a partition of this size is a few hundred megabytes in memory.
 SHUFFLE_BYTES = 64 * 1024 * 1024
 MOST_SHUFFLE_PARTITIONS = 200_000
