@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tidyloom.config import ROW_SEQ
 from tidyloom.sinks.runlog import run_stats
-from tidyloom.sinks.tables import csv_path, output_check, read_csv, sql_columns, write_all, write_catalog, write_csv
+from tidyloom.sinks.tables import csv_path, jdbc_options, output_check, read_csv, sql_columns, write_all, write_catalog, write_csv
 from tidyloom.sources import files
 from tidyloom.sources.payloads import scan_api_responses, scan_csv_payload, scan_payload
 import tidyloom.storage as storage
@@ -122,6 +122,12 @@ def test_sql_types():
         "BIGINT", "BIGINT", "DOUBLE", "DOUBLE", "DATETIME", "DATE", "TEXT", "TEXT"]
 
 
+def test_jdbc_options():
+    schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("s", T.StringType())])
+    assert jdbc_options(schema) == {"batchsize": "1000", "createTableColumnTypes": "`i` BIGINT"}
+    assert jdbc_options(T.StructType([T.StructField("s", T.StringType())])) == {"batchsize": "1000"}
+
+
 def test_csv_sink_overwrites_and_checks(spark, rows):
     folder = fresh_path(spark, "out")
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from tidyloom import CleanConfig, clean, run_pipeline
 from tidyloom.config import ROW_SEQ
 from tidyloom.operators.columns import tag_rows
+from tidyloom.operators.dedup import dedup_full
 from tidyloom.plans.pipeline import csv_opener, csv_writer
 from tidyloom.plans.records import finished_runs, run_records
 from tidyloom.sinks.runlog import append_run_stats
@@ -119,6 +120,26 @@ def test_api_datasets_have_no_sequence_and_no_key(spark):
     assert result.full.columns == ["amount", "label"]
 
 
+def test_run_over_nothing_but_nulls(spark):
+    df = spark.createDataFrame([(None,), (None,)], "a string")
+    result = run_pipeline(tag_rows(df))
+    assert result.key == ROW_SEQ and result.id_column == "auto_id"
+    assert [r[0] for r in result.tables["metrics"].collect()] == [1]
+    assert result.report.full_duplicates == 1
+    assert dedup_full(tag_rows(df).select(ROW_SEQ).filter("false")).count() == 0
+
+
+def test_a_hot_row_and_a_hot_key(spark, rows):
+    """Half of the rows are copies of one, and one key holds most of the rest."""
+    df = tag_rows(spark.range(6000).select(
+        F.when(F.col("id") < 3000, F.lit("same")).otherwise(F.concat(F.lit("row "), F.col("id").cast("string")))
+        .alias("label"),
+        F.when(F.col("id") < 5900, F.lit(1)).otherwise(F.col("id")).cast("string").alias("customer no"),
+    ))
+    report = clean(df, dedupe_subset=["customer_no"]).report
+    assert (report.rows_in, report.full_duplicates, report.subset_duplicates, report.rows_out) == (6000, 2999, 2900, 101)
+
+
 def test_dates_of_id_columns_become_text_in_split_tables_only(spark):
     df = spark.createDataFrame([(str(i), f"2024-01-0{i}") for i in range(1, 6)], "id string, `Order Date` string")
     result = run_pipeline(df)

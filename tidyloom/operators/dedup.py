@@ -20,7 +20,8 @@ def dedup_full(df: DataFrame) -> DataFrame:
     names = data_columns(df)
     if ROW_SEQ not in df.columns:
         return df.dropDuplicates(names) if names else df
-    keys = [F.col(quoted(c)) for c in names]
+    # Rows without any data column are all alike, and no rows stay no rows.
+    keys = [F.col(quoted(c)) for c in names] or [F.lit(1).alias("__all")]
     return df.groupBy(*keys).agg(F.min(ROW_SEQ).alias(ROW_SEQ)).select(*[F.col(quoted(c)) for c in df.columns])
 
 

@@ -119,9 +119,10 @@ def add_surrogate_id(df: DataFrame, order_by: Iterable[str] | None = None, name:
     """
     names = list(order_by or ([ROW_SEQ] if ROW_SEQ in df.columns else df.columns))
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = df.orderBy(*[F.col(quoted(c)) for c in names]) if names else df
     with sized_shuffles(df):
         numbered = materialize(
-            df.orderBy(*[F.col(quoted(c)) for c in names]).select(
+            ordered.select(
                 "*", F.spark_partition_id().alias("__part"), local.alias("__pos")
             ),
             "numbered",

@@ -53,13 +53,19 @@ def sql_columns(schema: T.StructType) -> list[tuple[str, str]]:
     return [(f.name, sql_type(f.dataType)) for f in schema]
 
 
+def jdbc_options(schema: T.StructType) -> dict[str, str]:
+    """Writer options for a table of this schema.
+
+    Spark's DDL reader knows neither DATETIME nor TEXT; for those the database dialect chooses the type.
+    """
+    typed = [f"`{name}` {kind}" for name, kind in sql_columns(schema) if kind in ("BIGINT", "DOUBLE", "DATE")]
+    options = {"batchsize": str(JDBC_BATCH)}
+    return options | ({"createTableColumnTypes": ", ".join(typed)} if typed else {})
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None) -> None:
     """Replace a database table, batch by batch from the executors."""
-    # Spark's DDL reader knows neither DATETIME nor TEXT; for those the database dialect chooses the type.
-    typed = [f"`{name}` {kind}" for name, kind in sql_columns(df.schema) if kind in ("BIGINT", "DOUBLE", "DATE")]
-    options = {"batchsize": str(JDBC_BATCH), **(properties or {})}
-    if typed:
-        options["createTableColumnTypes"] = ", ".join(typed)
+    options = jdbc_options(df.schema) | (properties or {})
     df.write.format("jdbc").mode("overwrite").options(url=url, dbtable=table, **options).save()
 
 
