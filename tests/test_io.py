@@ -66,6 +66,21 @@ def test_csv_payloads_need_one_header(spark):
         scan_csv_payload(payload_frame(spark, " ", ""))
 
 
+def test_workers_need_not_have_the_package(tmp_path):
+    import pickle
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from tidyloom.sources.payloads import _record_reader
+
+    sent = cloudpickle.dumps(_record_reader())
+    assert pickle.loads(sent)
+    code = "import pickle, sys; pickle.load(sys.stdin.buffer)"
+    subprocess.run([sys.executable, "-c", code], input=sent, cwd=tmp_path, check=True, env={})
+
+
 def test_broken_utf8_is_replaced(spark):
     df = spark.createDataFrame([(b"a,b\n\xff,2\n",)], "file_content binary")
     assert scan_csv_payload(df).head()[:2] == ("�", "2")

@@ -55,14 +55,22 @@ def split_records(parts: Column) -> Column:
     return F.split(F.array_join(marked, '"'), _BREAK)
 
 
-def _python_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for i in range(len(batch)):
-            row = batch.iloc[[i]].drop(columns="__text")
-            found = [r for r in csv.reader(io.StringIO(batch["__text"].iat[i], newline="")) if any(r)]
-            if found:
-                out = row.loc[row.index.repeat(len(found))].reset_index(drop=True)
-                yield out.assign(__pos=range(len(found)), __fields=found)
+def _record_reader():
+    """Reader of irregular payloads for ``mapInPandas``.
+
+    An inner function travels to the executors whole, so they need not have this package installed.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.iloc[[i]].drop(columns="__text")
+                found = [r for r in csv.reader(io.StringIO(batch["__text"].iat[i], newline="")) if any(r)]
+                if found:
+                    out = row.loc[row.index.repeat(len(found))].reset_index(drop=True)
+                    yield out.assign(__pos=range(len(found)), __fields=found)
+
+    return read
 
 
 def _column_names(header: list[str]) -> list[str]:
@@ -97,7 +105,7 @@ def scan_csv_payload(df: DataFrame, content: str = "file_content", keep: Iterabl
     )
     irregular = parts.select(
         *kept, F.explode(F.when(~is_regular, F.array("__text"))).alias("__text")
-    ).mapInPandas(_python_records, record)
+    ).mapInPandas(_record_reader(), record)
 
     found = regular.filter("__pos = 0").select("__line").head()
     line = found["__line"] if found else None
