@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyloom.llm import bpe_trie, packing, simhash, suffix_dedup
+from tidyloom.llm import bpe_trie, merkle, packing, simhash, suffix_dedup, toxicity
 from tidyloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,23 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=1024, end_id=2)
 
 
+def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.edited(table(spark, sf_dir, "documents"))
+    return found.withColumn("edited", F.sha2("edited", 256)).withColumnRenamed("edited", "edited_sha256")
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), held_out(F.col("doc_id")))
+    return toxicity.score(docs, *model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digest(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -34,6 +51,8 @@ def op10_simhash_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_best_fit_packing, op9_bpe_trie, op10_simhash_vantage_points)}
+    f.__name__: f for f in (
+        op1_suffix_array_dedup, op2_best_fit_packing, op5_merkle_fingerprints, op8_toxicity_ftrl, op9_bpe_trie,
+        op10_simhash_vantage_points)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_merkle_fingerprints": merkle.SQL}
