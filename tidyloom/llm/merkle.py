@@ -120,24 +120,30 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 #: The same over ``documents`` in SQL, with whole-table order instead of ranges.
 SQL = """
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS h FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS h
+      FROM documents),
 n AS (SELECT *, length(text) AS n_chars, coalesce(lead(text) OVER w, first(text) OVER (
         ORDER BY doc_id DESC NULLS LAST, h DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_text
       FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, h DESC)),
 e AS (SELECT *, left(text, n_chars - n_chars // 2) || left(next_text, n_chars // 2) AS edited FROM n),
-t AS (SELECT *, list_transform([text, edited, next_text], lambda x: list_transform(string_split(x, chr(10)),
-        lambda s: list_transform(string_split(s, '. '), lambda p: {'h': md5(p), 'n': length(p)}))) AS trees FROM e),
-s AS (SELECT *, list_transform(trees, lambda t: list_transform(t, lambda ps: {
-        'h': md5(list_reduce(list_transform(ps, lambda p: p.h), lambda a, b: a || ',' || b)),
-        'ps': list_transform(ps, lambda p: p.h[1:8] || '.' || p.n)})) AS sections FROM t),
-f AS (SELECT *, list_transform(sections, lambda t: sha256(list_reduce(list_transform(t, lambda s: s.h), lambda a, b: a || ';' || b)) || '|'
-        || list_reduce(list_transform(t, lambda s:
-          s.h[1:16] || ':' || list_reduce(s.ps, lambda a, b: a || ',' || b)), lambda a, b: a || ';' || b)) AS fs,
-      list_transform(sections, lambda t: list_distinct(flatten(list_transform(t, lambda s: s.ps)))) AS ps FROM s),
-w AS (SELECT *, list_transform([ps[1], ps[2], ps[3], list_intersect(ps[1], ps[2]), list_intersect(ps[1], ps[3])],
-        lambda x: coalesce(list_sum(list_transform(x, lambda p: CAST(p[10:] AS BIGINT) + 1)), 0)) AS ws FROM f)
-SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, fs[1] AS fingerprint,
-       fs[2] AS edited_fingerprint, CAST(2.0 * ws[4] / (ws[1] + ws[2]) AS DOUBLE) AS near_edited,
-       CAST(2.0 * ws[5] / (ws[1] + ws[3]) AS DOUBLE) AS near_next
-FROM w
+x AS (SELECT r, unnest([1, 2, 3]) AS kind, unnest([text, edited, next_text]) AS x FROM e),
+l AS (SELECT r, kind, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS i
+      FROM x),
+p AS (SELECT r, kind, i, unnest(string_split(line, '. ')) AS p, generate_subscripts(string_split(line, '. '), 1) AS j
+      FROM l),
+s AS (SELECT r, kind, i, md5(string_agg(md5(p), ',' ORDER BY j)) AS h,
+             string_agg(left(md5(p), 8) || '.' || length(p), ',' ORDER BY j) AS ps FROM p GROUP BY ALL),
+f AS (SELECT r, kind, sha256(string_agg(h, ';' ORDER BY i)) || '|'
+             || string_agg(left(h, 16) || ':' || ps, ';' ORDER BY i) AS f FROM s GROUP BY ALL),
+u AS (SELECT DISTINCT r, kind, left(md5(p), 8) || '.' || length(p) AS p, length(p) + 1 AS weight FROM p),
+g AS (SELECT r, p, max(weight) AS weight, list(kind) AS kinds FROM u GROUP BY ALL),
+w AS (SELECT r, sum(weight) FILTER (list_contains(kinds, 1)) AS w1, sum(weight) FILTER (list_contains(kinds, 2)) AS w2,
+             sum(weight) FILTER (list_contains(kinds, 3)) AS w3,
+             coalesce(sum(weight) FILTER (list_contains(kinds, 1) AND list_contains(kinds, 2)), 0) AS w12,
+             coalesce(sum(weight) FILTER (list_contains(kinds, 1) AND list_contains(kinds, 3)), 0) AS w13
+      FROM g GROUP BY r)
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.f AS fingerprint,
+       b.f AS edited_fingerprint, CAST(2.0 AS DOUBLE) * CAST(w12 AS DOUBLE) / CAST(w1 + w2 AS DOUBLE) AS near_edited,
+       CAST(2.0 AS DOUBLE) * CAST(w13 AS DOUBLE) / CAST(w1 + w3 AS DOUBLE) AS near_next
+FROM e JOIN f a ON a.r = e.r AND a.kind = 1 JOIN f b ON b.r = e.r AND b.kind = 2 JOIN w ON w.r = e.r
 """
