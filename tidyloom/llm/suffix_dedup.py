@@ -31,8 +31,8 @@ from tidyloom.llm.common import shards, ship, written
 from tidyloom.llm.words import spread
 
 WINDOW, GRAM = 50, 16
-CHUNK_BYTES = 8 << 20
-SHARD_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+SHARD_BYTES = 4 << 20
 _BLOCK = 1 << 17
 _PAD = 64
 #: Ids that are null: larger than any other.
@@ -108,8 +108,9 @@ def sort_windows(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     t = np.concatenate([text, np.array([0, 1], "u1"), np.zeros(_PAD, "u1")])
     words = _words(t, ">u8")
     differs = np.append(t[:size - 1] != t[1:size], True)
-    turn = np.minimum.accumulate(np.where(differs, np.arange(size), size)[::-1])[::-1]
-    smaller = t[turn] < t[turn + 1]  # than the successor; the last byte is no such suffix
+    # A suffix compares with its successor as the next two bytes that differ do.
+    turn = np.flatnonzero(differs)
+    smaller = np.repeat(t[turn] < t[turn + 1], np.diff(turn, prepend=-1))
     smaller[-1] = False
     needed = np.zeros(size, bool)
     needed[:len(text)] = wanted
@@ -153,9 +154,9 @@ def sort_windows(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 def repeated_windows(text: np.ndarray, starts: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each window of the snippets, in order, whether an equal one has a smaller id."""
     windows = spread(starts, counts)
-    wanted = np.zeros(len(text), bool)
-    wanted[windows] = True
-    order = sort_windows(text, wanted)
+    number = np.full(len(text), -1, "i4")  # of the window that starts at a position
+    number[windows] = np.arange(len(windows))
+    order = sort_windows(text, number >= 0)
     words = _words(np.concatenate([text, np.zeros(_PAD, "u1")]), ">u8")
     same = np.arange(1, len(order))
     for k in range(0, WINDOW, 8):  # adjacent common prefixes, as far as they matter
@@ -165,19 +166,21 @@ def repeated_windows(text: np.ndarray, starts: np.ndarray, counts: np.ndarray, i
         same = same[a == b]
     opens = np.ones(len(order), bool)
     opens[same] = False
-    id_at = np.zeros(len(text), "i8")
-    id_at[windows] = np.repeat(ids, counts)
-    least = np.zeros(len(text), "i8")
+    of = np.repeat(np.arange(len(ids), dtype="i4"), counts)  # the snippet of a window
+    order = number[order]
+    marks = np.zeros(len(windows), bool)
     first = np.flatnonzero(opens)
     if len(first):
-        least[order] = np.repeat(np.minimum.reduceat(id_at[order], first), np.diff(first, append=len(order)))
-    return least[windows] < id_at[windows]
+        found = ids[of[order]]
+        least = np.repeat(np.minimum.reduceat(found, first), np.diff(first, append=len(order)))
+        marks[order] = least < found
+    return marks
 
 
 def _chunks(docs: DataFrame, keep: list[str], chunk_bytes: int) -> DataFrame:
     """``chunk, ids, ends, data, rest``: documents side by side; ``rest`` has the other columns to keep."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, number = zstandard.ZstdCompressor(1), TaskContext.get().partitionId() << 32
+        packer, number = zstandard.ZstdCompressor(3), TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
         size = 0
 
@@ -254,50 +257,53 @@ def _shared_keys(group: pa.Table) -> pa.Table:
     return table.filter(pa.compute.greater(pa.compute.binary_length(table.column("keys")), 0))
 
 
+class Candidates:
+    """What may repeat of a chunk: runs of windows, numbered by equal snippets in the order of shards.
+
+    ``row`` is a chunk with what the shards told it.  Both steps that need this compute it, which is cheaper than to
+    store it.
+    """
+
+    def __init__(self, row: dict, count: int):
+        self.data, self.ids, self.ends = _open(row)
+        starts, counts, keys = minimizer_runs(self.data, self.ends)
+        shard = _shard(keys, count)
+        place = shard.astype("u8") << np.uint64(32) | (keys & np.uint64(0xFFFFFFFF))
+        ordered = np.sort(place)
+        shared = np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], *(
+            np.uint64(x["shard"]) << np.uint64(32) | np.frombuffer(x["keys"], "<u4").astype("u8")
+            for x in row["told"] or [])])
+        chosen = np.flatnonzero(np.isin(place, shared))
+        chosen = chosen[np.argsort(shard[chosen], kind="stable")]
+        self.starts, self.counts = starts[chosen], counts[chosen]
+        raw, known = self.data.tobytes(), {}
+        self.number = np.fromiter((known.setdefault(raw[a:a + c + WINDOW - 1], len(known)) for a, c in zip(
+            self.starts.tolist(), self.counts.tolist())), "i8", len(chosen))
+        self.snippets = list(known)
+        self.doc = self.ids[np.searchsorted(self.ends, self.starts, "right")]
+        self.least = np.full(len(known), NO_ID)  # smallest id of a snippet in this chunk
+        np.minimum.at(self.least, self.number, self.doc)
+        self.shard = np.zeros(len(known), "i4")
+        self.shard[self.number] = shard[chosen]
+
+
 def _snippets(chunks: DataFrame, count: int) -> DataFrame:
-    """Of each chunk, a row with its state (shard -1) and one for each shard its snippets go to."""
+    """Of each chunk, a row for each shard its snippets go to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(1)
+        packer = zstandard.ZstdCompressor(3)
         for row in _rows(batches):
-            data, ids, ends = _open(row)
-            starts, counts, keys = minimizer_runs(data, ends)
-            shared = np.concatenate(
-                [np.uint64(x["shard"]) << np.uint64(32) | np.frombuffer(x["keys"], "<u4").astype("u8")
-                 for x in row["told"] or []] or [np.zeros(0, "u8")])
-            shard = _shard(keys, count)
-            place = shard.astype("u8") << np.uint64(32) | (keys & np.uint64(0xFFFFFFFF))
-            ordered = np.sort(place)
-            shared = np.concatenate([shared, ordered[1:][ordered[1:] == ordered[:-1]]])
-            chosen = np.flatnonzero(np.isin(place, shared))
-            chosen = chosen[np.argsort(shard[chosen], kind="stable")]
-            starts, counts, shard = starts[chosen], counts[chosen], shard[chosen]
-            raw, known = data.tobytes(), {}
-            number = np.fromiter((known.setdefault(raw[a:a + c + WINDOW - 1], len(known))
-                                  for a, c in zip(starts.tolist(), counts.tolist())), "i8", len(starts))
-            doc = ids[np.searchsorted(ends, starts, "right")]
-            least = np.full(len(known), NO_ID)
-            np.minimum.at(least, number, doc)
-            snippets = list(known)
-            of = np.zeros(len(known), "i4")
-            of[number] = shard
-            edges = np.searchsorted(of, np.arange(count + 1))
-            lengths = np.fromiter(map(len, snippets), "i8", len(snippets))
+            c = Candidates(row, count)
+            edges = np.searchsorted(c.shard, np.arange(count + 1))
+            lengths = np.fromiter(map(len, c.snippets), "<i8", len(c.snippets))
             some = np.flatnonzero(np.diff(edges))
-            states = [b"".join(x.tobytes() for x in (starts.astype("<u4"), counts.astype("<u4"), number.astype("<u4")))]
-            for s in some:
-                a, b = edges[s], edges[s + 1]
-                states.append(packer.compress(b"".join(
-                    [lengths[a:b].astype("<i8").tobytes(), least[a:b].astype("<i8").tobytes(), *snippets[a:b]])))
-            known_of = np.concatenate([[0], np.diff(edges)[some]])
+            blobs = [packer.compress(b"".join([lengths[a:b].tobytes(), c.least[a:b].astype("<i8").tobytes(),
+                                               *c.snippets[a:b]])) for a, b in zip(edges[some], edges[some + 1])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([[-1], some]).astype("i4")), pa.array(np.full(len(states), row["chunk"])),
-                 pa.array(known_of), pa.array(states, pa.binary()),
-                 pa.array([least.astype("<i8").tobytes()] + [None] * len(some), pa.binary()),
-                 pa.array([of.astype("<i4").tobytes()] + [None] * len(some), pa.binary())],
-                ["shard", "chunk", "snippets", "state", "least", "shards"])
+                [pa.array(some.astype("i4")), pa.array(np.full(len(some), row["chunk"])),
+                 pa.array(np.diff(edges)[some]), pa.array(blobs, pa.binary())],
+                ["shard", "chunk", "snippets", "state"])
 
-    return chunks.mapInArrow(
-        run, "shard int, chunk long, snippets long, state binary, least binary, shards binary")
+    return chunks.mapInArrow(run, "shard int, chunk long, snippets long, state binary")
 
 
 def _mark(group: pa.Table) -> pa.Table:
@@ -325,21 +331,19 @@ OUT = "n_bytes long, n_removed long, n_spans long, span_starts array<long>, span
 def _cut(chunks: DataFrame, keep_schema: str, count: int, whole_characters: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            data, ids, ends = _open(row)
-            least = np.frombuffer(row["least"], "<i8")
-            starts, counts, number = np.frombuffer(row["state"], "<u4").astype("i8").reshape(3, -1)
-            # The marks of snippets in order: of shards that have none to tell, all are unset.
-            per_snippet = np.zeros(len(least), "i8")
-            per_snippet[number] = counts
+            c = Candidates(row, count)
+            data, ends = c.data, c.ends
+            # The marks of snippets in order; shards that have none to tell leave theirs unset.
+            per_snippet = np.zeros(len(c.least), "i8")
+            per_snippet[c.number] = c.counts
             base = np.cumsum(per_snippet) - per_snippet
             marks = np.zeros(per_snippet.sum(), bool)
             for x in row["marked"] or []:
-                first = base[np.searchsorted(np.frombuffer(row["shards"], "<i4"), x["shard"])]
+                first = base[np.searchsorted(c.shard, x["shard"])]
                 marks[first:first + x["windows"]] = np.unpackbits(np.frombuffer(x["marks"], "u1"), count=x["windows"])
-            later = ids[np.searchsorted(ends, starts, "right")] > least[number]
-            repeated = np.repeat(later, counts) | marks[spread(base[number], counts)]
+            repeated = np.repeat(c.doc > c.least[c.number], c.counts) | marks[spread(base[c.number], c.counts)]
             opens = np.zeros(len(data) + 1, "i4")
-            opens[spread(starts, counts)[repeated]] = 1
+            opens[spread(c.starts, c.counts)[repeated]] = 1
             total = np.concatenate([np.zeros(WINDOW, "i4"), np.cumsum(opens[:-1], dtype="i4")])
             covered = total[WINDOW:] > total[:-WINDOW]
             if whole_characters and len(data):
@@ -349,9 +353,10 @@ def _cut(chunks: DataFrame, keep_schema: str, count: int, whole_characters: bool
             turns = np.concatenate([covered[:1], covered[1:] != covered[:-1]])
             turns[begin[begin < len(data)]] = covered[begin[begin < len(data)]]
             span_starts = np.flatnonzero(turns & covered)
-            span_ends = np.flatnonzero(np.append(covered, False) & np.append(
-                np.append(~covered[1:], True) | np.isin(np.arange(1, len(data) + 1), ends), False)) + 1
-            removed = np.concatenate([[0], np.cumsum(covered, dtype="i8")])
+            stops = np.append(~covered[1:], True) if len(data) else covered
+            stops[ends[ends > 0] - 1] = True
+            span_ends = np.flatnonzero(covered & stops) + 1
+            removed = np.concatenate([np.zeros(1, "i4"), np.cumsum(covered, dtype="i4")])
             edge = np.concatenate([[0], ends])
             in_doc = np.searchsorted(span_starts, edge)
             of = np.repeat(begin, np.diff(in_doc))
@@ -360,7 +365,7 @@ def _cut(chunks: DataFrame, keep_schema: str, count: int, whole_characters: bool
             rest = pa.ipc.open_stream(row["rest"]).read_all()
             lists = [pa.ListArray.from_arrays(in_doc.astype("i4"), pa.array(x - of))
                      for x in (span_starts, span_ends)]
-            out = pa.table([*rest.columns, pa.array(np.diff(edge)), pa.array(np.diff(removed[edge])),
+            out = pa.table([*rest.columns, pa.array(np.diff(edge)), pa.array(np.diff(removed[edge]).astype("i8")),
                             pa.array(np.diff(in_doc)), *lists,
                             pa.array([kept[a:b] for a, b in zip(at, at[1:])], pa.binary())],
                            [*rest.schema.names, "n_bytes", "n_removed", "n_spans", "span_starts", "span_ends", "kept"])
@@ -388,9 +393,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = written(_chunks(clean, list(keep), chunk_bytes), "chunks")
     told = _tell_keys(chunks, count).groupBy("shard").applyInArrow(_shared_keys, "chunk long, shard int, keys binary")
     told = told.groupBy("chunk").agg(F.collect_list(F.struct("shard", "keys")).alias("told"))
-    snippets = written(_snippets(chunks.drop("rest").join(told, "chunk", "left"), count), "snippets")
-    marked = snippets.where("shard >= 0").groupBy("shard").applyInArrow(
+    chunks = chunks.join(told, "chunk", "left")
+    marked = _snippets(chunks, count).groupBy("shard").applyInArrow(
         _mark, "chunk long, shard int, windows long, marks binary")
     marked = marked.groupBy("chunk").agg(F.collect_list(F.struct("shard", "windows", "marks")).alias("marked"))
-    state = snippets.where("shard < 0").select("chunk", "state", "least", "shards")
-    return _cut(chunks.join(state, "chunk").join(marked, "chunk", "left"), keep_schema, count, whole_characters)
+    return _cut(chunks.join(marked, "chunk", "left"), keep_schema, count, whole_characters)
