@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyloom.llm import bpe_trie, merkle, packing, simhash, suffix_dedup, toxicity
+from tidyloom.llm import bpe_trie, merkle, packing, pii, simhash, suffix_dedup, toxicity, warc
 from tidyloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=1024, end_id=2)
 
 
+def op3_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found")
+
+
+def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("problem")
+
+
 def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.edited(table(spark, sf_dir, "documents"))
     return found.withColumn("edited", F.sha2("edited", 256)).withColumnRenamed("edited", "edited_sha256")
@@ -52,7 +60,8 @@ def op10_simhash_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_suffix_array_dedup, op2_best_fit_packing, op5_merkle_fingerprints, op8_toxicity_ftrl, op9_bpe_trie,
+        op1_suffix_array_dedup, op2_best_fit_packing, op3_pii_feistel, op4_warc_segments,
+        op5_merkle_fingerprints, op8_toxicity_ftrl, op9_bpe_trie,
         op10_simhash_vantage_points)}
 
-SQL: dict[str, str] = {"op5_merkle_fingerprints": merkle.SQL}
+SQL: dict[str, str] = {"op4_warc_segments": warc.SQL, "op5_merkle_fingerprints": merkle.SQL}
