@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyloom.llm import bpe_trie, merkle, packing, pii, simhash, suffix_dedup, toxicity, warc
+from tidyloom.llm import bpe_trie, hamming_search, html_extract, merkle, packing, pii, simhash, suffix_dedup, toxicity, warc
 from tidyloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +37,15 @@ def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("edited", F.sha2("edited", 256)).withColumnRenamed("edited", "edited_sha256")
 
 
+def op6_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming_search.sign_codes(table(spark, sf_dir, "embeddings"))
+    return hamming_search.top_k(codes, F.col("vec_id") % 20 == 0, k=10)
+
+
+def op7_html_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
@@ -61,7 +70,8 @@ def op10_simhash_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_array_dedup, op2_best_fit_packing, op3_pii_feistel, op4_warc_segments,
-        op5_merkle_fingerprints, op8_toxicity_ftrl, op9_bpe_trie,
+        op5_merkle_fingerprints, op6_hamming_top_k, op7_html_boosted_trees, op8_toxicity_ftrl, op9_bpe_trie,
         op10_simhash_vantage_points)}
 
-SQL: dict[str, str] = {"op4_warc_segments": warc.SQL, "op5_merkle_fingerprints": merkle.SQL}
+SQL: dict[str, str] = {"op4_warc_segments": warc.SQL, "op5_merkle_fingerprints": merkle.SQL,
+                       "op6_hamming_top_k": hamming_search.SQL}

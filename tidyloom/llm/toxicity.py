@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm.common import id_and_text
+from tidyloom.llm.common import id_and_text, ship
 from tidyloom.llm.words import distinct, parts_of
 
 BITS = 20
@@ -125,9 +125,10 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_
           keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the columns in ``keep``, and ``score`` (0 to 1) of every row.
 
-    Null texts count as empty and score the intercept; null ids and repeated rows are scored like any other.  Columns
-    not in ``keep`` are left out; an empty table gives an empty one.
+    Null texts count as empty and score the intercept; null ids and repeated rows are scored like any other.  Kept
+    columns, of any name, stay as they are; the others are left out; an empty table gives an empty one.
     """
+    ship(docs.sparkSession)
     used = np.flatnonzero(weights)
     values = weights[used].astype("f8")
 
@@ -140,10 +141,11 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_
             both = np.unique(of[hit] << BITS | numbers[hit])
             total = np.bincount(both >> BITS, table[both & ((1 << BITS) - 1)], len(texts)) + bias
             scores = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*part.drop_columns(["text"]).columns, pa.array(scores)],
-                                             [*part.drop_columns(["text"]).schema.names, "score"])
+            rest = part.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(scores)], [*rest.schema.names, "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep,
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                       *(F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(keep)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(run, f"{schema}, score double").toDF("doc_id", *keep, "score")
