@@ -27,7 +27,7 @@ from tidyloom.llm.common import id_and_text
 from tidyloom.llm.words import WordTable, distinct, parts_of
 
 #: Words kept per Python worker before the cache starts anew; it bounds memory, not results.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 #: Longer words walk the same states without nodes of their own in the trie.
 TRIE_DEPTH = 200
 
@@ -78,7 +78,7 @@ class TrieBpe:
     def _pair(self, left: str, right: str) -> bool:
         found = self.fits.get((left, right))
         if found is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > CACHED_WORDS:
                 self.fits.clear()
             found = self.fits[left, right] = self._merge([*left, *self._symbols(right)]) == [left, right]
         return found

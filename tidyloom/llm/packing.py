@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from tidyloom.llm.common import id_and_text, written
 from tidyloom.llm.words import WordTable, distinct, parts_of
 
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 300_000
 PIECES_PER_BUCKET = 200_000
 
 #: Fixed value: how byte-level pre-tokenizers cut words.
@@ -143,7 +143,16 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, buckets: int,
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how many sequences each is used for; each available length is used exactly as often."""
+    """Patterns of lengths and how many sequences each is used for; each available length is used exactly as often.
+
+    Where long pieces abound, filling the gaps of the longest with three short ones can leave nothing for the others.
+    So the plans with complements of up to three, two, one and no pieces are made, and the shortest is taken.
+    """
+    plans = [_plan(counts, capacity, most) for most in (3, 2, 1, 0)]
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     left = {n: c for n, c in counts.items() if c > 0}
     lengths = sorted(left)
     patterns: list[tuple[tuple[int, ...], int]] = []
@@ -165,16 +174,16 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
 
     def complement(n: int, gap: int) -> tuple[int, ...] | None:
         """One, two or three lengths that fill the gap beside ``n`` exactly; large ones first, small ones are easy."""
-        if has(n, gap):
+        if most > 0 and has(n, gap):
             return (gap,)
         top = bisect.bisect_right(lengths, gap)
         for a in reversed(lengths[:top]):
-            if 2 * a < gap:
+            if most < 2 or 2 * a < gap:
                 break
             if has(n, a, gap - a):
                 return (a, gap - a)
         for a in reversed(lengths[:top]):
-            if 3 * a < gap:
+            if most < 3 or 3 * a < gap:
                 break
             rest = gap - a
             for b in reversed(lengths[:bisect.bisect_right(lengths, min(a, rest))]):

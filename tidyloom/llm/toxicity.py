@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +27,20 @@ THRESHOLD = 0.3
 STEM = 5
 
 _PAIR, _SKIP, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
-_known: dict[str, tuple[int, int]] = {}
+_EDGES = "\"'`.,;:!?()[]{}<>*#$%&/\\|~^_=+-@"
 
 
-def _word(word: str) -> tuple[int, int]:
-    """Hashes of a word without case and the punctuation around it, and of its stem, the first five letters."""
-    plain = word.lower().strip("\"'`.,;:!?()[]{}<>*#$%&/\\|~^_=+-@") or word
-    return xxhash.xxh3_64_intdigest(plain.encode()), xxhash.xxh3_64_intdigest(f"{plain[:STEM]}\n".encode())
+def _hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word, hashes of it without case and the punctuation around it, and of its stem, the first letters."""
+    plain = [w.lower().strip(_EDGES) or w for w in words]
+    return tuple(hash_array(np.array(x, object), categorize=False) if words else np.zeros(0, "u8")
+                 for x in (plain, [f"{w[:STEM]}\n" for w in plain]))
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all texts, and the number of the text each is from; repeats included."""
     words, at, offsets = distinct(pc.utf8_split_whitespace(pa.array([t.strip() for t in texts], pa.string())))
-    if len(_known) > 1_000_000:
-        _known.clear()
-    for w in words:
-        if w not in _known:
-            _known[w] = _word(w)
-    h, stems = np.array([_known[w] for w in words], "u8").reshape(-1, 2)[at].T
+    h, stems = (x[at] for x in _hashes(words))
     of = np.repeat(np.arange(len(texts)), np.diff(offsets))
     one = (of[1:] == of[:-1])
     two = (of[2:] == of[:-2])

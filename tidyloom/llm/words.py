@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters handled at a time, or one text if that is longer.
-CHARS_PER_PART = 8_000_000
+CHARS_PER_PART = 3_000_000
 
 
 def parts_of(batch: pa.RecordBatch, chars: int = CHARS_PER_PART) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
