@@ -49,7 +49,19 @@ def csv_scan(spark, sf_dir):
 def csv_all_string(spark, sf_dir):
     path = fresh_path(spark, "part.csv")
     write_csv(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), path)
-    return drop_technical(scan_all_text(scan_file(spark, "Part.CSV", path)))
+    return drop_technical(scan_all_text(scan_file(spark, "Part.CSV", path, infer_schema=False)))
+
+
+@register("csv_text_kept", """
+    SELECT lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS p_partkey, printf('%.2f', p_retailprice) AS p_retailprice, p_name,
+           p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size FROM part""")
+def csv_text_kept(spark, sf_dir):
+    """Leading and trailing zeros survive an all-text scan, since no type is inferred on the way."""
+    path = fresh_path(spark, "part.csv")
+    write_csv(load(spark, sf_dir, "part").select(
+        F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("p_partkey"),
+        F.format_string("%.2f", "p_retailprice").alias("p_retailprice"), "p_name", "p_brand", "p_type", "p_size"), path)
+    return drop_technical(scan_all_text(scan_file(spark, "Part.CSV", path, infer_schema=False)))
 
 
 @register("csv_payload", """

@@ -12,7 +12,8 @@ from tidyloom.sinks.tables import csv_path, jdbc_options, output_check, read_csv
 from tidyloom.sources import files
 from tidyloom.sources.payloads import scan_api_responses, scan_csv_payload, scan_payload
 import tidyloom.storage as storage
-from tidyloom.storage import fresh_path, materialize, shared_root, sized_shuffles, stage
+from tidyloom.storage import estimated_bytes, fresh_path, materialize, shared_root, sized_shuffles, stage
+from tidyloom.streaming.ingest import land_api_rows, land_rows, landed_rows, rejected_responses
 
 
 def payload_frame(spark, *texts):
@@ -209,3 +210,31 @@ def test_staging_spreads_inputs_in_few_pieces_only(spark, monkeypatch, rows):
     assert stage(many, always=True) is not many
     void = few.withColumn("v", F.lit(None))
     assert stage(void, always=True) is void
+
+
+def test_payload_rows_do_not_depend_on_stray_quotes(spark):
+    """Rows of empty cells and long cells survive on either way of reading; extra cells are an error on both."""
+    long = "y" * 140_000
+    for first in ("5", '5"'):
+        payload = spark.createDataFrame([(f"a,b\n{first},1\n,\n\n2,{long}\n",)], "file_content string")
+        found = [(r.a, r.b) for r in scan_csv_payload(payload).collect()]
+        assert sorted(found, key=repr) == sorted([(first, "1"), (None, None), ("2", long)], key=repr)
+        wide = spark.createDataFrame([(f"a,b\n{first},2,3\n",)], "file_content string")
+        with pytest.raises(Exception, match="more cells than the header"):
+            scan_csv_payload(wide).collect()
+
+
+def test_landing_survives_bad_batches(spark, tmp_path):
+    handle = land_rows(land_api_rows, str(tmp_path))
+    schema = "id bigint, response string"
+    handle(spark.createDataFrame([(1, "oops")], schema), 0)
+    handle(spark.createDataFrame([(2, '{"items":[]}'), (3, None)], schema), 1)
+    handle(spark.createDataFrame([(4, '[{"batch_id":77,"x":1}]'), (5, "{")], schema), 2)
+    assert [(r.batch_id, r.x) for r in landed_rows(spark, str(tmp_path)).collect()] == [("77", "1")]
+    assert sorted(r.id for r in rejected_responses(spark, str(tmp_path)).collect()) == [1, 5]
+
+
+def test_estimates_add_up_over_joins(spark):
+    a = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert estimated_bytes(a.join(a.withColumnRenamed("o_orderkey", "k"), F.col("o_orderkey") == F.col("k"))) <= (
+        2 * estimated_bytes(a))

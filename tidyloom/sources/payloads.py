@@ -62,10 +62,12 @@ def _record_reader():
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2**31 - 1)
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.iloc[[i]].drop(columns="__text")
-                found = [r for r in csv.reader(io.StringIO(batch["__text"].iat[i], newline="")) if any(r)]
+                found = [r for r in csv.reader(io.StringIO(batch["__text"].iat[i], newline=""))
+                         if len(r) > 1 or r and r[0].strip()]  # blank lines are no records, empty cells are
                 if found:
                     out = row.loc[row.index.repeat(len(found))].reset_index(drop=True)
                     yield out.assign(__pos=range(len(found)), __fields=found)
@@ -83,6 +85,12 @@ def _without_header(rows: DataFrame, is_header: Column) -> DataFrame:
     return rows.filter(F.when(F.col("__pos") > 0, True).when(is_header, False).otherwise(foreign))
 
 
+def _no_more_cells(rows: DataFrame, extra: Column) -> DataFrame:
+    """A record with content beyond the header's columns is an error rather than cut off."""
+    wide = F.raise_error(F.lit("a record has more cells than the header")).cast("boolean")
+    return rows.filter(F.when(extra.isNull() | (extra == ""), True).otherwise(wide))
+
+
 def scan_csv_payload(df: DataFrame, content: str = "file_content", keep: Iterable[str] = ()) -> DataFrame:
     """Rows of CSV payloads that share one header, all columns text, plus the ``keep`` columns of their payload.
 
@@ -117,10 +125,14 @@ def scan_csv_payload(df: DataFrame, content: str = "file_content", keep: Iterabl
         header = list(found["__fields"])
     names = [f"c{i}" for i in range(len(header))]
 
-    native = _without_header(regular, F.col("__line") == F.lit(line)).select(
-        *kept, F.from_csv("__line", ", ".join(f"{n} string" for n in names), _CSV_OPTIONS).alias("__row")
-    ).select(*kept, *[F.col(f"__row.{n}").alias(n) for n in names])
-    python = _without_header(irregular, F.col("__fields") == F.array(*[F.lit(h) for h in header])).select(
+    cells = ", ".join(f"{n} string" for n in [*names, "__extra"])
+    native = _no_more_cells(_without_header(regular, F.col("__line") == F.lit(line)).select(
+        *kept, F.from_csv("__line", cells, _CSV_OPTIONS).alias("__row")
+    ), F.col("__row.__extra")).select(*kept, *[F.col(f"__row.{n}").alias(n) for n in names])
+    rest = F.array_join(F.slice("__fields", len(header) + 1, 1 << 30), "")
+    python = _no_more_cells(_without_header(
+        irregular, F.col("__fields") == F.array(*[F.lit(h) for h in header])
+    ), rest).select(
         *kept, *[F.get("__fields", F.lit(i)).alias(n) for i, n in enumerate(names)]
     )
     values = native.unionByName(python).select(*kept, *[F.nullif(F.col(n), F.lit("")).alias(n) for n in names])

@@ -7,7 +7,6 @@ later step the very same rows.
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
@@ -21,23 +20,14 @@ SHUFFLE_BYTES = 64 * 1024 * 1024
 MOST_SHUFFLE_PARTITIONS = 200_000
 
 _sizing_lock = threading.Lock()
-# Shuffle partitions of the session, then those that running blocks ask for.
-_sizes: list[int] = []
-
-_local_roots: dict[str, str] = {}
+# By session: its shuffle partitions, then those that running blocks ask for.
+_sizes: dict[int, list[int]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared scratch folder of this application."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.conf.get("spark.app.id")
-    if configured:
-        return f"{configured.rstrip('/')}/{app}"
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="tidyloom-")
-    return _local_roots[app]
+    """The shared scratch folder of this application: in ``spark.checkpoint.dir``, else below the warehouse."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    return f"{configured.rstrip('/')}/{spark.conf.get('spark.app.id')}"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -58,8 +48,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; for a scan it rests on the sizes of the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """What all inputs of a plan are estimated at; for a scan that rests on the sizes of its files.
+
+    The estimate of a whole plan multiplies the sides of a join, which says nothing about what it shuffles.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        total += int(str(leaves.next().stats().sizeInBytes()))
+    return total
 
 
 @contextmanager
@@ -72,26 +69,29 @@ def sized_shuffles(df: DataFrame) -> Iterator[None]:
     spark, key = df.sparkSession, "spark.sql.shuffle.partitions"
     wanted = min(estimated_bytes(df) // SHUFFLE_BYTES, MOST_SHUFFLE_PARTITIONS)
     # Datasets may run side by side in one session: the largest wish of those at work counts.
+    session = spark._jsparkSession.hashCode()
     with _sizing_lock:
-        if not _sizes:
-            _sizes.append(int(spark.conf.get(key)))
-        _sizes.append(wanted)
-        spark.conf.set(key, str(max(_sizes)))
+        sizes = _sizes.setdefault(session, [int(spark.conf.get(key))])
+        sizes.append(wanted)
+        spark.conf.set(key, str(max(sizes)))
     try:
         yield
     finally:
         with _sizing_lock:
-            _sizes.remove(wanted)
-            spark.conf.set(key, str(max(_sizes)))
-            if len(_sizes) == 1:
-                _sizes.clear()
+            sizes.remove(wanted)
+            spark.conf.set(key, str(max(sizes)))
+            if len(sizes) == 1:
+                del _sizes[session]
 
 
 def _pieces(df: DataFrame) -> tuple[int, int]:
     """How many partitions a frame has, and into how many its estimated size could usefully be cut."""
     size = estimated_bytes(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.rdd.getNumPartitions(), min(cores, size // BYTES_PER_PIECE)
+    # Asking a plan with shuffles for its partitions would run them; what comes out of a shuffle is spread already.
+    shuffled = "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if shuffled else df.rdd.getNumPartitions()
+    return partitions, min(cores, size // BYTES_PER_PIECE)
 
 
 def stage(df: DataFrame, always: bool = False) -> DataFrame:

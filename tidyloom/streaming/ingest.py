@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidyloom.config import ROW_SEQ, CleanConfig
 from tidyloom.operators.columns import all_text
+from tidyloom.operators.nested import invalid_payloads
 from tidyloom.plans.records import run_records
 from tidyloom.sources.payloads import scan_api_responses, scan_csv_payload
 from tidyloom.storage import materialize
@@ -23,6 +24,8 @@ from tidyloom.storage import materialize
 API_SCHEMA = "id bigint, api_url string, response string, file_name string, file_path string, status string"
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 POLL_INTERVAL = "1 second"
+#: Name of the partitions of a landed table, which no cleaned field can have.
+BATCH = "_landed_batch"
 
 BatchHandler = Callable[[DataFrame, int], None]
 
@@ -67,21 +70,33 @@ def land_csv_rows(batch: DataFrame) -> DataFrame:
 def land_rows(load: Callable[[DataFrame], DataFrame], out: str) -> BatchHandler:
     """Flatten all payloads of a batch together and add them to the table at ``out``.
 
-    Values land as text, so batches whose types drift apart still share a table; new fields become new columns.
+    Values land as text, so batches whose types drift apart still share a table; new fields become new columns.  A batch
+    without any row writes none.  Responses that are no JSON are kept in ``out/_rejects``.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         payloads = materialize(batch, f"batch_{batch_id}")
         if payloads.isEmpty():
             return
-        all_text(load(payloads)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        if "response" in payloads.columns:
+            rejects = invalid_payloads(payloads, "response")
+            if not rejects.isEmpty():
+                rejects.write.mode("overwrite").parquet(f"{out}/_rejects/{BATCH}={batch_id}")
+        rows = load(payloads)
+        if rows.columns:
+            all_text(rows).write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
 
     return handle
 
 
+def rejected_responses(spark: SparkSession, out: str) -> DataFrame:
+    """Records whose response was no JSON, with the batch they came in."""
+    return spark.read.parquet(f"{out}/_rejects")
+
+
 def landed_rows(spark: SparkSession, out: str) -> DataFrame:
     """Everything landed so far, with the union of all columns."""
-    return spark.read.option("mergeSchema", True).parquet(out).drop("batch_id")
+    return spark.read.option("mergeSchema", True).parquet(out).drop(BATCH)
 
 
 def run_datasets(out: str, config: CleanConfig = CleanConfig(), parallel: int = 4) -> BatchHandler:
