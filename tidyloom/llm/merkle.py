@@ -88,34 +88,35 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """Fingerprints of documents and of their edited texts, and how alike they are.
 
     The edited text ends with the beginning of the next document in descending order of ids instead of its own second
-    half.  Returns ``doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next``.  Rows with one
+    half.  Returns ``doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id``.
+    Rows with one
     id and text are one document in the circle and each get its result; documents that share an id follow each other by
     the hash of their texts; a null id comes last.  A single document is its own next.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.md5("text").alias("h"), "text")
-    keys = rows.groupBy("doc_id", "h").agg(F.max(F.char_length("text")).alias("n"))
-    users = in_circle(keys)
-
-    def same(a: DataFrame, b: DataFrame) -> Column:
-        return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
-
-    linked = rows.join(users, same(rows, users)).select(
-        rows["doc_id"], rows["h"], "text", "user_doc_id", "user_h", "user_n")
-    lent = linked.select(
-        F.col("user_doc_id").alias("doc_id"), F.col("user_h").alias("h"),
-        F.expr("left(text, user_n div 2)").alias("borrowed"), fingerprint(F.col("text")).alias("next_fingerprint"))
-    lent = lent.dropDuplicates(["doc_id", "h"])
-    both = rows.join(lent, same(rows, lent)).select(
-        rows["doc_id"], "text", F.char_length("text").cast("long").alias("n_chars"), "borrowed", "next_fingerprint")
-    both = both.select("doc_id", "n_chars", "next_fingerprint", "text", F.concat(
+
+    def key(doc_id: Column, h: Column) -> Column:
+        """One column that is never null, so that all steps below share one partitioning; null ids are skipped."""
+        return F.md5(F.concat_ws("|", doc_id.cast("string"), h))
+
+    users = in_circle(rows.groupBy("doc_id", F.md5("text").alias("h")).agg(F.max(F.char_length("text")).alias("n")))
+    users = users.select(key(F.col("doc_id"), F.col("h")).alias("k"),
+                         key(F.col("user_doc_id"), F.col("user_h")).alias("user_k"), "user_n")
+    rows = rows.select(key(F.col("doc_id"), F.md5("text")).alias("k"), "doc_id", "text")
+    lent = rows.join(users, "k").select(
+        F.col("user_k").alias("k"), F.expr("left(text, user_n div 2)").alias("borrowed"),
+        fingerprint(F.col("text")).alias("next_fingerprint"), F.col("doc_id").alias("next_doc_id"))
+    # Both joins read the same columns of the documents, so these are shuffled once.
+    both = rows.join(lent.dropDuplicates(["k"]), "k").select(
+        "doc_id", "next_doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), "borrowed", "next_fingerprint")
+    both = both.select("doc_id", "next_doc_id", "n_chars", "next_fingerprint", "text", F.concat(
         F.expr("left(text, n_chars - n_chars div 2)"), "borrowed").alias("edited"))
-    both = both.select("doc_id", "n_chars", "edited", "next_fingerprint", fingerprint(F.col("text")).alias("fingerprint"),
+    both = both.select("doc_id", "next_doc_id", "n_chars", "edited", "next_fingerprint", fingerprint(F.col("text")).alias("fingerprint"),
                        fingerprint(F.col("edited")).alias("edited_fingerprint"))
     return both.select("doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint",
                        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                       likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+                       likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "next_doc_id")
 
 
 #: The same over ``documents`` in SQL, with whole-table order instead of ranges.
@@ -123,7 +124,10 @@ SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS h
       FROM documents),
 n AS (SELECT *, length(text) AS n_chars, coalesce(lead(text) OVER w, first(text) OVER (
-        ORDER BY doc_id DESC NULLS LAST, h DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_text
+        ORDER BY doc_id DESC NULLS LAST, h DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_text,
+        CASE WHEN lead(1) OVER w = 1 THEN lead(doc_id) OVER w ELSE first(doc_id) OVER (
+        ORDER BY doc_id DESC NULLS LAST, h DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+        END AS next_doc_id
       FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, h DESC)),
 e AS (SELECT *, left(text, n_chars - n_chars // 2) || left(next_text, n_chars // 2) AS edited FROM n),
 x AS (SELECT r, unnest([1, 2, 3]) AS kind, unnest([text, edited, next_text]) AS x FROM e),
@@ -144,6 +148,6 @@ w AS (SELECT r, sum(weight) FILTER (list_contains(kinds, 1)) AS w1, sum(weight)
       FROM g GROUP BY r)
 SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.f AS fingerprint,
        b.f AS edited_fingerprint, CAST(2.0 AS DOUBLE) * CAST(w12 AS DOUBLE) / CAST(w1 + w2 AS DOUBLE) AS near_edited,
-       CAST(2.0 AS DOUBLE) * CAST(w13 AS DOUBLE) / CAST(w1 + w3 AS DOUBLE) AS near_next
+       CAST(2.0 AS DOUBLE) * CAST(w13 AS DOUBLE) / CAST(w1 + w3 AS DOUBLE) AS near_next, next_doc_id
 FROM e JOIN f a ON a.r = e.r AND a.kind = 1 JOIN f b ON b.r = e.r AND b.kind = 2 JOIN w ON w.r = e.r
 """
