@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from check_oracle import connect, difference
 from tidyloom.llm import (bpe_trie, hamming_search, html_extract, merkle, packing, pii, queries, simhash, suffix_dedup,
                           toxicity, warc)
 from tidyloom.llm.components import components
@@ -360,3 +361,8 @@ def test_pipeline_of_odd_rows(spark, odd):
         docs.collect()
     digest = hashlib.sha256(b"").hexdigest()
     assert digest and public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.mark.parametrize("name", queries.SQL)
+def test_query_matches_sql(spark, name):
+    assert difference(queries.QUERIES[name](spark, SF), connect(SF), queries.SQL[name]) is None
