@@ -57,6 +57,18 @@ def infer_sample(spark, sf_dir):
     return infer_types(_tidy_upload(spark, sf_dir), CleanConfig(scope="sample"))[0].drop(ROW_SEQ)
 
 
+@register("force_date_names", """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderdate AS DATE) END AS ship_date,
+           CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'Later' END AS ship_text
+    FROM orders""")
+def forced_dates(spark, sf_dir):
+    """Too few dates for a date column, but one of the columns says by its name that it is one."""
+    mostly_text = F.when(F.col("o_orderkey") % 5 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("later")
+    orders = load(spark, sf_dir, "orders").select(
+        "o_orderkey", mostly_text.alias("ship_date"), mostly_text.alias("ship_text"))
+    return infer_types(orders, CleanConfig(force_date_names=True))[0]
+
+
 @register("impute_median", """
     SELECT l_orderkey, l_linenumber * 1.0::DOUBLE AS l_linenumber,
            CASE WHEN l_linenumber = 2 THEN (SELECT quantile_disc(l_extendedprice, 0.5) FROM lineitem

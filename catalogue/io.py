@@ -10,11 +10,12 @@ from catalogue import load, register
 from catalogue.dirty import UPLOAD_FILLED, by_key, messy_orders, select_upload
 from tidyloom.operators.columns import drop_technical
 from tidyloom.plans.clean import clean
-from tidyloom.plans.pipeline import csv_opener, csv_writer, run_pipeline
+from tidyloom.config import CleanConfig
+from tidyloom.plans.pipeline import catalog_opener, catalog_writer, csv_opener, csv_writer, run_pipeline
 from tidyloom.plans.records import run_records
 from tidyloom.sinks.runlog import append_run_stats
-from tidyloom.sinks.tables import output_check, read_csv, write_catalog, write_csv
-from tidyloom.sources.files import pending_records, scan_all_text, scan_csv, scan_file, scan_json, scan_table
+from tidyloom.sinks.tables import output_check, read_csv, sql_columns, table_name, write_catalog, write_csv
+from tidyloom.sources.files import json_rejects, pending_records, scan_all_text, scan_csv, scan_file, scan_json, scan_table
 from tidyloom.sources.payloads import scan_csv_payload, scan_payload
 from tidyloom.storage import fresh_path
 from tidyloom.streaming.ingest import (
@@ -104,6 +105,35 @@ def json_scan(spark, sf_dir):
     return drop_technical(scan_json(spark, path, lines=True))
 
 
+@register("json_documents", """
+    SELECT event_id, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS props_k, ts
+    FROM events""")
+def json_documents(spark, sf_dir):
+    """Files that are one document each."""
+    path = fresh_path(spark, "event_documents")
+    event = F.struct("event_id", "user_id", "event_type", "value", F.from_json("props", "k bigint").alias("props"),
+                     F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+    load(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("document")).agg(
+        F.to_json(F.struct(F.collect_list(event).alias("records"))).alias("value")
+    ).write.partitionBy("document").text(path)
+    return drop_technical(scan_json(spark, path)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@register("json_scan_rejects", """
+    SELECT event_id, CASE WHEN event_id % 4 = 1 THEN 'rejected' ELSE 'read' END AS outcome FROM events""")
+def json_scan_rejects(spark, sf_dir):
+    """Each broken line of a JSON-lines file is a reject, each other line is read; blank lines are neither."""
+    path = fresh_path(spark, "broken_lines")
+    whole = F.format_string('{"event_id": %d, "value": 1}', "event_id")
+    line = by_key(F.col("event_id"), [whole, F.format_string('{"event_id": %d, "val', "event_id"), whole,
+                                      F.concat(whole, F.lit("\n "))])
+    load(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
+    found = scan_json(spark, path, lines=True, broken="skip").select("event_id", F.lit("read").alias("outcome"))
+    rejects = json_rejects(spark, path, lines=True).select(
+        F.regexp_extract("document", r"\d+", 0).cast("bigint").alias("event_id"), F.lit("rejected").alias("outcome"))
+    return found.union(rejects)
+
+
 @register("table_roundtrip", "SELECT * FROM orders")
 def table_roundtrip(spark, sf_dir):
     """Write a table twice and scan it: the second write replaces the first."""
@@ -208,6 +238,39 @@ def check_outputs(spark, sf_dir):
     return output_check(spark, csv_opener(folder, "orders"))
 
 
+@register("catalog_run", select_upload(UPLOAD_FILLED))
+def catalog_run(spark, sf_dir):
+    """A whole run into catalog tables, of which the full one is read back."""
+    base = f"run_{uuid.uuid4().hex}"
+    run_pipeline(messy_orders(spark, sf_dir), [catalog_writer(base)])
+    return spark.table(table_name(base, "fulltable"))
+
+
+@register("catalog_check", """
+    SELECT unnest(['fulltable', 'entity', 'metrics', 'dimension']) AS kind, unnest([true, true, false, true]) AS present,
+           unnest([n, n, NULL, n]) AS rows
+    FROM (SELECT count(*) AS n FROM orders)""")
+def catalog_check(spark, sf_dir):
+    """Catalog tables of a run with one of them missing."""
+    base = f"run_{uuid.uuid4().hex}"
+    tables = run_pipeline(messy_orders(spark, sf_dir)).tables
+    for kind in ("fulltable", "entity", "dimension"):
+        catalog_writer(base)(tables[kind], kind)
+    return output_check(spark, catalog_opener(base))
+
+
+@register("sql_types", """
+    SELECT unnest(['order_key', 'orderstatus', 'total_price_', 'purchase_date', 'priority', 'cust_no', 'remark',
+                   'remark_1']) AS name,
+           unnest(['BIGINT', 'TEXT', 'DOUBLE', 'DATE', 'TEXT', 'BIGINT', 'TEXT', 'TEXT']) AS sql_type""")
+def sql_types(spark, sf_dir):
+    """Database types of the full table of a run, as it was written."""
+    base = f"run_{uuid.uuid4().hex}"
+    run_pipeline(messy_orders(spark, sf_dir), [catalog_writer(base)], CleanConfig(date_missing="null"))
+    written = spark.table(table_name(base, "fulltable"))
+    return spark.createDataFrame(sql_columns(written.schema), "name string, sql_type string")
+
+
 @register("raw_columns_run", select_upload({n: UPLOAD_FILLED[n] for n in ("order_key", "remark", "remark_1")}))
 def raw_columns_run(spark, sf_dir):
     raw = ["Remark", " Order  Key ", "Blank", "remark"]

@@ -59,11 +59,13 @@ def surrogate(spark, sf_dir):
     return add_surrogate_id(orders, ["o_totalprice", "o_orderkey"])
 
 
-@register("sort_by_key", """
-    SELECT o_orderkey, o_totalprice, count(*) OVER () AS rows FROM orders""")
+@register("sort_by_key", "SELECT *, row_number() OVER (ORDER BY o_orderkey) AS position FROM orders")
 def sort_orders(spark, sf_dir):
-    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return sort_by_key(orders, detect_key(orders)).withColumn("rows", F.lit(orders.count()).cast("bigint"))
+    """Orders, last key first, put in key order; ``position`` is where each row then stands."""
+    orders = load(spark, sf_dir, "orders").orderBy(F.desc("o_orderkey"))
+    place = F.monotonically_increasing_id().alias("place")
+    ranked = add_surrogate_id(sort_by_key(orders, detect_key(orders)).select("*", place), ["place"], name="position")
+    return ranked.drop("place")
 
 
 _COLUMNS = ("p_name", "p_brand", "p_type", "label", "constant")

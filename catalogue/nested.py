@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from catalogue import load, register
 from catalogue.dirty import by_key
+from tidyloom.config import ROW_SEQ
+from tidyloom.operators.keys import add_surrogate_id, detect_relaxed_id
 from tidyloom.operators.nested import explode_arrays, flatten_json, flatten_structs, invalid_payloads
 
 _EVENT = "event_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS props_k"
@@ -89,6 +91,55 @@ def json_rejects(spark, sf_dir):
     return invalid_payloads(load(spark, sf_dir, "events").select(event, payload.alias("response")), "response")
 
 
+@register("json_lenient", """
+    SELECT event_id, event_id % 3 = 1 AS value_is_nan, CASE WHEN event_id % 3 <> 1 THEN value END AS value FROM events""")
+def json_lenient(spark, sf_dir):
+    """A repeated key, whose last value counts, and a number that is none."""
+    event, value = F.col("event_id").cast("string"), F.col("value").cast("string")
+    doc = by_key(F.col("event_id"), [
+        F.format_string('[{"event_id": -1, "value": 0, "event_id": %s, "value": %s}]', event, value),
+        F.format_string('{"event_id": %s, "value": NaN}', event),
+        F.format_string('{"event_id": %s, "value": %s}', event, value),
+    ])
+    flat = flatten_json(load(spark, sf_dir, "events").select(doc.alias("doc")), "doc")
+    return flat.select("event_id", F.isnan("value").alias("value_is_nan"),
+                       F.when(~F.isnan("value"), F.col("value")).alias("value"))
+
+
+@register("json_row_order", """
+    SELECT (event_id - event_id % 2) AS doc, event_id, row_number() OVER (ORDER BY event_id) AS position FROM events
+    WHERE event_id % 2 = 0 OR event_id - 1 IN (SELECT event_id FROM events)""")
+def json_row_order(spark, sf_dir):
+    """The row sequence follows the documents and the records in them."""
+    events = load(spark, sf_dir, "events").select("event_id")
+    first = events.filter("event_id % 2 = 0")
+    second = events.filter("event_id % 2 = 1").select((F.col("event_id") - 1).alias("event_id"), F.lit(True).alias("two"))
+    event, record = F.col("event_id").cast("string"), '{"event_id": %s}'
+    doc = F.when(F.col("two"), F.format_string(f"[{record}, {record}]", event, (F.col("event_id") + 1).cast("string"))) \
+        .otherwise(F.format_string(f"[{record}]", event))
+    documents = first.join(second, "event_id", "left").orderBy("event_id").select(F.col("event_id").alias("doc"), doc.alias("t"))
+    flat = flatten_json(documents, "t", keep=["doc"], tag=True)
+    return add_surrogate_id(flat, [ROW_SEQ], name="position").drop(ROW_SEQ)
+
+
+@register("json_key_order", """
+    SELECT 'zeta_id' AS relaxed_id, [1, 8] [i] AS pieces, name, CAST(position AS INTEGER) AS position
+    FROM (SELECT unnest(['zeta_id', 'mid_y', 'mid_b_q', 'mid_b_p', 'alpha_id']) AS name,
+                 unnest([0, 1, 2, 3, 4]) AS position), (SELECT unnest([1, 2]) AS i)""")
+def json_key_order(spark, sf_dir):
+    """Columns, and with them the id, follow the documents at every level, however many pieces they come in."""
+    event = F.col("event_id")
+    inner = F.struct(event.alias("y"), F.struct(F.col("value").alias("q"), F.col("user_id").alias("p")).alias("b"))
+    docs = load(spark, sf_dir, "events").select(
+        _record(event.alias("zeta_id"), inner.alias("mid"), event.alias("alpha_id")).alias("doc"))
+    found = []
+    for pieces, cut in ((1, docs.coalesce(1)), (8, docs.repartition(8))):
+        flat = flatten_json(cut, "doc")
+        relaxed = detect_relaxed_id(flat)
+        found += [(relaxed, pieces, name, i) for i, name in enumerate(flat.columns)]
+    return spark.createDataFrame(found, "relaxed_id string, pieces int, name string, position int")
+
+
 @register("json_mixed", """
     SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 3 THEN NULL
                                        ELSE unnest(CASE event_id % 4 WHEN 1 THEN [event_type, 'x'] ELSE [NULL] END)

@@ -99,3 +99,15 @@ def typed_voids(df: DataFrame) -> DataFrame:
 def tag_rows(df: DataFrame) -> DataFrame:
     """Add the row sequence that later decides which duplicate survives."""
     return df if ROW_SEQ in df.columns else df.withColumn(ROW_SEQ, F.monotonically_increasing_id())
+
+
+def tag_in_order(df: DataFrame, place: list[str], moved: bool) -> DataFrame:
+    """Replace the ``place`` columns, which say where each row stood in its source, by the row sequence.
+
+    Rows that were not ``moved`` still lie in that order and are numbered where they are.  Others are dealt out by
+    range first; rows of one place come from one task, in the order it gave them.
+    """
+    if moved:
+        local = df.withColumn("__local", F.monotonically_increasing_id())
+        df = local.repartitionByRange(*place).sortWithinPartitions(*place, "__local").drop("__local")
+    return df.withColumn(ROW_SEQ, F.monotonically_increasing_id()).drop(*place)

@@ -52,10 +52,14 @@ class ColumnStats:
         self.non_null: dict[str, int] = dict(zip(names, (n or 0 for n in row[1::2])))
         self.estimate: dict[str, int] = dict(zip(names, (e or 0 for e in row[2::2])))
 
-    def distinct(self, column: str) -> int:
-        if column not in self._exact:
-            self._exact[column] = self._df.agg(F.count_distinct(F.col(quoted(column)))).head()[0]
-        return self._exact[column]
+    def distinct(self, *columns: str) -> list[int]:
+        """Exact distinct counts; one job for all columns not counted before."""
+        fresh = [c for c in dict.fromkeys(columns) if c not in self._exact]
+        if fresh:
+            with sized_shuffles(self._df):
+                counts = self._df.agg(*[F.count_distinct(F.col(quoted(c))) for c in fresh]).head()
+            self._exact.update(zip(fresh, counts))
+        return [self._exact[c] for c in columns]
 
     def bounds(self, column: str) -> tuple[float, float]:
         e = self.estimate[column]
@@ -66,7 +70,7 @@ class ColumnStats:
         for c in columns:
             if self.non_null[c] < self.rows * min_non_null or self.bounds(c)[1] < self.rows * min_distinct:
                 continue
-            if self.distinct(c) >= self.rows * min_distinct:
+            if self.distinct(c)[0] >= self.rows * min_distinct:
                 return c
         return None
 
@@ -155,4 +159,4 @@ def rank_by_cardinality(
     stats = stats or ColumnStats(df, names)
     cutoff = sorted(stats.bounds(c)[1] for c in names)[:top][-1]
     contenders = [c for c in names if stats.bounds(c)[0] <= cutoff]
-    return sorted(((c, stats.distinct(c)) for c in contenders), key=lambda pair: pair[1])[:top]
+    return sorted(zip(contenders, stats.distinct(*contenders)), key=lambda pair: pair[1])[:top]

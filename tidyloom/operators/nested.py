@@ -7,7 +7,7 @@ that is a list in one record and something else in another costs a further aggre
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidyloom.functions.names import unique_names
-from tidyloom.operators.columns import normalize_columns, quoted
+from tidyloom.operators.columns import normalize_columns, quoted, tag_in_order
 from tidyloom.storage import stage
 
 # Where an object may keep its records, in order of preference.
@@ -25,6 +25,11 @@ SEPARATOR = "_"
 
 _LIST = "array<variant>"
 _OBJECT = "map<string,variant>"
+_STRICT = {"allowSingleQuotes": "false"}
+#: Where a record stands: its payload, then its place in it.
+_PLACE = ("__payload_seq", "__record_pos")
+#: Keys that lead to an object of a record; None steps into the items of a list.
+Path = tuple[str | None, ...]
 
 
 # --- typed nested columns -------------------------------------------------------------------------------------------
@@ -92,18 +97,54 @@ def wrap_scalar(record: Column) -> Column:
     return F.when(is_object(record), record).otherwise(F.to_variant_object(F.struct(record.alias(SCALAR_COLUMN))))
 
 
+def _parsed(text: Column) -> Column:
+    """The document as a variant: null if it is no JSON or too large for one variant.  ``NaN`` counts as a number."""
+    return F.coalesce(F.try_parse_json(text), F.from_json(text, "variant", _STRICT))
+
+
+def _listed(text: Column) -> Column:
+    """Records of a list, or of a list under a record key, cut from the text one by one.
+
+    One variant holds 128 MiB; a document may be larger as long as its records are not.
+    """
+    return F.coalesce(
+        F.from_json(text, _LIST, _STRICT),
+        *[F.from_json(F.get_json_object(text, f"$.{key}"), _LIST, _STRICT) for key in RECORD_KEYS],
+    )
+
+
+def _last_key_wins(df: DataFrame) -> None:
+    """A key that an object repeats is no error; its last value counts."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def invalid_payloads(df: DataFrame, column: str) -> DataFrame:
-    """Rows whose payload is present but no JSON."""
+    """Rows whose payload is present but gives no records: it is no JSON, or one record of it is above 128 MiB.
+
+    Together with the rows of `record_items` these are all payloads that are not null.
+    """
+    _last_key_wins(df)
     c = F.col(quoted(column))
-    return df.filter(c.isNotNull() & F.try_parse_json(c).isNull())
+    return df.filter(c.isNotNull() & _parsed(c).isNull() & _listed(c).isNull())
+
 
+def record_items(df: DataFrame, column: str, keep: Iterable[str] = (), broken: str = "skip") -> DataFrame:
+    """One row per record of every payload in ``column``: the ``keep`` columns, ``__record_pos`` and a variant
+    ``__record``.
 
-def record_items(df: DataFrame, column: str, keep: Iterable[str] = ()) -> DataFrame:
-    """One row per record of every valid payload in ``column``: the ``keep`` columns and a variant ``__record``."""
-    kept = [F.col(quoted(c)) for c in keep]
+    ``broken`` says what becomes of `invalid_payloads`: ``"skip"`` leaves them to the caller, ``"error"`` fails.
+    """
+    if broken not in ("skip", "error"):
+        raise ValueError(f"broken must be skip or error, not {broken!r}")
+    _last_key_wins(df)
+    kept, text, doc = [F.col(quoted(c)) for c in keep], F.col("__text"), F.col("__doc")
     # No filter on the parsed document: it would be pushed below the projection and parse every payload twice.
-    docs = df.select(*kept, F.try_parse_json(F.col(quoted(column))).alias("__doc"))
-    return docs.select(*kept, F.explode(find_records(F.col("__doc"))).alias("__record"))
+    docs = df.select(*kept, F.col(quoted(column)).alias("__text")).select(*kept, "__text", _parsed(text).alias("__doc"))
+    records = F.coalesce(find_records(doc), F.when(doc.isNull(), _listed(text)))
+    if broken == "error":
+        no_json = F.raise_error(F.lit("a document is no valid JSON")).cast(_LIST)
+        records = F.coalesce(records, F.when(text.isNotNull(), no_json))
+    return docs.select(*kept, F.posexplode(records).alias(_PLACE[1], "__record"))
 
 
 def _spark_type(described: str) -> T.DataType:
@@ -183,11 +224,12 @@ def _settle_mixed(df: DataFrame, field: _Field, place: str) -> tuple[DataFrame,
 
 
 def flatten_records(
-    df: DataFrame, column: str = "__record", keep: Iterable[str] = (), key_order: Iterable[str] = ()
+    df: DataFrame, column: str = "__record", keep: Iterable[str] = (),
+    arrange: Callable[[T.DataType], T.DataType] = lambda shape: shape,
 ) -> DataFrame:
     """Flat rows of a column of variant records: objects to columns, lists to rows, sibling lists combined.
 
-    ``key_order`` lists top-level keys in the order their columns should come; the rest follow by name.
+    Columns come by name; ``arrange`` may return the shape of the records with its fields in another order.
     """
     keep, record = list(keep), F.col(quoted(column))
     shape = variant_type(df, record)
@@ -203,8 +245,7 @@ def flatten_records(
         )
         return frame, [_Field(f.name, F.col(f"__f{i}"), f.type) for i, f in enumerate(found)]
 
-    rank = {key: i for i, key in enumerate(key_order)}
-    top = sorted(shape if isinstance(shape, T.StructType) else [], key=lambda f: rank.get(f.name, len(rank)))
+    top = arrange(shape) if isinstance(shape, T.StructType) else []
     df, fields = project(df, [x for f in top for x in _fields(_member(record, f.name), f.name, f.dataType)])
     while True:
         at = next((i for i, f in enumerate(fields) if f.pending), None)
@@ -219,38 +260,97 @@ def flatten_records(
         df, fields = project(df, fields[:at] + stay + fields[at + 1:] + appended)
 
 
-def document_key_order(df: DataFrame, column: str) -> list[str]:
-    """Top-level record keys in the order they first appear in the payloads.
+def _objects(shape: T.DataType, path: Path = ()) -> Iterator[Path]:
+    """Paths of all objects with more than one field."""
+    if isinstance(shape, T.ArrayType):
+        yield from _objects(shape.elementType, (*path, None))
+    elif isinstance(shape, T.StructType):
+        if len(shape) > 1:
+            yield path
+        for f in shape:
+            yield from _objects(f.dataType, (*path, f.name))
+
+
+def _items(text: Column) -> Column:
+    return F.from_json(text, "array<string>")
+
+
+def _step(texts: Column, key: str | None) -> Column:
+    """From the texts of objects to those under a key, or from the texts of lists to those of their items."""
+    if key is None:
+        return F.flatten(F.filter(F.transform(texts, _items), lambda items: items.isNotNull()))
+    field = T.StructType([T.StructField(key, T.StringType())])
+    return F.transform(texts, lambda text: F.from_json(text, field).getField(key))
+
+
+def _keys(texts: Column) -> Column:
+    """Keys of objects, given as texts, in the order they first appear."""
+    keys = F.transform(texts, lambda text: F.map_keys(F.from_json(text, "map<string,string>")))
+    return F.array_distinct(F.flatten(F.filter(keys, lambda k: k.isNotNull())))
 
-    Records are first reduced to their distinct lists of keys, then to keys, so little is exploded and the result is
-    as small as the schema.
+
+def _in_document_order(df: DataFrame, column: str, shape: T.DataType, seq: str) -> T.DataType:
+    """The shape of the records with the fields of all objects in the order they first appear in the payloads.
+
+    ``seq`` numbers the payloads.  Each is first reduced to one list of keys per object of the shape, then payloads to
+    their distinct lists, so what is sorted out at the end is as small as the schema.  Objects in fields whose records
+    disagree on a shape stay ordered by name.
     """
-    source, text, doc = F.col(quoted(column)), F.col("__text"), F.col("__doc")
-    parts = [F.when(is_list(doc), text)] + [
-        F.when(is_list(F.try_variant_get(doc, f"$.{key}", "variant")), F.get_json_object(text, f"$.{key}"))
-        for key in RECORD_KEYS
-    ]
-    items = F.coalesce(F.from_json(F.coalesce(*parts), "array<string>"), F.when(doc.isNotNull(), F.array(text)))
+    paths = list(_objects(shape))
+    if not paths:
+        return shape
+    text = F.col("__text")
+    under = F.from_json(text, ", ".join(f"{key} string" for key in RECORD_KEYS))
+    records = F.coalesce(_items(text), *[_items(under.getField(key)) for key in RECORD_KEYS], F.array(text))
+
+    def keys_at(path: Path) -> Column:
+        texts = F.col("__records")
+        for key in path:
+            texts = _step(texts, key)
+        return _keys(texts)
+
     lists = (
-        df.select(source.alias("__text"), F.try_parse_json(source).alias("__doc"))
-        .select(F.explode(items).alias("__item"))
-        .select(F.monotonically_increasing_id().alias("__seq"), F.json_object_keys("__item").alias("__keys"))
-        .groupBy("__keys").agg(F.min("__seq").alias("__seq"))
+        df.select(F.col(seq).alias("__seq"), F.col(quoted(column)).alias("__text"))
+        .select("__seq", records.alias("__records"))
+        .select("__seq", F.posexplode(F.array(*map(keys_at, paths))).alias("__path", "__keys"))
+        .groupBy("__path", "__keys").agg(F.min("__seq").alias("__seq"))
     )
-    keys = lists.select("__seq", F.posexplode("__keys").alias("__pos", "__key"))
-    first = keys.groupBy("__key").agg(F.min(F.struct("__seq", "__pos")).alias("__first"))
-    return [row["__key"] for row in first.orderBy("__first").collect()]
+    keys = lists.select("__path", "__seq", F.posexplode("__keys").alias("__pos", "__key"))
+    first = keys.groupBy("__path", "__key").agg(F.min(F.struct("__seq", "__pos")).alias("__first"))
+    ranks: dict[Path, dict[str, int]] = {path: {} for path in paths}
+    for row in first.orderBy("__path", "__first").collect():
+        at = ranks[paths[row["__path"]]]
+        at[row["__key"]] = len(at)
+
+    def arranged(t: T.DataType, path: Path) -> T.DataType:
+        if isinstance(t, T.ArrayType):
+            return T.ArrayType(arranged(t.elementType, (*path, None)))
+        if not isinstance(t, T.StructType):
+            return t
+        rank = ranks.get(path, {})
+        fields = sorted(t, key=lambda f: rank.get(f.name, len(rank)))
+        return T.StructType([T.StructField(f.name, arranged(f.dataType, (*path, f.name))) for f in fields])
+
+    return arranged(shape, ())
 
 
 def flatten_json(
-    df: DataFrame, column: str, keep: Iterable[str] = (), document_order: bool = True
+    df: DataFrame, column: str, keep: Iterable[str] = (), document_order: bool = True, tag: bool = False,
+    broken: str = "skip",
 ) -> DataFrame:
     """Parse, find the records, flatten, explode and clean the names: payload text in, flat rows out.
 
     ``document_order`` puts columns in the order keys appear in the text, at the price of one more pass; otherwise
-    they come by name.
+    they come by name.  ``tag`` adds the row sequence, in the order of payloads and of records within them.  Neither
+    depends on whether the input is staged.  For ``broken`` see `record_items`.
     """
-    keep = list(keep)
-    df = stage(df.select(*[F.col(quoted(c)) for c in [*keep, column]]))
-    order = document_key_order(df, column) if document_order else ()
-    return normalize_columns(flatten_records(record_items(df, column, keep), keep=keep, key_order=order))
+    keep, seq = list(keep), _PLACE[0]
+    tagged = df.select(*[F.col(quoted(c)) for c in [*keep, column]]).withColumn(seq, F.monotonically_increasing_id())
+    staged = stage(tagged)
+    place = list(_PLACE) if tag else []
+    records = record_items(staged, column, [*keep, seq], broken)
+    flat = flatten_records(records, keep=[*keep, *place], arrange=(
+        lambda shape: _in_document_order(staged, column, shape, seq)) if document_order else lambda shape: shape)
+    if tag:
+        flat = tag_in_order(flat, place, moved=staged is not tagged)
+    return normalize_columns(flat)

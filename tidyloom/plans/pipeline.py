@@ -13,7 +13,7 @@ from tidyloom.operators.columns import dates_to_text, drop_technical, project_ra
 from tidyloom.operators.keys import column_stats, detect_key, sort_by_key
 from tidyloom.operators.split import split_tables
 from tidyloom.plans.clean import CleanReport, clean
-from tidyloom.sinks.tables import csv_path, read_csv, write_all, write_csv
+from tidyloom.sinks.tables import csv_path, read_csv, table_name, write_all, write_catalog, write_csv
 from tidyloom.storage import sized_shuffles
 
 Writer = Callable[[DataFrame, str], None]
@@ -42,6 +42,16 @@ def csv_opener(folder: str, base: str):
     return lambda spark, kind: read_csv(spark, csv_path(folder, base, kind))
 
 
+def catalog_writer(base: str) -> Writer:
+    """Writer of one catalog table per kind, named ``base_kind``."""
+    return lambda df, kind: write_catalog(df, table_name(base, kind))
+
+
+def catalog_opener(base: str):
+    """Opener of the tables ``catalog_writer`` wrote, for the output check."""
+    return lambda spark, kind: spark.table(table_name(base, kind))
+
+
 def run_pipeline(
     df: DataFrame,
     writers: Iterable[Writer] = (),

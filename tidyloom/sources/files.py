@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidyloom.functions.names import file_format
 from tidyloom.operators.columns import all_text, tag_rows
-from tidyloom.operators.nested import flatten_json
+from tidyloom.operators.nested import flatten_json, invalid_payloads
 
 
 def scan_csv(
@@ -22,10 +22,26 @@ def scan_csv(
     return tag_rows(df) if tag else df
 
 
-def scan_json(spark: SparkSession, path: str, lines: bool = False, tag: bool = True) -> DataFrame:
-    """JSON documents to flat rows: one document per file, or one per line."""
-    df = flatten_json(spark.read.text(path, wholetext=not lines), "value")
-    return tag_rows(df) if tag else df
+def json_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The texts of JSON documents in ``value``: one document per file, or one per line that is not blank."""
+    df = spark.read.text(path, wholetext=not lines)
+    return df.filter(F.trim("value") != "") if lines else df
+
+
+def scan_json(
+    spark: SparkSession, path: str, lines: bool = False, tag: bool = True, broken: str = "error"
+) -> DataFrame:
+    """JSON documents to flat rows: one document per file, or one per line.
+
+    A document that is no JSON is an error.  ``broken="skip"`` passes over it; `json_rejects` has those.
+    """
+    return flatten_json(json_documents(spark, path, lines), "value", tag=tag, broken=broken)
+
+
+def json_rejects(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The documents that a scan of the same path cannot read, with the file each is in."""
+    documents = json_documents(spark, path, lines).withColumn("file", F.input_file_name())
+    return invalid_payloads(documents, "value").select("file", F.col("value").alias("document"))
 
 
 def scan_all_text(df: DataFrame, tag: bool = True) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tidyloom.config import ROW_SEQ
 from tidyloom.functions.names import file_format, unique_names
-from tidyloom.operators.columns import quoted, tag_rows
+from tidyloom.operators.columns import quoted, tag_in_order
 from tidyloom.operators.nested import flatten_json
 from tidyloom.storage import stage
 
@@ -95,24 +95,28 @@ def scan_csv_payload(df: DataFrame, content: str = "file_content", keep: Iterabl
     """Rows of CSV payloads that share one header, all columns text, plus the ``keep`` columns of their payload.
 
     Each payload is parsed where it lies.  The driver sees one header; that all others equal it is checked while the
-    rows are read, and a foreign one is an error.
+    rows are read, and a foreign one is an error.  Rows are numbered in the order of payloads and of records in them; only
+    where the input is left as it lies, those of irregular payloads come after all others.
     """
     keep = list(keep)
     kept = [F.col(quoted(c)) for c in keep]
-    df = stage(df.select(*kept, F.col(quoted(content))))
+    tagged = df.select(*kept, F.col(quoted(content))).withColumn("__payload_seq", F.monotonically_increasing_id())
+    df = stage(tagged)
+    moved, place = df is not tagged, ["__payload_seq", "__pos"]
+    travel = [*kept, F.col("__payload_seq")]
     text = payload_text(F.col(quoted(content)), df.schema[content].dataType)
-    parts = df.select(*kept, text.alias("__text")).select(*kept, "__text", F.split("__text", '"').alias("__parts"))
+    parts = df.select(*travel, text.alias("__text")).select(*travel, "__text", F.split("__text", '"').alias("__parts"))
     is_regular = _regular(F.col("__parts"))
     # Which way a payload goes is decided by exploding nothing, not by a filter: a filter would be pushed below the
     # projections and take every text apart again.
     lines = F.filter(split_records(F.col("__parts")), lambda r: F.trim(r) != "")
-    regular = parts.select(*kept, F.posexplode(F.when(is_regular, lines)).alias("__pos", "__line"))
+    regular = parts.select(*travel, F.posexplode(F.when(is_regular, lines)).alias("__pos", "__line"))
     record = T.StructType(
-        [df.schema[c] for c in keep]
+        [df.schema[c] for c in [*keep, "__payload_seq"]]
         + [T.StructField("__pos", T.IntegerType()), T.StructField("__fields", T.ArrayType(T.StringType()))]
     )
     irregular = parts.select(
-        *kept, F.explode(F.when(~is_regular, F.array("__text"))).alias("__text")
+        *travel, F.explode(F.when(~is_regular, F.array("__text"))).alias("__text")
     ).mapInPandas(_record_reader(), record)
 
     found = regular.filter("__pos = 0").select("__line").head()
@@ -127,23 +131,25 @@ def scan_csv_payload(df: DataFrame, content: str = "file_content", keep: Iterabl
 
     cells = ", ".join(f"{n} string" for n in [*names, "__extra"])
     native = _no_more_cells(_without_header(regular, F.col("__line") == F.lit(line)).select(
-        *kept, F.from_csv("__line", cells, _CSV_OPTIONS).alias("__row")
-    ), F.col("__row.__extra")).select(*kept, *[F.col(f"__row.{n}").alias(n) for n in names])
+        *travel, "__pos", F.from_csv("__line", cells, _CSV_OPTIONS).alias("__row")
+    ), F.col("__row.__extra")).select(*travel, "__pos", *[F.col(f"__row.{n}").alias(n) for n in names])
     rest = F.array_join(F.slice("__fields", len(header) + 1, 1 << 30), "")
     python = _no_more_cells(_without_header(
         irregular, F.col("__fields") == F.array(*[F.lit(h) for h in header])
     ), rest).select(
-        *kept, *[F.get("__fields", F.lit(i)).alias(n) for i, n in enumerate(names)]
+        *travel, "__pos", *[F.get("__fields", F.lit(i)).alias(n) for i, n in enumerate(names)]
     )
-    values = native.unionByName(python).select(*kept, *[F.nullif(F.col(n), F.lit("")).alias(n) for n in names])
-    return tag_rows(values.toDF(*keep, *_column_names(header)))
+    values = native.unionByName(python).select(
+        *travel, "__pos", *[F.nullif(F.col(n), F.lit("")).alias(n) for n in names]
+    )
+    return tag_in_order(values.toDF(*keep, *place, *_column_names(header)), place, moved)
 
 
 def scan_payload(df: DataFrame, file_name: str, content: str = "file_content") -> DataFrame:
     """Payloads of one dataset by its file extension; an unknown one is tried as CSV."""
     if file_format(file_name) == "json":
         text = payload_text(F.col(quoted(content)), df.schema[content].dataType)
-        return tag_rows(flatten_json(df.select(text.alias(content)), content))
+        return flatten_json(df.select(text.alias(content)), content, tag=True, broken="error")
     return scan_csv_payload(df, content)
 
 
