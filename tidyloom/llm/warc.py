@@ -161,11 +161,24 @@ def reassemble(segments: list[tuple[int, int | None, bytes]]) -> bytes:
 
 
 _SEGMENTS = ("record_id string, page_id long, url string, record_type string, refers_id string, claimed string, "
-             "number int, total long, block binary")
+             "payload_bytes long, payload_digest string, problem string, number int, total long, block binary")
 RECORDS = ("record_id string, page_id long, url string, record_type string, refers_id string, payload binary, "
            "payload_bytes long, payload_digest string, problem string")
 
 
+def _checked(segments: list[tuple[int, int | None, bytes]] | bytes, claimed: str | None
+             ) -> tuple[bytes | None, int | None, str | None, str | None]:
+    """Payload, its length, its digest and what is wrong, of a block or of its segments."""
+    try:
+        payload = payload_of(segments if isinstance(segments, bytes) else reassemble(segments))
+        sha = digest(payload)
+        if claimed not in (None, sha):
+            raise ValueError(f"digest {sha}, announced {claimed}")
+        return payload, len(payload), sha, None
+    except ValueError as error:
+        return None, None, None, str(error)
+
+
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row per response or revisit record of all archives in a folder.
 
@@ -180,12 +193,17 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
             rows: list[tuple] = []
             for f, block in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer()))):
                 number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
-                page = f.get("x-page-id")
+                page, kind = f.get("x-page-id"), f["warc-type"]
+                claimed = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                found = None, None, None
+                if number is None:
+                    # A record in one piece is decoded here; only segments travel with their blocks.
+                    payload, *found = _checked(block, claimed) if kind == "response" else (
+                        None, None, claimed if kind == "revisit" else None, None)
+                    block = payload if with_payload else None
                 rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), int(page) if page else None,
-                             f.get("warc-target-uri"), f["warc-type"], f.get("warc-refers-to"),
-                             f.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-                             int(number) if number else 1, int(total) if total else None if number else len(block),
-                             block))
+                             f.get("warc-target-uri"), kind, f.get("warc-refers-to"), claimed, *found,
+                             int(number) if number else 0, int(total) if total else None, block))
                 if len(rows) >= 500:
                     yield _batch(rows, _SEGMENTS)
                     rows = []
@@ -196,28 +214,25 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     # A record is as large as a page; segments of one meet here, whichever archive they are in.
     first = F.col("record_type") != "continuation"
     grouped = parts.groupBy("record_id").agg(
-        *(F.max(F.when(first, F.col(c))).alias(c) for c in ("page_id", "url", "record_type", "refers_id", "claimed")),
+        *(F.max(F.when(first, F.col(c))).alias(c) for c in ("page_id", "url", "record_type", "refers_id", "claimed",
+                                                                  "payload_bytes", "payload_digest", "problem")),
         F.collect_list(F.struct("number", "total", "block")).alias("segments"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in (row for at in range(0, batch.num_rows, 100) for row in batch.slice(at, 100).to_pylist()):
-                payload = sha = problem = None
-                if r["record_type"] == "response":
-                    try:
-                        payload = payload_of(reassemble([(s["number"], s["total"], s["block"]) for s in r["segments"]]))
-                        sha = digest(payload)
-                        if r["claimed"] not in (None, sha):
-                            raise ValueError(f"digest {sha}, announced {r['claimed']}")
-                    except ValueError as error:
-                        payload = sha = None
-                        problem = str(error)
+                payload, size, sha, problem = None, r["payload_bytes"], r["payload_digest"], r["problem"]
+                whole = [s["block"] for s in r["segments"] if s["number"] == 0]
+                if whole:
+                    payload = whole[0]
                 elif r["record_type"] is None:
                     problem = "continuation records without their first"
+                elif r["record_type"] == "response":
+                    parts = [(s["number"], s["total"], s["block"]) for s in r["segments"]]
+                    payload, size, sha, problem = _checked(parts, r["claimed"])
                 rows.append((r["record_id"], r["page_id"], r["url"], r["record_type"], r["refers_id"],
-                             payload if with_payload else None, None if payload is None else len(payload),
-                             r["claimed"] if r["record_type"] == "revisit" else sha, problem))
+                             payload if with_payload else None, size, sha, problem))
             if rows:
                 yield _batch(rows, RECORDS)
 
