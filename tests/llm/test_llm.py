@@ -153,6 +153,22 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert got[9].text.endswith(" 000-12-3456")
 
 
+def test_only_valid_card_numbers_change(spark):
+    texts = ["4111111111111112 4111 1111 1111 1112", "in 2019 2020 2021 2022", "2019 2020 2021 2022 2023 2024 2025",
+             "12 4111 1111 1111 1111 x", "2019 4111-1111-1111-1111 2020", "12345 2024-02-29", "4111111111111111 10.0.0.1",
+             "4111 1111 1111 1111 5500 0000 0000 0004", "7 " * 5000 + "4111111111111111", "12345678901234567890"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymize(rows).collect()}
+    assert [got[i].n_found for i in range(10)] == [0, 0, 0, 1, 1, 1, 2, 2, 1, 0]
+    assert [got[i].text for i in (0, 1, 2, 9)] == [texts[i] for i in (0, 1, 2, 9)]
+    card = got[6].text.split()[0]
+    assert card != "4111111111111111" and got[8].text == "7 " * 5000 + card
+    assert got[3].text == f"12 {card[:4]} {card[4:8]} {card[8:12]} {card[12:]} x"
+    assert got[4].text == f"2019 {card[:4]}-{card[4:8]}-{card[8:12]}-{card[12:]} 2020"
+    assert got[5].text.startswith("12345 ") and got[5].text != texts[5] and not got[6].text.endswith(" 10.0.0.1")
+    assert got[7].text.startswith(f"{card[:4]} {card[4:8]} ") and not got[7].text.endswith(" 0004")
+
+
 def test_feistel_permutes(spark):
     pairs = spark.range(12 * 7).select(pii.feistel_numbers(F.col("id") % 12, F.col("id") / 12, 12, 7, "k", "t").alias("p"))
     assert pairs.distinct().count() == 84 and pairs.where("p.l >= 12 OR p.r >= 7 OR p.l < 0 OR p.r < 0").count() == 0

@@ -25,7 +25,11 @@ DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 PHONE = (r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
          r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])")
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: A whole run of groups of digits, up to a value of another kind; `_cards` looks for numbers in it.
+CARD = (r"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++"
+        rf"(?:[ -](?!{EMAIL}|{SECRET}|{ADDRESS}|{DATE}|{SOCIAL}|{PHONE})[0-9]++)*+")
+#: How card numbers begin.
+ISSUER = "^(?:2[2-7]|[3-6])"
 #: Tried at each place in this order.
 PATTERN = "|".join((EMAIL, SECRET, IBAN, ADDRESS, DATE, SOCIAL, PHONE, CARD))
 
@@ -119,15 +123,42 @@ def _secret(value: Column, key: str) -> Column:
                 lambda new: F.when(value.rlike("[a-f]"), new).otherwise(F.upper(new)))
 
 
-def _card(value: Column, key: str) -> Column:
-    """The last digit keeps its distance from the right check digit, so valid numbers stay valid."""
-    def permute(digits: Column) -> Column:
-        return _let(F.length(digits), lambda n: _let(digits.substr(F.lit(1), n - 1), lambda payload: _let(
-            feistel_text(payload, key, "number"), lambda new: F.concat(new, F.pmod(
-                luhn_digit(new) + digits.substr(n, F.lit(1)).cast("int") - luhn_digit(payload), F.lit(10))
-                .cast("string")))))
+def _cards(value: Column, key: str) -> Column:
+    """A run of groups of digits with its card numbers replaced, and how many these are: a struct ``text, n``.
 
-    return _refill(value, _let(F.regexp_replace(value, "[^0-9]", ""), permute))
+    A card number is 13 to 19 digits of whole groups whose last one is the check digit; the longest counts.  It begins
+    the run, follows another or is a single group; between other numbers it must also begin as cards do, or lists of
+    numbers would hold too many by chance.
+    """
+    def digits(c: Column) -> Column:
+        return F.regexp_replace(c, "[^0-9]", "")
+
+    def valid(c: Column) -> Column:
+        return _let(digits(c), lambda d: luhn_digit(d.substr(F.lit(1), F.length(d) - 1)).cast("string") == F.right(d, F.lit(1)))
+
+    def permute(c: Column) -> Column:
+        return _let(digits(c), lambda d: _let(feistel_text(d.substr(F.lit(1), F.length(d) - 1), key, "number"),
+                                              lambda new: _refill(c, F.concat(new, luhn_digit(new).cast("string")))))
+
+    def longest(rest: Column, first: Column) -> Column:
+        found = F.array(*(F.regexp_extract(rest, rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])", 0) for n in range(19, 12, -1)))
+        return F.get(F.filter(found, lambda c: (c != "") & (first | ~c.rlike("[ -]") | c.rlike(ISSUER)) & valid(c)), F.lit(0))
+
+    def search(groups: Column) -> Column:
+        def turn(state: Column, group: Column) -> Column:
+            """``i`` is the number of this group, ``free`` that of the first one behind the last card number."""
+            rest = F.array_join(F.slice(groups, state.i, 19), "")
+            card = F.when(state.i >= state.free, longest(rest, state.i == state.free))
+            return _let(card, lambda c: _let(state.i + F.size(F.split(c, "[ -]")), lambda free: F.struct(
+                (state.i + 1).alias("i"), F.when(c.isNull(), state.free).otherwise(free).alias("free"),
+                F.when(state.i < state.free, state.text).when(c.isNull(), F.concat(state.text, group)).otherwise(
+                    F.concat(state.text, permute(c), F.regexp_replace(F.get(groups, free - 2), "[0-9]", ""))).alias("text"),
+                (state.n + c.isNotNull().cast("int")).alias("n"))))
+
+        start = F.struct(F.lit(1).alias("i"), F.lit(1).alias("free"), F.lit("").alias("text"), F.lit(0).alias("n"))
+        return F.aggregate(groups, start, turn, lambda s: F.struct(s.text.alias("text"), s.n.alias("n")))
+
+    return _let(F.regexp_extract_all(value, F.lit("[0-9]+[ -]?"), F.lit(0)), search)
 
 
 def iban_rest(letters: Column) -> Column:
@@ -199,16 +230,19 @@ def _social(value: Column, key: str) -> Column:
 
 
 def pseudonym(value: Column, key: str = KEY) -> Column:
-    """The pseudonym of one found value; what fails its validation stays as it is."""
+    """One found value with its pseudonym, and how many values in it changed: a struct ``text, n``; what fails its
+    validation stays as it is."""
     local = F.substring_index(value, "@", 1)
-    return (F.when(value.contains("@"), F.concat(feistel_text(local, key, "email"),
-                                                 value.substr(F.length(local) + 1, F.length(value))))
-            .when(value.rlike(f"^(?:{SECRET})$"), _secret(value, key))
-            .when(value.rlike("^[A-Z]"), _iban(value, key))
-            .when(value.rlike(r"^[0-9]+(\.[0-9]{1,3}){3}$"), _address(value, key))
-            .when(value.rlike(f"^(?:{DATE})$"), _date(value, key))
-            .when(value.rlike(f"^(?:{SOCIAL})$"), _social(value, key))
-            .when(value.rlike(f"^(?:{PHONE})$"), _phone(value, key)).otherwise(_card(value, key)))
+    single = (F.when(value.contains("@"), F.concat(feistel_text(local, key, "email"),
+                                                   value.substr(F.length(local) + 1, F.length(value))))
+              .when(value.rlike(f"^(?:{SECRET})$"), _secret(value, key))
+              .when(value.rlike("^[A-Z]"), _iban(value, key))
+              .when(value.rlike(r"^[0-9]+(\.[0-9]{1,3}){3}$"), _address(value, key))
+              .when(value.rlike(f"^(?:{DATE})$"), _date(value, key))
+              .when(value.rlike(f"^(?:{SOCIAL})$"), _social(value, key))
+              .when(value.rlike(f"^(?:{PHONE})$"), _phone(value, key)))
+    return _let(single, lambda new: F.when(new.isNull(), _cards(value, key)).otherwise(
+        F.struct(new.alias("text"), (new != value).cast("int").alias("n"))))
 
 
 def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
@@ -223,8 +257,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     found = docs.select(*kept, text.alias(text_col), F.coalesce(
         F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")).alias("_found"))
     changed = found.withColumn("_new", F.transform("_found", lambda v: pseudonym(v, key)))
-    pieces = F.zip_with(F.split(text, PATTERN, -1), "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    pieces = F.zip_with(F.split(text, PATTERN, -1), "_new", lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit(""))))
     out = changed.select(*kept, F.when(F.size("_found") == 0, text).otherwise(F.array_join(pieces, "")).alias(text_col),
-                         F.size(F.filter(F.arrays_zip("_found", "_new"), lambda z: z["_found"] != z["_new"]))
-                         .cast("long").alias("n_found"))
+                         F.aggregate("_new", F.lit(0).cast("long"), lambda total, v: total + v["n"]).alias("n_found"))
     return out.select(*(f"`{c}`" for c in names if c != "n_found"), "n_found")
