@@ -169,6 +169,26 @@ def test_only_valid_card_numbers_change(spark):
     assert got[7].text.startswith(f"{card[:4]} {card[4:8]} ") and not got[7].text.endswith(" 0004")
 
 
+def test_account_numbers_end_where_they_end(spark):
+    account = "ES91 2100 0418 4502 0005 1332"
+    texts = [account, f"{account} I said", "ES9121000418450200051332 EUR 50", f"{account} 4111 1111 1111 1111",
+             "AT61 1904 3002 3457 3201 AND 2020", "BE68 5390 0754 7034 OK", f"{account[:-1]}3 I said",
+             "NO93 8601 1117 947 A", "MR1300020001010000123456753 X"]
+    texts += [f"ZZ{98 - int('1234567890123535' + '00') % 97:02} 1234 5678 9012 THE END"]  # no such country
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymize(rows).collect()}
+    assert [got[i].n_found for i in range(10)] == [1, 1, 1, 2, 1, 1, 0, 1, 1, 1]
+    new = got[0].text
+    assert new != account and got[1].text == f"{new} I said" and got[2].text == new.replace(" ", "") + " EUR 50"
+    assert got[3].text.startswith(f"{new} ") and not got[3].text.endswith("4111 1111 1111 1111")
+    assert got[6].text == texts[6]
+    for i, end in ((4, " AND 2020"), (5, " OK"), (7, " A"), (8, " X"), (9, " THE END")):
+        assert got[i].text.endswith(end) and got[i].text != texts[i]
+        plain = got[i].text.removesuffix(end).replace(" ", "")
+        assert len(plain) == len(texts[i].removesuffix(end).replace(" ", ""))
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
 def test_feistel_permutes(spark):
     pairs = spark.range(12 * 7).select(pii.feistel_numbers(F.col("id") % 12, F.col("id") / 12, 12, 7, "k", "t").alias("p"))
     assert pairs.distinct().count() == 84 and pairs.where("p.l >= 12 OR p.r >= 7 OR p.l < 0 OR p.r < 0").count() == 0

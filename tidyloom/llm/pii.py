@@ -19,7 +19,22 @@ ERA, ERA_PART, FIRST_DAY = 73_000, 292, -25_567
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,24}"
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
-IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
+#: How long the account numbers of each country are.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban_pattern() -> str:
+    """Account numbers as long as their country has them; of other countries, and of other lengths, any."""
+    known = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}"
+                     + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![0-9A-Za-z])" for n, c in IBAN_LENGTHS.items())
+    return rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{known}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![0-9A-Za-z]))"
+
+
+IBAN = _iban_pattern()
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
@@ -170,15 +185,19 @@ def iban_rest(letters: Column) -> Column:
 
 
 def _iban(value: Column, key: str) -> Column:
+    """A match may have taken words that follow: of its beginnings that end with a word, the longest valid one counts."""
     def permute(letters: Column) -> Column:
         account = feistel_text(letters.substr(F.lit(5), F.length(letters)), key, "iban")
         return _let(F.struct(letters.substr(1, 2).alias("c"), account.alias("a")), lambda x: F.concat(
             x.c, F.lpad((98 - iban_rest(F.concat(x.c, F.lit("00"), x.a))).cast("string"), 2, "0"), x.a))
 
-    def valid(letters: Column) -> Column:
-        return F.when(iban_rest(letters) == 1, _refill(value, permute(letters))).otherwise(value)
+    def search(words: Column) -> Column:
+        starts = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+        return F.get(F.filter(starts, lambda c: _let(
+            F.regexp_replace(c, " ", ""), lambda letters: (F.length(letters) >= 12) & (iban_rest(letters) == 1))), F.lit(0))
 
-    return _let(F.regexp_replace(value, " ", ""), valid)
+    return _let(search(F.split(value, " ")), lambda found: F.when(found.isNull(), value).otherwise(F.concat(
+        _refill(found, permute(F.regexp_replace(found, " ", ""))), value.substr(F.length(found) + 1, F.length(value)))))
 
 
 def _phone(value: Column, key: str) -> Column:
