@@ -26,11 +26,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group; documents without an id have none to be told apart by
-    and stay."""
-    groups = simhash.near_duplicates(docs, shingle=4, max_bits=4)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """Keep one row of each group: that with the smallest id, null ids last; of rows that share it, or have none, the
+    first as numbered in a written table."""
+    return simhash.first_rows(docs, shingle=4, max_bits=4)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

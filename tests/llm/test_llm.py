@@ -399,6 +399,17 @@ def test_pipeline_of_odd_rows(spark, odd):
     assert digest and public_tokenizers.path("byte_bpe_50k.json")
 
 
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in ("red", "blue", "green"))
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, a), (None, c), (None, c), (7, b), (9, None), (None, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text or "") for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (5, b), (None, c), (9, "")], key=str)
+
+
 @pytest.mark.parametrize("name", queries.SQL)
 def test_query_matches_sql(spark, name):
     assert difference(queries.QUERIES[name](spark, SF), connect(SF), queries.SQL[name]) is None

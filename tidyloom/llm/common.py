@@ -45,11 +45,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id`` and ``text`` (null: empty) alone, so that no other column can clash with what an operator adds."""
+def id_and_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """``doc_id`` and ``text`` (null: empty) alone, so that no other column can clash with what an operator adds; and
+    those of ``more``."""
     ship(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"),
-                     F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+                     F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
 
 def shards(df: DataFrame, size: Column, per_shard: int) -> int:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.llm.common import id_and_text, written
@@ -51,14 +51,19 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, code``, the fingerprint as a signed long, of every row; null texts count as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text",
+                 row_col: str | None = None) -> DataFrame:
+    """``doc_id, code``, the fingerprint as a signed long, of every row, and the long ``row_col`` if it is given; null
+    texts count as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), "u8", batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes.view("i8"))], ["doc_id", "code"])
+            rest = batch.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(codes.view("i8"))], [*rest.schema.names, "code"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, code long")
+    more = (row_col,) if row_col else ()
+    return id_and_text(docs, id_col, text_col, *more).mapInArrow(
+        run, ", ".join(["doc_id long", *(f"`{c}` long" for c in more), "code long"]))
 
 
 def halves(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,6 +205,15 @@ def links(codes: DataFrame, max_bits: int) -> DataFrame:
             .applyInArrow(compare, "a long, b long"))
 
 
+def groups(of_docs: DataFrame, least: Column, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """``code, root`` of the distinct codes, and ``root, least``, the smallest ``least`` of the rows of each group."""
+    codes = written(of_docs.groupBy("code").agg(F.min(least).alias("least")), "codes")
+    roots = components(links(codes.select("code"), max_bits))
+    of_codes = codes.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn(
+        "root", F.coalesce("root", "code"))
+    return of_codes.select("code", "root"), of_codes.groupBy("root").agg(F.min("least").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``doc_id, code, component_id`` of every row.
@@ -210,10 +224,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col
     one.
     """
     of_docs = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    codes = written(of_docs.groupBy("code").agg(F.min("doc_id").alias("least")), "codes")
-    roots = components(links(codes.select("code"), max_bits))
-    of_codes = codes.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn(
-        "root", F.coalesce("root", "code"))
-    least = of_codes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return of_docs.join(of_codes.select("code", "root").join(least, "root").select("code", "component_id"), "code") \
+    of_codes, least = groups(of_docs, F.col("doc_id"), max_bits)
+    least = least.withColumnRenamed("least", "component_id")
+    return of_docs.join(of_codes.join(least, "root").select("code", "component_id"), "code") \
         .select("doc_id", "code", "component_id")
+
+
+def first_rows(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of `near_duplicates`: that with the smallest id, null ids last.
+
+    Rows are told apart by a number that is fixed in a written table, so of rows that share an id, or have none, one
+    stays too.
+    """
+    key = "_row"
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    of_docs = written(fingerprints(rows, shingle, id_col, text_col, key), "fingerprints")
+    _, least = groups(of_docs, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key), max_bits)
+    return rows.join(least.select(F.col(f"least.{key}").alias(key)), key, "left_semi").drop(key)
