@@ -211,6 +211,19 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
+def test_archives_keep_every_row(spark):
+    big = "z" * 5000
+    rows = [(5, "u", ""), (5, "u", ""), (5, "v", ""), (None, "u", "x"), (None, "u", "x"), (7, "u", big), (7, "u", big),
+            (8, "u", big), (None, "u", "y"), (None, "u", "y"), (9, "u", "x"), (9, "u", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted((tuple(r) for r in warc.round_trip(pages, segment_bytes=1000).select(
+        "page_id", "payload_bytes", "record_type", "refers_to", "problem").collect()), key=str)
+    assert len(got) == len(rows) == pages.count()
+    assert got == sorted([(5, 0, "response", None, None)] * 3 + [(None, 1, "revisit", 9, None)] * 2
+                         + [(7, 5000, "response", None, None)] * 2 + [(8, 5000, "revisit", 7, None)]
+                         + [(None, 1, "response", None, None)] * 2 + [(9, 1, "response", None, None)] * 2, key=str)
+
+
 def test_segments_across_archives_and_broken_ones(spark, tmp_path):
     payload = bytes(range(256)) * 20
     parts = warc.records(1, "u", payload, None, 500)

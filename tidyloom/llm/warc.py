@@ -35,8 +35,10 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, payload_digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{payload_digest}')}>"
+def record_id(page_id: int | None, payload_digest: str, row: int | None = None) -> str:
+    """``row`` tells apart pages that share an id and a payload."""
+    name = f"{page_id}:{payload_digest}" if row is None else f"{page_id}:{payload_digest}:{row}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
 def encode_chunks(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -65,17 +67,18 @@ def _record(fields: dict[str, object], block: bytes) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, leader: int | None, segment_bytes: int) -> list[bytes]:
+def records(page_id: int | None, url: str | None, payload: bytes, leader: int | None, segment_bytes: int,
+            row: int | None = None, leader_row: int | None = None) -> list[bytes]:
     """The records of one page; ``leader`` is the page that has the payload already."""
     sha = digest(payload)
-    own = record_id(page_id, sha)
+    own = record_id(page_id, sha, row)
     fields = {"WARC-Record-ID": own, "WARC-Date": DATE,
               "WARC-Target-URI": None if url is None else quote(url, safe=":/?#[]@!$&'()*+,;=%~"),
               "WARC-Payload-Digest": f"sha1:{sha}", "X-Page-Id": page_id,
               "Content-Type": "application/http; msgtype=response"}
     if leader is not None:
         return [_record({"WARC-Type": "revisit", "WARC-Profile": REVISIT_PROFILE,
-                         "WARC-Refers-To": record_id(leader, sha), **fields}, HEAD)]
+                         "WARC-Refers-To": record_id(leader, sha, leader_row), **fields}, HEAD)]
     block = HEAD + encode_chunks(payload)
     parts = [block[i:i + segment_bytes] for i in range(0, len(block), segment_bytes)]
     if len(parts) == 1:
@@ -95,29 +98,32 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_bytes
 
     Of equal payloads of at least ``min_revisit_bytes`` the page with the smallest id is the response; a null id is
     larger than any other, and among null ids alone each is a response.  A null payload is empty, a null address is left
-    out.  Rows with one id and payload make records with one identifier, which the reader takes for one.
+    out.  Each row makes a record of its own: its identifier has the row's number in a written table.
     """
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload"))
-    keys = rows.select("page_id", "sha", F.octet_length("payload").alias("n")).where(F.col("n") >= min_revisit_bytes)
-    leaders = keys.groupBy("sha").agg(F.min("page_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # Only narrow rows meet at a payload that many pages share; the payloads move by page.
-    later = keys.join(leaders, "sha").where("NOT page_id <=> leader").select(
-        F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "leader").distinct()
-    linked = rows.join(later, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
+    rows = written(rows.withColumns({"sha": F.sha1("payload"), "row": F.monotonically_increasing_id()}), "pages")
+    keys = rows.select("row", "page_id", "sha").where(F.octet_length("payload") >= min_revisit_bytes)
+    # The first row of the smallest id; null ids are largest.
+    leaders = keys.groupBy("sha").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias(
+        "leader"), F.count("*").alias("n")).where("n > 1").select("sha", "leader.page_id", "leader.row")
+    leaders = leaders.toDF("sha", "leader", "leader_row")
+    # Only narrow rows meet at a payload that many pages share; the payloads move by row.
+    later = keys.join(leaders, "sha").where("NOT page_id <=> leader").select("row", "leader", "leader_row")
+    linked = rows.drop("sha").join(later, "row", "left")
+    columns = ("page_id", "url", "payload", "leader", "row", "leader_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page_id, url, payload, leader in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "leader"))):
+            for page_id, url, payload, leader, row, leader_row in zip(*(batch.column(c) for c in columns)):
                 # The writer ends each line, and so each record, with the last of its line breaks.
                 out += [r[:-2] for r in records(page_id.as_py(), url.as_py(), payload.as_py(), leader.as_py(),
-                                                segment_bytes)]
+                                                segment_bytes, row.as_py(), leader_row.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    made = linked.select("page_id", "url", "payload", "leader").mapInArrow(run, "record binary")
+    made = linked.select(*columns).mapInArrow(run, "record binary")
     made.select(F.col("record").cast("string")).write.option("lineSep", "\r\n").option("compression", "gzip").option(
         "maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
