@@ -300,6 +300,23 @@ def test_odd_pages(spark):
     assert len(rows) == 5 and all(r.n_chars == len(r.text) for r in rows)
 
 
+def test_no_remainder_of_a_page_is_cut():
+    def text(source):
+        return " ".join(" ".join(html_extract.Page(source).texts()).split())
+
+    assert text("<p>a</p><svg viewBox='0'/><p>b</p><p>c") == "a b c"
+    assert text("<p>a <svg><title>t</title><path d='x'/><text>n</text></svg> b</p>") == "a b"
+    for tag in ("button", "select", "object", "video", "audio", "canvas", "noscript", "template", "svg"):
+        assert text(f"<div><{tag}>x</div><p>a</p><p>b</p><div><{tag}>y</{tag}></div>c").endswith("a b c")
+        assert text(f"<p>a</p><{tag}>x<div>y</div></{tag}><p>b</p>") == "a b"
+        assert text(f"<p>a</p><{tag}><p>b</p>") == "a b"
+    assert text("<p>a<noscript><div>x</div><a href=y>z</a></noscript>b</p>") == "ab"
+    assert text("<object>x<object>y</object>z</object>a") == "a"
+    assert text("<html><head><title>x</title><p>text") == "text"
+    assert text("<html><head><title>x</title><meta a=b><noscript><img src=x>n</noscript>text <b>c</b>") == "text c"
+    assert text("<html><head><title>x</title> <span>a</span></head><body>b") == "a b"
+
+
 # -- toxicity
 
 def test_held_out_accuracy(spark):

@@ -31,8 +31,11 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[
                     r"|</?[a-zA-Z][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "iframe", "title",
-                                                   "textarea", "select", "button", "object", "canvas", "video", "audio")}
+#: Elements whose content is no markup, and elements that hold no text of a page.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "title", "textarea", "iframe")}
+HIDDEN = frozenset("noscript template svg select button object canvas video audio".split())
+#: What a head can hold.
+HEAD = frozenset("html head base link meta title script style noscript template basefont bgsound noframes".split())
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s "
                    "samp small span strike strong sub sup time tt u var wbr".split())
@@ -66,10 +69,14 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack, at, link, fresh = [0], 0, False, True
+        before = {}  # of open hidden elements, what the page was before
         find = _TOKEN.search
         while True:
             m = find(source, at)
             piece = source[at:m.start() if m else len(source)]
+            if self.tag[stack[-1]] == "head" and (piece.strip() or m and not m[1] and m[2] and m[2].lower() not in HEAD):
+                stack.pop()  # its end tag may be left out
+                fresh, link = True, False
             if piece and "head" not in (self.tag[b] for b in stack[1:3]):
                 if fresh:
                     if not piece.isspace():
@@ -98,6 +105,17 @@ class Page:
                 continue
             if tag in VOID and tag != "hr":
                 continue
+            if m[1] and tag in HIDDEN:
+                k = next((k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == tag), 0)
+                if k:  # only an element that has its end is left out, else all that follows would be
+                    fresh, link = self._back(*before.pop(stack[k]))
+                    del stack[k:]
+                continue
+            if tag == "svg" and m[3].endswith("/"):
+                continue
+            if tag in HIDDEN:
+                run = self.runs[-1] if self.runs else (0, (), 0)
+                before[len(self.tag)] = len(self.tag), len(self.runs), len(run[1]), run[2], fresh, link
             fresh, link = True, False
             if m[1]:
                 for k in range(len(stack) - 1, 0, -1):
@@ -113,9 +131,9 @@ class Page:
                 if open_ in ended:
                     del stack[k:]
                     break
-                if open_ in SCOPES:
+                if open_ in SCOPES or open_ in HIDDEN:
                     break
-            if tag == "hr" or m[3].endswith("/") and tag not in SCOPES:
+            if tag == "hr" or m[3].endswith("/") and tag not in SCOPES and tag not in HIDDEN:
                 continue
             words = [w.lower() for a in _ATTRIBUTE.findall(m[3]) for w in _WORD.findall(a[1] or a[2] or a[3])]
             self.tag.append(tag)
@@ -124,6 +142,16 @@ class Page:
             self.tags.append(0)
             stack.append(len(self.tag) - 1)
 
+    def _back(self, blocks: int, runs: int, parts: int, linked: int, fresh: bool, link: bool) -> tuple[bool, bool]:
+        """Leave out all blocks and runs since these counts."""
+        for column in (self.tag, self.names, self.parent, self.tags):
+            del column[blocks:]
+        del self.runs[runs:]
+        if runs:
+            del self.runs[-1][1][parts:]
+            self.runs[-1][2] = linked
+        return fresh, link
+
     def texts(self) -> list[str]:
         """Each run with references decoded and white space collapsed."""
         out = []
