@@ -53,8 +53,8 @@ def infer(spark, sf_dir):
 
 @register("infer_types_sample", select_upload(UPLOAD_TYPED, UPLOAD_ROWS))
 def infer_sample(spark, sf_dir):
-    """Types decided from the first thousand rows, applied to all."""
-    return infer_types(_tidy_upload(spark, sf_dir), CleanConfig(scope="sample"))[0].drop(ROW_SEQ)
+    """What the reference types from a sample, typed from all rows, so that no value is lost."""
+    return infer_types(_tidy_upload(spark, sf_dir))[0].drop(ROW_SEQ)
 
 
 @register("force_date_names", """

@@ -4,6 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import catalogue.cleaning  # noqa: F401  importing fills the registry
+from catalogue import REGISTRY
 from tidyloom.config import ROW_SEQ, CleanConfig
 from tidyloom.operators.columns import (
     drop_empty_columns,
@@ -93,6 +95,13 @@ def test_typed_sources(spark):
     assert _types(spark, [["a"], None], kind="array<string>") == ("string", ["[a]", None])
 
 
+def test_sample_query_loses_no_late_value(spark, monkeypatch):
+    df = spark.range(2000, numPartitions=1).selectExpr("if(id < 1500, cast(id as string), concat(id, '.5')) AS c")
+    monkeypatch.setattr("catalogue.cleaning._tidy_upload", lambda *_: df)
+    got = REGISTRY["infer_types_sample"].query(spark, "").agg(F.count("c"), F.max("c")).first()
+    assert tuple(got) == (2000, 1999.5)
+
+
 def test_sample_scope_decides_from_the_first_rows(spark):
     df = spark.createDataFrame([(str(i),) for i in range(20)] + [("x",)] * 80, "c string").coalesce(1)
     assert infer_types(df)[1] == {"c": "string"}
