@@ -1,4 +1,4 @@
-"""The registered queries ``op1_`` to ``op10_`` and, where SQL can express them, their SQL."""
+"""The registered queries ``op1_`` to ``op13_`` and, where SQL can express them, their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyloom.llm import bpe_trie, hamming_search, html_extract, merkle, packing, pii, simhash, suffix_dedup, toxicity, warc
+from tidyloom.llm import (bpe_trie, decontaminate, hamming_search, html_extract, merkle, packing, pii, simhash, suffix_dedup,
+                          toxicity, warc)
 from tidyloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,11 +68,19 @@ def op10_simhash_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_array_dedup, op2_best_fit_packing, op3_pii_feistel, op4_warc_segments,
         op5_merkle_fingerprints, op6_hamming_top_k, op7_html_boosted_trees, op8_toxicity_ftrl, op9_bpe_trie,
-        op10_simhash_vantage_points)}
+        op10_simhash_vantage_points, op11_aho_corasick_decontamination)}
 
 SQL: dict[str, str] = {"op4_warc_segments": warc.SQL, "op5_merkle_fingerprints": merkle.SQL,
-                       "op6_hamming_top_k": hamming_search.SQL}
+                       "op6_hamming_top_k": hamming_search.SQL, "op11_aho_corasick_decontamination": decontaminate.SQL}
