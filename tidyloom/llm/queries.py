@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyloom.llm import (bpe_trie, decontaminate, hamming_search, html_extract, lexical_search, merkle, packing, pii, simhash,
-                          suffix_dedup, toxicity, warc)
+from tidyloom.llm import (bpe_trie, decontaminate, hamming_search, html_extract, lexical_search, merkle, packing, pii,
+                          prefix_trie, simhash, suffix_dedup, toxicity, warc)
 from tidyloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,6 +76,10 @@ def op11_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataF
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_prefix_trie_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
@@ -84,8 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_array_dedup, op2_best_fit_packing, op3_pii_feistel, op4_warc_segments,
         op5_merkle_fingerprints, op6_hamming_top_k, op7_html_boosted_trees, op8_toxicity_ftrl, op9_bpe_trie,
-        op10_simhash_vantage_points, op11_aho_corasick_decontamination, op13_bit_sliced_search)}
+        op10_simhash_vantage_points, op11_aho_corasick_decontamination, op12_prefix_trie_slots,
+        op13_bit_sliced_search)}
 
 SQL: dict[str, str] = {"op4_warc_segments": warc.SQL, "op5_merkle_fingerprints": merkle.SQL,
                        "op6_hamming_top_k": hamming_search.SQL, "op11_aho_corasick_decontamination": decontaminate.SQL,
-                       "op13_bit_sliced_search": lexical_search.SQL}
+                       "op12_prefix_trie_slots": prefix_trie.SQL, "op13_bit_sliced_search": lexical_search.SQL}
