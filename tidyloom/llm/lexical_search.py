@@ -290,11 +290,18 @@ def _scored(docs: DataFrame, name: str, shared: Broadcast) -> DataFrame:
     return docs.mapInArrow(run, "item int, doc_id long, score long")
 
 
-def _rows_of(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows whose key was found, with the items to score; texts are moved only if the keys are too many to send."""
+def _rows_of(docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The rows whose text was found, with the items to score.
+
+    Equal texts score alike, so beyond the ``k`` smallest ids none of them can be a result.  Other texts are moved only
+    if the keys are too many to send.
+    """
+    found = written(found.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(
+        F.collect_list("item").alias("items")), "to_score")
     entries = found.agg(F.coalesce(F.sum(F.size("items") + 2), F.lit(0))).first()[0]
-    found = F.broadcast(found) if entries <= SENT_ENTRIES else found
-    return docs.join(found, "key").select("doc_id", "text", "items")
+    rows = docs.join(F.broadcast(found) if entries <= SENT_ENTRIES else found, "key")
+    alike = Window.partitionBy("key", F.xxhash64(F.lit(1), "text")).orderBy(F.col("doc_id").asc_nulls_last())
+    return rows.withColumn("n", F.row_number().over(alike)).where(f"n <= {k}").select("doc_id", "text", "items")
 
 
 def _search(docs: DataFrame, rows: list, k: int) -> DataFrame:
@@ -314,17 +321,16 @@ def _search(docs: DataFrame, rows: list, k: int) -> DataFrame:
     # Exact scores of the documents with the highest bounds give the score that a result has to reach.
     by_bound = Window.partitionBy("item").orderBy(F.desc("bound"), "key")
     seeds = _highest(blocks, name, shared, k).withColumn("n", F.row_number().over(by_bound)).where(f"n <= {k}")
-    seeds = written(seeds.groupBy("key").agg(F.collect_list("item").alias("items")), "seeds")
+    seeds = written(seeds.select("key", F.array("item").alias("items")), "seeds")
     by_score = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-    first = _scored(_rows_of(docs, seeds), name, shared)
+    first = _scored(_rows_of(docs, seeds, k), name, shared)
     first = first.withColumn("rank", F.row_number().over(by_score)).where(f"rank = {k}")
     least = np.zeros(len(items.ids), "i8")
     for item, score in first.select("item", "score").collect():  # at most one row per item
         least[item] = score
 
     reaching = _reaching(blocks, name, shared, least)
-    reaching = reaching.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    scores = _scored(_rows_of(docs, written(reaching, "to_score")), name, shared)
+    scores = _scored(_rows_of(docs, reaching, k), name, shared)
     best = scores.withColumn("rank", F.row_number().over(by_score)).where(f"rank <= {k}")
     ids = spark.createDataFrame(list(enumerate(items.ids)), "item int, item_id long")
     return best.join(F.broadcast(ids), "item").select("item_id", "rank", "doc_id", "score")
@@ -343,8 +349,8 @@ def top_documents(
 
     Items come to the driver in shares of bounded size, each of which is a search of its own.
     """
-    # The key leads back from slices to rows; rows that share it are alike, or are scored once more than needed.
-    docs = id_and_bytes(docs, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
+    # The key leads back from slices to texts; a text that shares it by chance is scored once more than needed.
+    docs = id_and_bytes(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
     items = id_and_bytes(items, item_id_col, item_text_col).withColumnRenamed("doc_id", "item_id")
     items = written(items.withColumn("n", F.monotonically_increasing_id()), "items")
     size = items.agg(F.sum(F.length("text") / 5)).first()[0] or 0
