@@ -171,7 +171,7 @@ def _band(depth: Column, band: int) -> Column:
     return F.floor(F.greatest(depth - 1, F.lit(0)) / band)
 
 
-def _accumulate(table: pa.Table) -> pa.Table:
+def _accumulate(table: pa.Table, band: int) -> pa.Table:
     """The sums of a shard's paths by node, from ``d1, d2, p1, p2, depth, leaves, saved``."""
     def column(name: str) -> np.ndarray:
         values = table.column(name).combine_chunks()
@@ -189,9 +189,9 @@ def _accumulate(table: pa.Table) -> pa.Table:
         raise ValueError("a digest has no slot of its own")
     depth, parent = np.zeros(slots.size, "i8"), np.full(slots.size, -1)
     depth[node] = column("depth")[key]
-    # A parent may lie in the band above, and the root has none.
     parent[node] = slots.slots(column("p1").view("u8")[key], column("p2").view("u8")[key])
-    parent[depth == 0] = -1
+    # The root has no parent, and what the top of a lower band has is added to the band above as a carry.
+    parent[(depth == 0) | (depth > 1) & ((depth - 1) % band == 0)] = -1
     sums = {name: np.zeros(slots.size, "i8") for name in ("leaves", "saved")}
     for name, values in sums.items():
         np.add.at(values, at, column(name))
@@ -217,7 +217,7 @@ def _subtrees(rows: DataFrame, nodes: DataFrame, band: int, per_shard: int) -> D
     shard = F.pmod(F.xxhash64("conv", _band(F.col("depth"), band)), F.lit(shards)).alias("shard")
     dealt = rows.select("conv", "depth", "d1", "d2", "p1", "p2").join(counted, ["conv", "depth"], "left").select(
         shard, "d1", "d2", "p1", "p2", "depth", "leaves", "saved")
-    sums = dealt.groupBy("shard").applyInArrow(_accumulate, "d1 long, d2 long, leaves long, saved long")
+    sums = dealt.groupBy("shard").applyInArrow(lambda t: _accumulate(t, band), "d1 long, d2 long, leaves long, saved long")
     return sums.groupBy(*NODE).agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
 
 
