@@ -35,6 +35,22 @@ def odd(spark):
     return spark.createDataFrame([(i, t, 1, 2) for i, t in ODD], "doc_id long, text string, n int, shard int")
 
 
+# -- pages
+
+@pytest.mark.parametrize("source, texts", [
+    ("<p title=it's>One long paragraph</p><p>Second</p>", ["One long paragraph", "Second"]),
+    ("<p title=it's>text's more</p><p>b</p>", ["text's more", "b"]),
+    ('<p title=5">inch</p><p>b"c</p>', ["inch", 'b"c']),
+    ('<p class="a"" id=b>stray</p><p>"quoted"</p>', ["stray", '"quoted"']),
+    ("<p title = \"a > b\" alt='<p>'>in quotes</p>", ["in quotes"]),
+    ("<p title='never closed>a</p><p>b</p>", ["a", "b"]),
+    ("<p 'x'>a</p><p \"y>z\">b</p>", ["a", 'z">b']),
+    ("<p title==\"x\" a=b=c>a</p><a href=x'y>l</a>", ["a", "l"]),
+])
+def test_quotes_in_tags(source, texts):
+    assert html_extract.Page(source).texts() == texts
+
+
 # -- suffix arrays
 
 def brute_repeats(rows):

@@ -27,9 +27,10 @@ TRAIN_PAGES = 600
 PAGES_AT_ONCE = 200
 ROUNDS, DEPTH, RATE, BINS = 40, 4, 0.25, 32
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+# Quotes enclose a value only directly after its equals sign; elsewhere in a tag they are plain characters.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>=]++|=)*+)>"
                     r"|</?[a-zA-Z][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements whose content is no markup, and elements that hold no text of a page.
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "title", "textarea", "iframe")}
