@@ -12,6 +12,7 @@ from tidyloom.operators.dedup import dedup_full, dedup_report, dedup_subset
 from tidyloom.operators.impute import impute
 from tidyloom.operators.outliers import clamp_outliers
 from tidyloom.operators.profile import infer_types, profile_frame
+from tidyloom.operators.quantiles import exact_quantiles
 from tidyloom.plans.clean import clean
 from tidyloom.storage import stage
 
@@ -84,6 +85,24 @@ def impute_median(spark, sf_dir):
     ), CleanConfig(exact_rows=2000))
 
 
+@register("quantiles_ordered", """
+    SELECT unnest(['l_orderkey', 'l_extendedprice', 'l_quantity', 'l_shipdate']) AS name,
+           unnest([quantile_disc(l_orderkey, 0.25)::DOUBLE, quantile_disc(l_extendedprice, 0.25), quantile_disc(l_quantity, 0.25),
+                   quantile_disc(epoch(l_shipdate), 0.25)]) AS q1,
+           unnest([quantile_disc(l_orderkey, 0.5)::DOUBLE, quantile_disc(l_extendedprice, 0.5), quantile_disc(l_quantity, 0.5),
+                   quantile_disc(epoch(l_shipdate), 0.5)]) AS median,
+           unnest([quantile_disc(l_orderkey, 0.99)::DOUBLE, quantile_disc(l_extendedprice, 0.99), quantile_disc(l_quantity, 0.99),
+                   quantile_disc(epoch(l_shipdate), 0.99)]) AS q99
+    FROM lineitem""")
+def quantiles_ordered(spark, sf_dir):
+    """Exact quantiles of a table in order, every partition a narrow range of values, with few rows per task allowed."""
+    ordered = load(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.unix_timestamp("l_shipdate").cast("double"))
+    names = ["l_orderkey", "l_extendedprice", "l_quantity", "l_shipdate"]
+    found = exact_quantiles(ordered.repartitionByRange(64, "l_extendedprice").sortWithinPartitions("l_extendedprice"),
+                            {n: [0.25, 0.5, 0.99] for n in names}, exact_rows=500)
+    return spark.createDataFrame([(n, *found[n]) for n in names], "name string, q1 double, median double, q99 double")
+
+
 @register("impute_sentinel", """
     SELECT c_custkey,
            CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE 'Unknown' END AS segment,

@@ -9,11 +9,11 @@ from pyspark.sql import types as T
 from tidyloom.config import ROW_SEQ
 from tidyloom.sinks.runlog import run_stats
 from tidyloom.sinks.tables import csv_path, jdbc_options, output_check, read_csv, sql_columns, write_all, write_catalog, write_csv
-from tidyloom.sources import files
-from tidyloom.sources.payloads import scan_api_responses, scan_csv_payload, scan_payload
+from tidyloom.sources import files, payloads
+from tidyloom.sources.payloads import csv_payload_rejects, scan_api_responses, scan_csv_payload, scan_payload
 import tidyloom.storage as storage
-from tidyloom.storage import estimated_bytes, fresh_path, materialize, shared_root, sized_shuffles, stage
-from tidyloom.streaming.ingest import land_api_rows, land_rows, landed_rows, rejected_responses
+from tidyloom.storage import discarding, estimated_bytes, fresh_path, materialize, shared_root, sized_shuffles, stage
+from tidyloom.streaming.ingest import land_api_rows, land_file_rows, land_rows, landed_rows, rejected
 
 
 def payload_frame(spark, *texts):
@@ -58,28 +58,90 @@ def test_csv_payloads_match_a_csv_reader(spark):
     assert sorted(got, key=repr) == sorted(wanted, key=repr)
 
 
-def test_csv_payloads_need_one_header(spark):
-    with pytest.raises(Exception, match="one header"):
-        scan_csv_payload(payload_frame(spark, "a,b\n1,2\n", "a,c\n1,2\n")).collect()
-    with pytest.raises(Exception, match="one header"):
-        scan_csv_payload(payload_frame(spark, "a,b\n1,2\n", 'a,c\n1" ,2\n')).collect()
+def test_csv_payloads_of_several_headers(spark):
+    df = payload_frame(spark, "a,b\n1,2\n", 'b,"c d"\n3" ,4\n', '"a",b\n5,6', "a,a\n7,8", " \n")
+    found = scan_csv_payload(df.coalesce(1), broken="skip")
+    assert found.columns == ["a", "b", "c d", "a_1", ROW_SEQ]
+    assert [tuple(r)[:4] for r in found.orderBy(ROW_SEQ).collect()] == [
+        ("1", "2", None, None), (None, '3" ', "4", None), ("5", "6", None, None), ("7", None, None, "8")]
+    assert [tuple(r) for r in csv_payload_rejects(df).collect()] == [(None, "no record", None)]
     with pytest.raises(ValueError, match="no payload"):
         scan_csv_payload(payload_frame(spark, " ", ""))
+    assert scan_csv_payload(payload_frame(spark, " ", ""), broken="skip").collect() == []
 
 
-def test_workers_need_not_have_the_package(tmp_path):
-    import pickle
-    import subprocess
-    import sys
+def test_csv_payloads_of_too_many_headers_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(payloads, "MOST_HEADERS", 2)
+    with pytest.raises(ValueError, match="more than 2 different headers"):
+        scan_csv_payload(payload_frame(spark, "a\n1", "b\n1", "c\n1"))
 
-    from pyspark import cloudpickle
 
-    from tidyloom.sources.payloads import _record_reader
+def test_random_csv_text_is_read_as_by_a_csv_reader(spark):
+    import csv
+    import io
 
-    sent = cloudpickle.dumps(_record_reader())
-    assert pickle.loads(sent)
-    code = "import pickle, sys; pickle.load(sys.stdin.buffer)"
-    subprocess.run([sys.executable, "-c", code], input=sent, cwd=tmp_path, check=True, env={})
+    rng = random.Random(7)
+    signs = ['"', '"', ",", "\n", "\r\n", "\r", "a", "b c", "é", "\t"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts += ["a," + '"' + '""' * 50_000 + 'z"\n"' + "y," * 50_000, '"', '""', '"""', 'a"b\n""c,d']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8)
+    got = df.select("i", F.transform(payloads.csv_records(F.col("t")), payloads.csv_cells).alias("c")).collect()
+    for row in got:
+        wanted = [r for r in csv.reader(io.StringIO(texts[row.i], newline="")) if len(r) > 1 or r and r[0].strip()]
+        assert [c for c in row.c or [] if len(c) > 1 or c[0].strip()] == wanted, texts[row.i]
+
+
+def test_irregular_payloads_keep_their_place(spark, monkeypatch):
+    """The row sequence is the same whether an input is staged or not, and whichever payloads hold stray quotes."""
+    long = "y" * 3000
+    texts = [f'a,b\n{i}{chr(34) * (i % 2)},{long}\n{i}{chr(34) * (i % 2)},2' for i in range(8)]
+    df = spark.createDataFrame([(t,) for t in texts], "file_content string").coalesce(1)
+    plain = [(r.a, r.b) for r in scan_csv_payload(df).orderBy(ROW_SEQ).collect()]
+    assert [a.strip('"') for a, _ in plain] == [str(i // 2) for i in range(16)]
+    monkeypatch.setattr(storage, "BYTES_PER_PIECE", 100)
+    assert [(r.a, r.b) for r in scan_csv_payload(df).orderBy(ROW_SEQ).collect()] == plain
+
+
+def test_csv_payloads_need_no_python(spark):
+    plan = scan_csv_payload(payload_frame(spark, 'a,b\n1" ,2\n'))._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "Python" not in plan
+
+
+def test_landing_of_mixed_files(spark, tmp_path):
+    rows = [("a.csv", "p", b"x,y\n1,2\n"), ("b.csv", "p", b""), ("c.csv", "p", b'"x",z\n3,4,5\n6,7'),
+            ("d.JSON", "p", b'[{"x": 8}]'), ("e.json", "p", b"{"), ("f.csv", "p", b"file_name\nme"), ("g", "p", None)]
+    handle = land_rows(land_file_rows, str(tmp_path))
+    for _ in range(2):
+        handle(spark.createDataFrame(rows, "file_name string, file_path string, file_content binary"), 0)
+    found = [(r.x, r.y, r.z, r.file_name) for r in landed_rows(spark, str(tmp_path)).collect()]
+    assert sorted(found, key=repr) == sorted([("1", "2", None, None), ("6", None, "7", None), ("8", None, None, None),
+                                              (None, None, None, "me")], key=repr)
+    assert sorted((r.file_name, r.record, r.reason) for r in rejected(spark, str(tmp_path)).select(
+        "file_name", F.coalesce("record", F.lit(0)).alias("record"), "reason").collect()) == [
+        ("b.csv", 0, "no record"), ("c.csv", 1, "more cells than the header"), ("e.json", 0, "no JSON"), ("g", 0, "no record")]
+
+
+def test_intermediate_tables_go_with_their_block(spark):
+    def left():
+        return sum(len(files) for _, _, files in os.walk(shared_root(spark)))
+
+    materialize(spark.range(1), "stays")
+    before = left()
+    with discarding(spark):
+        kept = materialize(spark.range(3), "goes").count()
+        with discarding(spark):
+            materialize(spark.range(3), "goes")
+        assert left() > before
+    assert kept == 3 and left() == before
+
+
+def test_a_column_called_exchange_is_no_shuffle(spark):
+    def shuffles(df):
+        return storage._has_shuffle(df._jdf.queryExecution().sparkPlan())
+
+    df = spark.range(10).withColumnRenamed("id", "Exchange Rate")
+    assert not shuffles(df) and not shuffles(df.join(F.broadcast(df), "Exchange Rate"))
+    assert shuffles(df.repartition(3)) and shuffles(df.groupBy("Exchange Rate").count()) and shuffles(df.orderBy("Exchange Rate"))
 
 
 def test_broken_utf8_is_replaced(spark):
@@ -231,7 +293,7 @@ def test_landing_survives_bad_batches(spark, tmp_path):
     handle(spark.createDataFrame([(2, '{"items":[]}'), (3, None)], schema), 1)
     handle(spark.createDataFrame([(4, '[{"batch_id":77,"x":1}]'), (5, "{")], schema), 2)
     assert [(r.batch_id, r.x) for r in landed_rows(spark, str(tmp_path)).collect()] == [("77", "1")]
-    assert sorted(r.id for r in rejected_responses(spark, str(tmp_path)).collect()) == [1, 5]
+    assert sorted(r.id for r in rejected(spark, str(tmp_path)).collect()) == [1, 5]
 
 
 def test_estimates_add_up_over_joins(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import catalogue.cleaning  # noqa: F401  importing fills the registry
 from catalogue import REGISTRY
+
 from tidyloom.config import ROW_SEQ, CleanConfig
 from tidyloom.operators.columns import (
     drop_empty_columns,
@@ -26,6 +27,7 @@ from tidyloom.operators.keys import (
 )
 from tidyloom.operators.outliers import clamp_outliers
 from tidyloom.operators.profile import infer_types, profile
+from tidyloom.operators import quantiles
 from tidyloom.operators.quantiles import approx_quantiles, exact_quantiles
 from tidyloom.operators.split import split_tables
 
@@ -102,12 +104,6 @@ def test_sample_query_loses_no_late_value(spark, monkeypatch):
     assert tuple(got) == (2000, 1999.5)
 
 
-def test_sample_scope_decides_from_the_first_rows(spark):
-    df = spark.createDataFrame([(str(i),) for i in range(20)] + [("x",)] * 80, "c string").coalesce(1)
-    assert infer_types(df)[1] == {"c": "string"}
-    assert infer_types(df, CleanConfig(scope="sample", sample_rows=10))[1] == {"c": "int"}
-
-
 def test_profile_of_wide_tables_takes_several_passes(spark):
     df = spark.range(5).select(*[F.col("id").cast("string").alias(f"c{i}") for i in range(7)])
     found = profile(df, CleanConfig(columns_per_job=3))
@@ -150,6 +146,33 @@ def test_exact_quantiles_of_clustered_partitions(spark):
     assert exact_quantiles(df, {"v": [0.25, 0.5]}, exact_rows=5) == {"v": [4999.0**2, 9999.0**2]}
 
 
+@pytest.mark.parametrize("partitions", [16, 64, 1000])
+def test_exact_quantiles_take_four_passes_at_most(spark, monkeypatch, partitions):
+    """On values in order, each partition a narrow range of them, as on any other."""
+    passes = []
+    run = quantiles._pass
+    monkeypatch.setattr(quantiles, "_pass", lambda df, searches: (passes.append(1), run(df, searches)))
+    df = spark.range(0, 40_000, 1, partitions).select(
+        (F.col("id") * 1.0).alias("v"), (2000 + F.col("id") / 1e6).alias("near"), F.col("id").alias("i"))
+    got = exact_quantiles(df, {"v": [0.25, 0.5], "near": [0.5], "i": [1.0]}, exact_rows=20)
+    assert got == {"v": [9999.0, 19999.0], "near": [2000 + 19999 / 1e6], "i": [39999.0]}
+    assert len(passes) <= 3
+
+
+def test_exact_quantiles_of_extreme_values(spark, monkeypatch):
+    passes = []
+    run = quantiles._pass
+    monkeypatch.setattr(quantiles, "_pass", lambda df, searches: (passes.append(1), run(df, searches)))
+    odd = [float("-inf"), -1.7e308, -1e-320, -5e-324, 0.0, -0.0, 5e-324, 1e-300, 1.0, math.nextafter(1.0, 2), 1.7e308,
+           float("inf")]
+    values = sorted([*odd, *[1.0 + i * 2.0**-52 for i in range(200)], *[-1e300 * (1 + i * 2.0**-52) for i in range(50)]])
+    df = spark.createDataFrame([(v,) for v in values] + [(float("nan"),), (None,)], "v double").repartition(7)
+    shares = [0.0, 0.001, 0.1, 0.3, 0.5, 0.77, 0.999, 1.0]
+    got = exact_quantiles(df, {"v": shares}, exact_rows=0)["v"]
+    assert got == [values[max(1, math.ceil(p * len(values))) - 1] for p in shares]
+    assert len(passes) <= 4
+
+
 def test_approximate_quantiles_stay_within_their_rank_error(spark):
     df = spark.range(100000).select(((F.col("id") * 7919) % 100000).alias("v"))
     q = approx_quantiles(df, {"v": [0.25, 0.5]}, 0.01)["v"]
@@ -286,3 +309,13 @@ def test_nan_is_no_value(spark):
     for exact_rows in (1, 100):
         assert exact_quantiles(df, {"v": [0.5, 1.0]}, exact_rows) == {"v": [2.0, 3.0]}
     assert approx_quantiles(df, {"v": [0.5]}, 0.01) == {"v": [2.0]}
+
+
+def test_subset_dedup_sorts_no_rows(spark, rows):
+    """Late materialization: numbers are aggregated by hash, and a key of a third of all rows joins nothing."""
+    df = spark.range(9000).select((F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))).alias("k"),
+                                  F.repeat(F.lit("wide "), 50).alias("text"), (9000 - F.col("id")).alias(ROW_SEQ))
+    kept = dedup_subset(df, ["k"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    assert kept.count() == 6001 and kept.where("k = 'hot'").select(ROW_SEQ).collect()[0][0] == 3

@@ -6,7 +6,7 @@ from tidyloom.operators.columns import tag_rows
 from tidyloom.operators.dedup import dedup_full
 from tidyloom.plans.pipeline import csv_opener, csv_writer
 from tidyloom.plans.records import finished_runs, run_records
-from tidyloom.sinks.runlog import append_run_stats
+from tidyloom.sinks.runlog import log_runs, read_run_log
 from tidyloom.sinks.tables import csv_path, output_check, read_csv, write_catalog
 from tidyloom.storage import fresh_path
 from tidyloom.streaming.ingest import (
@@ -178,8 +178,9 @@ def test_registry_records(spark, tmp_path, rows):
     assert rows(read_csv(spark, csv_path(out, "people", "fulltable"))) == [("1", "Ann"), ("2", "Bob")]
     assert read_csv(spark, csv_path(out, "uploaded", "fulltable")).columns == ["order_id", "full_name"]
     log = fresh_path(spark, "log")
-    append_run_stats(registry, finished_runs(status, registry), log)
-    assert rows(spark.read.parquet(log).select("file_name", "company_name", "rows_count", "status")) == [
+    for _ in range(2):
+        log_runs(registry, finished_runs(status, registry), log, 7)
+    assert rows(read_run_log(spark, log).select("file_name", "company_name", "rows_count", "status")) == [
         ("disk.csv", "acme", 1, "DONE"), ("people.csv", "acme", 3, "DONE")]
 
 

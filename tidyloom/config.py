@@ -21,7 +21,6 @@ TECHNICAL_COLS = (ROW_SEQ, AUTO_ID)
 class CleanConfig:
     """Every knob of the cleaner; the defaults are the standard behaviour.
 
-    ``scope``            ``"full"`` types a column from all its values, ``"sample"`` from ``sample_rows`` rows.
     ``numeric_impute``   ``"median"``, ``"mean"`` or ``"none"``.
     ``quantile_error``   0 gives exact quantiles; above 0, one approximate pass with that relative rank error.
     ``exact_rows``       most values per column that an exact quantile may hold in one task.
@@ -41,8 +40,6 @@ class CleanConfig:
     id_name_tokens: tuple[str, ...] = ID_NAME_TOKENS
     title_exempt_tokens: tuple[str, ...] = TITLE_EXEMPT_TOKENS
     na_tokens: tuple[str, ...] = NA_TOKENS
-    scope: str = "full"
-    sample_rows: int = 1000
     lenient_dates: bool = False
     force_date_names: bool = False
     date_missing: str = "sentinel"
@@ -57,7 +54,6 @@ class CleanConfig:
     def __post_init__(self) -> None:
         choices = {
             "numeric_impute": ("median", "mean", "none"),
-            "scope": ("full", "sample"),
             "date_missing": ("sentinel", "null"),
         }
         for field_name, allowed in choices.items():

@@ -28,6 +28,8 @@ def dedup_full(df: DataFrame) -> DataFrame:
 def dedup_subset(df: DataFrame, subset: Iterable[str]) -> DataFrame:
     """One row per distinct value of ``subset``: the one with the lowest row sequence.
 
+    The least sequence of each key is a hashed aggregate of numbers; only the rows it names are then fetched by their
+    sequence, which must be unique.  So whole rows are neither sorted nor kept as aggregates, and no key is a join key.
     Without a row sequence the smallest remaining columns decide, which keeps the result repeatable.
     """
     keys = [c for c in subset if c in data_columns(df)]
@@ -36,8 +38,10 @@ def dedup_subset(df: DataFrame, subset: Iterable[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.dropDuplicates(keys)
-    ordered = sorted(rest, key=lambda c: c != ROW_SEQ)
-    survivor = F.min(F.struct(*[F.col(quoted(c)) for c in ordered])).alias("__row")
+    if ROW_SEQ in rest:
+        least = df.groupBy(*[F.col(quoted(c)) for c in keys]).agg(F.min(ROW_SEQ).alias(ROW_SEQ)).select(ROW_SEQ)
+        return df.join(least, ROW_SEQ, "left_semi").select(*[F.col(quoted(c)) for c in df.columns])
+    survivor = F.min(F.struct(*[F.col(quoted(c)) for c in rest])).alias("__row")
     kept = df.groupBy(*[F.col(quoted(c)) for c in keys]).agg(survivor)
     return kept.select(*[
         F.col(quoted(c)) if c in keys else F.col("__row").getField(c).alias(c) for c in df.columns

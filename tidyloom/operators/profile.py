@@ -127,11 +127,7 @@ def profile(df: DataFrame, config: CleanConfig = CleanConfig()) -> list[ColumnPr
     """The profile as plain objects; its size is the number of columns."""
     if not data_columns(df):
         return []
-    found = [ColumnProfile(**row.asDict()) for row in profile_frame(df, config).collect()]
-    if config.scope == "full":
-        return found
-    sampled = {r["column"]: r["inferred"] for r in profile_frame(df.limit(config.sample_rows), config).collect()}
-    return [ColumnProfile(**{**p.__dict__, "inferred": sampled[p.column]}) for p in found]
+    return [ColumnProfile(**row.asDict()) for row in profile_frame(df, config).collect()]
 
 
 def typed_value(value: Column, data_type: T.DataType, name: str, inferred: str, config: CleanConfig) -> Column:

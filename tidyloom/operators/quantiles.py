@@ -1,28 +1,31 @@
 """Quantiles of many columns at once: exact at any size, or approximate in one pass.
 
-Exact quantiles use no sort and no shuffle of the data.  Each pass brackets the wanted rank with quantile sketches and
-counts exactly how many values lie below and inside the bracket, so a poor sketch can only cost another pass, never a
-wrong answer.  A bracket's two ends are settled by their own counts; values strictly between them go on.  When few
-enough remain, one aggregate picks the value.  A round keeps well under 1 % of the values; if that is still too many
-for one task, they are written to a table of their own and the next rounds read that.  However large the input, it is
-scanned three times at most per batch of columns, and nothing but these columns is read.
+Exact quantiles use no sort of the data, and the number of passes does not depend on its order or on how it is
+partitioned.  Each pass counts the values in buckets that keep their order and goes on with the bucket that holds the
+wanted rank.  The first pass cuts by magnitude, some fifteen buckets for each power of two; the next ones cut what is left
+into 2^17 equal parts.  A double has so few digits that after four passes a bucket holds a single value.  As soon as few
+enough values are left for one task, one aggregate picks the value instead, mostly after the first or second pass.
+
+The counts of a task are reduced before the shuffle, and the driver sees one row per wanted quantile and pass.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from fractions import Fraction
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidyloom.operators.columns import quoted
-from tidyloom.storage import materialize
 
-SKETCH_ACCURACY = 1000
-SKETCH_GROUPS = 64
+BUCKETS = 1 << 17
+PER_OCTAVE = 15
+#: Below the exponent of the smallest positive double, and above that of the largest.
+LEAST_EXPONENT, INFINITE_EXPONENT = -1075, 1025
 COLUMNS_PER_JOB = 40
 
 Quantiles = dict[str, list[float | None]]
@@ -30,9 +33,9 @@ Quantiles = dict[str, list[float | None]]
 
 @dataclass
 class _Search:
-    """One wanted quantile among the values strictly between ``low`` and ``high``.
+    """One wanted quantile among the values from ``low`` to ``high``.
 
-    ``rank`` counts from 1 within the ``inside`` values left; both are unknown before the first count.
+    ``rank`` counts from 1 within the ``inside`` values left; all are unknown before the first pass.
     """
 
     column: str
@@ -43,14 +46,9 @@ class _Search:
     high: float | None = None
     answer: float | None = None
 
-    def value(self) -> Column:
-        c = F.col(quoted(self.column))
-        within = c.isNotNull()
-        if self.low is not None:
-            within = within & (c > F.lit(self.low))
-        if self.high is not None:
-            within = within & (c < F.lit(self.high))
-        return F.when(within, c)
+    @property
+    def range(self) -> tuple[str, float | None, float | None]:
+        return self.column, self.low, self.high
 
     @property
     def share(self) -> float:
@@ -66,55 +64,48 @@ def _batches(searches: list[_Search]):
         yield searches[start:start + COLUMNS_PER_JOB]
 
 
-def _bracket(df: DataFrame, searches: list[_Search]) -> list[tuple[float | None, float | None]]:
-    """Two data values per search that should enclose its rank; None if it has no values.
+def _within(column: str, low: float | None, high: float | None) -> Column:
+    c = F.col(quoted(column))
+    return F.when(c.isNotNull() if low is None else c.between(F.lit(low), F.lit(high)), c)
 
-    Sketches are built per group of partitions, so no single task merges them all.  A quantile of the whole lies
-    between the smallest and the largest quantile of the groups.
-    """
-    margin = 2.0 / SKETCH_ACCURACY
-    sketches = [
-        F.percentile_approx(s.value(), [max(0.0, s.share - margin), min(1.0, s.share + margin)], SKETCH_ACCURACY)
-        for s in searches
-    ]
-    grouped = (
-        df.withColumn("__group", F.spark_partition_id() % SKETCH_GROUPS)
-        .groupBy("__group").agg(*[q.alias(f"q{i}") for i, q in enumerate(sketches)])
-    )
-    bounds = grouped.agg(*[
-        F.struct(F.min(F.col(f"q{i}")[0]), F.max(F.col(f"q{i}")[1])) for i in range(len(searches))
-    ]).head()
-    return [(b[0], b[1]) for b in bounds]
-
-
-def _narrow(df: DataFrame, searches: list[_Search], brackets: list[tuple[float | None, float | None]]) -> None:
-    """Count around each bracket and keep the part that holds the rank."""
-    counts = []
-    for s, (low, high) in zip(searches, brackets):
-        v, low, high = s.value(), F.lit(low), F.lit(high)
-        counts += [F.count(v), F.count_if(v < low), F.count_if(v == low), F.count_if((v > low) & (v < high)),
-                   F.count_if(v == high)]
-    row = df.agg(*counts).head()
-    for i, (s, (low, high)) in enumerate(zip(searches, brackets)):
-        total, below, at_low, between, at_high = row[5 * i:5 * i + 5]
-        s.inside = total
-        if total == 0:
+
+def _bucket(value: Column, low: float | None, high: float | None) -> Column:
+    """The bucket of a value; never lower for a higher value, since each step of the arithmetic keeps the order."""
+    if low is None:
+        exponent = F.least(F.log2(F.abs(value)), F.lit(float(INFINITE_EXPONENT)))
+        magnitude = F.floor((exponent - LEAST_EXPONENT) * PER_OCTAVE)
+        return F.when(value == 0, 0).when(value > 0, magnitude).otherwise(-magnitude)
+    part = F.floor((value - F.lit(low)) / F.lit(high - low) * BUCKETS)
+    return F.when(value.isNotNull(), F.least(part, F.lit(BUCKETS - 1)))
+
+
+def _pass(df: DataFrame, searches: list[_Search]) -> None:
+    """Count the buckets of each range once, and narrow each search to the bucket of its rank."""
+    ranges = list(dict.fromkeys(s.range for s in searches))
+    values = [(i, _within(*r), r) for i, r in enumerate(ranges)]
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("range"), v.alias("value"), _bucket(v, low, high).cast("long").alias("bucket"))
+        for i, v, (_, low, high) in values
+    ])
+    counted = df.select(F.explode(cells).alias("cell")).select("cell.*").where("value IS NOT NULL").groupBy(
+        "range", "bucket").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    whole = Window.partitionBy("range")
+    counted = counted.withColumns({"total": F.sum("n").over(whole), "upto": F.sum("n").over(whole.orderBy("bucket"))})
+    wanted = df.sparkSession.createDataFrame(
+        [(i, ranges.index(s.range), Decimal(str(s.probability)), s.rank) for i, s in enumerate(searches)],
+        "search int, range int, probability decimal(30,20), rank long")
+    rank = F.coalesce("rank", F.greatest(F.ceil(F.col("probability") * F.col("total").cast("decimal(18,0)")), F.lit(1)))
+    found = counted.join(F.broadcast(wanted), "range").withColumn("rank", rank.cast("long")).where(
+        "rank > upto - n AND rank <= upto")
+    left = {row["search"]: row for row in found.select(
+        "search", "n", "low", "high", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")).collect()}
+    for i, s in enumerate(searches):
+        if i not in left:  # no values at all
+            s.inside = 0
             continue
-        if s.rank is None:
-            s.rank = max(1, math.ceil(Fraction(str(s.probability)) * total))
-        if low == high:
-            at_high = 0
-        passed = below + at_low + between + at_high
-        if s.rank <= below:
-            s.high, s.inside = low, below
-        elif s.rank <= below + at_low:
-            s.answer = low
-        elif s.rank <= below + at_low + between:
-            s.low, s.high, s.rank, s.inside = low, high, s.rank - below - at_low, between
-        elif s.rank <= passed:
-            s.answer = high
-        else:
-            s.low, s.rank, s.inside = high, s.rank - passed, total - passed
+        s.inside, s.low, s.high, s.rank = (left[i][c] for c in ("n", "low", "high", "rank"))
+        if s.low == s.high:
+            s.answer = s.low
 
 
 def _pick(df: DataFrame, searches: list[_Search]) -> None:
@@ -122,51 +113,39 @@ def _pick(df: DataFrame, searches: list[_Search]) -> None:
     aggregates = [
         F.expr(f"percentile_disc({s.share!r}) WITHIN GROUP (ORDER BY v{i})") for i, s in enumerate(searches)
     ]
-    row = df.select(*[s.value().alias(f"v{i}") for i, s in enumerate(searches)]).agg(*aggregates).head()
+    row = df.select(*[_within(*s.range).alias(f"v{i}") for i, s in enumerate(searches)]).agg(*aggregates).head()
     for s, answer in zip(searches, row):
         s.answer, s.inside = answer, 0
 
 
-def _survivors(df: DataFrame, searches: list[_Search]) -> DataFrame:
-    """Table of the values that are still in the running, one column per search."""
-    values = df.select(*[s.value().alias(f"v{i}") for i, s in enumerate(searches)])
-    left = materialize(values.filter(" OR ".join(f"v{i} IS NOT NULL" for i in range(len(searches)))), "quantiles")
-    for i, s in enumerate(searches):
-        s.column = f"v{i}"
-    return left
-
-
 def _values(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns alone; NaN counts as no value."""
     floating = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
     return df.select(*[
-        (F.nullif(F.col(quoted(c)), F.lit(math.nan)) if c in floating else F.col(quoted(c))).alias(c) for c in columns
+        (F.nullif(F.col(quoted(c)), F.lit(math.nan)) if c in floating else F.col(quoted(c))).cast("double").alias(c)
+        for c in columns
     ])
 
 
 def exact_quantiles(
     df: DataFrame, probabilities: dict[str, list[float]], exact_rows: int = 200_000, at_most: int | None = None
 ) -> Quantiles:
-    """Lower quantiles, always values of the data; None for a column without values.
+    """Lower quantiles, always values of the data as doubles; None for a column without values.
 
     If the caller knows that the frame has at most ``exact_rows`` rows, one aggregate does.
     """
     df = _values(df, list(probabilities))
     searches = {c: [_Search(c, p) for p in ps] for c, ps in probabilities.items()}
-    active, first_round = [s for found in searches.values() for s in found], True
+    active = [s for found in searches.values() for s in found]
     if at_most is not None and at_most <= exact_rows:
         for batch in _batches(active):
             _pick(df, batch)
     while active := [s for s in active if s.open]:
         for batch in _batches(active):
-            _narrow(df, batch, _bracket(df, batch))
-        active = [s for s in active if s.open]
-        if first_round and any(s.inside > exact_rows for s in active):
-            df = _survivors(df, active)
-        first_round = False
-        for batch in _batches([s for s in active if s.inside <= exact_rows]):
+            _pass(df, batch)
+        for batch in _batches([s for s in active if s.open and s.inside <= exact_rows]):
             _pick(df, batch)
-    return {c: [None if s.answer is None else float(s.answer) for s in found] for c, found in searches.items()}
+    return {c: [s.answer for s in found] for c, found in searches.items()}
 
 
 def approx_quantiles(df: DataFrame, probabilities: dict[str, list[float]], error: float) -> Quantiles:

@@ -62,8 +62,7 @@ def type_and_fill(df: DataFrame, config: CleanConfig) -> tuple[DataFrame, list[C
     empty = [p.column for p in profiles if p.present == 0] if config.drop_empty_columns else []
     kept = [p for p in profiles if p.column not in empty]
     typed = apply_types(df.drop(*empty), kept, config)
-    known = {p.column: p.shown for p in kept} if config.scope == "full" else None
-    return impute(typed, config, rows if known else None, known), profiles, empty
+    return impute(typed, config, rows, {p.column: p.shown for p in kept}), profiles, empty
 
 
 def clean(

@@ -7,7 +7,7 @@ to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -19,9 +19,12 @@ from tidyloom.operators.nested import invalid_payloads
 from tidyloom.plans.pipeline import csv_writer, run_pipeline
 from tidyloom.sources.files import scan_file, scan_table
 from tidyloom.sources.payloads import scan_api_responses, scan_payload
+from tidyloom.storage import discarding, fresh_path
 
 # Fixed value: the path of records that stand for an existing table.
 TABLE_UPLOAD = "MULTI_UPLOAD"
+RECORD = "_record"
+PAGE_SIZE = 1000
 STATUS_SCHEMA = "record string, dataset string, status string, rows_count bigint, message string"
 
 TableOpener = Callable[[SparkSession, str], DataFrame | None]
@@ -32,12 +35,15 @@ def record_key(records: DataFrame) -> str:
 
 
 def load_api_record(record: DataFrame) -> DataFrame:
-    """Flat rows of one API record; a missing or broken response is an error."""
+    """Flat rows of one API record; a missing or broken response is an error, and so is one without records."""
     if record.filter("response IS NOT NULL").isEmpty():
         raise ValueError("record has no response")
     if not invalid_payloads(record, "response").isEmpty():
         raise ValueError("response is no valid JSON")
-    return scan_api_responses(record)
+    rows = scan_api_responses(record)
+    if not rows.columns:
+        raise ValueError("response has no records")
+    return rows
 
 
 def load_file_record(record: DataFrame, listed: Row, open_table: TableOpener = scan_table) -> DataFrame:
@@ -59,16 +65,26 @@ def load_file_record(record: DataFrame, listed: Row, open_table: TableOpener = s
     raise ValueError("record has neither content nor path")
 
 
-def _listing(records: DataFrame) -> list[Row]:
-    """Names and keys of all records in key order."""
-    key = record_key(records)
+def _listing(records: DataFrame, key: str) -> DataFrame:
+    """Names and keys of all records, and whether they have content."""
     wanted = {"file_name": "string", "file_path": "string", "table_name": "string"}
     fields = [
         (F.col(c) if c in records.columns else F.lit(None)).cast(kind).alias(c) for c, kind in wanted.items()
     ]
     content = F.length("file_content") > 0 if "file_content" in records.columns else F.lit(False)
-    listed = records.select(F.col(key).alias("key"), *fields, F.coalesce(content, F.lit(False)).alias("has_content"))
-    return listed.orderBy("key").collect()
+    return records.select(RECORD, F.col(key).alias("key"), *fields, F.coalesce(content, F.lit(False)).alias("has_content"))
+
+
+def _pages(listing: DataFrame, size: int) -> Iterator[list[Row]]:
+    """The listing in key order, ``size`` records at a time; the driver holds one page and one partition of it."""
+    page: list[Row] = []
+    for row in listing.orderBy("key", RECORD).toLocalIterator():
+        page.append(row)
+        if len(page) == size:
+            yield page
+            page = []
+    if page:
+        yield page
 
 
 def run_records(
@@ -77,35 +93,46 @@ def run_records(
     config: CleanConfig = CleanConfig(),
     parallel: int = 4,
     open_table: TableOpener = scan_table,
+    page_size: int = PAGE_SIZE,
 ) -> DataFrame:
     """Run the whole plan for every record, each spread over the cluster, and report how each went.
 
     Datasets of one name follow each other in key order, so the latest one stays; different names run side by side.
     A failure concerns its own record alone and is reported with its message, never as done.
+
+    The records are written once, each in a partition of its own that its run reads, so no run looks at the payloads of
+    others.  Names and keys come to the driver a page at a time, and each page's outcome is written before the next one.
     """
     spark, key, from_api = records.sparkSession, record_key(records), "response" in records.columns
-    by_name: dict[str, list[Row]] = {}
-    for row in _listing(records):
-        is_table = row["file_path"] == TABLE_UPLOAD and row["table_name"]
-        name = row["table_name"] if is_table else dataset_name(row["file_name"], row["key"])
-        by_name.setdefault(name, []).append(row)
-
-    def run_name(name: str) -> list[tuple]:
-        outcome = []
-        for row in by_name[name]:
-            record = records.filter(F.col(key) == F.lit(row["key"]))
-            try:
+    path, outcomes = fresh_path(spark, "records"), fresh_path(spark, "outcomes")
+    numbered = records.withColumn(RECORD, F.monotonically_increasing_id())
+    numbered.write.partitionBy(RECORD).parquet(path)
+    payloads = spark.read.schema(numbered.schema).parquet(path)
+
+    def run_one(name: str, row: Row) -> tuple:
+        record = spark.read.schema(records.schema).parquet(f"{path}/{RECORD}={row[RECORD]}")
+        try:
+            with discarding(spark):
                 df = load_api_record(record) if from_api else load_file_record(record, row, open_table)
                 raw_columns = df.columns if row["file_path"] == TABLE_UPLOAD else None
                 result = run_pipeline(df, [csv_writer(out, name)], config, raw_columns)
-                outcome.append((str(row["key"]), name, "DONE", result.report.rows_in, None))
-            except Exception as error:  # one bad record must not stop the others
-                outcome.append((str(row["key"]), name, "ERROR", None, str(error).split("\n")[0]))
-        return outcome
+            return str(row["key"]), name, "DONE", result.report.rows_in, None
+        except Exception as error:  # one bad record must not stop the others
+            return str(row["key"]), name, "ERROR", None, str(error).split("\n")[0]
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        outcomes = [o for found in pool.map(run_name, by_name) for o in found]
-    return spark.createDataFrame(outcomes, STATUS_SCHEMA)
+        for page in _pages(_listing(payloads, key), page_size):
+            by_name: dict[str, list[Row]] = {}
+            for row in page:
+                is_table = row["file_path"] == TABLE_UPLOAD and row["table_name"]
+                name = row["table_name"] if is_table else dataset_name(row["file_name"], row["key"])
+                by_name.setdefault(name, []).append(row)
+            done = pool.map(lambda item: [run_one(item[0], row) for row in item[1]], by_name.items())
+            status = spark.createDataFrame([o for found in done for o in found], STATUS_SCHEMA)
+            status.coalesce(1).write.mode("append").parquet(outcomes)
+        if payloads.isEmpty():
+            spark.createDataFrame([], STATUS_SCHEMA).write.parquet(outcomes)
+    return spark.read.schema(STATUS_SCHEMA).parquet(outcomes)
 
 
 def finished_runs(status: DataFrame, registry: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Name of the partitions of a log.
+LOGGED = "_logged_batch"
+
 
 def run_stats(registry: DataFrame, runs: DataFrame) -> DataFrame:
     """Join runs ``(file_name, processed_at, rows_count, status)`` with the latest registry record of their file.
@@ -20,5 +23,14 @@ def run_stats(registry: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def append_run_stats(registry: DataFrame, runs: DataFrame, path: str) -> None:
-    run_stats(registry, runs).write.mode("append").parquet(path)
+def log_runs(registry: DataFrame, runs: DataFrame, path: str, batch: int | str) -> None:
+    """Add the runs of a batch to the log at ``path``.
+
+    Each batch is a partition of its own that is replaced as a whole, so a batch that is tried again logs its runs once.
+    """
+    run_stats(registry, runs).write.mode("overwrite").parquet(f"{path}/{LOGGED}={batch}")
+
+
+def read_run_log(spark: SparkSession, path: str) -> DataFrame:
+    """All logged runs."""
+    return spark.read.parquet(path).drop(LOGGED)

@@ -1,17 +1,22 @@
 """Datasets that arrive as payloads in a table column.
 
-CSV text is cut into records natively: quotes split the text into parts that lie outside and inside quoted fields, and
-only line breaks outside end a record.  A payload that uses quotes in any other way (inside an unquoted field, or
-unbalanced) is read by a small Arrow-fed Python step instead.
+CSV text is taken apart by two regular expressions, natively and in one go: the first finds the records of a payload, the
+second the cells of a record.  Together they accept every text, as a lenient CSV reader does: a cell is quoted if it begins
+with a quote, two quotes inside stand for one, what follows the closing quote up to the next comma belongs to the cell,
+quotes elsewhere are plain characters, and a quote that is never closed takes in the rest.  All loops are possessive, so
+the effort grows with the text and no cell is too long.
+
+Payloads need not share a header: cells go to the columns that their own header names, and the result has the columns of
+all headers.
 """
 
 from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,129 +25,165 @@ from tidyloom.config import ROW_SEQ
 from tidyloom.functions.names import file_format, unique_names
 from tidyloom.operators.columns import quoted, tag_in_order
 from tidyloom.operators.nested import flatten_json
-from tidyloom.storage import stage
+from tidyloom.storage import materialize, stage
 
-# Two code points that Unicode guarantees never to be characters.
-_BREAK = "\uffff\ufffe"
-_CSV_OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+_BREAK = r"(?:\r\n|[\r\n])"
+_CELL = r'(?:"[^"]*+(?:""[^"]*+)*+(?:"[^,\r\n]*+|\z)|[^",\r\n][^,\r\n]*+|)'
+_RECORD = rf"((?:{_CELL},)*+{_CELL})(?:{_BREAK}|\z)"
+_FIRST_RECORD = rf"\A(?:[ \t\f\x0B]*+{_BREAK})*+{_RECORD}"
+_IN_QUOTES = r'(?s)\A"([^"]*+(?:""[^"]*+)*+)(?:"(.*+))?\z'
+#: Payloads of more different headers than this are no tables of one kind; the columns would be theirs all.
+MOST_HEADERS = 10_000
+PLACE = ["__payload_seq", "__pos"]
+WIDE, EMPTY = "more cells than the header", "no record"
 
 
 def payload_text(content: Column, data_type: T.DataType) -> Column:
     """Text of a binary or text payload without a byte-order mark; broken UTF-8 becomes replacement characters."""
     text = F.make_valid_utf8(content.cast("string")) if isinstance(data_type, T.BinaryType) else content
-    return F.regexp_replace(text, "^﻿", "")
+    return F.regexp_replace(text, "^\ufeff", "")
 
 
-def _outside(i: Column) -> Column:
-    return i % 2 == 0
+def csv_records(text: Column) -> Column:
+    """The records of a CSV text as they are written, without their line breaks; blank lines are none."""
+    plain = F.split(text, _BREAK)
+    found = F.when(text.contains('"'), F.regexp_extract_all(text, F.lit(_RECORD), F.lit(1))).otherwise(plain)
+    return F.filter(found, lambda r: r.rlike(r"\S"))
 
 
-def _regular(parts: Column) -> Column:
-    """Do quotes only ever open, escape inside and close whole fields?"""
-    last = F.size(parts) - 1
-    placed = F.transform(parts, lambda part, i: F.when(
-        _outside(i) & (part != ""),
-        ((i == 0) | part.rlike("^[,\r\n]")) & ((i == last) | part.rlike("[,\r\n]$")),
-    ).otherwise(True))
-    return (last % 2 == 0) & F.forall(placed, lambda ok: ok)
+def csv_cells(record: Column) -> Column:
+    """The cells of one record."""
+    def value(cell: Column) -> Column:
+        inside, after = (F.regexp_extract(cell, _IN_QUOTES, i) for i in (1, 2))
+        return F.when(cell.startswith('"'), F.concat(F.replace(inside, F.lit('""'), F.lit('"')), after)).otherwise(cell)
 
+    # With a comma before each cell, the empty match after the last one is none.
+    found = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f",({_CELL})"), F.lit(1))
+    return F.when(record.contains('"'), F.transform(found, value)).otherwise(F.split(record, ","))
 
-def split_records(parts: Column) -> Column:
-    """Records of a regular CSV text, given as its parts between quotes."""
-    marked = F.transform(parts, lambda part, i: F.when(
-        _outside(i), F.regexp_replace(part, "\r\n|\r|\n", _BREAK)
-    ).otherwise(part))
-    return F.split(F.array_join(marked, '"'), _BREAK)
 
-
-def _record_reader():
-    """Reader of irregular payloads for ``mapInPandas``.
-
-    An inner function travels to the executors whole, so they need not have this package installed.
-    """
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        csv.field_size_limit(2**31 - 1)
-        for batch in batches:
-            for i in range(len(batch)):
-                row = batch.iloc[[i]].drop(columns="__text")
-                found = [r for r in csv.reader(io.StringIO(batch["__text"].iat[i], newline=""))
-                         if len(r) > 1 or r and r[0].strip()]  # blank lines are no records, empty cells are
-                if found:
-                    out = row.loc[row.index.repeat(len(found))].reset_index(drop=True)
-                    yield out.assign(__pos=range(len(found)), __fields=found)
-
-    return read
+def _header_line(text: Column) -> Column:
+    """The first record, null if there is none; nothing behind it is looked at."""
+    line = F.regexp_extract(text, _FIRST_RECORD, 1)
+    return F.when(line.rlike(r"\S"), line)
 
 
 def _column_names(header: list[str]) -> list[str]:
     return unique_names([name if name.strip() else f"Unnamed: {i}" for i, name in enumerate(header)])
 
 
-def _without_header(rows: DataFrame, is_header: Column) -> DataFrame:
-    """Drop the first record of each payload, which must be the header."""
-    foreign = F.raise_error(F.lit("payloads must share one header")).cast("boolean")
-    return rows.filter(F.when(F.col("__pos") > 0, True).when(is_header, False).otherwise(foreign))
-
+@dataclass(frozen=True)
+class CsvPayloads:
+    """Parsed payloads: per record the ``keep`` columns, its place, its line and its payload's header line.
 
-def _no_more_cells(rows: DataFrame, extra: Column) -> DataFrame:
-    """A record with content beyond the header's columns is an error rather than cut off."""
-    wide = F.raise_error(F.lit("a record has more cells than the header")).cast("boolean")
-    return rows.filter(F.when(extra.isNull() | (extra == ""), True).otherwise(wide))
-
-
-def scan_csv_payload(df: DataFrame, content: str = "file_content", keep: Iterable[str] = ()) -> DataFrame:
-    """Rows of CSV payloads that share one header, all columns text, plus the ``keep`` columns of their payload.
+    A payload without any record has one row with neither.
+    """
 
-    Each payload is parsed where it lies.  The driver sees one header; that all others equal it is checked while the
-    rows are read, and a foreign one is an error.  Rows are numbered in the order of payloads and of records in them; only
-    where the input is left as it lies, those of irregular payloads come after all others.
+    records: DataFrame
+    header_lines: list[str]
+    keep: list[str]
+    moved: bool
+
+    @property
+    def columns(self) -> list[str]:
+        """The columns of all headers, in the order of their first payload."""
+        return list(dict.fromkeys(n for line in self.header_lines for n in self._names(line)))
+
+    @staticmethod
+    def _names(line: str) -> list[str]:
+        return _column_names(next(csv.reader(io.StringIO(line, newline=""))))
+
+    def _told(self) -> DataFrame:
+        """Records behind the header with their cells, the number of their header, and whether they are too wide."""
+        travel = [F.col(quoted(c)) for c in [*self.keep, "__payload_seq", "__pos", "__line"]]
+        if not self.header_lines:
+            return self.records.select(*travel).where("false").withColumns(
+                {"__cells": F.lit(None).cast("array<string>"), "__header": F.lit(0), "__wide": F.lit(False)})
+        numbers = F.lit(0)
+        if len(self.header_lines) > 1:
+            pairs = [F.lit(x) for i, line in enumerate(self.header_lines) for x in (line, i)]
+            numbers = F.element_at(F.create_map(*pairs), F.col("__head"))
+        told = self.records.where("__pos > 0").select(
+            *travel, numbers.alias("__header"), csv_cells(F.col("__line")).alias("__cells"))
+        width = F.get(F.array(*[F.lit(len(self._names(line))) for line in self.header_lines]), F.col("__header"))
+        beyond = F.slice("__cells", width + 1, F.greatest(F.size("__cells") - width, F.lit(0)))
+        return told.withColumn("__wide", F.exists(beyond, lambda c: c != ""))
+
+    def values(self, broken: str = "error") -> DataFrame:
+        """The rows as text, empty cells as null, with their place; wide records are an error or left out."""
+        told = self._told()
+        wide = F.raise_error(F.lit("a record has more cells than the header")).cast("boolean")
+        told = told.where(F.when(F.col("__wide"), wide).otherwise(True) if broken == "error" else ~F.col("__wide"))
+        names = [self._names(line) for line in self.header_lines]
+
+        def cell(column: str) -> Column:
+            at = [own.index(column) if column in own else None for own in names]
+            if len(set(at)) == 1:
+                return F.get("__cells", F.lit(at[0]))
+            return F.get("__cells", F.get(F.array(*[F.lit(i).cast("int") for i in at]), F.col("__header")))
+
+        kept = [F.col(quoted(c)) for c in [*self.keep, *PLACE]]
+        cells = told.select(*kept, *[F.nullif(cell(c), F.lit("")).alias(f"c{i}") for i, c in enumerate(self.columns)])
+        return cells.toDF(*self.keep, *PLACE, *self.columns)
+
+    def rows(self, broken: str = "error") -> DataFrame:
+        """`values` with the row sequence in the order of payloads and of records in them."""
+        return tag_in_order(self.values(broken), PLACE, self.moved)
+
+    def rejects(self) -> DataFrame:
+        """``keep`` columns, ``record`` (from 1, behind the header), ``reason`` and the line, of what has no rows."""
+        kept = [F.col(quoted(c)) for c in self.keep]
+        wide = self._told().where("__wide").select(
+            *kept, F.col("__pos").alias("record"), F.lit(WIDE).alias("reason"), F.col("__line").alias("line"))
+        empty = self.records.where("__head IS NULL").select(
+            *kept, F.lit(None).cast("int").alias("record"), F.lit(EMPTY).alias("reason"),
+            F.lit(None).cast("string").alias("line"))
+        return wide.unionByName(empty)
+
+
+def parse_csv_payloads(
+    df: DataFrame, content: str = "file_content", keep: Iterable[str] = (), write: bool = False
+) -> CsvPayloads:
+    """Take payloads apart; the driver sees their different header lines only.
+
+    Each payload is parsed where it lies.  With ``write`` the records become a table, for callers that read them more
+    than once.
     """
     keep = list(keep)
     kept = [F.col(quoted(c)) for c in keep]
     tagged = df.select(*kept, F.col(quoted(content))).withColumn("__payload_seq", F.monotonically_increasing_id())
-    df = stage(tagged)
-    moved, place = df is not tagged, ["__payload_seq", "__pos"]
+    df = tagged if write else stage(tagged)
     travel = [*kept, F.col("__payload_seq")]
-    text = payload_text(F.col(quoted(content)), df.schema[content].dataType)
-    parts = df.select(*travel, text.alias("__text")).select(*travel, "__text", F.split("__text", '"').alias("__parts"))
-    is_regular = _regular(F.col("__parts"))
-    # Which way a payload goes is decided by exploding nothing, not by a filter: a filter would be pushed below the
-    # projections and take every text apart again.
-    lines = F.filter(split_records(F.col("__parts")), lambda r: F.trim(r) != "")
-    regular = parts.select(*travel, F.posexplode(F.when(is_regular, lines)).alias("__pos", "__line"))
-    record = T.StructType(
-        [df.schema[c] for c in [*keep, "__payload_seq"]]
-        + [T.StructField("__pos", T.IntegerType()), T.StructField("__fields", T.ArrayType(T.StringType()))]
-    )
-    irregular = parts.select(
-        *travel, F.explode(F.when(~is_regular, F.array("__text"))).alias("__text")
-    ).mapInPandas(_record_reader(), record)
-
-    found = regular.filter("__pos = 0").select("__line").head()
-    line = found["__line"] if found else None
-    header = next(csv.reader(io.StringIO(line, newline=""))) if found else None
-    if header is None:
-        found = irregular.filter("__pos = 0").select("__fields").head()
-        if found is None:
-            raise ValueError("no payload has any content")
-        header = list(found["__fields"])
-    names = [f"c{i}" for i in range(len(header))]
-
-    cells = ", ".join(f"{n} string" for n in [*names, "__extra"])
-    native = _no_more_cells(_without_header(regular, F.col("__line") == F.lit(line)).select(
-        *travel, "__pos", F.from_csv("__line", cells, _CSV_OPTIONS).alias("__row")
-    ), F.col("__row.__extra")).select(*travel, "__pos", *[F.col(f"__row.{n}").alias(n) for n in names])
-    rest = F.array_join(F.slice("__fields", len(header) + 1, 1 << 30), "")
-    python = _no_more_cells(_without_header(
-        irregular, F.col("__fields") == F.array(*[F.lit(h) for h in header])
-    ), rest).select(
-        *travel, "__pos", *[F.get("__fields", F.lit(i)).alias(n) for i, n in enumerate(names)]
-    )
-    values = native.unionByName(python).select(
-        *travel, "__pos", *[F.nullif(F.col(n), F.lit("")).alias(n) for n in names]
-    )
-    return tag_in_order(values.toDF(*keep, *place, *_column_names(header)), place, moved)
+    texts = df.select(*travel, payload_text(F.col(quoted(content)), df.schema[content].dataType).alias("__text"))
+    heads = texts.select(*travel, "__text", _header_line(F.col("__text")).alias("__head"))
+    records = heads.select(*travel, "__head", F.posexplode_outer(csv_records(F.col("__text"))).alias("__pos", "__line"))
+    if write:
+        records = materialize(records, "records")
+        heads = records.where("__pos = 0")
+    lines = heads.where("__head IS NOT NULL").groupBy("__head").agg(F.min("__payload_seq").alias("first"))
+    lines = [r["__head"] for r in lines.orderBy("first").limit(MOST_HEADERS + 1).collect()]
+    if len(lines) > MOST_HEADERS:
+        raise ValueError(f"payloads have more than {MOST_HEADERS} different headers")
+    return CsvPayloads(records, lines, keep, write or df is not tagged)
+
+
+def scan_csv_payload(
+    df: DataFrame, content: str = "file_content", keep: Iterable[str] = (), broken: str = "error"
+) -> DataFrame:
+    """Rows of CSV payloads, all columns text, plus the ``keep`` columns of their payload.
+
+    Rows have the columns of all headers and are numbered in the order of payloads and of records in them.  A record with
+    content beyond its header's columns is an error, or with ``broken="skip"`` among the `csv_payload_rejects`.
+    """
+    parsed = parse_csv_payloads(df, content, keep)
+    if not parsed.header_lines and broken == "error":
+        raise ValueError("no payload has any content")
+    return parsed.rows(broken)
+
+
+def csv_payload_rejects(df: DataFrame, content: str = "file_content", keep: Iterable[str] = ()) -> DataFrame:
+    """Records that are wider than their header and payloads without any record, each with the reason."""
+    return parse_csv_payloads(df, content, keep).rejects()
 
 
 def scan_payload(df: DataFrame, file_name: str, content: str = "file_content") -> DataFrame:

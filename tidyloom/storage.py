@@ -19,6 +19,8 @@ BYTES_PER_PIECE = 128 * 1024
 SHUFFLE_BYTES = 64 * 1024 * 1024
 MOST_SHUFFLE_PARTITIONS = 200_000
 
+# The paths given out in each `discarding` block of a thread.
+_collected = threading.local()
 _sizing_lock = threading.Lock()
 # By session: its shuffle partitions, then those that running blocks ask for.
 _sizes: dict[int, list[int]] = {}
@@ -32,7 +34,10 @@ def shared_root(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_root(spark)}/{uuid.uuid4().hex}/{label}"
+    path = f"{shared_root(spark)}/{uuid.uuid4().hex}/{label}"
+    for paths in getattr(_collected, "blocks", []):
+        paths.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -47,6 +52,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[None]:
+    """Delete what this thread puts below the shared folder in the block when it ends; results must be out by then."""
+    paths: list[str] = []
+    blocks = _collected.__dict__.setdefault("blocks", [])
+    blocks.append(paths)
+    try:
+        yield
+    finally:
+        blocks.remove(paths)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """What all inputs of a plan are estimated at; for a scan that rests on the sizes of its files.
 
@@ -84,12 +104,26 @@ def sized_shuffles(df: DataFrame) -> Iterator[None]:
                 del _sizes[session]
 
 
+def _has_shuffle(node) -> bool:
+    """Does a physical plan move rows between partitions?  Asks for the distributions its nodes need, so it works on
+    plans to which no exchanges have been added yet, and sending a small table around does not count."""
+    name = node.nodeName()
+    if name == "Exchange" or name.startswith(("TakeOrdered", "CollectLimit", "GlobalLimit")):
+        return True
+    children = node.children()
+    for i in range(children.size()):
+        need = node.requiredChildDistribution().apply(i).getClass().getSimpleName()
+        if need.startswith(("ClusteredDistribution", "OrderedDistribution", "AllTuples", "StatefulOp")):
+            return True
+    return any(_has_shuffle(children.apply(i)) for i in range(children.size()))
+
+
 def _pieces(df: DataFrame) -> tuple[int, int]:
     """How many partitions a frame has, and into how many its estimated size could usefully be cut."""
     size = estimated_bytes(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
     # Asking a plan with shuffles for its partitions would run them; what comes out of a shuffle is spread already.
-    shuffled = "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+    shuffled = _has_shuffle(df._jdf.queryExecution().sparkPlan())
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if shuffled else df.rdd.getNumPartitions()
     return partitions, min(cores, size // BYTES_PER_PIECE)
 

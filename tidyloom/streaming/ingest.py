@@ -9,17 +9,21 @@ attempt at the same batch left behind.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidyloom.config import ROW_SEQ, CleanConfig
+from tidyloom.config import CleanConfig
+from tidyloom.functions.names import file_format_col
 from tidyloom.operators.columns import all_text
-from tidyloom.operators.nested import invalid_payloads
-from tidyloom.plans.records import run_records
-from tidyloom.sources.payloads import scan_api_responses, scan_csv_payload
-from tidyloom.storage import materialize
+from tidyloom.operators.nested import flatten_json, invalid_payloads
+from tidyloom.plans.records import finished_runs, run_records
+from tidyloom.sinks.runlog import log_runs
+from tidyloom.sources.payloads import PLACE, parse_csv_payloads, payload_text, scan_api_responses
+from tidyloom.storage import discarding, materialize
 
 API_SCHEMA = "id bigint, api_url string, response string, file_name string, file_path string, status string"
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -59,39 +63,71 @@ def start(
     return writer.trigger(**trigger).start()
 
 
-def land_api_rows(batch: DataFrame) -> DataFrame:
-    return scan_api_responses(batch)
+@dataclass(frozen=True)
+class Landed:
+    """What a batch holds: its rows, and what of it could not be read, with the reason where there can be several."""
 
+    rows: DataFrame
+    rejects: DataFrame
 
-def land_csv_rows(batch: DataFrame) -> DataFrame:
-    return scan_csv_payload(batch).drop(ROW_SEQ)
 
+def land_api_rows(batch: DataFrame) -> Landed:
+    """API responses, flattened; those that are no JSON are rejects, missing ones are neither."""
+    records = materialize(batch, "responses")
+    return Landed(scan_api_responses(records), invalid_payloads(records, "response"))
 
-def land_rows(load: Callable[[DataFrame], DataFrame], out: str) -> BatchHandler:
+
+def land_csv_rows(batch: DataFrame) -> Landed:
+    """CSV payloads of any headers; records that are too wide and payloads without records are rejects.
+
+    A batch is parsed once, into a table that rows and rejects are read from.
+    """
+    names = [c for c in ("file_name", "file_path") if c in batch.columns]
+    parsed = parse_csv_payloads(batch, keep=names, write=True)
+    return Landed(replace(parsed, keep=[]).values("skip").drop(*PLACE), parsed.rejects())
+
+
+def land_file_rows(batch: DataFrame) -> Landed:
+    """Files of any kind by the extension of their name: JSON documents, and all others as CSV.
+
+    A document that is no JSON is a reject, like what of a CSV file cannot be read.
+    """
+    files = materialize(batch, "files")
+    is_json = file_format_col(F.col("file_name"), F.col("file_path")) == "json"
+    csv = land_csv_rows(files.where(~is_json))
+    text = payload_text(F.col("file_content"), files.schema["file_content"].dataType)
+    documents = files.where(is_json).select("file_name", "file_path", text.alias("line"))
+    if documents.isEmpty():
+        return csv
+    rows = [all_text(r) for r in (csv.rows, flatten_json(documents, "line")) if r.columns]
+    broken = invalid_payloads(documents, "line").select(
+        "file_name", "file_path", F.lit(None).cast("int").alias("record"), F.lit("no JSON").alias("reason"), "line")
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows) if rows else csv.rows
+    return Landed(both, csv.rejects.unionByName(broken))
+
+
+def land_rows(load: Callable[[DataFrame], Landed], out: str) -> BatchHandler:
     """Flatten all payloads of a batch together and add them to the table at ``out``.
 
     Values land as text, so batches whose types drift apart still share a table; new fields become new columns.  A batch
-    without any row writes none.  Responses that are no JSON are kept in ``out/_rejects``.
+    without any row writes none.  What cannot be read is kept in ``out/_rejects`` and stops neither the batch nor the
+    stream.  Intermediate tables go when the batch is done.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        payloads = materialize(batch, f"batch_{batch_id}")
-        if payloads.isEmpty():
-            return
-        if "response" in payloads.columns:
-            rejects = invalid_payloads(payloads, "response")
-            if not rejects.isEmpty():
-                rejects.write.mode("overwrite").parquet(f"{out}/_rejects/{BATCH}={batch_id}")
-        rows = load(payloads)
-        if rows.columns:
-            all_text(rows).write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+        with discarding(batch.sparkSession):
+            landed = load(batch)
+            if not landed.rejects.isEmpty():
+                landed.rejects.write.mode("overwrite").parquet(f"{out}/_rejects/{BATCH}={batch_id}")
+            if landed.rows.columns:
+                all_text(landed.rows).write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
 
     return handle
 
 
-def rejected_responses(spark: SparkSession, out: str) -> DataFrame:
-    """Records whose response was no JSON, with the batch they came in."""
-    return spark.read.parquet(f"{out}/_rejects")
+def rejected(spark: SparkSession, out: str) -> DataFrame:
+    """What could not be read, with the batch it came in."""
+    return spark.read.option("mergeSchema", True).parquet(f"{out}/_rejects")
 
 
 def landed_rows(spark: SparkSession, out: str) -> DataFrame:
@@ -99,13 +135,21 @@ def landed_rows(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(out).drop(BATCH)
 
 
-def run_datasets(out: str, config: CleanConfig = CleanConfig(), parallel: int = 4) -> BatchHandler:
-    """Run the whole plan for every record of a batch; how each went is kept in ``out/_status``."""
+def run_datasets(
+    out: str, config: CleanConfig = CleanConfig(), parallel: int = 4, log: str | None = None
+) -> BatchHandler:
+    """Run the whole plan for every record of a batch; how each went is kept in ``out/_status``.
+
+    With ``log`` the finished runs of file records are added to that run log, once per batch however often it is tried.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        records = materialize(batch, f"batch_{batch_id}")
-        status = run_records(records, out, config, parallel)
-        status.write.mode("overwrite").parquet(f"{out}/_status/batch_id={batch_id}")
+        with discarding(batch.sparkSession):
+            records = materialize(batch, f"batch_{batch_id}")
+            status = materialize(run_records(records, out, config, parallel), "status")
+            status.write.mode("overwrite").parquet(f"{out}/_status/batch_id={batch_id}")
+            if log is not None:
+                log_runs(records, finished_runs(status, records), log, batch_id)
 
     return handle
 
