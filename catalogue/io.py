@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalogue import load, register
 from catalogue.dirty import UPLOAD_FILLED, by_key, messy_orders, select_upload
 from tidyloom.operators.columns import drop_technical
 from tidyloom.plans.clean import clean
-from tidyloom.config import CleanConfig
+from tidyloom.config import ROW_SEQ, CleanConfig
 from tidyloom.plans.pipeline import catalog_opener, catalog_writer, csv_opener, csv_writer, run_pipeline
 from tidyloom.plans.records import run_records
 from tidyloom.sinks.runlog import log_runs, read_run_log
 from tidyloom.sinks.tables import output_check, read_csv, sql_columns, table_name, write_catalog, write_csv
 from tidyloom.sources.files import json_rejects, pending_records, scan_all_text, scan_csv, scan_file, scan_json, scan_table
 from tidyloom.sources.payloads import csv_payload_rejects, scan_csv_payload, scan_payload
+from tidyloom.sources.splits import scan_csv_splits
 from tidyloom.storage import fresh_path
 from tidyloom.streaming.ingest import (
     api_stream,
@@ -49,6 +51,26 @@ def csv_scan(spark, sf_dir):
     return drop_technical(scan_csv(spark, path)).withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
 
 
+@register("csv_splits", """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') AS text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars,
+           row_number() OVER (ORDER BY doc_id) AS place, true AS spread
+    FROM documents""")
+def csv_splits(spark, sf_dir):
+    """One file of documents with line breaks in quoted cells, read by many tasks, every row in its place."""
+    path, key = fresh_path(spark, "documents.csv"), "spark.sql.files.maxPartitionBytes"
+    documents = load(spark, sf_dir, "documents")
+    write_csv(documents.coalesce(1).sortWithinPartitions("doc_id"), path)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        found = scan_csv_splits(spark, path)
+        tasks = spark.read.text(path, lineSep="\n").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set(key, before)
+    place = F.row_number().over(Window.orderBy(ROW_SEQ)).cast("bigint").alias("place")
+    return found.select(*documents.columns, place, F.lit(tasks > 2).alias("spread"))
+
+
 @register("csv_all_string", """
     SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CAST(p_size AS VARCHAR) AS p_size FROM part""")
 def csv_all_string(spark, sf_dir):

@@ -15,8 +15,9 @@ def scan_csv(
 ) -> DataFrame:
     """CSV with a header and doubled quotes.
 
-    The defaults read any file right.  On large data switch off ``infer_schema`` (one scan less, the cleaner types the
-    columns anyway) and, if no value holds a line break, ``multi_line`` (files can then be read in splits).
+    The defaults read any file right, but each in one piece.  On large data switch off ``infer_schema`` (one scan less, the
+    cleaner types the columns anyway) and, if no value holds a line break, ``multi_line``; `scan_csv_splits` reads files
+    in splits whatever their values hold.
     """
     df = spark.read.csv(path, header=True, inferSchema=infer_schema, multiLine=multi_line, escape='"')
     return tag_rows(df) if tag else df
