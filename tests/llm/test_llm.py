@@ -7,6 +7,7 @@ import io
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import public_tokenizers
@@ -456,6 +457,23 @@ def test_pipeline_keeps_one_row_of_a_group(spark):
     assert sorted(got, key=str) == sorted([(3, a), (5, b), (None, c), (9, "")], key=str)
 
 
+ODD_TABLES = {
+    "pages": "VALUES (NULL, 'u', 'x'), (9, 'u', 'x'), (NULL, 'u', 'y'), (NULL, 'v', 'y'), (4, NULL, NULL), (5, 'u', ''), "
+             "(6, 'u', 'z'), (6, 'u', 'z'), (7, 'u', 'z')",
+}
+
+
+@pytest.mark.parametrize("name, table, columns", [("op4_warc_segments", "pages", "page_id, url, html")])
+def test_query_matches_sql_on_odd_rows(spark, tmp_path, name, table, columns):
+    """Null and repeated ids, repeated rows and equal payloads have one result in the operator and its SQL."""
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE t AS SELECT CAST(column0 AS BIGINT) AS column0, * EXCLUDE (column0) FROM ({ODD_TABLES[table]}) t("
+                + ", ".join(f"column{i}" for i in range(len(columns.split(",")))) + ")")
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM t AS t({columns})")
+    con.execute(f"COPY (SELECT * FROM {table}) TO '{tmp_path}/{table}.parquet'")
+    assert difference(queries.QUERIES[name](spark, str(tmp_path)), con, queries.SQL[name]) is None
+
+
 @pytest.mark.parametrize("name", queries.SQL)
 def test_query_matches_sql(spark, name):
     assert difference(queries.QUERIES[name](spark, SF), connect(SF), queries.SQL[name]) is None

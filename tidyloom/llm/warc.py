@@ -28,6 +28,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = "1970-01-01T00:00:00Z"
 
 SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 16 << 10, 4 << 10, 20_000
+#: Most bytes of blocks in an archive, since each is read as one value.
+ARCHIVE_BYTES = 1 << 28
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
@@ -94,7 +96,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, leader: int |
 
 def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES,
           id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Write archives, gzip files of at most ``RECORDS_PER_FILE`` records, to a new folder.
+    """Write archives, gzip files of at most ``RECORDS_PER_FILE`` records and some ``ARCHIVE_BYTES``, to a new folder.
 
     Of equal payloads of at least ``min_revisit_bytes`` the page with the smallest id is the response; a null id is
     larger than any other, and among null ids alone each is a response.  A null payload is empty, a null address is left
@@ -125,7 +127,7 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_bytes
 
     made = linked.select(*columns).mapInArrow(run, "record binary")
     made.select(F.col("record").cast("string")).write.option("lineSep", "\r\n").option("compression", "gzip").option(
-        "maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+        "maxRecordsPerFile", max(1, min(RECORDS_PER_FILE, ARCHIVE_BYTES // segment_bytes))).text(path)
 
 
 def parse(archive: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -257,7 +259,11 @@ def resolve(found: DataFrame) -> DataFrame:
     found = written(found.drop("payload"), "records")
     target = found.where("record_type = 'response'").select(
         F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_n"))
-    both = found.join(target, "refers_id", "left")
+    # Responses refer to nothing; in the join their missing keys would be one hot key.
+    both = found.where("refers_id IS NOT NULL").join(target, "refers_id", "left")
+    alone = found.where("refers_id IS NULL").select("*", F.lit(None).cast("long").alias("refers_to"),
+                                                    F.lit(None).cast("long").alias("_n"))
+    both = both.unionByName(alone)
     return both.select(
         "page_id", F.coalesce("payload_bytes", "_n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to",
         F.when((F.col("record_type") == "revisit") & F.col("_n").isNull(), F.coalesce("problem", F.lit(
@@ -283,7 +289,7 @@ l AS (SELECT sha, min(page_id) AS leader FROM p GROUP BY sha)
 SELECT page_id, octet_length(payload) AS payload_bytes, array_to_string(list_transform(range(32), lambda k:
          substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5), lambda i:
            CAST(bits[5 * k + i + 1] AS INTEGER) << CAST(4 - i AS INTEGER))) AS BIGINT), 1)), '') AS payload_digest,
-       CASE WHEN page_id = leader THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> leader THEN leader END AS refers_to
+       CASE WHEN page_id IS NOT DISTINCT FROM leader THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM leader THEN leader END AS refers_to
 FROM b JOIN l USING (sha)
 """
