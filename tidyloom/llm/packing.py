@@ -28,12 +28,12 @@ from tidyloom.llm.common import id_and_text, written
 from tidyloom.llm.words import WordTable, distinct, parts_of
 
 CACHED_CHUNKS = 300_000
-PIECES_PER_BUCKET = 200_000
+PIECES_PER_BUCKET = 50_000
 
 #: Fixed value: how byte-level pre-tokenizers cut words.
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 _RUN = re.compile(r"\s ")
@@ -115,7 +115,7 @@ def _tokens(path: str) -> ChunkTokens:
     return _tokenizers[path]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, buckets: int,
+def pieces(docs: DataFrame, path: str, capacity: int, end_id: int,
            id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: documents above ``capacity`` are cut into pieces of it, of which the first may be shorter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,19 +125,17 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, buckets: int,
             for doc_id, body in zip(part.column("doc_id").to_pylist(), tokens.encode_batch(texts)):
                 ids = np.concatenate([body, end])
                 first = len(ids) % capacity or capacity
-                # Any stable spread will do; it only bounds the group in which pieces of a length are numbered.
-                bucket = zlib.crc32(str(doc_id).encode()) % buckets
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     piece = ids[a:b]
-                    row = (doc_id, k, a, b - a, zlib.crc32(piece.tobytes()), bucket)
+                    row = (doc_id, k, a, b - a, zlib.crc32(piece.tobytes()))
                     rows.append((*row, piece.tolist()) if with_ids else row)
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
-                        ("ids_crc32", pa.int64()), ("bucket", pa.int64())]
+                        ("ids_crc32", pa.int64())]
                        + [("ids", pa.list_(pa.int64()))] * with_ids)
     return id_and_text(docs, id_col, text_col).mapInArrow(run, PIECES + ", ids array<long>" * with_ids)
 
@@ -255,14 +253,16 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_c
     repeated rows are documents of their own; extra columns are left out; an empty table gives an empty one.  With
     ``with_ids`` the pieces carry their ids.
     """
-    total = docs.count()
-    buckets = max(1, total // PIECES_PER_BUCKET * 4)
-    cut = written(pieces(docs, path, capacity, end_id, buckets, id_col, text_col, with_ids), "pieces")
+    cut = pieces(docs, path, capacity, end_id, id_col, text_col, with_ids)
+    cut = written(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    # Buckets bound the group in which pieces of one length are numbered; equal pieces of equal ids are spread too.
+    buckets = max(1, -(-cut.count() // PIECES_PER_BUCKET))
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(buckets)))
     counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = counts.select("length", "bucket", (
         F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32", "row")
     numbered = cut.withColumn("_k", F.row_number().over(order)).join(before, ["length", "bucket"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids,
         (F.col("before") + F.col("_k") - 1).alias("rank"))
