@@ -36,6 +36,18 @@ def odd(spark):
     return spark.createDataFrame([(i, t, 1, 2) for i, t in ODD], "doc_id long, text string, n int, shard int")
 
 
+# -- personal data
+
+def test_measures_and_scores_are_no_phone_numbers(spark):
+    texts = ["grew +12 34 56 here, +5 1234 up", "call +44 20 7946 0958 now", "+999 12 345 678", "odds +210 55 66 77 88",
+             "+49 (30) 1234 5678", "+1-415-555-0132"]
+    rows = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, _found int, _new string")
+    got = {r.doc_id: r for r in pii.pseudonymize(rows).collect()}
+    assert [got[i].n_found for i in range(6)] == [0, 1, 0, 0, 1, 1]
+    assert all((got[i].text == t) == (got[i].n_found == 0) for i, t in enumerate(texts))
+    assert got[1].text.startswith("call +44 ") and got[4].text.startswith("+49 (") and got[0]["_found"] == 1 and got[0]["_new"] == "x"
+
+
 # -- pages
 
 @pytest.mark.parametrize("source, texts", [
@@ -296,6 +308,18 @@ def test_sign_codes(spark):
     assert sorted(map(tuple, hamming_search.sign_codes(rows).collect())) == [(1, 5), (3, 0), (4, 2)]
 
 
+# -- personal data
+
+def test_measures_and_scores_are_no_phone_numbers(spark):
+    texts = ["grew +12 34 56 here, +5 1234 up", "call +44 20 7946 0958 now", "+999 12 345 678", "odds +210 55 66 77 88",
+             "+49 (30) 1234 5678", "+1-415-555-0132"]
+    rows = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, _found int, _new string")
+    got = {r.doc_id: r for r in pii.pseudonymize(rows).collect()}
+    assert [got[i].n_found for i in range(6)] == [0, 1, 0, 0, 1, 1]
+    assert all((got[i].text == t) == (got[i].n_found == 0) for i, t in enumerate(texts))
+    assert got[1].text.startswith("call +44 ") and got[4].text.startswith("+49 (") and got[0]["_found"] == 1 and got[0]["_new"] == "x"
+
+
 # -- pages
 
 def test_made_pages_are_extracted():

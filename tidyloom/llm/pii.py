@@ -40,6 +40,10 @@ DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 PHONE = (r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
          r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])")
+#: Country codes in use, by their first digits.
+COUNTRY = ("^(?:1|7|2(?:0|7|1[1-368]|[2-6][0-9]|9[0-1789])|3(?:[0-469]|5[0-9]|7[0-8]|8[0-35-79])|4(?:[013-9]|2[013])"
+           "|5(?:[1-8]|0[0-9]|9[0-9])|6(?:[0-6]|7[0-9]|8[0-9]|9[0-2])|8(?:[1246]|0[08]|5[02356]|7[08]|8[0-368])"
+           "|9(?:[0-58]|6[0-8]|7[0-79]|9[2-68]))")
 #: A whole run of groups of digits, up to a value of another kind; `_cards` looks for numbers in it.
 CARD = (r"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++"
         rf"(?:[ -](?!{EMAIL}|{SECRET}|{ADDRESS}|{DATE}|{SOCIAL}|{PHONE})[0-9]++)*+")
@@ -201,10 +205,14 @@ def _iban(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    """The country code stays; all other digits are permuted."""
+    """The country code stays; all other digits are permuted.  An international number has 7 to 15 digits and begins with
+    a country code that is given out; what has not, such as a measure or a score, is none."""
     country = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    return _let(country, lambda c: _let(value.substr(F.length(c) + 1, F.length(value)), lambda rest: F.concat(
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    valid = ~value.startswith("+") | F.length(digits).between(7, 15) & digits.rlike(COUNTRY)
+    new = _let(country, lambda c: _let(value.substr(F.length(c) + 1, F.length(value)), lambda rest: F.concat(
         c, _refill(rest, feistel_text(F.regexp_replace(rest, "[^0-9]", ""), key, "phone")))))
+    return F.when(valid, new).otherwise(value)
 
 
 def _address(value: Column, key: str) -> Column:
@@ -267,16 +275,17 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
 def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
     """``docs`` with the personal data in ``text_col`` replaced, and ``n_found``, the number of values that changed.
 
-    All other columns stay, but one called ``n_found`` is replaced.  Null texts stay null and have 0; ids, repeated rows
+    All other columns stay, of any name, but one called ``n_found`` is replaced.  Null texts stay null and have 0; ids, repeated rows
     and empty tables need no care, since each text is handled by itself, whole.
     """
     text = F.col(text_col)
     names = docs.columns
     kept = [F.col(f"`{c}`") for c in names if c not in (text_col, "n_found")]
+    was, new = (f"{c}{'_' * max(map(len, names))}" for c in ("found", "new"))  # longer than any name there is
     found = docs.select(*kept, text.alias(text_col), F.coalesce(
-        F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")).alias("_found"))
-    changed = found.withColumn("_new", F.transform("_found", lambda v: pseudonym(v, key)))
-    pieces = F.zip_with(F.split(text, PATTERN, -1), "_new", lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit(""))))
-    out = changed.select(*kept, F.when(F.size("_found") == 0, text).otherwise(F.array_join(pieces, "")).alias(text_col),
-                         F.aggregate("_new", F.lit(0).cast("long"), lambda total, v: total + v["n"]).alias("n_found"))
+        F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")).alias(was))
+    changed = found.withColumn(new, F.transform(was, lambda v: pseudonym(v, key)))
+    pieces = F.zip_with(F.split(text, PATTERN, -1), new, lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit(""))))
+    out = changed.select(*kept, F.when(F.size(was) == 0, text).otherwise(F.array_join(pieces, "")).alias(text_col),
+                         F.aggregate(new, F.lit(0).cast("long"), lambda total, v: total + v["n"]).alias("n_found"))
     return out.select(*(f"`{c}`" for c in names if c != "n_found"), "n_found")
