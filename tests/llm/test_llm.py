@@ -36,6 +36,35 @@ def odd(spark):
     return spark.createDataFrame([(i, t, 1, 2) for i, t in ODD], "doc_id long, text string, n int, shard int")
 
 
+# -- fingerprints
+
+def test_no_text_is_a_single_leaf(spark):
+    """An edit of the second half leaves the first recognizable, whatever marks a text has or lacks."""
+    rng = random.Random(6)
+    some = lambda n: ["".join(rng.choice("bcdfghklm") for _ in range(rng.randint(3, 9))) for _ in range(n)]
+    texts = ["! ".join(some(900)), "? ".join(some(800)), " ".join(some(700)), "".join(some(900)), "日".join(some(500)),
+             "".join(some(40))[:200], ", ".join(some(600))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert min(r.near_edited for r in merkle.edited(docs).collect()) > 0.1
+    long = spark.read.parquet(f"{SF}/documents.parquet").where("char_length(text) >= 200")
+    assert merkle.edited(long).where("near_edited < 0.1").count() == 0
+
+
+def test_differing_branches_name_the_changed_paragraph(spark):
+    lines = [f"This is line {i} of a text that has some words in it and goes on for a while." for i in range(40)]
+    other = [*lines]
+    other[17] = other[17].replace("some words", "other things")
+    rows = spark.createDataFrame([("\n".join(lines), "\n".join(other))], "a string, b string")
+    trees = rows.select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"), F.col("b").alias("text"))
+    (found,) = trees.select(merkle.differing(F.col("a"), F.col("b")).alias("ab"), merkle.differing(F.col("b"), F.col("a")).alias("ba"),
+                            merkle.differing(F.col("a"), F.col("a")).alias("aa")).collect()
+    assert found.aa == [] and {x.section for x in found.ab} == {x.section for x in found.ba} == {17}
+    import re
+    cuts = re.findall(merkle.PARAGRAPH, other[17])
+    assert [x.paragraph for x in found.ba] == [i for i, c in enumerate(cuts) if c not in re.findall(merkle.PARAGRAPH, lines[17])]
+    assert any("other things" in cuts[x.paragraph] or "other" in cuts[x.paragraph] for x in found.ba)
+
+
 # -- personal data
 
 def test_measures_and_scores_are_no_phone_numbers(spark):
@@ -308,6 +337,35 @@ def test_sign_codes(spark):
     assert sorted(map(tuple, hamming_search.sign_codes(rows).collect())) == [(1, 5), (3, 0), (4, 2)]
 
 
+# -- fingerprints
+
+def test_no_text_is_a_single_leaf(spark):
+    """An edit of the second half leaves the first recognizable, whatever marks a text has or lacks."""
+    rng = random.Random(6)
+    some = lambda n: ["".join(rng.choice("bcdfghklm") for _ in range(rng.randint(3, 9))) for _ in range(n)]
+    texts = ["! ".join(some(900)), "? ".join(some(800)), " ".join(some(700)), "".join(some(900)), "日".join(some(500)),
+             "".join(some(80))[:200], ", ".join(some(600))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert min(r.near_edited for r in merkle.edited(docs).collect()) > 0.1
+    long = spark.read.parquet(f"{SF}/documents.parquet").where("char_length(text) >= 200")
+    assert merkle.edited(long).where("near_edited < 0.1").count() == 0
+
+
+def test_differing_branches_name_the_changed_paragraph(spark):
+    lines = [f"This is line {i} of a text that has some words in it and goes on for a while." for i in range(40)]
+    other = [*lines]
+    other[17] = other[17].replace("some words", "other things")
+    rows = spark.createDataFrame([("\n".join(lines), "\n".join(other))], "a string, b string")
+    trees = rows.select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"), F.col("b").alias("text"))
+    (found,) = trees.select(merkle.differing(F.col("a"), F.col("b")).alias("ab"), merkle.differing(F.col("b"), F.col("a")).alias("ba"),
+                            merkle.differing(F.col("a"), F.col("a")).alias("aa")).collect()
+    assert found.aa == [] and {x.section for x in found.ab} == {x.section for x in found.ba} == {17}
+    import re
+    cuts = re.findall(merkle.PARAGRAPH, other[17])
+    assert [x.paragraph for x in found.ba] == [i for i, c in enumerate(cuts) if c not in re.findall(merkle.PARAGRAPH, lines[17])]
+    assert any("other things" in cuts[x.paragraph] or "other" in cuts[x.paragraph] for x in found.ba)
+
+
 # -- personal data
 
 def test_measures_and_scores_are_no_phone_numbers(spark):
@@ -484,10 +542,13 @@ def test_pipeline_keeps_one_row_of_a_group(spark):
 ODD_TABLES = {
     "pages": "VALUES (NULL, 'u', 'x'), (9, 'u', 'x'), (NULL, 'u', 'y'), (NULL, 'v', 'y'), (4, NULL, NULL), (5, 'u', ''), "
              "(6, 'u', 'z'), (6, 'u', 'z'), (7, 'u', 'z')",
+    "documents": "VALUES (2, 'one. two! three'), (2, 'one. two! three'), (1, 'first'), (NULL, 'none'), (NULL, NULL), (3, ''), "
+                 "(1, 'other of one'), (4, repeat('word here ', 300)), (5, repeat('bcd', 200)), (6, 'a' || chr(10) || chr(10))",
 }
 
 
-@pytest.mark.parametrize("name, table, columns", [("op4_warc_segments", "pages", "page_id, url, html")])
+@pytest.mark.parametrize("name, table, columns", [
+    ("op4_warc_segments", "pages", "page_id, url, html"), ("op5_merkle_fingerprints", "documents", "doc_id, text")])
 def test_query_matches_sql_on_odd_rows(spark, tmp_path, name, table, columns):
     """Null and repeated ids, repeated rows and equal payloads have one result in the operator and its SQL."""
     con = duckdb.connect()

@@ -1,8 +1,11 @@
 """Document fingerprints as Merkle trees, in column expressions only.
 
-A text is a list of sections, its lines; a section is a list of paragraphs, cut after each full stop that a space
-follows, since a line of prose often holds a whole page.  Hashes of paragraphs make those of sections, and these the
-root.  The cuts lose nothing, so equal roots mean equal texts; differing branches show where texts differ.
+A text is a list of sections, its lines; a section is a list of paragraphs of at most 96 characters, since a line of prose
+often holds a whole page.  A paragraph ends at the first place, 32 characters on or later, behind a sentence mark or a word
+that ends in one of three vowels; the content alone decides, so the cuts fall into step again behind an edit.  Where there
+is no such place it ends after 96 characters.  Hashes of paragraphs make those of sections, and these the root.  The cuts
+lose nothing, so equal roots mean equal texts; `differing` walks two trees down the branches that differ to the
+paragraphs that one of them lacks.
 
 A fingerprint reads ``root|section:paragraph.length,paragraph.length;section:...``.  The root is whole, the other
 hashes are shortened; they are still made from whole ones.
@@ -17,14 +20,17 @@ from pyspark.sql.window import Window
 from tidyloom.llm.common import written
 
 SECTION_HEX, PARAGRAPH_HEX = 16, 8
+#: A paragraph; both Java and RE2 read it alike.
+PARAGRAPH = r"[^\n]{32,94}?(?:[.!?] |[aeo] )|[^\n]{1,96}"
 
 
 def fingerprint(text: Column) -> Column:
     """The tree of a text; null counts as empty."""
     hashes = F.transform(
         F.split(F.coalesce(text, F.lit("")), "\n", -1),
-        lambda section: F.transform(F.split(section, r"\. ", -1),
-                                    lambda p: F.struct(F.md5(p).alias("h"), F.char_length(p).alias("n"))))
+        lambda section: F.transform(
+            F.when(section == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(section, F.lit(PARAGRAPH), F.lit(0))),
+            lambda p: F.struct(F.md5(p).alias("h"), F.char_length(p).alias("n"))))
     sections = F.transform(hashes, lambda ps: F.struct(
         F.md5(F.array_join(F.transform(ps, lambda p: p.h), ",")).alias("h"),
         F.array_join(F.transform(ps, lambda p: F.concat(F.substring(p.h, 1, PARAGRAPH_HEX), F.lit("."),
@@ -43,6 +49,31 @@ def paragraphs(tree: Column) -> Column:
         lambda s: F.split(F.substring(s, SECTION_HEX + 2, 1 << 30), ",", -1))))
 
 
+def differing(a: Column, b: Column) -> Column:
+    """Where a text has what another has not, from their fingerprints: ``section``, ``paragraph`` (both from 0) and
+    ``length``, in order.  Equal roots end the walk at once, sections that the other text has are passed over, and in the
+    rest the paragraphs are looked up."""
+    def sections(tree: Column) -> Column:
+        return F.split(F.substring_index(tree, "|", -1), ";", -1)
+
+    def in_section(s: Column, i: Column, theirs: Column) -> Column:
+        own = F.transform(F.split(F.substring(s, SECTION_HEX + 2, 1 << 30), ",", -1), lambda p, j: F.struct(
+            i.alias("section"), j.alias("paragraph"), F.substring(p, PARAGRAPH_HEX + 2, 20).cast("int").alias("length"), p.alias("p")))
+        return F.filter(own, lambda p: ~F.array_contains(theirs, p["p"]))
+
+    def walk(known: Column) -> Column:
+        found = F.transform(sections(a), lambda s, i: F.when(
+            ~F.array_contains(known["sections"], F.substring(s, 1, SECTION_HEX)), in_section(s, i, known["paragraphs"])))
+        return F.transform(F.flatten(F.filter(found, lambda f: f.isNotNull())), lambda p: F.struct(
+            p["section"].alias("section"), p["paragraph"].alias("paragraph"), p["length"].alias("length")))
+
+    known = F.struct(F.transform(sections(b), lambda s: F.substring(s, 1, SECTION_HEX)).alias("sections"),
+                     paragraphs(b).alias("paragraphs"))
+    same = F.substring_index(a, "|", 1) == F.substring_index(b, "|", 1)
+    none = F.array().cast("array<struct<section:int,paragraph:int,length:int>>")
+    return F.when(same, none).otherwise(F.transform(F.array(known), walk)[0])
+
+
 def _weight(found: Column) -> Column:
     """Characters of paragraphs, and one for each, so that empty ones count."""
     return F.aggregate(found, F.lit(0).cast("long"), lambda total, p: total + F.substring(
@@ -120,9 +151,9 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 #: The same over ``documents`` in SQL, with whole-table order instead of ranges.
-SQL = """
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS h
-      FROM documents),
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, * FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text,
+           md5(coalesce(text, '')) AS h FROM documents)),
 n AS (SELECT *, length(text) AS n_chars, coalesce(lead(text) OVER w, first(text) OVER (
         ORDER BY doc_id DESC NULLS LAST, h DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_text,
         CASE WHEN lead(1) OVER w = 1 THEN lead(doc_id) OVER w ELSE first(doc_id) OVER (
@@ -133,8 +164,8 @@ e AS (SELECT *, left(text, n_chars - n_chars // 2) || left(next_text, n_chars //
 x AS (SELECT r, unnest([1, 2, 3]) AS kind, unnest([text, edited, next_text]) AS x FROM e),
 l AS (SELECT r, kind, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS i
       FROM x),
-p AS (SELECT r, kind, i, unnest(string_split(line, '. ')) AS p, generate_subscripts(string_split(line, '. '), 1) AS j
-      FROM l),
+c AS (SELECT r, kind, i, CASE WHEN line = '' THEN [''] ELSE regexp_extract_all(line, '{PARAGRAPH}') END AS ps FROM l),
+p AS (SELECT r, kind, i, unnest(ps) AS p, generate_subscripts(ps, 1) AS j FROM c),
 s AS (SELECT r, kind, i, md5(string_agg(md5(p), ',' ORDER BY j)) AS h,
              string_agg(left(md5(p), 8) || '.' || length(p), ',' ORDER BY j) AS ps FROM p GROUP BY ALL),
 f AS (SELECT r, kind, sha256(string_agg(h, ';' ORDER BY i)) || '|'
@@ -146,8 +177,9 @@ w AS (SELECT r, sum(weight) FILTER (list_contains(kinds, 1)) AS w1, sum(weight)
              coalesce(sum(weight) FILTER (list_contains(kinds, 1) AND list_contains(kinds, 2)), 0) AS w12,
              coalesce(sum(weight) FILTER (list_contains(kinds, 1) AND list_contains(kinds, 3)), 0) AS w13
       FROM g GROUP BY r)
-SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.f AS fingerprint,
+SELECT e.doc_id, CAST(e.n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.f AS fingerprint,
        b.f AS edited_fingerprint, CAST(2.0 AS DOUBLE) * CAST(w12 AS DOUBLE) / CAST(w1 + w2 AS DOUBLE) AS near_edited,
        CAST(2.0 AS DOUBLE) * CAST(w13 AS DOUBLE) / CAST(w1 + w3 AS DOUBLE) AS near_next, next_doc_id
-FROM e JOIN f a ON a.r = e.r AND a.kind = 1 JOIN f b ON b.r = e.r AND b.kind = 2 JOIN w ON w.r = e.r
+FROM documents o JOIN e ON o.doc_id IS NOT DISTINCT FROM e.doc_id AND coalesce(o.text, '') = e.text
+JOIN f a ON a.r = e.r AND a.kind = 1 JOIN f b ON b.r = e.r AND b.kind = 2 JOIN w ON w.r = e.r
 """
