@@ -8,7 +8,9 @@ from catalogue import load, register
 from catalogue.dirty import by_key
 from tidyloom.config import ROW_SEQ
 from tidyloom.operators.keys import add_surrogate_id, detect_relaxed_id
-from tidyloom.operators.nested import explode_arrays, flatten_json, flatten_structs, invalid_payloads
+from tidyloom.operators.nested import (
+    array_growth, explode_arrays, flatten_json, flatten_structs, invalid_payloads, json_growth,
+)
 
 _EVENT = "event_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS props_k"
 
@@ -166,6 +168,44 @@ def array_explode(spark, sf_dir):
     return explode_arrays(load(spark, sf_dir, "embeddings"))
 
 
+def _bulky_orders(spark, sf_dir):
+    """Orders by customer with three sibling lists, one of them of objects that hold lists; one customer has long ones."""
+    orders = load(spark, sf_dir, "orders")
+    lists = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
+    bulky = F.when(F.col("o_custkey") == 1, F.sequence(F.lit(1), F.lit(300))).otherwise(F.slice("keys", 1, 2).cast("array<int>"))
+    return lists.select("o_custkey", "keys", bulky.alias("more"), F.transform(F.slice("keys", 1, 3), lambda k: F.struct(
+        k.alias("key"), F.slice("keys", 2, 2).alias("tags"))).alias("parts"))
+
+
+_GROWTH = """
+    SELECT o_custkey, n * CASE WHEN o_custkey = 1 THEN 300 ELSE least(n, 2) END
+                      * (least(n, 3) * greatest(least(n - 1, 2), 1)) AS rows
+    FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)"""
+
+
+@register("array_growth", _GROWTH)
+def array_growths(spark, sf_dir):
+    """The row growth of sibling lists, told before they are exploded."""
+    bulky = _bulky_orders(spark, sf_dir)
+    return bulky.select("o_custkey", array_growth(bulky).alias("rows"))
+
+
+@register("json_growth", _GROWTH)
+def json_growths(spark, sf_dir):
+    """The same of JSON records, some of which hold a bare value in place of a list of one."""
+    bulky = _bulky_orders(spark, sf_dir)
+    one = F.when(F.size("keys") == 1, F.to_json(F.struct(F.col("keys")[0].alias("keys"), "more", "parts"))).otherwise(
+        F.to_json(F.struct("keys", "more", "parts")))
+    return json_growth(bulky.select("o_custkey", one.alias("response")), "response", ["o_custkey"]).drop("record")
+
+
+@register("array_explode_heavy", _GROWTH)
+def array_explode_heavy(spark, sf_dir):
+    """Records of many combinations, dealt over the cluster while they are exploded: as many rows as were told."""
+    flat = explode_arrays(_bulky_orders(spark, sf_dir), heavy=100)
+    return flat.groupBy("o_custkey").agg(F.count("*").alias("rows"))
+
+
 @register("struct_flatten", """
     SELECT l_orderkey AS line_order, l_partkey AS line_part_key, l_quantity AS line_part_quantity, l_shipdate
     FROM lineitem""")

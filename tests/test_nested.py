@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from tidyloom import storage
 from tidyloom.config import ROW_SEQ
-from tidyloom.operators.nested import explode_arrays, flatten_json, flatten_structs, invalid_payloads
+from tidyloom.operators.nested import (
+    explode_arrays, flatten_json, flatten_records, flatten_structs, invalid_payloads, json_growth, record_items,
+)
 from tidyloom.sources.files import json_rejects, scan_json
 from tidyloom.sources.payloads import scan_csv_payload
 
@@ -126,3 +128,23 @@ def test_csv_payload_rows_keep_their_order(spark, monkeypatch, piece):
     payloads = [("a,b\n" + "\n".join(f"{k * 500 + i},{'y' * 40}" for i in range(500)),) for k in range(60)]
     df = scan_csv_payload(spark.createDataFrame(payloads, "file_content string").coalesce(1))
     assert [int(r["a"]) for r in df.orderBy(ROW_SEQ).select("a").collect()] == list(range(30_000))
+
+
+def test_growth_is_the_number_of_rows(spark):
+    docs = ['{"a": [1, 2, 3], "b": [{"c": [1, 2]}, {"c": []}, {}], "d": 1}', '{"a": [], "b": null}', '{"a": 5}', "7", '[{"a": [[1, 2], 3]}, {}]']
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, t string")
+    for some in (docs, docs[:2], docs[:3]):
+        part = df.where(F.col("i") < len(some))
+        told = {(r.i, r.record): r["rows"] for r in json_growth(part, "t", ["i"]).collect()}
+        records = record_items(part, "t", ["i"])
+        made = flatten_records(records, keep=["i", "__record_pos"]).groupBy("i", "__record_pos").count().collect()
+        assert told == {(r.i, r["__record_pos"]): r["count"] for r in made}
+
+
+def test_a_heavy_record_is_dealt_over_tasks(spark, rows):
+    one = spark.range(2).select("id", F.when(F.col("id") == 0, F.sequence(F.lit(1), F.lit(200))).otherwise(F.array(F.lit(1))).alias("a"),
+                                F.sequence(F.lit(1), F.lit(300)).alias("b"), F.array(F.struct(F.lit(1).alias("x"))).alias("c")).coalesce(1)
+    flat = explode_arrays(one, heavy=1000)
+    assert flat.columns == explode_arrays(one).columns and rows(flat) == rows(explode_arrays(one))
+    tasks = flat.where("id = 0").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) > 3 and max(r["count"] for r in tasks) < 200 * 300 / 2

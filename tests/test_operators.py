@@ -22,6 +22,7 @@ from tidyloom.operators.keys import (
     add_surrogate_id,
     detect_key,
     detect_relaxed_id,
+    distinct_counts,
     rank_by_cardinality,
     sort_by_key,
 )
@@ -311,6 +312,13 @@ def test_nan_is_no_value(spark):
     assert approx_quantiles(df, {"v": [0.5]}, 0.01) == {"v": [2.0]}
 
 
+def test_distinct_counts_expand_no_rows(spark):
+    df = spark.range(1000).select(*[(F.col("id") % (i + 2)).alias(f"c{i}") for i in range(10)], F.lit(None).cast("int").alias("void"))
+    found = distinct_counts(df, df.columns)
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["column"]: r["n"] for r in found.collect()} == {f"c{i}": i + 2 for i in range(10)} | {"void": 0}
+
+
 def test_subset_dedup_sorts_no_rows(spark, rows):
     """Late materialization: numbers are aggregated by hash, and a key of a third of all rows joins nothing."""
     df = spark.range(9000).select((F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))).alias("k"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,12 +25,27 @@ def _sketchable(c: Column, data_type: T.DataType) -> Column:
     return c if isinstance(data_type, (T.IntegerType, T.LongType, T.StringType)) else c.cast("string")
 
 
+def distinct_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """``column, n``: exact numbers of distinct values, one row per column.
+
+    Each column is grouped by its own values, which are reduced where they lie and then meet in partitions of their hash;
+    what is left of a partition is one number.  Counting them all in one aggregate would expand every row into as many
+    rows as there are columns.
+    """
+    def one(column: str) -> DataFrame:
+        values = df.select(F.col(quoted(column)).alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.lit(1).alias("one"))
+        return values.agg(F.count("*").alias("n")).select(F.lit(column).alias("column"), "n")
+
+    return reduce(DataFrame.unionAll, [one(c) for c in columns])
+
+
 class ColumnStats:
     """Row, value and distinct counts of a table, computed once and shared by all key and split rules.
 
     One pass counts values and sketches distinct values for every column asked for; sketches are merged per group of
     partitions first, so no single task merges those of all partitions.  An exact distinct count is a
-    shuffle of that one column, reduced map-side, and runs only where a decision hangs on it.
+    shuffle of that one column, reduced map-side, and runs only where a decision hangs on it.  Several columns are
+    counted side by side, each in partitions of its own; no row is copied for a column that it has no part in.
     """
 
     def __init__(self, df: DataFrame, columns: Iterable[str]):
@@ -57,8 +73,7 @@ class ColumnStats:
         fresh = [c for c in dict.fromkeys(columns) if c not in self._exact]
         if fresh:
             with sized_shuffles(self._df):
-                counts = self._df.agg(*[F.count_distinct(F.col(quoted(c))) for c in fresh]).head()
-            self._exact.update(zip(fresh, counts))
+                self._exact.update({r["column"]: r["n"] for r in distinct_counts(self._df, fresh).collect()})
         return [self._exact[c] for c in columns]
 
     def bounds(self, column: str) -> tuple[float, float]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,12 +50,24 @@ def flatten_structs(df: DataFrame) -> DataFrame:
     return df.select(*[c.alias(n) for n, (_, c) in zip(unique_names(n for n, _ in found), found)])
 
 
-def explode_arrays(df: DataFrame) -> DataFrame:
+def explode_arrays(df: DataFrame, heavy: int | None = None) -> DataFrame:
     """Explode array columns until none is left; an empty array leaves one null row.
 
-    Several arrays in a row give all their combinations.  Structs inside an array become columns at the end.
+    Several arrays in a row give all their combinations.  Structs inside an array become columns at the end.  With
+    ``heavy``, rows that make more rows than that are dealt over the cluster by the items of their first array before the
+    others are exploded; the rest stay where they are.
     """
     df = flatten_structs(df)
+    arrays = [f for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    if heavy is not None and arrays:
+        light = explode_arrays(df.where(array_growth(df) <= heavy))
+        name = arrays[0].name
+        dealt = df.where(array_growth(df) > heavy).select(*[
+            F.explode_outer(F.col(quoted(c))).alias(c) if c == name else F.col(quoted(c)) for c in df.columns])
+        # Each item once more as an array of its own, so that columns come out in the same places.
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = dealt.repartition(tasks).withColumn(name, F.array(F.col(quoted(name))))
+        return light.union(explode_arrays(dealt))
     while True:
         arrays = [f for f in df.schema if isinstance(f.dataType, T.ArrayType)]
         if not arrays:
@@ -68,6 +81,34 @@ def explode_arrays(df: DataFrame) -> DataFrame:
             df = df.select(*[exploded if c == name else F.col(quoted(c)) for c in df.columns])
 
 
+def array_growth(df: DataFrame) -> Column:
+    """How many rows `explode_arrays` makes of each row: the product over its arrays of what their items make."""
+    def grows(c: Column, data_type: T.DataType) -> Column | None:
+        if isinstance(data_type, T.StructType):
+            return _product([grows(c.getField(f.name), f.dataType) for f in data_type])
+        if isinstance(data_type, T.ArrayType):
+            return _total(c, lambda item: grows(item, data_type.elementType))
+        return None
+
+    rows = _product([grows(F.col(quoted(f.name)), f.dataType) for f in df.schema])
+    return (F.lit(1) if rows is None else rows).cast("long")
+
+
+def _product(factors: Iterable[Column | None]) -> Column | None:
+    """The product of what is not None; in doubles, which cannot overflow, until it is cut to a long."""
+    known = [F.coalesce(f, F.lit(1.0)) for f in factors if f is not None]
+    return reduce(lambda a, b: a * b, known) if known else None
+
+
+def _total(items: Column, grows: Callable[[Column], Column | None]) -> Column:
+    """What the items of an array make together; an empty or missing array makes one row."""
+    def add(total: Column, item: Column) -> Column:
+        grown = grows(item)
+        return total + (F.lit(1.0) if grown is None else F.coalesce(grown, F.lit(1.0)))
+
+    return F.coalesce(F.nullif(F.aggregate(items, F.lit(0.0), add), F.lit(0.0)), F.lit(1.0))
+
+
 # --- JSON text ------------------------------------------------------------------------------------------------------
 
 
@@ -223,6 +264,50 @@ def _settle_mixed(df: DataFrame, field: _Field, place: str) -> tuple[DataFrame,
     return df, [scalar], _fields(whole, name, variant_type(df, whole))
 
 
+def record_growth(
+    df: DataFrame, column: str = "__record", keep: Iterable[str] = (_PLACE[1],)
+) -> DataFrame:
+    """The ``keep`` columns and ``rows`` of each record: how many rows flattening makes of it.
+
+    Sibling lists of a record give all their combinations, so this is a product, told before anything is exploded.
+    """
+    record = F.col(quoted(column))
+
+    def grows(v: Column, data_type: T.DataType, source: DataFrame, at: Column) -> Column | None:
+        """``at`` is the same value as ``v``, but in ``source``, where its items can be looked at."""
+        if isinstance(data_type, T.StructType):
+            return _product([grows(_member(v, f.name), f.dataType, source, _member(at, f.name)) for f in data_type])
+        if isinstance(data_type, T.ArrayType):
+            inner, item = _items_of(source, F.try_variant_get(at, "$", _LIST))
+            return _total(F.try_variant_get(v, "$", _LIST), lambda i: grows(i, data_type.elementType, inner, item))
+        if isinstance(data_type, T.VariantType):  # a list here, something else there: each is taken as a list
+            inner, item = _items_of(source, F.coalesce(F.try_variant_get(at, "$", _LIST), F.array(at)))
+            kind = variant_type(inner, item)
+            if isinstance(kind, T.VariantType):
+                if not inner.agg(F.bool_or(is_list(item))).head()[0]:
+                    kind = T.StringType()
+            return _total(F.coalesce(F.try_variant_get(v, "$", _LIST), F.array(v)), lambda i: grows(i, kind, inner, item))
+        return None
+
+    shape = variant_type(df, record)
+    if not isinstance(shape, T.StructType):
+        df = df.select(*[F.col(quoted(c)) for c in keep], wrap_scalar(record).alias(column))
+        shape = variant_type(df, record)
+    rows = grows(record, shape, df, record) if isinstance(shape, T.StructType) else None
+    return df.select(*[F.col(quoted(c)) for c in keep], (F.lit(1.0) if rows is None else rows).cast("long").alias("rows"))
+
+
+def _items_of(df: DataFrame, items: Column) -> tuple[DataFrame, Column]:
+    return df.select(F.explode(items).alias("__item")), F.col("__item")
+
+
+def json_growth(df: DataFrame, column: str, keep: Iterable[str] = ()) -> DataFrame:
+    """``keep`` columns, ``record`` (from 0) and ``rows`` for each record of JSON payloads, see `record_growth`."""
+    keep = list(keep)
+    records = record_items(df, column, keep)
+    return record_growth(records, keep=[*keep, _PLACE[1]]).withColumnRenamed(_PLACE[1], "record")
+
+
 def flatten_records(
     df: DataFrame, column: str = "__record", keep: Iterable[str] = (),
     arrange: Callable[[T.DataType], T.DataType] = lambda shape: shape,
