@@ -33,7 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that a document with a smaller id has too, in whole characters; no document goes."""
-    found = suffix_dedup.remove_repeats(docs, keep=("lang", "source"), whole_characters=True)
+    # Whole characters take more memory per byte, and workers still hold some of earlier stages: smaller chunks.
+    found = suffix_dedup.remove_repeats(docs, keep=("lang", "source"), whole_characters=True, chunk_bytes=2 << 20)
     return _with_text(found.withColumn("text", F.col("kept").cast("string")))
 
 
