@@ -1,8 +1,8 @@
 """Best-fit packing of tokenized documents into sequences of fixed length, by exact complements.
 
 Only lengths matter for the plan, and there are at most ``capacity`` of them.  So the plan is made from the histogram of
-piece lengths, a bounded table: each kind of gap is filled by one, two or three lengths that fill it exactly, as often
-as the counts allow; what has no exact complement is packed best-fit.  The plan is a list of patterns, each with the
+piece lengths, a bounded table: an index of the sums of one, two and three lengths gives what fills each kind of gap
+exactly, as often as the counts allow; what has no exact complement is packed best-fit.  The plan is a list of patterns, each with the
 number of sequences it is used for.  Pieces of one length are numbered, and the number decides pattern, sequence and
 place: no piece is ever moved to a common task.
 """
@@ -13,7 +13,9 @@ import bisect
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -140,11 +142,63 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int,
     return id_and_text(docs, id_col, text_col).mapInArrow(run, PIECES + ", ids array<long>" * with_ids)
 
 
+class SumIndex:
+    """Lengths of which pieces are left, by the sums of one, two and three of them; ``left`` is consumed by the caller.
+
+    A pair is filed under its sum by its shorter length, so pairs of sums up to ``capacity`` are at most its square by
+    four.  A triple is its shortest length and a pair from the index; the triples of a sum are listed as they are asked
+    for.  Combinations whose shortest length is largest come first, since short pieces fill later gaps.  Counts only
+    fall, so what is used up is passed once.
+    """
+
+    def __init__(self, left: dict[int, int], capacity: int):
+        self.left, self.lengths = left, sorted(left)
+        self.shorter: dict[int, array] = {}
+        for i, b in enumerate(self.lengths):
+            for a in self.lengths[i:bisect.bisect_right(self.lengths, capacity - b)]:
+                self.shorter.setdefault(a + b, array("i")).append(b)
+        self.triples: dict[int, Iterator[tuple[int, int, int]]] = {}
+        self.next_triple: dict[int, tuple[int, int, int] | None] = {}
+
+    def has(self, *group: int) -> bool:
+        return all(self.left.get(n, 0) >= group.count(n) for n in group)
+
+    def exact(self, gap: int, n: int, size: int) -> tuple[int, ...] | None:
+        """``size`` lengths that fill the gap beside ``n`` exactly and of which pieces are left, else None."""
+        if size == 1:
+            return (gap,) if self.has(n, gap) else None
+        found = self.pairs(gap) if size == 2 else self.remaining_triples(gap)
+        return next((group for group in found if self.has(n, *group)), None)
+
+    def pairs(self, total: int) -> Iterator[tuple[int, int]]:
+        filed = self.shorter.get(total, array("i"))
+        while filed and not self.has(total - filed[-1], filed[-1]):
+            filed.pop()
+        for k in range(len(filed) - 1, -1, -1):
+            if k < len(filed) and self.has(total - filed[k], filed[k]):  # others may have shortened it meanwhile
+                yield total - filed[k], filed[k]
+
+    def _triples(self, total: int) -> Iterator[tuple[int, int, int]]:
+        for c in reversed(self.lengths[:bisect.bisect_right(self.lengths, total // 3)]):
+            if c in self.left:
+                yield from ((a, b, c) for a, b in takewhile(lambda pair: pair[1] >= c, self.pairs(total - c)))
+
+    def remaining_triples(self, total: int) -> Iterator[tuple[int, int, int]]:
+        """The triple found last as long as it can be had, then those after it."""
+        if total not in self.triples:
+            self.triples[total] = self._triples(total)
+            self.next_triple[total] = next(self.triples[total], None)
+        while (group := self.next_triple[total]) is not None:
+            if self.has(*group):
+                yield group
+            self.next_triple[total] = next(self.triples[total], None)
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how many sequences each is used for; each available length is used exactly as often.
 
-    Where long pieces abound, filling the gaps of the longest with three short ones can leave nothing for the others.
-    So the plans with complements of up to three, two, one and no pieces are made, and the shortest is taken.
+    Exact complements of three pieces can use up short pieces that best fit needs, where there are few pieces.  So the
+    plans with complements of up to three, two, one and no pieces are made, and the shortest is taken.
     """
     plans = [_plan(counts, capacity, most) for most in (3, 2, 1, 0)]
     return min(plans, key=lambda p: sum(times for _, times in p))
@@ -152,65 +206,37 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
 
 def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     left = {n: c for n, c in counts.items() if c > 0}
-    lengths = sorted(left)
+    index = SumIndex(left, capacity if most > 1 else 0)
     patterns: list[tuple[tuple[int, ...], int]] = []
 
     def use(pattern: tuple[int, ...]) -> None:
-        need: dict[int, int] = {}
-        for n in pattern:
-            need[n] = need.get(n, 0) + 1
-        times = min(left[n] // k for n, k in need.items())
+        times = min(left[n] // pattern.count(n) for n in pattern)
         patterns.append((pattern, times))
-        for n, k in need.items():
-            left[n] -= k * times
+        for n in set(pattern):
+            left[n] -= pattern.count(n) * times
             if not left[n]:
                 del left[n]
-                lengths.remove(n)
-
-    def has(*group: int) -> bool:
-        return all(left.get(n, 0) >= group.count(n) for n in group)
-
-    def complement(n: int, gap: int) -> tuple[int, ...] | None:
-        """One, two or three lengths that fill the gap beside ``n`` exactly; large ones first, small ones are easy."""
-        if most > 0 and has(n, gap):
-            return (gap,)
-        top = bisect.bisect_right(lengths, gap)
-        for a in reversed(lengths[:top]):
-            if most < 2 or 2 * a < gap:
-                break
-            if has(n, a, gap - a):
-                return (a, gap - a)
-        for a in reversed(lengths[:top]):
-            if most < 3 or 3 * a < gap:
-                break
-            rest = gap - a
-            for b in reversed(lengths[:bisect.bisect_right(lengths, min(a, rest))]):
-                if 2 * b < rest:
-                    break
-                if rest - b in left and has(n, a, b, rest - b):
-                    return (a, b, rest - b)
-        return None
-
-    for n in sorted(left, reverse=True):
-        while left.get(n):
-            if n == capacity:
-                use((n,))
-                continue
-            rest = complement(n, capacity - n)
-            if rest is None:
-                break
-            use((n, *rest))
+
+    if capacity in left:
+        use((capacity,))
+    # All gaps are offered single pieces before any is offered pairs, and pairs before triples.
+    for size in range(1, most + 1):
+        for n in sorted(left, reverse=True):
+            while left.get(n) and (rest := index.exact(capacity - n, n, size)):
+                use((n, *rest))
     # Residuals: the longest first, then as long as anything fits, whatever leaves the smallest gap.
+    lengths = sorted(left)
     while lengths:
         pattern, gap = (lengths[-1],), capacity - lengths[-1]
         while True:
             at = bisect.bisect_right(lengths, gap) - 1
-            while at >= 0 and not has(*pattern, lengths[at]):
+            while at >= 0 and not index.has(*pattern, lengths[at]):
                 at -= 1
             if at < 0:
                 break
             pattern, gap = (*pattern, lengths[at]), gap - lengths[at]
         use(pattern)
+        lengths = [n for n in lengths if n in left]
     return patterns
 
 
