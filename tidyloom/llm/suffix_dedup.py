@@ -81,6 +81,13 @@ def _shard(keys: np.ndarray, count: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype("i4")
 
 
+def _present(shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shards that occur, of an ascending array, and where each begins, with the end of the last; a chunk costs what
+    it holds, however many shards there are."""
+    some, first = np.unique(shard, return_index=True)
+    return some, np.append(first, len(shard))
+
+
 def _sort_directly(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Positions in the order of their next WINDOW bytes, refined by eight bytes at a time where they tie."""
     key = words[at].astype("u8")
@@ -235,12 +242,11 @@ def _tell_keys(chunks: DataFrame, count: int) -> DataFrame:
         for row in _rows(batches):
             data, _, ends = _open(row)
             keys = np.unique(minimizer_runs(data, ends)[2])
-            edges = np.searchsorted(_shard(keys, count), np.arange(count + 1))
+            some, edges = _present(_shard(keys, count))
             low = keys.astype("<u4")
-            some = np.flatnonzero(np.diff(edges))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some.astype("i4")), pa.array(np.full(len(some), row["chunk"])),
-                 pa.array([low[edges[s]:edges[s + 1]].tobytes() for s in some], pa.binary())],
+                [pa.array(some), pa.array(np.full(len(some), row["chunk"])),
+                 pa.array([low[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())],
                 ["shard", "chunk", "keys"])
 
     return chunks.select("chunk", "ids", "ends", "data").mapInArrow(run, "shard int, chunk long, keys binary")
@@ -293,14 +299,13 @@ def _snippets(chunks: DataFrame, count: int) -> DataFrame:
         packer = zstandard.ZstdCompressor(3)
         for row in _rows(batches):
             c = Candidates(row, count)
-            edges = np.searchsorted(c.shard, np.arange(count + 1))
+            some, edges = _present(c.shard)
             lengths = np.fromiter(map(len, c.snippets), "<i8", len(c.snippets))
-            some = np.flatnonzero(np.diff(edges))
             blobs = [packer.compress(b"".join([lengths[a:b].tobytes(), c.least[a:b].astype("<i8").tobytes(),
-                                               *c.snippets[a:b]])) for a, b in zip(edges[some], edges[some + 1])]
+                                               *c.snippets[a:b]])) for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some.astype("i4")), pa.array(np.full(len(some), row["chunk"])),
-                 pa.array(np.diff(edges)[some]), pa.array(blobs, pa.binary())],
+                [pa.array(some), pa.array(np.full(len(some), row["chunk"])),
+                 pa.array(np.diff(edges)), pa.array(blobs, pa.binary())],
                 ["shard", "chunk", "snippets", "state"])
 
     return chunks.mapInArrow(run, "shard int, chunk long, snippets long, state binary")
