@@ -255,9 +255,14 @@ def _tell_keys(chunks: DataFrame, count: int) -> DataFrame:
 def _shared_keys(group: pa.Table) -> pa.Table:
     """Of each chunk's keys those that another one has."""
     rows = [np.frombuffer(k, "<u4") for k in group.column("keys").to_pylist()]
-    values = np.sort(np.concatenate(rows))
-    shared = np.unique(values[1:][values[1:] == values[:-1]])
-    mine = [r[np.isin(r, shared)].tobytes() for r in rows]
+    values = np.concatenate(rows)
+    ordered = np.sort(values)
+    shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    # One look-up for all chunks together: one for each would go through the shared keys as often as there are chunks.
+    found = np.append(shared, 0)[np.searchsorted(shared, values)] == values
+    found &= values <= (shared[-1] if len(shared) else -1)
+    edges = np.cumsum([0, *map(len, rows)])
+    mine = [values[a:b][found[a:b]].tobytes() for a, b in zip(edges, edges[1:])]
     table = pa.table({"chunk": group.column("chunk"), "shard": group.column("shard"),
                       "keys": pa.array(mine, pa.binary())})
     return table.filter(pa.compute.greater(pa.compute.binary_length(table.column("keys")), 0))
