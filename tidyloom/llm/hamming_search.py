@@ -5,9 +5,9 @@ Codes are cut into substrings, each with an index from value to codes.  If two c
 values at radius 0, then 1, and so on, verifies what it finds with whole codes, and stops as soon as its k-th verified
 distance is within what the radii so far are sure to cover.
 
-Distinct codes are dealt to blocks, each with its own index, and the query set meets each block in chunks; a block
-returns its best codes per query, and the best of these are the answer.  A code that many rows have is searched once,
-and is found as its ``k`` smallest ids.
+Distinct codes are dealt to blocks and the query set to chunks.  Each chunk meets each block in one visit, which builds
+the index of the block once and takes the queries by slices; it returns the best codes per query, and the best of these
+are the answer.  A code that many rows have is searched once, and is found as its ``k`` smallest ids.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from tidyloom.llm.common import ship, written
 from tidyloom.llm.words import spread
 
 BITS = 64
-CODES_PER_BLOCK, QUERIES_PER_CHUNK = 1 << 16, 512
+CODES_PER_BLOCK = 1 << 16
+#: A slice bounds what a search holds at once; a chunk is what one built index serves, fewer slices where tasks are few.
+QUERIES_PER_SLICE, SLICES_PER_CHUNK = 512, 64
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -122,7 +124,9 @@ def top_k(codes: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     distinct = members.where("n = 1")
     asked = codes.where(is_query).select("code").distinct()
     blocks = max(1, -(-distinct.count() // CODES_PER_BLOCK))
-    chunks = max(1, -(-asked.count() // QUERIES_PER_CHUNK))
+    slices = max(1, -(-asked.count() // QUERIES_PER_SLICE))
+    tasks = 2 * codes.sparkSession.sparkContext.defaultParallelism
+    chunks = max(-(-slices // SLICES_PER_CHUNK), min(slices, -(-tasks // blocks)))
 
     def gather(table: pa.Table, name: str, key: str) -> pa.Table:
         table = table.sort_by("code")
@@ -143,14 +147,16 @@ def top_k(codes: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
             own, least, asked = (np.frombuffer(row[c], "i8") for c in ("codes", "least", "queries"))
             index = MultiIndex(own.view("u8"))
-            found = list(index.nearest(asked.view("u8"), least, k))
-            if not found:
-                continue
-            sizes = [len(c) for _, c, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(asked[[q for q, _, _ in found]], sizes)),
-                 pa.array(own[np.concatenate([c for _, c, _ in found])]),
-                 pa.array(np.concatenate([d for _, _, d in found]).astype("i4"))], ["query", "code", "distance"])
+            for at in range(0, len(asked), QUERIES_PER_SLICE):
+                some = asked[at:at + QUERIES_PER_SLICE]
+                found = list(index.nearest(some.view("u8"), least, k))
+                if not found:
+                    continue
+                sizes = [len(c) for _, c, _ in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(some[[q for q, _, _ in found]], sizes)),
+                     pa.array(own[np.concatenate([c for _, c, _ in found])]),
+                     pa.array(np.concatenate([d for _, _, d in found]).astype("i4"))], ["query", "code", "distance"])
 
     # The query set against all rows: each chunk of queries visits each block.
     visits = block_rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
@@ -163,12 +169,13 @@ def top_k(codes: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         best.select("query", "rank", "vec_id", "distance"), "query").select("query_id", "rank", "vec_id", "distance")
 
 
-#: The same by comparing the query set with all rows.
+#: The same by comparing the query set with all rows, with the same rules for nulls and repeated rows.
 SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings),
-d AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.bits, v.bits),
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: coalesce(x > 0, false)) AS bits FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+d AS (SELECT q.vec_id AS query_id, q.bits, v.vec_id, CAST(list_sum(list_transform(list_zip(q.bits, v.bits),
         lambda p: CAST(p[1] <> p[2] AS INTEGER))) AS INTEGER) AS distance
       FROM v q JOIN v ON q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, bits ORDER BY distance, vec_id) AS rank FROM d)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM r WHERE rank <= 10
 """
