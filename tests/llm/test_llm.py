@@ -368,6 +368,20 @@ def test_search_matches_brute_force(spark):
     assert len(hamming_search.top_k(rows.limit(3), F.lit(True)).collect()) == 9
 
 
+def test_search_of_many_queries_in_few_chunks(spark, monkeypatch):
+    """A chunk of several slices, of which the last is short, gives what single queries give."""
+    monkeypatch.setattr(hamming_search, "QUERIES_PER_SLICE", 7)
+    monkeypatch.setattr(hamming_search, "CODES_PER_BLOCK", 150)
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 1 << 62, 300) & 0x3FF
+    rows = spark.createDataFrame([(i, int(c)) for i, c in enumerate(codes)], "vec_id long, code long")
+    found = {(r.query_id, r.rank): (r.vec_id, r.distance) for r in hamming_search.top_k(rows, F.lit(True), 3).collect()}
+    for q, code in enumerate(codes):
+        order = sorted((int(int(code) ^ int(c)).bit_count(), i) for i, c in enumerate(codes))[:3]
+        assert [found[q, n] for n in (1, 2, 3)] == [(i, d) for d, i in order]
+    assert len(found) == 900
+
+
 def test_sign_codes(spark):
     rows = spark.createDataFrame([(1, [1.0, -1.0, 0.5]), (2, None), (None, [1.0]), (3, []), (4, [None, 2.0])],
                                  "vec_id long, embedding array<float>")
@@ -535,6 +549,14 @@ def test_fingerprints_of_odd_rows(odd):
 
 # -- pipeline
 
+def test_first_rows_keep_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(2, "a b c d e", 7, 8), (1, "a b c d e", 9, 10), (None, "x", 11, 12)],
+                                 "doc_id long, text string, _row int, _ROW_ int")
+    kept = simhash.first_rows(rows)
+    assert kept.columns == rows.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == [(1, "a b c d e", 9, 10), (None, "x", 11, 12)]
+
+
 def test_pipeline(spark):
     docs = corpus_pipeline.table(spark, SF, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -53,6 +53,14 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFr
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shards(df: DataFrame, size: Column, per_shard: int) -> int:
     """How many shards of about ``per_shard`` units hold ``df``; one row comes back."""
     total = df.agg(F.sum(size)).first()[0] or 0

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm.common import id_and_text, written
+from tidyloom.llm.common import free_name, id_and_text, written
 from tidyloom.llm.components import components
 
 SEED = 42
@@ -235,10 +235,10 @@ def first_rows(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str
     """``docs`` with one row of each group of `near_duplicates`: that with the smallest id, null ids last.
 
     Rows are told apart by a number that is fixed in a written table, so of rows that share an id, or have none, one
-    stays too.
+    stays too.  Columns of any name are kept.
     """
-    key = "_row"
+    key = free_name(docs, "_row")
     rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
     of_docs = written(fingerprints(rows, shingle, id_col, text_col, key), "fingerprints")
-    _, least = groups(of_docs, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key), max_bits)
-    return rows.join(least.select(F.col(f"least.{key}").alias(key)), key, "left_semi").drop(key)
+    _, least = groups(of_docs, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("row")), max_bits)
+    return rows.join(least.select(F.col("least.row").alias(key)), key, "left_semi").drop(key)
