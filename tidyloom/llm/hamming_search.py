@@ -88,7 +88,14 @@ class MultiIndex:
                     if sizes.any():
                         found_q.append(np.repeat(open_, sizes))
                         found_c.append(self.order[j][spread(first, sizes)])
-            pair = np.unique(np.concatenate(found_q) * len(self.codes) + np.concatenate(found_c))
+            best_q, best_c = np.concatenate(found_q), np.concatenate(found_c)
+            best_d = np.bitwise_count(queries[best_q] ^ self.codes[best_c]).astype("i8")
+            # A code is there at most once by each part and once from before, so as many entries hold k codes or more.
+            up_to = np.bincount(best_q * (BITS + 1) + best_d, minlength=len(queries) * (BITS + 1))
+            enough = up_to.reshape(-1, BITS + 1).cumsum(1) >= k * (count + 1)
+            bound = np.where(enough.any(1), enough.argmax(1), BITS)
+            near = best_d <= bound[best_q]
+            pair = np.unique(best_q[near] * len(self.codes) + best_c[near])
             best_q, best_c = pair // len(self.codes), pair % len(self.codes)
             best_d = np.bitwise_count(queries[best_q] ^ self.codes[best_c]).astype("i8")
             order = np.lexsort((tie[best_c], best_d, best_q))
