@@ -163,6 +163,24 @@ def json_mixed(spark, sf_dir):
     return flatten_json(load(spark, sf_dir, "events").select(doc.alias("doc")), "doc")
 
 
+@register("json_maps", """
+    SELECT o_custkey AS customer, CAST(o_orderkey AS VARCHAR) AS orders_key, o_orderstatus AS orders_value_status,
+           CAST(o_totalprice AS DOUBLE) AS orders_value_price, l.l_linenumber AS orders_value_lines_key,
+           l.l_partkey AS orders_value_lines_value
+    FROM orders LEFT JOIN (SELECT l_orderkey, 'line ' || l_linenumber AS l_linenumber, max(l_partkey) AS l_partkey
+                           FROM lineitem GROUP BY ALL) l ON l_orderkey = o_orderkey""")
+def json_maps(spark, sf_dir):
+    """Customers with an object of their orders by key, each with an object of its lines: keys that are data become rows."""
+    line = F.concat(F.lit("line "), F.col("l_linenumber").cast("string"))
+    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", line.alias("k")).agg(F.max("l_partkey").alias("part"))
+    lines = lines.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("k", "part"))).alias("lines"))
+    orders = load(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    order = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), "lines")
+    by_key_ = F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string"), order)))
+    docs = orders.groupBy("o_custkey").agg(by_key_.alias("orders"))
+    return flatten_json(docs.select(_record(F.col("o_custkey").alias("customer"), "orders").alias("doc")), "doc", map_width=6)
+
+
 @register("array_explode", "SELECT vec_id, unnest(embedding) AS embedding, label FROM embeddings")
 def array_explode(spark, sf_dir):
     return explode_arrays(load(spark, sf_dir, "embeddings"))

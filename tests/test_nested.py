@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 from tidyloom import storage
 from tidyloom.config import ROW_SEQ
 from tidyloom.operators.nested import (
-    explode_arrays, flatten_json, flatten_records, flatten_structs, invalid_payloads, json_growth, record_items,
+    _distinct_names, explode_arrays, flatten_json, flatten_records, flatten_structs, invalid_payloads, json_growth,
+    record_items, variant_type, wide_objects,
 )
 from tidyloom.sources.files import json_rejects, scan_json
 from tidyloom.sources.payloads import scan_csv_payload
@@ -148,3 +150,68 @@ def test_a_heavy_record_is_dealt_over_tasks(spark, rows):
     assert flat.columns == explode_arrays(one).columns and rows(flat) == rows(explode_arrays(one))
     tasks = flat.where("id = 0").groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(tasks) > 3 and max(r["count"] for r in tasks) < 200 * 300 / 2
+
+
+def test_a_million_keys_become_rows(spark, monkeypatch):
+    keys = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda j: F.concat(F.lit("k"), F.col("id") * 100 + j))
+    users = F.map_from_arrays(keys, F.transform(F.sequence(F.lit(0), F.lit(99)), lambda j: F.col("id") + j))
+    docs = spark.range(0, 10_000, 1, 8).select(F.to_json(F.struct("id", users.alias("users"))).alias("doc"))
+    seen = []
+    monkeypatch.setattr("tidyloom.operators.nested.variant_type", lambda df, c: seen.append(variant_type(df, c)) or seen[-1])
+    df = flatten_json(docs, "doc")
+    assert df.columns == ["id", "users_key", "users_value"]
+    assert df.agg(F.count("*"), F.countDistinct("users_key"), F.sum("users_value")).head() == (
+        1_000_000, 1_000_000, 100 * (9_999 * 5_000) + 10_000 * 4_950)
+    assert max(len(t.simpleString()) for t in seen) < 100, "no type with a field per key came to the driver"
+
+
+def test_maps_of_odd_values(spark, rows):
+    docs = ['{"id": 1, "m": {"a": 1, "b": 2, "c": 3, "d": 4}}', '{"id": 2, "m": {}}', '{"id": 3}', '{"id": 4, "m": null}',
+            '{"id": 5, "m": 7}', '{"id": 6, "m": {"e": null, "f\\"g": 5}}']
+    expected = [(1, "a", 1), (1, "b", 2), (1, "c", 3), (1, "d", 4), (2, None, None), (3, None, None), (4, None, None),
+                (5, None, 7), (6, "e", None), (6, 'f"g', 5)]
+    df = flat(spark, *docs, map_width=3)
+    assert df.columns == ["id", "m_key", "m_value"] and sorted(rows(df), key=str) == sorted(expected, key=str)
+    listed = flat(spark, *docs, '{"id": 7, "m": [{"x": 1}, 2, {}]}', map_width=3)
+    more = [(7, "x", 1), (7, None, 2), (7, None, None)]
+    assert listed.columns == df.columns and sorted(rows(listed), key=str) == sorted(expected + more, key=str)
+    assert flat(spark, *docs, map_width=None).columns == ["id", "m", "m_a", "m_b", "m_c", "m_d", "m_e", "m_fg"]
+    assert flat(spark, "[]", map_width=0).count() == 0
+
+
+def test_map_rows_keep_the_order_of_payloads(spark):
+    docs = spark.range(0, 600, 1, 6).select(F.to_json(F.create_map(
+        F.concat(F.lit("a"), "id"), "id", F.concat(F.lit("b"), "id"), "id")).alias("doc"))
+    df = flatten_json(docs, "doc", tag=True, map_width=50)
+    assert [r["value"] for r in df.orderBy(ROW_SEQ).collect()] == [i // 2 for i in range(1200)]
+
+
+def test_records_that_are_maps(spark, rows):
+    docs = ['{"u1": {"n": 1}, "u2": {"n": 2}, "u3": {"n": 3, "t": [1, 2]}, "u4": 5}', "7", '["x"]']
+    df = flat(spark, *docs, map_width=3)
+    assert df.columns == ["key", "value", "value_n", "value_t"]
+    assert sorted(rows(df), key=str) == sorted([
+        ("u1", None, 1, None), ("u2", None, 2, None), ("u3", None, 3, 1), ("u3", None, 3, 2), ("u4", "5", None, None),
+        ("value", "7", None, None), ("value", "x", None, None)], key=str)
+
+
+def test_maps_in_lists_and_in_maps(spark, rows):
+    """Random records against plain loops; keys hold whatever JSON allows."""
+    rng = random.Random(4)
+
+    def name():
+        return "".join(rng.choice('ab/:"\\ é*\n') for _ in range(rng.randint(1, 6)))
+
+    docs = [{"id": i, "inner": {"list": [{"m": {name(): {"n": {name(): rng.randint(0, 9) for _ in range(3)}, "s": name()}
+                                                for _ in range(3)}} for _ in range(2)], "x": name()}} for i in range(30)]
+    expected = [(d["id"], d["inner"]["x"], k, v["s"], j, w) for d in docs for item in d["inner"]["list"]
+                for k, v in item["m"].items() for j, w in v["n"].items()]
+    df = flat(spark, *map(json.dumps, docs), map_width=20)
+    part = df.select("id", "inner_x", "inner_list_m_key", "inner_list_m_value_s", "inner_list_m_value_n_key",
+                     "inner_list_m_value_n_value")
+    assert len(df.columns) == 6 and sorted(map(tuple, part.collect())) == sorted(expected)
+    records = record_items(spark.createDataFrame([(json.dumps(d),) for d in docs], "doc string"), "doc")
+    assert len(wide_objects(records, F.col("__record"), 20)) == 2
+    assert len(wide_objects(records, F.col("__record"), 100_000)) == 0
+    names = {k for d in docs for item in d["inner"]["list"] for k, v in item["m"].items() for k in (k, *v["n"])}
+    assert _distinct_names(records, F.col("__record")) > 0.85 * len(names)

@@ -3,6 +3,9 @@
 Documents are parsed once into variants, so records of different shape can share a column.  The shape of all records
 comes from one aggregate; from then on flattening is a chain of projections and ``explode_outer`` steps.  Only a field
 that is a list in one record and something else in another costs a further aggregate.
+
+Objects whose keys are data, such as one entry per user, have no shape worth a column per key.  A sketch tells whether
+keys are so many before any of them leaves the executors; such objects become rows of key and value.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from tidyloom.storage import stage
 RECORD_KEYS = ("data", "results", "items", "rows", "records", "response")
 SCALAR_COLUMN = "value"
 SEPARATOR = "_"
+#: An object with about more distinct keys than this over all records is taken as a map.
+MAP_WIDTH = 5_000
 
 _LIST = "array<variant>"
 _OBJECT = "map<string,variant>"
@@ -213,15 +218,87 @@ def variant_type(df: DataFrame, c: Column) -> T.DataType:
     return _spark_type(df.agg(F.schema_of_variant_agg(c)).head()[0] or "VOID")
 
 
+# --- objects used as maps -------------------------------------------------------------------------------------------
+
+# Places are texts: one step for each key, lists are passed through, and all keys of a map are one step.
+_ANY_KEY = "/*"
+
+
+def _below(place: str, key: str) -> str:
+    return f"{place}/{key.encode().hex().upper()}"
+
+
+def _distinct_names(df: DataFrame, record: Column) -> int:
+    """About how many names keys have anywhere in the records: no object has more distinct keys than that."""
+    # Without escaped characters a quote before a colon ends a key, but for texts that begin with a colon.
+    plain = F.regexp_replace(F.to_json(record), r"\\.", "?")
+    pieces = F.split(plain, '":')
+    names = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda piece: F.substring_index(piece, '"', -1))
+    return df.select(F.explode(names).alias("__name")).agg(F.approx_count_distinct("__name")).head()[0]
+
+
+def wide_objects(df: DataFrame, record: Column, width: int) -> frozenset[str]:
+    """Places of the objects that have about more than ``width`` distinct keys over all records.
+
+    Level by level, each place and its keys are counted by a sketch, so only the places found come to the driver.
+    """
+    found: set[str] = set()
+    level = df.select(F.lit("").alias("__place"), record.alias("__v"))
+    place, v = F.col("__place"), F.col("__v")
+    while True:
+        while level.agg(F.bool_or(is_list(v))).head()[0]:
+            level = level.select(place, F.explode(F.coalesce(F.try_variant_get(v, "$", _LIST), F.array(v))).alias("__v"))
+        entries = level.select(place, F.explode(F.try_variant_get(v, "$", _OBJECT)).alias("__key", "__v"))
+        widths = entries.groupBy(place).agg(F.approx_count_distinct("__key").alias("__n"))
+        here, above = widths.agg(F.count("*"), F.collect_list(F.when(F.col("__n") > width, place))).head()
+        if not here:
+            return frozenset(found)
+        found.update(above)
+        step = F.concat(F.lit("/"), F.hex("__key"))
+        if above:
+            step = F.when(place.isin(above), F.lit(_ANY_KEY)).otherwise(step)
+        level = entries.select(F.concat(place, step).alias("__place"), v)
+
+
+def _entries(v: Column) -> Column:
+    """Keys and values of an object used as a map; what is no object has one entry without a key."""
+    lone = F.array(F.struct(F.lit(None).cast("string").alias("key"), v.alias("value")))
+    return F.coalesce(F.map_entries(F.try_variant_get(v, "$", _OBJECT)), F.when(v.isNotNull(), lone))
+
+
+def _shape(df: DataFrame, c: Column, place: str = "", wide: frozenset[str] = frozenset()) -> T.DataType:
+    """Common type of a variant column that stands at ``place``; the objects in ``wide`` are maps.
+
+    Lists that hold maps somewhere are left as variants, to be looked into once they are exploded.
+    """
+    below = [w[len(place) + 1:].split("/")[0] for w in wide if w.startswith(f"{place}/")]
+    if place not in wide and not below:
+        return variant_type(df, c)
+    other = c.isNotNull() & ~F.is_variant_null(c) & ~is_list(c) & ~is_object(c)
+    has_list, has_object, has_other = df.agg(F.bool_or(is_list(c)), F.bool_or(is_object(c)), F.bool_or(other)).head()
+    if has_list:
+        return T.VariantType()
+    if place in wide:
+        return T.MapType(T.StringType(), T.VariantType())
+    if has_other or not has_object:
+        return T.VariantType() if has_object else variant_type(df, c)
+    keys = sorted({bytes.fromhex(k).decode() for k in below})
+    rest = F.map_filter(F.try_variant_get(c, "$", _OBJECT), lambda key, _: ~key.isin(keys))
+    fields = [T.StructField(key, _shape(df, _member(c, key), _below(place, key), wide)) for key in keys]
+    plain = variant_type(df, F.to_variant_object(rest))
+    return T.StructType(sorted([*fields, *(plain if isinstance(plain, T.StructType) else [])], key=lambda f: f.name))
+
+
 @dataclass
 class _Field:
     name: str
     value: Column
     type: T.DataType
+    place: str = ""
 
     @property
     def pending(self) -> bool:
-        return isinstance(self.type, (T.ArrayType, T.VariantType))
+        return isinstance(self.type, (T.ArrayType, T.VariantType, T.MapType))
 
 
 def _member(v: Column, key: str) -> Column:
@@ -231,37 +308,50 @@ def _member(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f'$["{key}"]', "variant")
 
 
-def _fields(v: Column, name: str, data_type: T.DataType) -> list[_Field]:
-    """Flat fields of a variant of known type; lists stay variants until they are exploded."""
+def _fields(v: Column, name: str, data_type: T.DataType, place: str) -> list[_Field]:
+    """Flat fields of a variant of known type; lists and maps stay variants until they are exploded."""
     if isinstance(data_type, T.StructType):
         return [
             field for f in data_type
-            for field in _fields(_member(v, f.name), f"{name}{SEPARATOR}{f.name}" if name else f.name, f.dataType)
+            for field in _fields(_member(v, f.name), f"{name}{SEPARATOR}{f.name}" if name else f.name, f.dataType,
+                                 _below(place, f.name))
         ]
-    if isinstance(data_type, (T.ArrayType, T.VariantType)):
-        return [_Field(name, v, data_type)]
-    return [_Field(name, F.try_variant_get(v, "$", data_type.simpleString()), data_type)]
+    if isinstance(data_type, (T.ArrayType, T.VariantType, T.MapType)):
+        return [_Field(name, v, data_type, place)]
+    return [_Field(name, F.try_variant_get(v, "$", data_type.simpleString()), data_type, place)]
 
 
-def _unfold(v: Column, name: str, data_type: T.DataType) -> tuple[list[_Field], list[_Field]]:
+def _unfold(v: Column, name: str, data_type: T.DataType, place: str) -> tuple[list[_Field], list[_Field]]:
     """Fields of a list item: those that take the list's place and those that go to the end of the row."""
-    fields = _fields(v, name, data_type)
+    fields = _fields(v, name, data_type, place)
     return ([], fields) if isinstance(data_type, T.StructType) else (fields, [])
 
 
-def _settle_mixed(df: DataFrame, field: _Field, place: str) -> tuple[DataFrame, list[_Field], list[_Field]]:
+def _settle_mixed(
+    df: DataFrame, field: _Field, column: str, wide: frozenset[str]
+) -> tuple[DataFrame, list[_Field], list[_Field]]:
     """Give a field whose records disagree a definite shape: lists are exploded, then objects split from scalars."""
-    c, name = field.value, field.name
+    c, name, place = field.value, field.name, field.place
     has_list, has_object = df.agg(F.bool_or(is_list(c)), F.bool_or(is_object(c))).head()
     if has_list:
-        df = df.withColumn(place, F.explode_outer(F.coalesce(F.try_variant_get(c, "$", _LIST), F.array(c))))
-        return df, *_unfold(c, name, variant_type(df, c))
+        df = df.withColumn(column, F.explode_outer(F.coalesce(F.try_variant_get(c, "$", _LIST), F.array(c))))
+        return df, *_unfold(c, name, _shape(df, c, place, wide), place)
     text = F.try_variant_get(c, "$", "string")
     if not has_object:
         return df, [_Field(name, text, T.StringType())], []
     whole = F.when(is_object(c), c)
     scalar = _Field(name, F.when(~is_object(c), text), T.StringType())
-    return df, [scalar], _fields(whole, name, variant_type(df, whole))
+    return df, [scalar], _fields(whole, name, _shape(df, whole, place, wide), place)
+
+
+def _settle_map(df: DataFrame, field: _Field, column: str, wide: frozenset[str]) -> tuple[DataFrame, list[_Field]]:
+    """One row per entry of an object used as a map: ``name_key``, then the value as ``name_value`` or its fields."""
+    under = f"{field.name}{SEPARATOR}" if field.name else ""
+    df = df.withColumn(column, F.explode_outer(_entries(field.value)))
+    entry = F.col(column)
+    value, place = entry.getField("value"), field.place + _ANY_KEY
+    key = _Field(f"{under}key", entry.getField("key"), T.StringType())
+    return df, [key, *_fields(value, f"{under}value", _shape(df, value, place, wide), place)]
 
 
 def record_growth(
@@ -270,6 +360,7 @@ def record_growth(
     """The ``keep`` columns and ``rows`` of each record: how many rows flattening makes of it.
 
     Sibling lists of a record give all their combinations, so this is a product, told before anything is exploded.
+    It takes every key of an object as a column, as ``map_width=None`` does.
     """
     record = F.col(quoted(column))
 
@@ -310,17 +401,33 @@ def json_growth(df: DataFrame, column: str, keep: Iterable[str] = ()) -> DataFra
 
 def flatten_records(
     df: DataFrame, column: str = "__record", keep: Iterable[str] = (),
-    arrange: Callable[[T.DataType], T.DataType] = lambda shape: shape,
+    arrange: Callable[[T.DataType], T.DataType] = lambda shape: shape, map_width: int | None = MAP_WIDTH,
 ) -> DataFrame:
     """Flat rows of a column of variant records: objects to columns, lists to rows, sibling lists combined.
 
     Columns come by name; ``arrange`` may return the shape of the records with its fields in another order.
+
+    An object with about more than ``map_width`` distinct keys over all records gives one row per key instead, with
+    the columns ``name_key`` and ``name_value`` (or ``name_value_field`` for each field, if values are objects), like a
+    list; an empty one gives nulls, and a scalar in its place a value without a key.  None takes every key as a column
+    and saves a pass.
     """
     keep, record = list(keep), F.col(quoted(column))
-    shape = variant_type(df, record)
-    if not isinstance(shape, T.StructType):
+    many = map_width is not None and _distinct_names(df, record) > map_width
+
+    def wrapped() -> DataFrame:
+        return df.select(*[F.col(quoted(c)) for c in keep], wrap_scalar(record).alias(column))
+
+    wide: frozenset[str] = frozenset()
+    if many:
+        no_object = record.isNotNull() & ~F.is_variant_null(record) & ~is_object(record)
+        if df.agg(F.bool_or(no_object)).head()[0]:
+            df = wrapped()
+        wide = wide_objects(df, record, map_width)
+    shape = _shape(df, record, "", wide)
+    if not isinstance(shape, (T.StructType, T.MapType)):
         # Some records are no objects; looking into each of them is needed only then.
-        df = df.select(*[F.col(quoted(c)) for c in keep], wrap_scalar(record).alias(column))
+        df = wrapped()
         shape = variant_type(df, record)
 
     def project(frame: DataFrame, found: list[_Field]) -> tuple[DataFrame, list[_Field]]:
@@ -328,20 +435,23 @@ def flatten_records(
         frame = frame.select(
             *[F.col(quoted(c)) for c in keep], *[f.value.alias(f"__f{i}") for i, f in enumerate(found)]
         )
-        return frame, [_Field(f.name, F.col(f"__f{i}"), f.type) for i, f in enumerate(found)]
+        return frame, [_Field(f.name, F.col(f"__f{i}"), f.type, f.place) for i, f in enumerate(found)]
 
-    top = arrange(shape) if isinstance(shape, T.StructType) else []
-    df, fields = project(df, [x for f in top for x in _fields(_member(record, f.name), f.name, f.dataType)])
+    top = arrange(shape) if isinstance(shape, (T.StructType, T.MapType)) else T.StructType()
+    df, fields = project(df, _fields(record, "", top, ""))
     while True:
         at = next((i for i, f in enumerate(fields) if f.pending), None)
         if at is None:
             return df.toDF(*unique_names(keep + [f.name for f in fields]))
-        f, place = fields[at], f"__f{at}"
+        f, numbered = fields[at], f"__f{at}"
         if isinstance(f.type, T.VariantType):
-            df, stay, appended = _settle_mixed(df, f, place)
+            df, stay, appended = _settle_mixed(df, f, numbered, wide)
+        elif isinstance(f.type, T.MapType):
+            df, stay = _settle_map(df, f, numbered, wide)
+            appended = []
         else:
-            df = df.withColumn(place, F.explode_outer(F.try_variant_get(f.value, "$", _LIST)))
-            stay, appended = _unfold(f.value, f.name, f.type.elementType)
+            df = df.withColumn(numbered, F.explode_outer(F.try_variant_get(f.value, "$", _LIST)))
+            stay, appended = _unfold(f.value, f.name, f.type.elementType, f.place)
         df, fields = project(df, fields[:at] + stay + fields[at + 1:] + appended)
 
 
@@ -421,21 +531,24 @@ def _in_document_order(df: DataFrame, column: str, shape: T.DataType, seq: str)
 
 def flatten_json(
     df: DataFrame, column: str, keep: Iterable[str] = (), document_order: bool = True, tag: bool = False,
-    broken: str = "skip",
+    broken: str = "skip", map_width: int | None = MAP_WIDTH,
 ) -> DataFrame:
     """Parse, find the records, flatten, explode and clean the names: payload text in, flat rows out.
 
     ``document_order`` puts columns in the order keys appear in the text, at the price of one more pass; otherwise
     they come by name.  ``tag`` adds the row sequence, in the order of payloads and of records within them.  Neither
-    depends on whether the input is staged.  For ``broken`` see `record_items`.
+    depends on whether the input is staged.  For ``broken`` see `record_items`, for ``map_width`` `flatten_records`.
     """
     keep, seq = list(keep), _PLACE[0]
     tagged = df.select(*[F.col(quoted(c)) for c in [*keep, column]]).withColumn(seq, F.monotonically_increasing_id())
     staged = stage(tagged)
     place = list(_PLACE) if tag else []
     records = record_items(staged, column, [*keep, seq], broken)
-    flat = flatten_records(records, keep=[*keep, *place], arrange=(
+    many = map_width is not None and _distinct_names(records, F.col("__record")) > map_width
+    if many:  # Maps take some passes more, which should not parse every payload again.
+        records = stage(records, always=True)
+    flat = flatten_records(records, keep=[*keep, *place], map_width=map_width if many else None, arrange=(
         lambda shape: _in_document_order(staged, column, shape, seq)) if document_order else lambda shape: shape)
     if tag:
-        flat = tag_in_order(flat, place, moved=staged is not tagged)
+        flat = tag_in_order(flat, place, moved=many or staged is not tagged)
     return normalize_columns(flat)
