@@ -71,6 +71,18 @@ def csv_splits(spark, sf_dir):
     return found.select(*documents.columns, place, F.lit(tasks > 2).alias("spread"))
 
 
+@register("row_sequence_place", """
+    SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_returnflag,
+           row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS seq FROM lineitem""")
+def row_sequence_place(spark, sf_dir):
+    """Lines in several files, numbered by path and place, however the files are packed into tasks."""
+    path, order = fresh_path(spark, "lineitem.csv"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
+    lines = load(spark, sf_dir, "lineitem").repartitionByRange(5, "l_orderkey").sortWithinPartitions(*order)
+    lines.write.option("header", True).csv(path)
+    found = scan_csv(spark, path, infer_schema=False, multi_line=False, by_place=True)
+    return found.select(*[F.col(c).cast("bigint") for c in order[:2]], "l_returnflag", F.col(ROW_SEQ).alias("seq"))
+
+
 @register("csv_all_string", """
     SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CAST(p_size AS VARCHAR) AS p_size FROM part""")
 def csv_all_string(spark, sf_dir):

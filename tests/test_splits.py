@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidyloom.config import ROW_SEQ
+from tidyloom.sources.files import scan_csv, tag_by_place
 from tidyloom.sources.splits import scan_csv_splits
 
 
@@ -75,3 +76,30 @@ def test_wide_records(spark, tmp_path):
         scan_csv_splits(spark, str(tmp_path)).collect()
     kept = scan_csv_splits(spark, str(tmp_path), broken="skip").select(F.col("a"))
     assert [r.a for r in kept.collect()] == ["4"]
+
+
+def test_sequence_by_place_is_that_of_paths_and_lines(spark, tmp_path, splits_of):
+    """Files of different size, empty ones too, packed into one task or cut into many."""
+    sizes = {"a": 40, "b": 3000, "c": 0, "d": 900, "e": 1}
+    wanted = []
+    for name, n in sizes.items():
+        lines = [f"{name}{i},{'x' * (i % 50)}" for i in range(n)]
+        (tmp_path / f"{name}.csv").write_text("\n".join(["id,t", *lines]) + "\n")
+        wanted += [line.split(",")[0] for line in lines]
+    for size in ("128m", "20k", "3001"):
+        splits_of(size)
+        for multi_line in (False, True):
+            df = scan_csv(spark, str(tmp_path), infer_schema=False, multi_line=multi_line, by_place=True)
+            assert df.columns == ["id", "t", ROW_SEQ]
+            assert sorted((r[1], r[0]) for r in df.select("id", ROW_SEQ).collect()) == list(enumerate(wanted))
+            assert df.where(F.col("id") == "d899").head()[ROW_SEQ] == 40 + 3000 + 899
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.csv").write_text("id,t\n")
+    assert scan_csv(spark, str(tmp_path / "none"), by_place=True).count() == 0
+
+
+def test_rows_by_place_are_not_shuffled(spark):
+    df = tag_by_place(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert df.agg(F.min(ROW_SEQ), F.max(ROW_SEQ) + 1, F.countDistinct(ROW_SEQ)).head() == (0, df.count(), df.count())
