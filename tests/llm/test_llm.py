@@ -494,6 +494,18 @@ def test_trie_encodes_as_the_library(docs, odd):
     assert len(rows) == len(ODD) and all(r.ids == [] for r in rows if r.doc_id in (9, 10))
 
 
+def test_trie_keeps_chunks_apart_however_they_are_hashed():
+    """An empty chunk among those cut by the library would shift the words of all behind it."""
+    library, coder = Tokenizer.from_file(queries.WORD_BPE), bpe_trie.TrieBpe(queries.WORD_BPE)
+    rnd = random.Random(5)
+    for n in range(60):
+        coder.words.clear()
+        texts = [" ".join(f"é{rnd.getrandbits(20):x}" for _ in range(n + 1)), "", " ß  3 "]
+        for text, ids in zip(texts, coder.encode_batch(texts)):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert coder._library_cut(["é1", "ß"]) == [("é1", ["Ã©", "1"]), ("ß", ["ÃŁ"])]
+
+
 # -- SimHash
 
 def brute_components(codes, ids, bits):

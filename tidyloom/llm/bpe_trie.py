@@ -152,7 +152,8 @@ class TrieBpe:
         odd = {i: self._odd_chunks(t) for i, t in enumerate(texts) if "<|" in t or _ODD_SPACE.search(t)}
         lists = pc.utf8_split_whitespace(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.string()))
         chunks, numbers, offsets = distinct(lists)
-        new = [c for c in {*chunks, *(c for cs in odd.values() for c in cs), ""} if c not in self.words]
+        self.words[""] = b""  # it never goes to the library, which would make one of the spaces around it
+        new = [c for c in {*chunks, *(c for cs in odd.values() for c in cs)} if c not in self.words]
         for c in self.special:
             self.words[c] = struct.pack("<I", self.special[c])
         cut = self._cut([c for c in new if c not in self.special])
@@ -175,6 +176,7 @@ class TrieBpe:
         return out + self._library_cut(list(set(chunks).difference(simple)))
 
     def _library_cut(self, chunks: list[str]) -> list[tuple[str, list[str]]]:
+        """`_cut` by the library; ``chunks`` are not empty and hold no white space, so each space ends one."""
         text = self.library.normalizer.normalize_str(" ".join(chunks))
         out: list[tuple[str, list[str]]] = [(c, []) for c in chunks]
         ends = np.cumsum([len(c) + 1 for c in text.split(" ")])
