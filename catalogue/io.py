@@ -34,6 +34,9 @@ from tidyloom.streaming.ingest import (
     start,
 )
 
+#: Events of all types per page of an API response.
+PAGE_EVENTS = 100_000
+
 
 @register("csv_roundtrip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def csv_roundtrip(spark, sf_dir):
@@ -426,15 +429,17 @@ def stream_mixed_files(spark, sf_dir):
            CAST(json_extract_string(props, '$.k') AS BIGINT) AS props_k FROM events
     UNION ALL SELECT unnest(['broken', 'missing', 'none']), 'ERROR', NULL, NULL, NULL, NULL""")
 def dataset_runs(spark, sf_dir):
-    """API records, each a dataset with a run and a status of its own: one for each type of event, a broken response, a
-    missing one and one without records.  What was written is read back."""
+    """API records, each a dataset with a run and a status of its own: one for each type of event, in pages, a broken
+    response, a missing one and one without records.  What was written is read back."""
     landing, out = fresh_path(spark, "api_landing"), fresh_path(spark, "runs")
     event = F.struct("event_id", "value", F.from_json("props", "k bigint").alias("props"))
     events = load(spark, sf_dir, "events")
-    good = events.groupBy("event_type").agg(F.to_json(F.struct(F.collect_list(event).alias("data"))).alias("response"))
-    good = good.select(F.xxhash64("event_type").alias("id"), "response", F.concat("event_type", F.lit(".json")).alias("file_name"))
-    odd = spark.createDataFrame([(1, "{oops", "broken.json"), (2, None, "missing.json"), (3, '{"data": []}', "none.json")], good.schema)
-    good.union(odd).withColumn("status", F.lit("NEW")).write.json(landing)
+    page = F.coalesce(F.floor(F.col("event_id") / PAGE_EVENTS), F.lit(-1)).alias("page")
+    good = events.groupBy("event_type", page).agg(F.to_json(F.struct(F.collect_list(event).alias("data"))).alias("response"))
+    good = good.select(F.xxhash64("event_type").alias("id"), "response", F.concat("event_type", F.lit(".json")).alias("file_name"), "page")
+    odd = spark.createDataFrame([(1, "{oops", "broken.json"), (2, None, "missing.json"), (3, '{"data": []}', "none.json")],
+                                good.drop("page").schema)
+    good.unionByName(odd, allowMissingColumns=True).withColumn("status", F.lit("NEW")).write.json(landing)
     start(api_stream(spark, landing), run_datasets(out), fresh_path(spark, "checkpoint"), available_now=True).awaitTermination()
     status = dataset_status(spark, out).select("dataset", "status", "rows_count")
     names = [r["dataset"] for r in status.where("rows_count > 0").collect()]

@@ -233,3 +233,28 @@ def test_file_batch(spark, tmp_path, rows):
     assert {(r["dataset"], r["status"], r["rows_count"]) for r in dataset_status(spark, out).collect()} == {
         ("orders", "DONE", 3), ("doc", "DONE", 2)}
     assert rows(read_csv(spark, csv_path(out, "orders", "fulltable"))) == [("1", "Ann"), ("2", "Bob")]
+
+
+def test_responses_of_any_length_pass_the_stream(spark, rows):
+    path = fresh_path(spark, "landing")
+    long = F.concat(F.lit('[{"x": "'), F.repeat(F.lit("y"), 21_000_000), F.lit('"}]'))
+    spark.range(1).select("id", long.alias("response"), F.lit("NEW").alias("status")).write.json(path)
+    out = fresh_path(spark, "lengths")
+    start(api_stream(spark, path), lambda batch, _: batch.select(F.length("response").alias("n")).write.parquet(out),
+          fresh_path(spark, "checkpoint"), available_now=True).awaitTermination()
+    assert rows(spark.read.parquet(out)) == [(21_000_011,)]
+
+
+def test_pages_of_a_response_are_one_record(spark, rows):
+    registry = spark.createDataFrame([
+        (1, "a.json", '[{"x": 1}, {"x": 2}]', 0), (1, "a.json", '[{"x": 3}]', 1), (1, "a.json", '[{"x": 9, "y": 4}]', 2),
+        (2, "b.json", '[{"x": 1}]', 0), (2, "b.json", "oops", 1), (3, "c.json", '[{"x": 1}]', 0), (3, "c.json", None, 1),
+        (4, "d.json", '[{"x": 1}]', None), (4, "d.json", '[{"x": 5}]', None),
+    ], "id long, file_name string, response string, page long").repartition(3)
+    out = fresh_path(spark, "paged")
+    status = run_records(registry, out)
+    assert rows(status.select("record", "status", "rows_count")) == [
+        ("1", "DONE", 4), ("2", "ERROR", None), ("3", "ERROR", None), ("4", "DONE", 1), ("4", "DONE", 1)]
+    assert rows(read_csv(spark, csv_path(out, "a", "fulltable")).selectExpr("cast(x as double)")) == [(1.0,), (2.0,), (3.0,), (9.0,)]
+    found = finished_runs(status, registry.withColumn("file_path", F.lit(None).cast("string"))).where("file_name = 'a.json'")
+    assert found.count() == 1

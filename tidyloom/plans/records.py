@@ -3,6 +3,9 @@
 A record table has the columns ``response`` and ``file_name`` (API), or ``file_name``, ``file_path``, ``table_name`` and
 ``file_content`` (files; any of the last three may be missing).  Payloads stay where they are, only names and keys come
 to the driver.
+
+An API response may come in pages, as APIs give them: rows of one key and file name with a number in ``page`` are one
+record, so no response need fit into one row.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidyloom.config import CleanConfig
@@ -24,6 +27,7 @@ from tidyloom.storage import discarding, fresh_path
 # Fixed value: the path of records that stand for an existing table.
 TABLE_UPLOAD = "MULTI_UPLOAD"
 RECORD = "_record"
+PAGE = "page"
 PAGE_SIZE = 1000
 STATUS_SCHEMA = "record string, dataset string, status string, rows_count bigint, message string"
 
@@ -35,8 +39,9 @@ def record_key(records: DataFrame) -> str:
 
 
 def load_api_record(record: DataFrame) -> DataFrame:
-    """Flat rows of one API record; a missing or broken response is an error, and so is one without records."""
-    if record.filter("response IS NOT NULL").isEmpty():
+    """Flat rows of one API record, of all its pages; a missing or broken response is an error, and so is one without
+    records."""
+    if record.isEmpty() or not record.filter("response IS NULL").isEmpty():
         raise ValueError("record has no response")
     if not invalid_payloads(record, "response").isEmpty():
         raise ValueError("response is no valid JSON")
@@ -72,7 +77,21 @@ def _listing(records: DataFrame, key: str) -> DataFrame:
         (F.col(c) if c in records.columns else F.lit(None)).cast(kind).alias(c) for c, kind in wanted.items()
     ]
     content = F.length("file_content") > 0 if "file_content" in records.columns else F.lit(False)
-    return records.select(RECORD, F.col(key).alias("key"), *fields, F.coalesce(content, F.lit(False)).alias("has_content"))
+    listed = records.select(RECORD, F.col(key).alias("key"), *fields, F.coalesce(content, F.lit(False)).alias("has_content"))
+    return listed.distinct() if _paged(records) else listed
+
+
+def _paged(records: DataFrame) -> bool:
+    return "response" in records.columns and PAGE in records.columns
+
+
+def _record_number(records: DataFrame, key: str) -> Column:
+    """What tells records apart, in their order: the number of the row, or for pages a digest of what they share."""
+    number = F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
+    if not _paged(records):
+        return number
+    shared = F.sha2(F.to_json(F.struct(F.col(key).alias("key"), F.col("file_name").alias("name"))), 256)
+    return F.when(F.col(PAGE).isNull(), number).otherwise(F.concat(F.lit("p"), shared))
 
 
 def _pages(listing: DataFrame, size: int) -> Iterator[list[Row]]:
@@ -105,7 +124,7 @@ def run_records(
     """
     spark, key, from_api = records.sparkSession, record_key(records), "response" in records.columns
     path, outcomes = fresh_path(spark, "records"), fresh_path(spark, "outcomes")
-    numbered = records.withColumn(RECORD, F.monotonically_increasing_id())
+    numbered = records.withColumn(RECORD, _record_number(records, key))
     numbered.write.partitionBy(RECORD).parquet(path)
     payloads = spark.read.schema(numbered.schema).parquet(path)
 
@@ -141,6 +160,9 @@ def finished_runs(status: DataFrame, registry: DataFrame) -> DataFrame:
     Records that stand for tables are not logged.
     """
     files = registry.filter(F.coalesce(F.col("file_path") != TABLE_UPLOAD, F.lit(True)))
+    if _paged(registry):  # one run, however many pages
+        same = ["id", "file_name"]
+        files = files.where(F.col(PAGE).isNull()).select(same).union(files.where(F.col(PAGE).isNotNull()).select(same).distinct())
     named = files.select(F.col("id").cast("string").alias("record"), "file_name")
     return status.filter("status = 'DONE'").join(named, "record").select(
         "file_name", F.current_timestamp().alias("processed_at"), "rows_count", "status"

@@ -25,7 +25,9 @@ from tidyloom.sinks.runlog import log_runs
 from tidyloom.sources.payloads import PLACE, parse_csv_payloads, payload_text, scan_api_responses
 from tidyloom.storage import discarding, materialize
 
-API_SCHEMA = "id bigint, api_url string, response string, file_name string, file_path string, status string"
+API_SCHEMA = "id bigint, api_url string, response string, file_name string, file_path string, status string, page bigint"
+#: A response may be as long as a string can be; the reader would drop lines with more than 20 million characters in one.
+LONGEST_RESPONSE = 2**31 - 1
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 POLL_INTERVAL = "1 second"
 #: Name of the partitions of a landed table, which no cleaned field can have.
@@ -36,7 +38,7 @@ BatchHandler = Callable[[DataFrame, int], None]
 
 def api_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
     """API records landing as JSON lines; only new ones pass."""
-    reader = spark.readStream.schema(API_SCHEMA)
+    reader = spark.readStream.schema(API_SCHEMA).option("maxStringLen", LONGEST_RESPONSE)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.json(landing).filter(F.col("status") == "NEW")
