@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalogue import load, register
 from catalogue.dirty import UPLOAD_FILLED, by_key, messy_orders, select_upload
 from tidyloom.operators.columns import drop_technical
+from tidyloom.operators.keys import add_surrogate_id
 from tidyloom.plans.clean import clean
 from tidyloom.config import ROW_SEQ, CleanConfig
 from tidyloom.plans.pipeline import catalog_opener, catalog_writer, csv_opener, csv_writer, run_pipeline
@@ -34,6 +34,9 @@ from tidyloom.streaming.ingest import (
     start,
 )
 
+#: What one task writes of a landing file at most, about.
+FILE_BYTES = 64 * 1024 * 1024
+MOST_SPLITS = 512
 #: Events of all types per page of an API response.
 PAGE_EVENTS = 100_000
 
@@ -59,19 +62,23 @@ def csv_scan(spark, sf_dir):
            row_number() OVER (ORDER BY doc_id) AS place, true AS spread
     FROM documents""")
 def csv_splits(spark, sf_dir):
-    """One file of documents with line breaks in quoted cells, read by many tasks, every row in its place."""
+    """One file of documents, more if they are large, with line breaks in quoted cells, each read by many tasks, every row
+    in its place."""
     path, key = fresh_path(spark, "documents.csv"), "spark.sql.files.maxPartitionBytes"
     documents = load(spark, sf_dir, "documents")
-    write_csv(documents.coalesce(1).sortWithinPartitions("doc_id"), path)
+    size = documents.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    files = max(1, -(-size // FILE_BYTES))
+    write_csv(documents.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id"), path)
     before = spark.conf.get(key)
-    spark.conf.set(key, "64k")
+    # Hundreds of splits show what there is to show; more cost a task each and find no more.
+    spark.conf.set(key, f"{max(64 * 1024, size // MOST_SPLITS)}b")
     try:
         found = scan_csv_splits(spark, path)
         tasks = spark.read.text(path, lineSep="\n").select(F.spark_partition_id().alias("p")).distinct().count()
     finally:
         spark.conf.set(key, before)
-    place = F.row_number().over(Window.orderBy(ROW_SEQ)).cast("bigint").alias("place")
-    return found.select(*documents.columns, place, F.lit(tasks > 2).alias("spread"))
+    placed = add_surrogate_id(found, [ROW_SEQ], name="place")
+    return placed.select(*documents.columns, "place", F.lit(tasks > 2).alias("spread"))
 
 
 @register("row_sequence_place", """

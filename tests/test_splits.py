@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue import io
 from tidyloom.config import ROW_SEQ
 from tidyloom.sources.files import scan_csv, tag_by_place
 from tidyloom.sources.splits import scan_csv_splits
@@ -103,3 +104,14 @@ def test_rows_by_place_are_not_shuffled(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert df.agg(F.min(ROW_SEQ), F.max(ROW_SEQ) + 1, F.countDistinct(ROW_SEQ)).head() == (0, df.count(), df.count())
+
+
+def test_places_of_documents_are_found_without_one_task_for_all(spark, tmp_path, monkeypatch):
+    rows = [(i, f'a "{i}"\nb,' + "x" * (i % 90), "en", "s", i) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(io, "FILE_BYTES", 40_000)
+    found = io.csv_splits(spark, str(tmp_path))
+    assert "row_number" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((int(r.doc_id), r.text, r.place, r.spread) for r in found.collect()) == [
+        (i, t, i + 1, True) for i, t, *_ in rows]
