@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidyloom import storage
 from tidyloom.config import ROW_SEQ
+from tidyloom.operators import nested
 from tidyloom.operators.nested import (
     _distinct_names, explode_arrays, flatten_json, flatten_records, flatten_structs, invalid_payloads, json_growth,
     record_items, variant_type, wide_objects,
@@ -215,3 +216,18 @@ def test_maps_in_lists_and_in_maps(spark, rows):
     assert len(wide_objects(records, F.col("__record"), 100_000)) == 0
     names = {k for d in docs for item in d["inner"]["list"] for k, v in item["m"].items() for k in (k, *v["n"])}
     assert _distinct_names(records, F.col("__record")) > 0.85 * len(names)
+
+
+def test_payloads_are_parsed_once(spark):
+    flat = flatten_json(spark.range(9).select(F.concat(F.lit("["), F.col("id").cast("string"), F.lit("]")).alias("t")), "t")
+    assert "parse_json" not in flat._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.value for r in flat.collect()) == list(range(9))
+
+
+def test_lists_are_looked_for_in_texts_that_may_have_one(spark):
+    texts = ['{"data": [1, 2], oops', '{"data": "\\u005b3]", oops', "{oops 5", None, "[4, oops", '{"items": 7} x']
+    found = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(F.from_json("t", nested._LIST, nested._STRICT), *[
+        F.from_json(F.get_json_object("t", f"$.{key}"), nested._LIST, nested._STRICT) for key in nested.RECORD_KEYS])
+    assert found.where(~F.to_json(nested._listed(F.col("t"))).eqNullSafe(F.to_json(plain))).isEmpty()
+    assert "Contains" in found.select(nested._listed(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()

@@ -151,12 +151,14 @@ def _parsed(text: Column) -> Column:
 def _listed(text: Column) -> Column:
     """Records of a list, or of a list under a record key, cut from the text one by one.
 
-    One variant holds 128 MiB; a document may be larger as long as its records are not.
+    One variant holds 128 MiB; a document may be larger as long as its records are not.  A text without a bracket, even an
+    escaped one, has no list and is not looked through once per key.
     """
-    return F.coalesce(
+    found = F.coalesce(
         F.from_json(text, _LIST, _STRICT),
         *[F.from_json(F.get_json_object(text, f"$.{key}"), _LIST, _STRICT) for key in RECORD_KEYS],
     )
+    return F.when(text.contains("[") | text.contains("\\"), found)
 
 
 def _last_key_wins(df: DataFrame) -> None:
@@ -544,11 +546,14 @@ def flatten_json(
     staged = stage(tagged)
     place = list(_PLACE) if tag else []
     records = record_items(staged, column, [*keep, seq], broken)
-    many = map_width is not None and _distinct_names(records, F.col("__record")) > map_width
-    if many:  # Maps take some passes more, which should not parse every payload again.
+    moved = staged is not tagged
+    if not tag:  # Each pass from here on would parse every payload again; sequences stay where their rows lie.
         records = stage(records, always=True)
+    many = map_width is not None and _distinct_names(records, F.col("__record")) > map_width
+    if many and tag:
+        records, moved = stage(records, always=True), True
     flat = flatten_records(records, keep=[*keep, *place], map_width=map_width if many else None, arrange=(
         lambda shape: _in_document_order(staged, column, shape, seq)) if document_order else lambda shape: shape)
     if tag:
-        flat = tag_in_order(flat, place, moved=many or staged is not tagged)
+        flat = tag_in_order(flat, place, moved)
     return normalize_columns(flat)
