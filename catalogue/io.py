@@ -35,7 +35,7 @@ from tidyloom.streaming.ingest import (
 )
 
 #: What one task writes of a landing file at most, about.
-FILE_BYTES = 64 * 1024 * 1024
+FILE_BYTES, FILE_ROWS = 64 * 1024 * 1024, 500_000
 MOST_SPLITS = 512
 #: Events of all types per page of an API response.
 PAGE_EVENTS = 100_000
@@ -87,8 +87,9 @@ def csv_splits(spark, sf_dir):
 def row_sequence_place(spark, sf_dir):
     """Lines in several files, numbered by path and place, however the files are packed into tasks."""
     path, order = fresh_path(spark, "lineitem.csv"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
-    lines = load(spark, sf_dir, "lineitem").repartitionByRange(5, "l_orderkey").sortWithinPartitions(*order)
-    lines.write.option("header", True).csv(path)
+    lines = load(spark, sf_dir, "lineitem")
+    files = max(5, -(-lines.count() // FILE_ROWS))
+    lines.repartitionByRange(files, *order).sortWithinPartitions(*order).write.option("header", True).csv(path)
     found = scan_csv(spark, path, infer_schema=False, multi_line=False, by_place=True)
     return found.select(*[F.col(c).cast("bigint") for c in order[:2]], "l_returnflag", F.col(ROW_SEQ).alias("seq"))
 

@@ -106,6 +106,17 @@ def test_rows_by_place_are_not_shuffled(spark):
     assert df.agg(F.min(ROW_SEQ), F.max(ROW_SEQ) + 1, F.countDistinct(ROW_SEQ)).head() == (0, df.count(), df.count())
 
 
+def test_landing_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string"
+    rows = [(i // 4, i % 7, i % 3, i % 4, "R" if i % 2 else None) for i in range(900)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(io, "FILE_ROWS", 100)
+    found = io.row_sequence_place(spark, str(tmp_path))
+    assert len([f for f in found.inputFiles() if f.endswith(".csv")]) == 9
+    assert [tuple(r) for r in found.orderBy("seq").collect()] == [
+        (a, d, e, i) for i, (a, _, _, d, e) in enumerate(sorted(rows, key=lambda r: (r[0], r[3])))]
+
+
 def test_places_of_documents_are_found_without_one_task_for_all(spark, tmp_path, monkeypatch):
     rows = [(i, f'a "{i}"\nb,' + "x" * (i % 90), "en", "s", i) for i in range(3000)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
