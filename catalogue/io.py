@@ -39,6 +39,8 @@ FILE_BYTES, FILE_ROWS = 64 * 1024 * 1024, 500_000
 MOST_SPLITS = 512
 #: Events of all types per page of an API response.
 PAGE_EVENTS = 100_000
+#: Rows of a landing file that passes the stream as one payload.
+PAYLOAD_ROWS = 100_000
 
 
 @register("csv_roundtrip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -411,16 +413,20 @@ def stream_batch(spark, sf_dir):
     SELECT 'row' AS kind, o_orderkey, o_custkey, o_totalprice, o_orderpriority, CAST(NULL AS VARCHAR) AS reason FROM orders
     UNION ALL SELECT 'reject', NULL, NULL, NULL, NULL, unnest(['no record', 'more cells than the header', 'no JSON'])""")
 def stream_mixed_files(spark, sf_dir):
-    """One batch of good files of three headers, a JSON document, an empty file, a wide record and a broken document; what
-    is good lands, the rest are rejects, and a restart reads nothing twice."""
+    """One batch of good files of three headers, a JSON document, more of each if they are large, an empty file, a wide
+    record and a broken document; what is good lands, the rest are rejects, and a restart reads nothing twice."""
     landing, out, checkpoint = fresh_path(spark, "landing"), fresh_path(spark, "rows"), fresh_path(spark, "checkpoint")
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
     share = [orders.where(F.col("o_orderkey") % 4 == i) for i in range(4)]
-    write_csv(share[0], f"{landing}/plain")
-    share[1].write.csv(f"{landing}/quoted", header=True, quoteAll=True)
-    write_csv(share[2].select("o_orderpriority", "o_custkey", "o_orderkey", "o_totalprice"), f"{landing}/turned")
+    write_csv(share[0], f"{landing}/plain", PAYLOAD_ROWS)
+    share[1].write.option("maxRecordsPerFile", PAYLOAD_ROWS).csv(f"{landing}/quoted", header=True, quoteAll=True)
+    write_csv(share[2].select("o_orderpriority", "o_custkey", "o_orderkey", "o_totalprice"), f"{landing}/turned", PAYLOAD_ROWS)
     document = F.to_json(F.struct(F.collect_list(F.struct(*orders.columns)).alias("rows"))).alias("value")
-    share[3].agg(document).coalesce(1).write.text(f"{landing}/document")
+    files = max(1, -(-share[3].count() // PAYLOAD_ROWS))
+    dealt = share[3].withColumn("file", F.monotonically_increasing_id() % files)
+    # Ranges, since a first partition without rows would be written as an empty file.
+    grouped = dealt.repartitionByRange(files, "file").groupBy("file") if files > 1 else dealt.groupBy()
+    grouped.agg(document).select("value").write.option("maxRecordsPerFile", 1).text(f"{landing}/document")
     for name, text in (("empty", "\n"), ("wide", "o_orderkey,o_custkey\n1,2,3"), ("broken", "{oops")):
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{landing}/{name}")
     for _ in range(2):

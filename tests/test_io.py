@@ -2,10 +2,12 @@ import json
 import os
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalogue import io
 from tidyloom.config import ROW_SEQ
 from tidyloom.sinks.runlog import run_stats
 from tidyloom.sinks.tables import csv_path, jdbc_options, output_check, read_csv, sql_columns, write_all, write_catalog, write_csv
@@ -13,6 +15,7 @@ from tidyloom.sources import files, payloads
 from tidyloom.sources.payloads import csv_payload_rejects, scan_api_responses, scan_csv_payload, scan_payload
 import tidyloom.storage as storage
 from tidyloom.storage import discarding, estimated_bytes, fresh_path, materialize, shared_root, sized_shuffles, stage
+from tidyloom.streaming import ingest
 from tidyloom.streaming.ingest import land_api_rows, land_file_rows, land_rows, landed_rows, rejected
 
 
@@ -121,6 +124,39 @@ def test_landing_of_mixed_files(spark, tmp_path):
         ("b.csv", 0, "no record"), ("c.csv", 1, "more cells than the header"), ("e.json", 0, "no JSON"), ("g", 0, "no record")]
 
 
+def test_landed_files_are_held_a_few_at_a_time(spark, monkeypatch):
+    written = []
+
+    def noted(df, label, **options):
+        written.append(materialize(df, label, **options))
+        return written[-1]
+
+    monkeypatch.setattr(ingest, "materialize", noted)
+    noise = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4096)), lambda i: F.sha2((F.col("id") * 5000 + i).cast("string"), 256)), "\n")
+    files = spark.range(40, numPartitions=1).select(
+        F.lit("a.csv").alias("file_name"), F.lit("p").alias("file_path"), F.concat(F.lit("a\n"), noise).cast("binary").alias("file_content"))
+    assert land_file_rows(files).rows.count() == 40 * 4096
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in written[0].inputFiles()]
+    sizes = [(m.row_group(i).num_rows, m.row_group(i).total_byte_size) for m in groups for i in range(m.num_row_groups)]
+    assert sum(n for n, _ in sizes) == 40 and max(b for _, b in sizes) < 6 * 1024 * 1024
+
+
+def test_mixed_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    rows = [(i // 2, i % 7, i / 4, None if i % 5 == 0 else f"{i % 3}-X, y") for i in range(2000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").coalesce(1) \
+        .write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(io, "PAYLOAD_ROWS", 90, raising=False)
+    monkeypatch.setattr(io, "fresh_path", lambda spark, label: f"{tmp_path}/{label}")
+    found = io.stream_mixed_files(spark, str(tmp_path)).collect()
+    assert sorted(((*r[1:5],) for r in found if r.kind == "row"), key=repr) == sorted(rows, key=repr)
+    assert sorted(r.reason for r in found if r.kind == "reject") == ["more cells than the header", "no JSON", "no record"]
+    documents = [json.loads(f.read_text())["rows"] for f in tmp_path.glob("landing/document/part-*")]
+    assert sum(map(len, documents)) == 500 and max(map(len, documents)) <= 90
+    for kind in ("plain", "quoted", "turned"):
+        lines = [len(f.read_text().splitlines()) - 1 for f in tmp_path.glob(f"landing/{kind}/part-*")]
+        assert sum(lines) == 500 and max(lines) <= 90
+
+
 def test_intermediate_tables_go_with_their_block(spark):
     def left():
         return sum(len(files) for _, _, files in os.walk(shared_root(spark)))

@@ -25,9 +25,10 @@ def csv_path(folder: str, base: str, kind: str) -> str:
     return f"{folder.rstrip('/')}/{base}/{table_name(base, kind)}.csv"
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Replace a CSV table: one header per part file, quotes doubled, parts in row order."""
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+def write_csv(df: DataFrame, path: str, file_rows: int | None = None) -> None:
+    """Replace a CSV table: one header per part file, quotes doubled, parts in row order, of ``file_rows`` rows at most."""
+    options = {} if file_rows is None else {"maxRecordsPerFile": file_rows}
+    df.write.mode("overwrite").options(**options).csv(path, header=True, quote='"', escape='"')
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

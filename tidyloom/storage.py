@@ -18,6 +18,12 @@ BYTES_PER_PIECE = 128 * 1024
 # Estimates count compressed bytes, so a partition of this size is a few hundred megabytes in memory.
 SHUFFLE_BYTES = 64 * 1024 * 1024
 MOST_SHUFFLE_PARTITIONS = 200_000
+# Writer options for rows that may be whole files: each row is looked at before a page or row group goes on.  Parquet looks
+# at every hundredth at the earliest, and both writer and reader would hold what it has let through.
+PAYLOAD_OPTIONS = {
+    "parquet.block.size": 4 * 1024 * 1024, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1,
+    "parquet.page.size.row.check.min": 1, "parquet.page.size.check.estimate": False,
+}
 
 # The paths given out in each `discarding` block of a thread.
 _collected = threading.local()
@@ -40,15 +46,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as parquet and return the table read back.
+def materialize(df: DataFrame, label: str, payloads: bool = False) -> DataFrame:
+    """Write ``df`` as parquet and return the table read back; ``payloads`` says that its rows may be whole files.
 
     Counting the result afterwards is cheap, it reads file footers only, and unlike metrics observed on the way it
     cannot count a task twice that ran again after an executor was lost.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**PAYLOAD_OPTIONS if payloads else {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

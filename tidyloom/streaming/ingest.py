@@ -94,7 +94,7 @@ def land_file_rows(batch: DataFrame) -> Landed:
 
     A document that is no JSON is a reject, like what of a CSV file cannot be read.
     """
-    files = materialize(batch, "files")
+    files = materialize(batch, "files", payloads=True)
     is_json = file_format_col(F.col("file_name"), F.col("file_path")) == "json"
     csv = land_csv_rows(files.where(~is_json))
     text = payload_text(F.col("file_content"), files.schema["file_content"].dataType)
